@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from netloom.llm.pii import op4_pii
 from netloom.llm.quality_crf import op1_quality
+from netloom.llm.quality_divergence import op3_divergence
 from netloom.llm.simhash import op10_simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
+        "op3_divergence": op3_divergence,
+        "op4_pii": op4_pii,
         "op10_simhash": op10_simhash,
     }
 
