@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from netloom.llm.lm_automaton import op2_lm
 from netloom.llm.pii import op4_pii
 from netloom.llm.quality_crf import op1_quality
 from netloom.llm.quality_divergence import op3_divergence
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op3_divergence": op3_divergence,
         "op4_pii": op4_pii,
+        "op2_lm": op2_lm,
         "op10_simhash": op10_simhash,
     }
 
