@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from netloom.llm.hnsw import op6_hnsw
 from netloom.llm.lm_automaton import op2_lm
 from netloom.llm.pii import op4_pii
 from netloom.llm.quality_crf import op1_quality
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op3_divergence": op3_divergence,
         "op4_pii": op4_pii,
         "op2_lm": op2_lm,
+        "op6_hnsw": op6_hnsw,
         "op10_simhash": op10_simhash,
     }
 
