@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from netloom.llm.hnsw import op6_hnsw
+from netloom.llm.html_extract import op7_html
 from netloom.llm.lm_automaton import op2_lm
 from netloom.llm.pii import op4_pii
 from netloom.llm.quality_crf import op1_quality
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op4_pii": op4_pii,
         "op2_lm": op2_lm,
         "op6_hnsw": op6_hnsw,
+        "op7_html": op7_html,
         "op10_simhash": op10_simhash,
     }
 
