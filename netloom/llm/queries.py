@@ -5,10 +5,12 @@ from __future__ import annotations
 from netloom.llm.hnsw import op6_hnsw
 from netloom.llm.html_extract import op7_html
 from netloom.llm.lm_automaton import op2_lm
+from netloom.llm.mixing import op8_mixing
 from netloom.llm.pii import op4_pii
 from netloom.llm.quality_crf import op1_quality
 from netloom.llm.quality_divergence import op3_divergence
 from netloom.llm.simhash import op10_simhash
+from netloom.llm.warc import op9_warc
 
 
 def queries() -> dict:
@@ -19,6 +21,8 @@ def queries() -> dict:
         "op2_lm": op2_lm,
         "op6_hnsw": op6_hnsw,
         "op7_html": op7_html,
+        "op8_mixing": op8_mixing,
+        "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
     }
 
