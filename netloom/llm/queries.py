@@ -6,6 +6,7 @@ from netloom.llm.hnsw import op6_hnsw
 from netloom.llm.html_extract import op7_html
 from netloom.llm.lm_automaton import op2_lm
 from netloom.llm.mixing import op8_mixing
+from netloom.llm.packing import op5_packing
 from netloom.llm.pii import op4_pii
 from netloom.llm.quality_crf import op1_quality
 from netloom.llm.quality_divergence import op3_divergence
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op7_html": op7_html,
         "op8_mixing": op8_mixing,
         "op9_warc": op9_warc,
+        "op5_packing": op5_packing,
         "op10_simhash": op10_simhash,
     }
 
