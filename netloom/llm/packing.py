@@ -45,14 +45,16 @@ def pieces_of(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, first)] + [(i, size) for i in range(first, n, size)]
 
 
-def best_fit(bins: list[list[int]], items, lens: list[int], size: int = SIZE) -> list[list[int]]:
-    """Put items into the fullest bin that has room, or a new one. bins is changed and returned."""
+def best_fit(bins: list[list], items, lens: list[int], size: int = SIZE) -> list[list]:
+    """Put items into the fullest bin that has room, or a new one. A bin is [filling, items..]; bins is changed."""
     room: dict[int, list[int]] = {}
     mask = 0  # bit r: some bin has exactly r left
     for i, b in enumerate(bins):
-        r = size - sum(lens[x] for x in b)
-        room.setdefault(r, []).append(i)
-        mask |= 1 << r
+        if (r := size - b[0]) in room:
+            room[r].append(i)
+        else:
+            room[r] = [i]
+            mask |= 1 << r
     for x in items:
         s = lens[x]
         fits = mask >> s
@@ -60,73 +62,80 @@ def best_fit(bins: list[list[int]], items, lens: list[int], size: int = SIZE) ->
             r = s + (fits & -fits).bit_length() - 1
             i = room[r].pop()
             if not room[r]:
-                mask &= ~(1 << r)
-            bins[i].append(x)
+                mask ^= 1 << r
+            b = bins[i]
+            b.append(x)
+            b[0] += s
         else:
             r, i = size, len(bins)
-            bins.append([x])
-        room.setdefault(r - s, []).append(i)
-        mask |= 1 << (r - s)
+            bins.append([s, x])
+        if (r := r - s) in room:
+            room[r].append(i)
+        else:
+            room[r] = [i]
+        mask |= 1 << r
     return bins
 
 
-def fitness(bins: list[list[int]], lens: list[int], size: int = SIZE) -> float:
-    """Mean squared filling: fewer bins first, then fuller ones."""
-    return sum((sum(lens[x] for x in b) / size) ** 2 for b in bins) / max(len(bins), 1)
+def score(bins: list[list]) -> tuple[int, int]:
+    """Fewer bins first, then fuller ones (the sum of squared fillings)."""
+    return -len(bins), sum(b[0] * b[0] for b in bins)
 
 
-def crossover(a: list[list[int]], b: list[list[int]], lens: list[int], rng: np.random.Generator, size: int = SIZE) -> list[list[int]]:
-    fill = np.array([sum(lens[x] for x in g) for g in b])
-    chosen = np.flatnonzero((fill >= np.median(fill)) & (rng.random(len(b)) < 0.5))
-    child = [list(b[i]) for i in chosen]
-    used = {x for g in child for x in g}
-    spare = rng.random(len(a))
+def crossover(a: list[list], b: list[list], lens: list[int], rng: np.random.Generator, size: int = SIZE) -> list[list]:
+    median = sorted(g[0] for g in b)[len(b) // 2]
+    child = [list(g) for g, luck in zip(b, rng.random(len(b)).tolist()) if luck < 0.5 and g[0] >= median]
+    used = bytearray(len(lens))
+    for g in child:
+        for x in g[1:]:
+            used[x] = 1
     displaced: list[int] = []
-    for g, luck in zip(a, spare):
-        if used.isdisjoint(g) and not (luck < 0.3 and sum(lens[x] for x in g) < size):
+    for g, luck in zip(a, rng.random(len(a)).tolist()):
+        items = g[1:]
+        left = [x for x in items if not used[x]]
+        if len(left) == len(items) and not (luck < 0.3 and g[0] < size):
             child.append(list(g))
         else:  # holds an item twice, or is an unfilled bin that is tried anew
-            displaced += [x for x in g if x not in used]
+            displaced += left
     displaced.sort(key=lambda x: (-lens[x], x))
     return best_fit(child, displaced, lens, size)
 
 
-def evolve(lens: list[int], seed: int, migrants: list[list[list[int]]] = (), generations: int = GENERATIONS, size: int = SIZE) -> list[list[int]]:
+def evolve(lens: list[int], seed: int, migrants: list[list[list]] = (), generations: int = GENERATIONS, size: int = SIZE) -> list[list]:
     """The best packing of one island after an epoch; ends early where no packing can have fewer bins."""
     rng, least = np.random.default_rng(seed), math.ceil(sum(lens) / size)
-    orders = [sorted(range(len(lens)), key=lambda x: -lens[x])]
-    score = lambda p: (-len(p), fitness(p, lens, size))
-    population = [list(m) for m in migrants]
+    lengths = np.array(lens)
+    population = sorted(([list(g) for g in m] for m in migrants), key=score, reverse=True)
     for k in range(POPULATION):
-        noise = rng.normal(1, 0.02 * k, len(lens)) if k else np.ones(len(lens))
-        if population and max(map(score, population))[0] == -least:
+        if population and len(population[0]) <= least:
             break
-        order = orders[0] if not k else np.argsort(-np.array(lens) * noise, kind="stable").tolist()
+        order = np.argsort(-lengths * (rng.normal(1, 0.02 * k, len(lens)) if k else 1), kind="stable").tolist()
         population.append(best_fit([], order, lens, size))
-    population.sort(key=score, reverse=True)
+        population.sort(key=score, reverse=True)
     for _ in range(generations):
-        if not lens or len(population[0]) == least or len(population) < 2:
+        if not lens or len(population[0]) <= least or len(population) < 2:
             break
         young = []
         for _ in range(POPULATION):
-            i, j = sorted(rng.integers(0, len(population), 2))  # the better of the two gives the bins
+            i, j = sorted(rng.integers(0, len(population), 2).tolist())  # the better of the two gives the bins
             young.append(crossover(population[j], population[i], lens, rng, size))
         population = sorted(population + young, key=score, reverse=True)[:POPULATION]
     return population[0] if population else []
 
 
-def _packed(bins: list[list[int]], n: int) -> bytes:
+def _packed(bins: list[list], n: int) -> bytes:
     at = np.zeros(n, np.int32)
     for i, b in enumerate(bins):
-        at[b] = i
+        at[b[1:]] = i
     return at.tobytes()
 
 
-def _bins(at: bytes) -> list[list[int]]:
+def _bins(at: bytes, lens: list[int]) -> list[list]:
     place = np.frombuffer(at, np.int32)
-    bins: list[list[int]] = [[] for _ in range(int(place.max(initial=-1)) + 1)]
+    bins: list[list] = [[0] for _ in range(int(place.max(initial=-1)) + 1)]
     for x, i in enumerate(place.tolist()):
         bins[i].append(x)
+        bins[i][0] += lens[x]
     return bins
 
 
@@ -139,9 +148,9 @@ def _island(size: int):
             out = []
             for row in pdf.itertuples():
                 lens = [int(x) for x in row.lens]
-                migrants = [_bins(m) for m in (row.own, row.migrant) if m is not None]
+                migrants = [_bins(m, lens) for m in (row.own, row.migrant) if m is not None]
                 best = evolve(lens, 1000 * row.epoch + row.island, migrants, size=size)
-                out.append((row.block, row.island, lens, _packed(best, len(lens)), len(best), fitness(best, lens, size)))
+                out.append((row.block, row.island, lens, _packed(best, len(lens)), len(best), float(score(best)[1])))
             yield pd.DataFrame(out, columns=["block", "island", "lens", "at", "n_bins", "fit"])
 
     return run
