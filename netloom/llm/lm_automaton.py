@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import folded_words_of, id_crc, materialise, table
 
 #: Tokens of a block, n-grams of a bucket: what a task holds at once.
-BLOCK_TOKENS, BUCKET_NGRAMS = 1_000_000, 1_500_000
+BLOCK_TOKENS, BUCKET_NGRAMS = 800_000, 1_500_000
 #: K: the weight of the shorter history, in tokens.
 PRIOR = 300.0
 #: No word holds a line break, so these stand for the end of a text and for what is before its first word.
@@ -34,10 +34,19 @@ END, START = b"\n", b"\n\n"
 
 BLOCKS = "block long, ids array<string>, held array<boolean>, lengths binary, tokens binary, hashes binary, n_train long, n_ngrams long"
 SENT = "bucket int, block long, gram int, keys binary, counts binary"
-ANSWERS = "block long, bucket int, gram int, counts binary, n_distinct long"
+ANSWERS = "block long, bucket int, gram int, width int, counts binary, n_distinct long"
 SCORES = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of the same place side by side: the leading bytes of sorted keys and small counts repeat, and pack well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unplanes(data: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A 64-bit key for each pair of word hashes, spread evenly."""
     with np.errstate(over="ignore"):
@@ -66,11 +75,11 @@ class Block:
 
     def row(self, block: int) -> dict:
         trained = self.train_mask()
-        return {"block": block, "ids": self.ids, "held": self.held, "lengths": self.lengths.tobytes(), "tokens": self.tokens.tobytes(), "hashes": self.hashes.tobytes(), "n_train": int(trained.sum()), "n_ngrams": len(self.hashes) + len(np.unique(self.codes()))}
+        return {"block": block, "ids": self.ids, "held": self.held, "lengths": self.lengths.tobytes(), "tokens": planes(self.tokens), "hashes": self.hashes.tobytes(), "n_train": int(trained.sum()), "n_ngrams": len(self.hashes) + len(np.unique(self.codes()))}
 
     @classmethod
     def read(cls, row) -> Block:
-        return cls(row.ids, row.held, np.frombuffer(row.lengths, np.int64), np.frombuffer(row.tokens, np.int32), np.frombuffer(row.hashes, np.uint64))
+        return cls(row.ids, row.held, np.frombuffer(row.lengths, np.int64), unplanes(row.tokens, np.int32), np.frombuffer(row.hashes, np.uint64))
 
     def train_mask(self) -> np.ndarray:
         return np.repeat(~np.asarray(self.held, bool), self.lengths)
@@ -95,25 +104,30 @@ class Block:
 
 
 class BackoffAutomaton:
-    """States are words (the history), root arcs the smoothed words, arcs the pairs that training has."""
+    """States are words (the history), root arcs the smoothed words, arcs the pairs that training has.
+
+    arcs has a weight for each (state * words + word) of the sorted `codes`, not a number where there is no arc.
+    """
 
     def __init__(self, words: int, word_counts: np.ndarray, codes: np.ndarray, pair_counts: np.ndarray, n: int, v: int, train_docs: int, prior: float = PRIOR):
         history = word_counts.astype(float)
         history[1] = train_docs  # every training text is a continuation of START, every other word of itself
-        self.words, unigram = words, (word_counts + 1) / (n + v + 1)
+        unigram = (word_counts + 1) / (n + v + 1)
         self.root = np.log10(unigram).tolist()
         self.failure = np.log10(prior / (history + prior)).tolist()
-        seen = pair_counts > 0
-        codes, pair_counts = codes[seen], pair_counts[seen]
+        self.codes = codes
         weights = np.log10((pair_counts + prior * unigram[codes % words]) / (history[codes // words] + prior))
-        self.arcs = dict(zip(codes.tolist(), weights.tolist()))
-
-    def score(self, tokens: list[int]) -> float:
-        """log10 probability of a text's tokens; the state after a token is its word's."""
-        total, state, words, arcs, root, failure = 0.0, 1, self.words, self.arcs.get, self.root, self.failure
-        for word in tokens:
-            weight = arcs(state * words + word)
-            total += failure[state] + root[word] if weight is None else weight
+        self.arcs = np.where(pair_counts > 0, weights, np.nan)
+
+    def arcs_of(self, codes: np.ndarray) -> list[float]:
+        return self.arcs[np.searchsorted(self.codes, codes)].tolist()
+
+    def score(self, tokens: list[int], arcs: list[float]) -> float:
+        """log10 probability of a text's tokens, from left to right; arcs has the arc from the state before each
+        token, which is the last token's. Without one the failure arc leads to the root and its arc on."""
+        total, state, root, failure = 0.0, 1, self.root, self.failure
+        for word, weight in zip(tokens, arcs):
+            total += weight if weight == weight else failure[state] + root[word]
             state = word
         return total
 
@@ -147,7 +161,7 @@ def _send(buckets: int):
             for row in pdf.itertuples():
                 for gram, keys, _, counts in Block.read(row).ngrams():
                     edges = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
-                    parts = [(b, row.block, gram, keys[i:j].tobytes(), counts[i:j].astype(np.uint32).tobytes()) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+                    parts = [(b, row.block, gram, planes(keys[i:j]), planes(counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
                     yield pd.DataFrame(parts, columns=["bucket", "block", "gram", "keys", "counts"])
 
     return send
@@ -156,15 +170,17 @@ def _send(buckets: int):
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for (bucket, gram), rows in pdf.groupby(["bucket", "gram"]):
-        keys, place = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]]), minlength=len(keys)).astype(np.int64)
+        keys, place = np.unique(np.concatenate([unplanes(k, np.uint64) for k in rows["keys"]]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([unplanes(c, np.uint32) for c in rows["counts"]]), minlength=len(keys)).astype(np.int64)
+        width = 4 if counts.max(initial=0) < 1 << 32 else 8
+        told = counts.astype(f"u{width}")
         at = 0
         for block, k in zip(rows["block"], rows["keys"]):
             n = len(k) // 8
-            out.append((block, bucket, gram, counts[place[at : at + n]].tobytes(), 0))
+            out.append((block, bucket, gram, width, planes(told[place[at : at + n]]), 0))
             at += n
-        out.append((-1, bucket, gram, b"", int((counts > 0).sum())))
-    return pd.DataFrame(out, columns=["block", "bucket", "gram", "counts", "n_distinct"])
+        out.append((-1, bucket, gram, width, b"", int((counts > 0).sum())))
+    return pd.DataFrame(out, columns=["block", "bucket", "gram", "width", "counts", "n_distinct"])
 
 
 def _score(n: int, v: int, prior: float):
@@ -173,16 +189,18 @@ def _score(n: int, v: int, prior: float):
         for row in blocks.itertuples():
             block = Block.read(row)
             words = len(block.hashes)
-            known = {g: np.concatenate([np.frombuffer(c, np.int64) for c in x.sort_values("bucket")["counts"]]) for g, x in answers.groupby("gram")}
-            (_, _, places, _), (_, _, codes, _) = block.ngrams()
+            known = {g: np.concatenate([unplanes(c, f"u{w}") for c, w in zip(x["counts"], x["width"])]).astype(np.int64) for g, x in answers.sort_values("bucket").groupby("gram")}
+            (_, _, places, _), (_, _, keyed, _) = block.ngrams()
             counts = np.zeros(words, np.int64)
             counts[places] = known[1]
-            automaton = BackoffAutomaton(words, counts, codes, known[2], n, v, int(counts[0]), prior)
+            order = np.argsort(keyed)
+            automaton = BackoffAutomaton(words, counts, keyed[order], known[2][order], n, v, int(counts[0]), prior)
+            codes = block.codes()
             base = np.log10((counts + 1) / (n + 1 * (v + 1)))[block.tokens]
             at = 0
             for i, held, length in zip(block.ids, block.held, block.lengths.tolist()):
                 tokens = block.tokens[at : at + length]
-                out.append((i, bool(held), length, int((counts[tokens] > 0).sum()), math.fsum(base[at : at + length]), automaton.score(tokens.tolist())))
+                out.append((i, bool(held), length, int((counts[tokens] > 0).sum()), math.fsum(base[at : at + length]), automaton.score(tokens.tolist(), automaton.arcs_of(codes[at : at + length]))))
                 at += length
         return pd.DataFrame(out, columns=[x.split()[0] for x in SCORES.split(", ")])
 
