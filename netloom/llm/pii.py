@@ -125,10 +125,11 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, text_col: str = "text
     n_e = contexts.select("entity", "place").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     words = pairs.select("term").distinct()
     n_t = word_counts(docs, text_col, by_line=True).select(F.col("word").alias("term"), F.col("n").alias("n_t")).join(words, "term")
-    n = docs.agg(F.sum(F.length(F.regexp_replace(F.coalesce(text_col, F.lit("")), "[^\n]", "")) + 1).alias("n"))
-    scored = pairs.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(n))  # n: one row
-    pmi = F.log2(F.col("n") * F.least("n_et", "n_t", "n_e") / (F.col("n_e") * F.col("n_t")))
-    ratio = F.when(F.col("n_e") < F.col("n"), pmi / F.log2(F.col("n") / F.col("n_e"))).otherwise(F.lit(0.0))
+    text = F.coalesce(text_col, F.lit(""))
+    n = F.lit(docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0])
+    scored = pairs.join(n_e, "entity").join(n_t, "term")
+    pmi = F.log2(n * F.least("n_et", "n_t", "n_e") / (F.col("n_e") * F.col("n_t")))
+    ratio = F.when(F.col("n_e") < n, pmi / F.log2(n / F.col("n_e"))).otherwise(F.lit(0.0))
     kind = F.when(ratio >= REMOVE, TERM_KINDS[1]).when(ratio >= GENERALISE, TERM_KINDS[0])
     return scored.select("entity", "term", kind.alias("kind")).where("kind is not null")
 
