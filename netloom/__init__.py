@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Network-traffic and security analytics as DataFrame-to-DataFrame operators on Spark."""

@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Part of netloom; see the README."""
