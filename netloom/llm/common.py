@@ -39,7 +39,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def id_crc(col: str | Column) -> Column:
     """crc32 of an id as text; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary"))
+    return F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")).cast("binary"))
 
 
 def free_name(df: DataFrame, wish: str) -> str:

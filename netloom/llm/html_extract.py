@@ -48,8 +48,11 @@ class Flat:
     prior: np.ndarray
 
 
-def prior_of(node: Node, inside: bool) -> float:
-    """The margin by meaning. Within an article its own head counts as its text, unless named otherwise."""
+def prior_of(node: Node, inside: bool, holds: bool) -> float:
+    """The margin by meaning. Within an article its own head counts as its text, unless named otherwise; what
+    holds an article is not judged by its name. -STRONG is final: no trees outweigh it."""
+    if holds:
+        return STRONG / 4
     if node.tag in OUT_TAGS and not (inside and node.tag == "header"):
         return -STRONG
     if node.tag in IN_TAGS:
@@ -87,13 +90,16 @@ def flatten(root: Node) -> Flat:
         paras[p] += paras[i] + (nodes[i].tag == "p")
     par = np.array(parents)
     par[0] = 0
+    holds = [False] * n
+    for i in range(n - 1, 0, -1):
+        holds[parents[i]] = holds[parents[i]] or holds[i] or nodes[i].tag in IN_TAGS
     total = max(text[0], 1)
     position, siblings = np.array(sibling, float).T
     out_word = np.array([bool(x.tokens & OUT_WORDS) for x in nodes], float)
     in_word = np.array([bool(x.tokens & IN_WORDS) for x in nodes], float)
     basic = [np.log1p(text), np.log1p(own), links / np.maximum(text, 1), text / count, text / total, np.log1p(count), marks / np.maximum(text, 1), np.log1p(paras), np.array(depth, float), position, siblings, position / siblings, text / np.maximum(text[par], 1), np.array([x.attributes for x in nodes], float), out_word, in_word, np.array([x.tag in BLOCK for x in nodes], float)]
     tags = [np.array([x.tag == g for x in nodes], float) for g in TAG_GROUPS]
-    return Flat(nodes, parents, np.stack(basic + tags, axis=1), np.array([prior_of(x, inside[p] if p >= 0 else False) for x, p in zip(nodes, parents)]))
+    return Flat(nodes, parents, np.stack(basic + tags, axis=1), np.array([prior_of(x, inside[p] if p >= 0 else False, h) for x, p, h in zip(nodes, parents, holds)]))
 
 
 def teacher(flat: Flat) -> np.ndarray | None:
@@ -169,13 +175,17 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_col: str = "page_id
     return boosting.train(f32("x").reshape(-1, N_FEATURES), f32("y"), f32("prior"))
 
 
-def main_text(page: str | None, trees: boosting.Trees) -> str:
-    flat = flatten(parse(page))
-    margins = flat.prior + np.clip(trees.margin(flat.features), -STRONG, STRONG) + 0.05
+def _text(flat: Flat, learnt: np.ndarray) -> str:
+    margins = np.where(flat.prior <= -STRONG, -np.inf, flat.prior + np.clip(learnt, -STRONG, STRONG) + 0.05)
     margins[0] = max(margins[0], 0.05)
     return text_of(flat, decode(flat.parents, margins))
 
 
+def main_text(page: str | None, trees: boosting.Trees) -> str:
+    flat = flatten(parse(page))
+    return _text(flat, trees.margin(flat.features))
+
+
 def extracted(trees: boosting.Trees, html_col: str = "html"):
     """A column of the main text of whole pages; empty for null and empty pages and pages without any."""
 
@@ -185,12 +195,8 @@ def extracted(trees: boosting.Trees, html_col: str = "html"):
         if not flats:
             return pd.Series([], dtype=object)
         ends = np.cumsum([len(f.nodes) for f in flats])
-        learnt = np.clip(trees.margin(np.vstack([f.features for f in flats])), -STRONG, STRONG)
-        out = []
-        for flat, end in zip(flats, ends):
-            margins = flat.prior + learnt[end - len(flat.nodes) : end] + 0.05
-            margins[0] = max(margins[0], 0.05)
-            out.append(text_of(flat, decode(flat.parents, margins)))
+        learnt = trees.margin(np.vstack([f.features for f in flats]))
+        out = [_text(f, learnt[end - len(f.nodes) : end]) for f, end in zip(flats, ends)]
         return pd.Series(out, dtype=object)
 
     return extract(F.col(html_col))
