@@ -1,4 +1,8 @@
-"""Sliding windows over a key's packets and the latch that raises one alert a burst."""
+"""Sliding windows over a key's packets and the latch that raises one alert a burst.
+
+No window takes all rows of a key: a key's rows are cut into buckets of time, so that a key with a third of all
+rows is many groups. What crosses a bucket's border is carried by one row for each key and bucket.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +12,60 @@ from pyspark.sql import functions as F
 ORDER = ("timestamp", "no")
 
 
+def in_buckets(rows: DataFrame, seconds: float) -> DataFrame:
+    return rows.withColumn("_bucket", F.floor(F.col("timestamp") / float(seconds)))
+
+
+def of_bucket(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what facts knows of their key and bucket; a null key is a value of its own."""
+    on = [*keys, "_bucket"]
+    there = facts.withColumnsRenamed({k: f"_of_{k}" for k in on})
+    return rows.join(there, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in on], "left").drop(*(f"_of_{k}" for k in on))
+
+
 def sessions(rows: DataFrame, keys: list[str], gap: float, name: str = "session") -> DataFrame:
-    """rows with the number of the key's session: a new one begins after more than gap seconds without a row."""
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    new = F.coalesce(F.col("timestamp") - F.lag("timestamp").over(w) > gap, F.lit(False)).cast("int")
-    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """rows with the number of the key's session: a new one begins after more than gap seconds without a row.
+
+    Rows of one bucket of that width are never so far apart, so sessions break between buckets only.
+    """
+    dated = in_buckets(rows, gap)
+    spans = dated.groupBy(*keys, "_bucket").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_bucket")
+    new = F.coalesce(F.col("_first") - F.lag("_last").over(w) > gap, F.lit(False)).cast("int")
+    numbered = spans.withColumn("_new", new).select(*keys, "_bucket", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    return of_bucket(dated, numbered, keys).drop("_bucket")
+
+
+def sliding(rows: DataFrame, keys: list[str], seconds: float, measure: str, name: str = "hits") -> DataFrame:
+    """rows with an aggregate over the key's rows of the last seconds, the present one included.
+
+    Buckets are four windows wide; rows of a bucket's last window are lent to the next bucket. The frame is in
+    SQL, as the Column API takes whole numbers only for the bounds of a range.
+    """
+    width = 4.0 * seconds
+    own = in_buckets(rows, width).withColumnRenamed("_bucket", "_own")
+    near_end = (F.col("_own") + 1) * width - F.col("timestamp") <= seconds * 1.01
+    lent = own.withColumn("_bucket", F.explode(F.when(near_end, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+    by = ", ".join(f"`{k}`" for k in [*keys, "_bucket"])
+    over = F.expr(f"{measure} over (partition by {by} order by timestamp range between {float(seconds)}D preceding and current row)")
+    return lent.withColumn(name, over).where("_own = _bucket").drop("_own", "_bucket")
+
+
+def running(rows: DataFrame, keys: list[str], measures: dict[str, Column], seconds: float = 60.0) -> DataFrame:
+    """Rows with sums of measures over the key's rows up to the present one: the sums of all buckets before
+    the row's, and the sum within it."""
+    dated = in_buckets(rows.withColumns({f"_x_{m}": x for m, x in measures.items()}), seconds)
+    sums = dated.groupBy(*keys, "_bucket").agg(*(F.sum(f"_x_{m}").alias(f"_x_{m}") for m in measures))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_x_{m}").over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    out = of_bucket(dated, before, keys).withColumns({m: F.col(f"_before_{m}") + F.sum(f"_x_{m}").over(inside) for m in measures})
+    return out.drop("_bucket", *(f"_x_{m}" for m in measures), *(f"_before_{m}" for m in measures))
 
 
-def sliding(measure: str, keys: list[str], seconds: float) -> Column:
-    """An aggregate over a key's rows of the last seconds, the present one included. In SQL, as the Column API
-    takes whole numbers only for the bounds of a range."""
-    return F.expr(f"{measure} over (partition by {', '.join(keys)} order by timestamp range between {float(seconds)}D preceding and current row)")
+def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's first row. An aggregation, so a task keeps one row a key before the shuffle."""
+    return rows.groupBy(*(F.col(k).alias(f"_by_{k}") for k in keys)).agg(F.min_by(F.struct(*rows.columns), F.struct(*ORDER)).alias("_row")).select("_row.*")
 
 
 def reaching(rows: DataFrame, keys: list[str], threshold: int, distinct: str | None = None) -> DataFrame:
@@ -36,7 +83,6 @@ def latched(rows: DataFrame, keys: list[str], threshold: int, seconds: float, di
     """
     dated = rows if once else sessions(rows, rearm or keys, seconds)
     few = reaching(dated, keys, threshold, distinct)
-    hits = F.size(sliding(f"collect_set({distinct})", keys, seconds)) if distinct else sliding("count(*)", keys, seconds)
-    over = few.withColumn("hits", hits.cast("long")).where(F.col("hits") >= threshold)
-    first = Window.partitionBy(*keys, *([] if once else ["session"])).orderBy(*ORDER)
-    return over.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank", "session")
+    hits = sliding(few, keys, seconds, f"collect_set({distinct})").withColumn("hits", F.size("hits")) if distinct else sliding(few, keys, seconds, "count(*)")
+    over = hits.withColumn("hits", F.col("hits").cast("long")).where(F.col("hits") >= threshold)
+    return first_of(over, keys if once else [*keys, "session"]).drop("session")

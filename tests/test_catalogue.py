@@ -12,7 +12,8 @@ ORACLE = catalogue.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    for name in ("events", "documents", "supplier", "customer"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return db
 
 
