@@ -1,11 +1,13 @@
 """Every query with SQL of its own against DuckDB over the same tables."""
 
+import os
+
 import duckdb
 import pytest
 
 from netloom.plans import catalogue
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("NETLOOM_DATA", "/root/testdata/sf0.001")
 ORACLE = catalogue.oracle_sql()
 
 
