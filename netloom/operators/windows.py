@@ -23,13 +23,14 @@ def of_bucket(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(there, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in on], "left").drop(*(f"_of_{k}" for k in on))
 
 
-def sessions(rows: DataFrame, keys: list[str], gap: float, name: str = "session") -> DataFrame:
+def sessions(rows: DataFrame, keys: list[str], gap: float, name: str = "session", among: DataFrame | None = None) -> DataFrame:
     """rows with the number of the key's session: a new one begins after more than gap seconds without a row.
 
-    Rows of one bucket of that width are never so far apart, so sessions break between buckets only.
+    Rows of one bucket of that width are never so far apart, so sessions break between buckets only. If rows are
+    part of a table whose every row keeps a session alive, `among` is that table.
     """
     dated = in_buckets(rows, gap)
-    spans = dated.groupBy(*keys, "_bucket").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    spans = in_buckets(among or rows, gap).groupBy(*keys, "_bucket").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
     w = Window.partitionBy(*keys).orderBy("_bucket")
     new = F.coalesce(F.col("_first") - F.lag("_last").over(w) > gap, F.lit(False)).cast("int")
     numbered = spans.withColumn("_new", new).select(*keys, "_bucket", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
@@ -81,8 +82,8 @@ def latched(rows: DataFrame, keys: list[str], threshold: int, seconds: float, di
     Another alert of the key needs a gap of more than the window in the rows of `rearm` (the key unless given);
     with once there is none. Null values count as no value.
     """
-    dated = rows if once else sessions(rows, rearm or keys, seconds)
-    few = reaching(dated, keys, threshold, distinct)
+    few = reaching(rows, keys, threshold, distinct)
+    few = few if once else sessions(few, rearm or keys, seconds, among=rows)
     hits = sliding(few, keys, seconds, f"collect_set({distinct})").withColumn("hits", F.size("hits")) if distinct else sliding(few, keys, seconds, "count(*)")
     over = hits.withColumn("hits", F.col("hits").cast("long")).where(F.col("hits") >= threshold)
     return first_of(over, keys if once else [*keys, "session"]).drop("session")
