@@ -128,3 +128,8 @@ def test_streams_agree_with_tables(spark, tmp_path):
         query.awaitTermination(120)
     assert {(r.bucket, r.packets) for r in spark.table("line").collect()} == {(float(b), sum(int(k * 0.4) == b for k in range(20))) for b in range(8)}
     assert [(r.hits, r.first_no, r.last_no) for r in spark.table("burst").collect()] == [(20, 0, 19)]
+
+
+def test_comparison_of_two_packets(spark):
+    left, right = made(spark, [packet(1, 0, bytes_=frame(0x02))]), made(spark, [packet(2, 5, bytes_=frame(0x12, tags=bytes.fromhex("81000014")))])
+    assert {(r.path, r.change) for r in fields.compared(left, right).collect()} == {("tcp.flags", "changed"), ("vlan.id", "right only"), ("vlan.pcp", "right only"), ("vlan.dei", "right only")}
