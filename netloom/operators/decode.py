@@ -45,6 +45,11 @@ def service_name(table: tuple, src_port: Column, dst_port: Column, default: str)
     return F.coalesce(F.substring(F.least(F.try_element_at(by_port, src_port), F.try_element_at(by_port, dst_port)), 4, 100), F.lit(default))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows, their columns computed once: a generator, so the optimiser doesn't copy them into all later expressions."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def decoded(frames: DataFrame) -> DataFrame:
     """Packets from frames (no, timestamp, bytes): addresses, protocol, summary, ports and VLAN tags.
 
@@ -55,6 +60,7 @@ def decoded(frames: DataFrame) -> DataFrame:
     tags = F.regexp_extract(F.hex(F.substring("bytes", 13, 400)), "^((?:(?:8100|88A8)[0-9A-F]{4})*)", 1)
     rows = rows.withColumn("_tags", (F.length(tags) / 8).cast("int")).withColumn("_net", 14 + 4 * F.col("_tags"))
     rows = rows.withColumns({"_size": F.length("bytes"), "_type": F.hex(_cut(F.col("_net") - 2, 2)), "_rest": F.length("bytes") - F.col("_net")})
+    rows = _kept(rows)
     net = lambda k: F.col("_net") + k
     ihl = _number(net(0), 1).bitwiseAND(15).cast("int") * 4
     v4 = (F.col("_type") == "0800") & (F.col("_rest") >= 20) & (F.col("_rest") >= ihl)
@@ -62,13 +68,13 @@ def decoded(frames: DataFrame) -> DataFrame:
     link = F.when((F.col("_type") == "0806") & (F.col("_rest") >= 28), "ARP").when(F.col("_type").isin("8847", "8848"), "MPLS").when(F.col("_type").isin("8863", "8864"), "PPPoE")
     kind = F.when(F.col("_size") < 14, "RAW").when(v4 | v6, "IP").otherwise(F.coalesce(link, F.lit("RAW")))
     rows = rows.withColumns({"_kind": kind, "_six": F.col("_type") == "86DD", "_l4": F.when(F.col("_type") == "0800", F.col("_net") + ihl).otherwise(net(40)), "_proto": F.when(F.col("_type") == "0800", _number(net(9), 1)).otherwise(_number(net(6), 1)).cast("int")})
-    rows = rows.withColumn("_t", F.col("_size") - F.col("_l4"))  # bytes of the transport layer
+    rows = _kept(rows.withColumn("_t", F.col("_size") - F.col("_l4")))  # bytes of the transport layer
 
     l4 = lambda k, n=1: _number(F.col("_l4") + k, n).cast("int" if n < 4 else "long")
     named = lambda values, code: F.try_element_at(_map(values), code.cast("int"))
     tag = lambda back: F.when(F.col("_tags") >= back, _number(F.col("_net") - 4 * back, 2).cast("int"))
     ported = F.when(F.col("_kind") == "IP", ((F.col("_proto") == 6) & (F.col("_t") >= 20)) | ((F.col("_proto") == 17) & (F.col("_t") >= 8))).otherwise(False)
-    plain = rows.withColumns({"src_port": F.when(ported, l4(0, 2)), "dst_port": F.when(ported, l4(2, 2))})
+    plain = _kept(rows.withColumns({"src_port": F.when(ported, l4(0, 2)), "dst_port": F.when(ported, l4(2, 2))}))
 
     ports = (F.col("src_port"), F.col("dst_port"))
     udp = service_name(UDP_PORTS, *ports, "UDP")
@@ -99,7 +105,8 @@ def decoded(frames: DataFrame) -> DataFrame:
 
     groups = lambda data: F.regexp_replace(F.lower(F.hex(data)), r"(....)(?!$)", "$1:")
     end = lambda arp, four, six: F.when(F.col("_kind") == "ARP", T.dotted(_cut(net(arp), 4))).when(F.col("_kind") != "IP", NO_ADDRESS).when(F.col("_six"), groups(_cut(net(six), 16))).otherwise(T.dotted(_cut(net(four), 4)))
-    plain = plain.withColumns({"src": end(14, 12, 8), "dst": end(24, 16, 24)})
+    plain = plain.withColumns({"_service": transport, "src": end(14, 12, 8), "dst": end(24, 16, 24)})
+    plain = _kept(plain)
     code = _number(net(1), 1)
     pppoe = F.when(F.col("_type") == "8864", say("PPPoE Session id=0x%04x", F.coalesce(F.when(F.col("_rest") >= 4, _number(net(2), 2)), F.lit(0)))).otherwise(F.coalesce(F.concat(F.lit("PPPoE "), named(PPPOE, code)), say("PPPoE code=0x%02x", F.coalesce(code, F.lit(0)))))
     arp = F.concat(F.lit("Who has "), "dst", F.lit("? Tell "), "src", F.when(_number(net(6), 2) == 1, " (request)").otherwise(" (reply)"))
@@ -107,6 +114,6 @@ def decoded(frames: DataFrame) -> DataFrame:
     info = F.when(F.col("_kind") == "RAW", "Unparseable frame").when(F.col("_kind") == "ARP", arp).when(F.col("_kind") == "MPLS", mpls).when(F.col("_kind") == "PPPoE", pppoe).otherwise(about)
     known = F.col("_kind") != "RAW"
     return plain.select(
-        "no", "timestamp", "src", "dst", F.when(F.col("_kind") == "IP", transport).otherwise(F.col("_kind")).alias("protocol"), F.col("_size").alias("length"), info.alias("info"), "src_port", "dst_port",
+        "no", "timestamp", "src", "dst", F.when(F.col("_kind") == "IP", F.col("_service")).otherwise(F.col("_kind")).alias("protocol"), F.col("_size").alias("length"), info.alias("info"), "src_port", "dst_port",
         F.when(known, tag(1).bitwiseAND(0x0FFF)).alias("vlan_id"), F.when(known, F.shiftright(tag(1), 13).bitwiseAND(7)).alias("vlan_pcp"), F.when(known, F.shiftright(tag(1), 12).bitwiseAND(1)).alias("vlan_dei"), F.when(known, tag(2).bitwiseAND(0x0FFF)).alias("outer_vlan_id"), "bytes",
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import text as T
 from netloom.functions.packet import _sure, contains
+from netloom.operators.decode import _kept
 from netloom.operators.fields import _number, layout
 
 #: Ports, byte patterns and words that the rules look for.
@@ -204,9 +205,9 @@ CRITICAL = {"DNP3": (4, 5, 6, 13, 14), "S7comm": (40, 41), "BACnet": (17, 20)}
 
 def industrial(packets: DataFrame) -> DataFrame:
     """State-changing commands of Modbus, DNP3, S7 and BACnet by their payload bytes."""
-    rows = layout(packets)
+    rows = _kept(layout(packets))
     tcp = F.col("_l4") + (F.shiftright(_number(F.col("_l4") + 12, 1), 4) * 4).cast("int")
-    rows = rows.withColumn("_at", F.when(F.col("_proto") == 6, tcp).when(F.col("_proto") == 17, F.col("_l4") + 8)).where("_at is not null")
+    rows = _kept(rows.withColumn("_at", F.when(F.col("_proto") == 6, tcp).when(F.col("_proto") == 17, F.col("_l4") + 8))).where("_at is not null")
     at = lambda k, n=1: _number(F.col("_at") + k, n)
     size = F.length("bytes") - F.col("_at")
     speaks = lambda port, name: _port(port, either=True) | _sure(F.lower("protocol") == name.lower())
@@ -217,13 +218,13 @@ def industrial(packets: DataFrame) -> DataFrame:
         ("BACnet", 47808, BACNET, 9, (size >= 10) & (at(0) == 0x81) & (at(4) == 1) & (at(5).bitwiseAND(0xA8) == 0) & (at(6) < 16)),
     ]
     kind = F.coalesce(*(F.when(speaks(port, name), F.lit(name)) for name, port, *_ in forms))
-    rows = rows.withColumn("_speaks", kind).where("_speaks is not null")
+    rows = _kept(rows.withColumn("_speaks", kind)).where("_speaks is not null")
     is_ = lambda name: F.col("_speaks") == name
     code = F.coalesce(*(F.when(is_(name) & shape, at(k)) for name, _, _, k, shape in forms)).cast("int")
-    rows = rows.withColumn("_code", code)
+    rows = _kept(rows.withColumn("_code", code))
     table = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
     operation = F.coalesce(*(F.when(is_(name), F.try_element_at(table(values), F.col("_code"))) for name, _, values, _, _ in forms))
     critical = _any(is_(name) & F.col("_code").isin(*codes) for name, codes in CRITICAL.items())
-    found = rows.withColumns({"_operation": operation, "_critical": _sure(critical)}).where("_operation is not null")
+    found = _kept(rows.withColumns({"_operation": operation, "_critical": _sure(critical)})).where("_operation is not null")
     signature = F.when(F.col("_critical"), "Critical industrial control command").otherwise("Industrial state-changing command")
     return found.select("no", "timestamp", F.lit("IDS").alias("source"), signature.alias("signature"), F.when(F.col("_critical"), "CRIT").otherwise("HIGH").alias("severity"), F.concat_ws(" ", "_speaks", "_operation", F.lit("from"), "src").alias("detail"), F.concat_ws("|", "src", "dst", "_operation").alias("correlation_key"))

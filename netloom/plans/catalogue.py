@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import packet as X
 from netloom.operators import detect, traffic
-from netloom.plans import lookups
+from netloom.plans import entities, lookups
 from netloom.plans.packets import SQL, packets
 
 DAY_HALF = 125.0
@@ -52,7 +52,7 @@ def queries() -> dict:
         "f5_port_differs": _over(lambda p: p.where(X.any_port(lambda c: c < 100) & ~X.contains("info", "VIEW")).select("no")),
         "f19_internal": _over(lambda p: p.where(~X.is_internal(F.col("dst"))).groupBy("src").agg(F.count("*").alias("external"))),
         "u1_only_in_first_half": _halves,
-    } | lookups.queries()
+    } | lookups.queries() | entities.queries()
 
 
 _P = "WITH p AS (" + SQL.replace("{events}", "events") + ")"
@@ -109,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
     out |= {k: _latch_sql(*v) for k, v in bursts.items()}
     union = " UNION ALL ".join(f"SELECT * FROM ({out[k]})" for k in ("d10_vertical_scan", "d11_horizontal_scan", "d27_admin_fan_out", "d_bf_auth_burst"))
     out["a22_findings"] = f"SELECT source, signature, correlation_key, count(*) AS hit_count, min(no) AS first_no, max(no) AS last_no, min(timestamp) AS first_time, max(timestamp) AS last_time, arg_max(detail, no) AS detail, 80 AS priority FROM ({union}) GROUP BY ALL"
-    return out | lookups.oracle_sql()
+    out |= lookups.oracle_sql()
+    return out | entities.oracle_sql(out)
