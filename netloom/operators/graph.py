@@ -142,21 +142,22 @@ def _periodic(edges: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame, edges: DataFrame, top: int = 50) -> DataFrame:
     """Nodes must be scored. Reuse of credentials and certificates, contact with indicators, hosts with two kinds
     of trouble, periodic traffic: kind, node, members (how many), score; the 50 highest."""
-    near = adjacency(nodes, edges)
-    count = lambda where, kind, least, base, step, most: (
-        near.where(where).groupBy("key").agg(F.count_distinct("neighbour").alias("members")).where(F.col("members") >= least)
-        .select(F.lit(kind).alias("kind"), F.col("key").alias("node"), "members", F.least(base + step * F.col("members"), F.lit(most)).alias("score"))
+    edge, out = F.col("edge"), F.col("direction") == "out"
+    near = lambda kind: F.coalesce(out & (F.col("neighbour_kind") == kind), F.lit(False))
+    n = lambda condition, name: F.count_if(condition).alias(name)
+    # an edge is unique by its ends and kind, so counting edges counts neighbours
+    facts = adjacency(nodes, edges).groupBy("key").agg(
+        n(near("Host") & (edge == "AuthenticatedWith"), "reached"), n(~out & (edge == "MatchesIoc"), "contacts"), n(~out & (edge == "PresentsCertificate"), "presented"),
+        (F.max(near("Alert").cast("int")) + F.max(near("IOC").cast("int")) + F.max(near("Credential").cast("int"))).cast("long").alias("troubles"),
     )
-    has = lambda kind: F.max((F.col("neighbour_kind") == kind).cast("int"))
-    risky = near.where("direction = 'out'").join(nodes.where("kind = 'Host' and score > 0.5").select("key"), "key", "left_semi")
-    combo = risky.groupBy("key").agg((has("Alert") + has("IOC") + has("Credential")).cast("long").alias("members")).where("members >= 2")
-    found = [
-        count("startswith(key, 'Cred:') and direction = 'out' and neighbour_kind = 'Host'", "CredentialReuse", 2, 0.4, 0.15, 0.95),
-        count("startswith(key, 'IOC:') and direction = 'in' and edge = 'MatchesIoc'", "IndicatorContact", 1, 0.5, 0.1, 0.95),
-        count("startswith(key, 'Cert:') and direction = 'in' and edge = 'PresentsCertificate'", "CertificateReuse", 2, 0.45, 0.1, 0.9),
-        combo.select(F.lit("MultiStageSuspicious").alias("kind"), F.col("key").alias("node"), "members", (0.5 + 0.15 * F.col("members")).alias("score")),
-        _periodic(edges).select(F.lit("Periodic").alias("kind"), F.concat_ws(" -> ", "src", "dst").alias("node"), F.lit(2).cast("long").alias("members"), "score"),
-    ]
+    rows = facts.join(nodes.select("key", F.col("kind").alias("of"), F.col("score").alias("risk")), "key")
+    pattern = lambda of, kind, members, least, base, step, most: F.when((F.col("of") == of) & (F.col(members) >= least), F.struct(F.lit(kind).alias("kind"), F.col("key").alias("node"), F.col(members).alias("members"), F.least(base + step * F.col(members), F.lit(most)).alias("score")))
+    patterns = [
+        pattern("Credential", "CredentialReuse", "reached", 2, 0.4, 0.15, 0.95), pattern("IOC", "IndicatorContact", "contacts", 1, 0.5, 0.1, 0.95), pattern("Certificate", "CertificateReuse", "presented", 2, 0.45, 0.1, 0.9),
+        F.when(F.col("risk") > 0.5, pattern("Host", "MultiStageSuspicious", "troubles", 2, 0.5, 0.15, 0.95)),
+    ]
+    periodic = _periodic(edges).select(F.lit("Periodic").alias("kind"), F.concat_ws(" -> ", "src", "dst").alias("node"), F.lit(2).cast("long").alias("members"), "score")
+    found = [rows.select(F.inline(F.array_compact(F.array(*patterns)))), periodic]
     return reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "kind", "node").limit(top)
 
 

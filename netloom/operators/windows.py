@@ -6,6 +6,9 @@ rows is many groups. What crosses a bucket's border is carried by one row for ea
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +90,27 @@ def latched(rows: DataFrame, keys: list[str], threshold: int, seconds: float, di
     hits = sliding(few, keys, seconds, f"collect_set({distinct})").withColumn("hits", F.size("hits")) if distinct else sliding(few, keys, seconds, "count(*)")
     over = hits.withColumn("hits", F.col("hits").cast("long")).where(F.col("hits") >= threshold)
     return first_of(over, keys if once else [*keys, "session"]).drop("session")
+
+
+def folded(rows: DataFrame, keys: list[str], step: Callable[[dict, tuple], list[tuple]], schema: str, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Each key's rows in order through step(state, row), which changes the state and returns output rows.
+
+    The state is an empty dict at each new key. Rows are sorted by Spark, which spills, and come in Arrow batches, so
+    a task holds one batch and one state, however long a key is. A key is one task's work: where a state dies after a
+    pause, put the number of the session (`sessions`) among the keys, so that a busy key is many.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+    keyed = rows.withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, {}
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name="Row"):
+                if row[-1] != key:
+                    key, state = row[-1], {}
+                out += step(state, row)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    return keyed.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(run, schema)
