@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import decode, detect, graph, incidents, rules, signatures
+from netloom.operators import decode, detect, graph, incidents, processes, rules, signatures
 from netloom.plans.lookups import _indicators
 from netloom.plans.packets import SQL, packets
 
 #: Every page as the payload of a packet to port 80.
 PAGES = """SELECT page_id + 1 AS no, CAST(page_id AS DOUBLE) / 10 AS timestamp, '10.0.2.1' AS src, '10.0.3.1' AS dst, 'HTTP' AS protocol, CAST(NULL AS INT) AS length, url AS info,
   40000 AS src_port, 80 AS dst_port, CAST(NULL AS INT) AS vlan_id, encode(coalesce(html, ''), 'UTF-8') AS bytes FROM {pages}"""
+#: Socket owners derived from the suppliers; some hold any address or any remote port.
+OWNERS = """SELECT s_suppkey AS seq, 'TCP' AS protocol, CASE WHEN s_suppkey % 3 = 0 THEN '0.0.0.0' ELSE concat('10.0.0.', CAST(s_suppkey % 6 + 1 AS STRING)) END AS local_ip, CAST(40000 + s_suppkey % 9 AS INT) AS local_port,
+  '0.0.0.0' AS remote_ip, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 443 END AS INT) AS remote_port, CAST(s_suppkey % 5 AS INT) AS pid, concat('p', CAST(s_suppkey % 5 AS STRING)) AS process FROM {supplier}"""
 RULES = [
     {"id": "r1", "name": "log-in errors", "condition": {"And": [{"Equals": {"field": "proto", "value": "ssh"}}, {"Num": {"field": "port", "op": "Eq", "value": 22}}, {"Not": {"Contains": {"field": "dst", "value": "10.0.1.7"}}}]}, "actions": [{"Alert": {"message": "ssh", "severity": "HIGH"}}, {"Tag": {"tag": "ssh"}}]},
     {"id": "r2", "name": "outside", "condition": {"Or": [{"Contains": {"field": "ip.dst", "value": "203.0.113"}}, {"Num": {"field": "ip.ttl", "op": "Lt", "value": 10}}]}, "actions": [{"Log": {"message": "external"}}]},
@@ -43,6 +46,10 @@ def _credentials(spark, sf_dir):
     return signatures.credentials(docs, "doc_id").where("kind in ('FTP-USER', 'FTP-PASS')")
 
 
+def _attributed(spark, sf_dir):
+    return processes.attributed(packets(spark, sf_dir), spark.sql(OWNERS, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet")))
+
+
 def queries() -> dict:
     over = lambda f: lambda spark, sf_dir: f(packets(spark, sf_dir))
     return {
@@ -57,6 +64,8 @@ def queries() -> dict:
         "g7_clusters": lambda spark, sf_dir: graph.clusters(*_scored(spark, sf_dir)),
         "d_rule_hits": over(lambda p: rules.hits(p, RULES)),
         "a23_rule_counts": over(lambda p: rules.rule_counts(p, RULES)),
+        "j4_attributed": lambda spark, sf_dir: _attributed(spark, sf_dir).select("no", "pid", "process", "outbound"),
+        "a15_processes": lambda spark, sf_dir: processes.process_totals(_attributed(spark, sf_dir)),
         "i4_incidents": lambda spark, sf_dir: _incidents(spark, sf_dir).drop("incident_id"),
         "j12_incident_packets": lambda spark, sf_dir: incidents.history(_incidents(spark, sf_dir), packets(spark, sf_dir)).groupBy("attacker").agg(F.count("*").alias("packets"), F.min("no").alias("first_no"), F.max("no").alias("last_no")),
         "i7_decisions": lambda spark, sf_dir: incidents.decisions(_incidents(spark, sf_dir)).drop("incident_id"),
@@ -89,6 +98,8 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
     rounded = "CAST(round(score, 6) AS DOUBLE) AS score"
     inside = "regexp_matches(dst, '^203.0.113')"
     incident = f"{p}, i AS (SELECT source, signature AS detector, p.src AS attacker, p.dst AS target, count(*) AS findings, min(no) AS first_no, max(no) AS last_no, min(a.timestamp) AS first_time, max(a.timestamp) AS last_time, arg_min(detail, no) AS summary FROM ({known['d_bf_auth_burst']}) a JOIN p USING (no) GROUP BY ALL)"
+    owned = f"""{p}, o AS ({OWNERS.format(supplier='supplier')}), w AS (SELECT *, true AS outbound, src AS ip, src_port AS port, dst AS far, dst_port AS far_port FROM p UNION ALL SELECT *, false, dst, dst_port, src, src_port FROM p),
+        h AS (SELECT w.no, w.timestamp, w.length, o.pid, o.process, w.outbound, row_number() OVER (PARTITION BY w.no ORDER BY w.outbound DESC, o.seq DESC) AS k FROM w JOIN o ON w.port = o.local_port AND (o.local_ip = '0.0.0.0' OR o.local_ip = w.ip) AND (o.remote_port = 0 OR o.remote_port = w.far_port)), b AS (SELECT * FROM h WHERE k = 1)"""
     ssh = "protocol = 'SSH' AND dst_port = 22 AND NOT contains(dst, '10.0.1.7')"
     return {
         "s2_decoded": f"""{p} SELECT no, timestamp, src, dst, {names(decode.TCP_PORTS, 'TCP')} AS protocol, CAST(octet_length(bytes) AS INT) AS length, concat(src_port, ' → ', dst_port, ' [SYN] Seq=', no - 1) AS info, src_port, dst_port,
@@ -109,6 +120,8 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "d_rule_hits": f"""{p} SELECT no, timestamp, 'RULE' AS source, 'r1' AS rule_id, 'log-in errors' AS signature, unnest(['Alert', 'Tag']) AS action, unnest(['HIGH', 'INFO']) AS severity, 'ssh' AS detail FROM p WHERE {ssh}
             UNION ALL SELECT no, timestamp, 'RULE', 'r2', 'outside', 'Log', 'LOW', 'external' FROM p WHERE {inside}""",
         "a23_rule_counts": f"{p} SELECT 'r1' AS rule_id, count(*) AS hits FROM p WHERE {ssh} HAVING count(*) > 0 UNION ALL SELECT 'r2', count(*) FROM p WHERE {inside} HAVING count(*) > 0",
+        "j4_attributed": f"{owned} SELECT no, pid, process, outbound FROM b",
+        "a15_processes": f"{owned} SELECT pid, arg_max(process, no) AS process, sum(CASE WHEN outbound THEN length ELSE 0 END) AS bytes_out, sum(CASE WHEN outbound THEN 0 ELSE length END) AS bytes_in, count(*) FILTER (outbound) AS packets_out, count(*) FILTER (NOT outbound) AS packets_in, max(timestamp) AS last_seen FROM b GROUP BY pid",
         "i4_incidents": f"{incident} SELECT * FROM i",
         "j12_incident_packets": f"""{incident}, r AS (SELECT attacker, target, first_no, p.no FROM i JOIN p ON p.src = attacker OR p.dst = attacker), k AS (SELECT *, row_number() OVER (PARTITION BY attacker, target ORDER BY no) AS up FROM r),
             q AS (SELECT *, row_number() OVER (PARTITION BY attacker, target ORDER BY no DESC) AS down FROM k WHERE no >= first_no OR up <= 500) SELECT attacker, count(*) AS packets, min(no) AS first_no, max(no) AS last_no FROM q WHERE down <= 2000 GROUP BY attacker""",
