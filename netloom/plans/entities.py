@@ -8,9 +8,9 @@ from netloom.operators import decode, detect, graph, incidents, processes, rules
 from netloom.plans.lookups import _indicators
 from netloom.plans.packets import SQL, packets
 
-#: Every page as the payload of a packet to port 80.
+#: Every page as the payload of a packet to port 80, after 54 bytes for headers; every seventh asks for a log-in.
 PAGES = """SELECT page_id + 1 AS no, CAST(page_id AS DOUBLE) / 10 AS timestamp, '10.0.2.1' AS src, '10.0.3.1' AS dst, 'HTTP' AS protocol, CAST(NULL AS INT) AS length, url AS info,
-  40000 AS src_port, 80 AS dst_port, CAST(NULL AS INT) AS vlan_id, encode(coalesce(html, ''), 'UTF-8') AS bytes FROM {pages}"""
+  40000 AS src_port, 80 AS dst_port, CAST(NULL AS INT) AS vlan_id, encode(concat(repeat(' ', 54), CASE WHEN page_id % 7 = 0 THEN 'GET /login ' ELSE 'GET / ' END, coalesce(html, '')), 'UTF-8') AS bytes FROM {pages}"""
 #: Socket owners derived from the suppliers; some hold any address or any remote port.
 OWNERS = """SELECT s_suppkey AS seq, 'TCP' AS protocol, CASE WHEN s_suppkey % 3 = 0 THEN '0.0.0.0' ELSE concat('10.0.0.', CAST(s_suppkey % 6 + 1 AS STRING)) END AS local_ip, CAST(40000 + s_suppkey % 9 AS INT) AS local_port,
   '0.0.0.0' AS remote_ip, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 443 END AS INT) AS remote_port, CAST(s_suppkey % 5 AS INT) AS pid, concat('p', CAST(s_suppkey % 5 AS STRING)) AS process FROM {supplier}"""
@@ -42,7 +42,8 @@ def _incidents(spark, sf_dir):
 
 
 def _credentials(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    """Each document as the text that follows a log-in by its source's name."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.concat(F.lit("USER "), F.coalesce("source", F.lit("-")), F.lit("\n"), F.coalesce("text", F.lit(""))), "UTF-8").alias("bytes"))
     return signatures.credentials(docs, "doc_id").where("kind in ('FTP-USER', 'FTP-PASS')")
 
 
@@ -107,8 +108,8 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "d40_page_exploits": """WITH h AS (SELECT page_id + 1 AS no, lower(html) AS low FROM pages) SELECT no, 'XSS Probe' AS signature, 'MED' AS severity FROM h WHERE contains(low, '<script>') OR contains(low, 'javascript:')
             UNION ALL SELECT no, 'Log4Shell (CVE-2021-44228)', 'CRIT' FROM h WHERE contains(low, '${jndi:') UNION ALL SELECT no, 'SQL Injection Probe', 'HIGH' FROM h WHERE contains(low, 'union select') OR contains(low, ''' or 1=1') OR contains(low, '''; drop table')
             UNION ALL SELECT no, 'Directory Traversal', 'HIGH' FROM h WHERE (length(low) - length(replace(low, '../', ''))) / 3 >= 5""",
-        "d_vuln_page_exposures": "SELECT page_id + 1 AS no, 'Cleartext HTTP Sensitive Path' AS signature, 'HIGH' AS severity FROM pages WHERE regexp_matches(lower(substr(html, 55)), '/admin|/login|/passwd|/password|/config|/wp-admin')",
-        "x14_credentials": "SELECT doc_id, concat('FTP-', upper(substr(value, 1, 4))) AS kind, value FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS value FROM documents) l WHERE starts_with(upper(value), 'USER ') OR starts_with(upper(value), 'PASS ')",
+        "d_vuln_page_exposures": "SELECT page_id + 1 AS no, 'Cleartext HTTP Sensitive Path' AS signature, 'HIGH' AS severity FROM pages WHERE page_id % 7 = 0 OR regexp_matches(lower(html), '/admin|/login|/passwd|/password|/config|/wp-admin')",
+        "x14_credentials": "SELECT doc_id, concat('FTP-', upper(substr(value, 1, 4))) AS kind, value FROM (SELECT doc_id, trim(unnest(string_split(concat('USER ', coalesce(source, '-'), chr(10), text), chr(10)))) AS value FROM documents) l WHERE starts_with(upper(value), 'USER ') OR starts_with(upper(value), 'PASS ')",
         "g1_nodes": f"{nodes} SELECT * FROM n",
         "g1_edges": f"{nodes} SELECT * FROM e",
         "g5_scores": f"{scored} SELECT key, score, why FROM s",
