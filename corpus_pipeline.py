@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import mixing, packing, pii, quality_crf, simhash
+from netloom.llm import minhash, mixing, packing, pii, quality_crf
 from netloom.llm.common import materialise, table
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near-copies (Jaccard 0.8 or more of five-word shingles) the document with the smallest id."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
