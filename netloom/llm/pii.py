@@ -1,13 +1,13 @@
 """PII: information-theoretic sanitisation.
 
-Personal data are found by pattern. Then the corpus is asked which terms give them away: a term near an entity
-discloses it as far as their pointwise mutual information comes up to the entity's own information content.
-Terms beyond a first threshold are generalised where they stand near that entity, beyond a second removed.
+Personal data are found by pattern. Then the corpus is asked which terms give them away: a term in the documents
+of an entity discloses it as far as their pointwise mutual information comes up to the entity's own information
+content. Terms beyond a first threshold are generalised wherever they stand in that entity's documents, beyond a
+second removed.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pandas as pd
@@ -20,9 +20,7 @@ from netloom.llm.word_counts import word_counts
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of terms that the corpus marks as disclosing.
 TERM_KINDS = ("generalise", "remove")
-#: Words on either side of an entity, on its line, that are held against it.
-WINDOW = 5
-#: Distinct lines (copies count once) in which a term must stand near an entity before it can be held to disclose it.
+#: Distinct texts (copies count once) in which a term must stand with an entity before it can be held to disclose it.
 SUPPORT = 2
 #: Shares of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.85
@@ -78,24 +76,19 @@ def _entity(kind: str, match: str) -> str:
     return f"{kind}:{match.lower() if kind == 'email' else match.translate(_DIGITS) if kind != 'ip' else match}"
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
-    """(entity, line digest, term, start, end) of the words within WINDOW of each entity on its line."""
-    out, taken = [], [(a, b) for _, a, b in spans]
-    for kind, a, b in spans:
-        begin, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        end = len(text) if end < 0 else end
-        # only as much of the line as the window can reach is cut into words; words may be long, so by words, not characters
-        near = [(m.start(), m.end()) for m in _WORD.finditer(text, begin, end)]
-        before, after = [x for x in near if x[1] <= a][-WINDOW:], [x for x in near if x[0] >= b][:WINDOW]
-        digest = hashlib.blake2b(text[begin:end].encode("utf-8"), digest_size=8).hexdigest()
-        for s, e in before + after:
-            term = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[s:e])
-            if not any(s < y and x < e for x, y in taken):
-                out.append((_entity(kind, text[a:b]), digest, term, s, e))
-    return out
+def _words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[int]]]:
+    """(term, starts) of the text's distinct words, A-Z in lower case, that no span overlaps."""
+    out: dict[str, list[int]] = {}
+    taken, k, end = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            end, k = max(end, taken[k][1]), k + 1
+        if end <= m.start():
+            out.setdefault("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0]), []).append(m.start())
+    return list(out.items())
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, contexts array<struct<entity:string,line:string,term:string,start:int,end:int>>"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, words array<struct<term:string,starts:array<int>>>"
 
 
 def _found(text_col: str):
@@ -105,29 +98,32 @@ def _found(text_col: str):
         for text in texts:
             spans = base_spans(text)
             n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-            rows.append((*n, joined(spans), [dict(zip(("entity", "line", "term", "start", "end"), c)) for c in _contexts(text, spans)] if spans else []))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "contexts"])
+            entities = sorted({_entity(k, text[a:b]) for k, a, b in spans})
+            rows.append((*n, joined(spans), entities, [{"term": t, "starts": at} for t, at in _words(text, spans)] if spans else []))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "entities", "words"])
 
     return found(F.col(text_col))
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, kind) of the terms that disclose an entity, from all lines of docs.
+def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, term, kind) of the terms that disclose an entity, from all documents.
 
-    contexts(entity, line, term) has a row for each term near an entity. With n lines in all, PMI is
+    texts(entities, words, copies) has a row for each distinct text with entities. With n documents in all, PMI is
     log2(n n(e,t) / (n(e) n(t))) and the entity's information log2(n / n(e)); their ratio is the disclosure,
-    1 for a term that the corpus has nowhere but with the entity. All counts are of lines.
+    1 for a term that the corpus has nowhere but with the entity. All counts are of documents.
     """
-    pairs = contexts.groupBy("entity", "term").agg(F.count_distinct("line").alias("support"), F.count("*").alias("n_et")).where(F.col("support") >= SUPPORT)
+    holders = texts.select("copies", "words", F.explode("entities").alias("entity"))
+    n_e = holders.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
+    n_e = materialise(n_e)
+    shared = holders.join(bounded(n_e), "entity").select("entity", "copies", F.explode("words.term").alias("term"))
+    pairs = shared.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("copies").alias("n_et")).where(F.col("support") >= SUPPORT)
     pairs = materialise(pairs)
     if not pairs.take(1):
         return pairs.select("entity", "term", F.lit("").alias("kind"))
-    n_e = contexts.select("entity", "place").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     words = pairs.select("term").distinct()
-    n_t = word_counts(docs, text_col, by_line=True).select(F.col("word").alias("term"), F.col("n").alias("n_t")).join(words, "term")
-    text = F.coalesce(text_col, F.lit(""))
-    n = F.lit(docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0])
-    scored = pairs.join(n_e, "entity").join(n_t, "term")
+    n_t = word_counts(docs, text_col, by_text=True).select(F.col("word").alias("term"), F.col("n").alias("n_t")).join(words, "term")
+    n = F.lit(docs.count())
+    scored = pairs.join(bounded(n_e), "entity").join(n_t, "term")
     pmi = F.log2(n * F.least("n_et", "n_t", "n_e") / (F.col("n_e") * F.col("n_t")))
     ratio = F.when(F.col("n_e") < n, pmi / F.log2(n / F.col("n_e"))).otherwise(F.lit(0.0))
     kind = F.when(ratio >= REMOVE, TERM_KINDS[1]).when(ratio >= GENERALISE, TERM_KINDS[0])
@@ -138,18 +134,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row (id_col, text_key, n_email, n_ip, n_card, n_phone, base, terms) for each row of docs.
 
     base has the spans found by pattern as kind:start:end; terms is an array of (kind, start, end) that the
-    corpus adds. A null text counts as empty: no spans. Rows are kept apart by their id and a hash of the text,
-    so that repeated rows, null ids and ids that occur with several texts each get their own spans once.
+    corpus adds: all places of a term in a text that holds the entity it discloses. A null text counts as empty:
+    no spans. What is found depends on the text alone, so rows are told apart by a hash of it.
     """
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), _found(text_col).alias("r")).select("id", "text_key", "r.*")
     found = materialise(found)
-    near = found.where(F.size("contexts") > 0).select("id", "text_key", F.explode("contexts").alias("c")).select("id", "text_key", "c.*")
-    near = near.withColumn("place", F.struct("id", "text_key", "line"))
-    flagged = materialise(disclosing_terms(docs, near, text_col))
-    terms = near.join(bounded(flagged), ["entity", "term"])
-    terms = terms.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("terms"))
-    both = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
-    return found.join(terms, both, "left").select(F.col("id").alias(id_col), "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "terms")
+    texts = found.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    texts = materialise(texts)
+    flagged = materialise(disclosing_terms(docs, texts, text_col))
+    # only entities that have such terms are opened up again
+    known = bounded(flagged.select("entity").distinct())
+    held = texts.select("text_key", "words", F.explode("entities").alias("entity")).join(known, "entity").select("text_key", "entity", F.explode("words").alias("w")).select("text_key", "entity", "w.*")
+    places = held.join(bounded(flagged), ["entity", "term"]).select("text_key", "kind", "term", F.explode("starts").alias("start"))
+    span = F.struct("kind", "start", (F.col("start") + F.length("term")).alias("end"))
+    terms = places.groupBy(F.col("text_key").alias("of_key")).agg(F.array_sort(F.collect_set(span)).alias("terms"))
+    terms = materialise(terms)  # apart from the join, which adaptive execution can then split where a text has many copies
+    both = F.col("text_key") == F.col("of_key")
+    return found.drop("entities", "words").join(terms, both, "left").select(F.col("id").alias(id_col), "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "terms")
 
 
 def _cleaned(text: str, terms) -> str:

@@ -14,7 +14,7 @@ from netloom.llm.common import folded_words_of
 HELD = 250_000
 
 
-def _counts(by_line: bool):
+def _counts(by_line: bool, by_text: bool):
     def count(batches):
         held: dict[str | None, Counter] = {}
 
@@ -31,6 +31,8 @@ def _counts(by_line: bool):
                 if by_line:
                     for line in (text or "").split("\n"):
                         counter.update(set(folded_words_of(line)))
+                elif by_text:
+                    counter.update(set(folded_words_of(text)))
                 else:
                     counter.update(folded_words_of(text))
                 size += len(counter)
@@ -43,11 +45,11 @@ def _counts(by_line: bool):
     return count
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", key_col: str | None = None, by_line: bool = False) -> DataFrame:
-    """(key, word, n): how often each lower-cased (A-Z) word occurs in the texts of a key, or in how many lines.
+def word_counts(docs: DataFrame, text_col: str = "text", key_col: str | None = None, by_line: bool = False, by_text: bool = False) -> DataFrame:
+    """(key, word, n): how often each lower-cased (A-Z) word occurs in the texts of a key, or in how many lines or texts.
 
     key is the text of key_col, null where that is null or no column is named.
     """
     key = F.col(key_col).cast("string") if key_col else F.lit(None).cast("string")
-    rows = docs.select(key.alias("key"), F.col(text_col).alias("text")).mapInPandas(_counts(by_line), "key string, word string, n long")
+    rows = docs.select(key.alias("key"), F.col(text_col).alias("text")).mapInPandas(_counts(by_line, by_text), "key string, word string, n long")
     return rows.groupBy("key", "word").agg(F.sum("n").alias("n"))
