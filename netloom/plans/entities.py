@@ -44,7 +44,7 @@ def _incidents(spark, sf_dir):
 def _credentials(spark, sf_dir):
     """Each document as the text that follows a log-in by its source's name."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.concat(F.lit("USER "), F.coalesce("source", F.lit("-")), F.lit("\n"), F.coalesce("text", F.lit(""))), "UTF-8").alias("bytes"))
-    return signatures.credentials(docs, "doc_id").where("kind in ('FTP-USER', 'FTP-PASS')")
+    return signatures.credentials(docs, "doc_id")
 
 
 def _attributed(spark, sf_dir):
