@@ -8,6 +8,8 @@ from pyspark.sql.utils import AnalysisException
 VERSION = 1
 #: Columns that hold secrets and never leave in a case.
 SECRET = ("value", "secret", "password")
+#: Columns that mark a table of indicators, of their hits or of fields, whose values aren't secrets.
+PUBLIC = frozenset({"description", "context", "path"})
 
 
 def evidence(incident_packets: DataFrame, path: str) -> None:
@@ -29,9 +31,13 @@ def graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "json") ->
 
 
 def case(tables: dict[str, DataFrame], path: str) -> None:
-    """The tables of a case as Parquet, columns of secrets left out, and its version beside them."""
+    """The tables of a case as Parquet, columns of secrets left out, and its version beside them.
+
+    Indicators, their hits and field tables keep their values; the table named credentials never does.
+    """
     for name, df in tables.items():
-        df.drop(*SECRET).write.mode("overwrite").parquet(f"{path}/{name}")
+        public = name != "credentials" and PUBLIC & set(df.columns)
+        df.drop(*(c for c in SECRET if not (public and c == "value"))).write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(VERSION, sorted(tables))], "version int, tables array<string>").write.mode("overwrite").json(f"{path}/manifest")
 
