@@ -37,7 +37,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("privacy", privacy), ("mixture", mixture), ("sequences", sequences)]
 
-#: SQL can't express the line field, the fingerprints or the packing; tests hold run() against brute force.
+#: SQL can't express the line field, the near copies or the packing; tests hold near_duplicates() against brute force, not run().
 ORACLE_SQL = None
 
 
