@@ -9,8 +9,10 @@ under-filled give their items to a further, much smaller round over all blocks.
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,20 +25,27 @@ from netloom.llm.common import materialise, table
 SIZE, END_ID = 1024, 2
 #: Items of a block; islands and epochs; packings of an island and generations of an epoch.
 BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 3, 2, 6, 10
+#: Islands that one task evolves.
+TASK_ISLANDS = 16
 #: Bins filled less than this go to the next round, which is the last when one block holds all that is left.
 WELL_FILLED, ROUNDS = 0.98, 4
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str | None = None):
-    """The byte-level BPE of byte_bpe_50k.json in its form for tiktoken, which has the same ids and is faster.
-    Strings of special tokens in a text are ordinary text."""
+    """The byte-level BPE of byte_bpe_50k.json in its form for tiktoken, which has the same ids and is faster. The
+    tokens that the JSON adds to the vocabulary are found in a text and keep their ids, as `tokenizers` has it."""
     import public_tokenizers
     import tiktoken
+    from tiktoken_ext.openai_public import r50k_pat_str
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("added tokens that take white space or whole words along are not provided for")
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=r50k_pat_str, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
 def pieces_of(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -45,101 +54,120 @@ def pieces_of(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, first)] + [(i, size) for i in range(first, n, size)]
 
 
-def best_fit(bins: list[list], items, lens: list[int], size: int = SIZE) -> list[list]:
-    """Put items into the fullest bin that has room, or a new one. A bin is [filling, items..]; bins is changed."""
-    room: dict[int, list[int]] = {}
+def best_fit(room: list[int], lengths: list[int], size: int = SIZE) -> list[int]:
+    """The bin of each length in turn: the fullest that has room, else a new one. room, what each bin has left, is
+    changed and grows."""
+    bins_with: dict[int, list[int]] = {}
     mask = 0  # bit r: some bin has exactly r left
-    for i, b in enumerate(bins):
-        if (r := size - b[0]) in room:
-            room[r].append(i)
+    for i, r in enumerate(room):
+        if r in bins_with:
+            bins_with[r].append(i)
         else:
-            room[r] = [i]
+            bins_with[r] = [i]
             mask |= 1 << r
-    for x in items:
-        s = lens[x]
+    out = []
+    for s in lengths:
         fits = mask >> s
         if fits:
             r = s + (fits & -fits).bit_length() - 1
-            i = room[r].pop()
-            if not room[r]:
+            i = bins_with[r].pop()
+            if not bins_with[r]:
                 mask ^= 1 << r
-            b = bins[i]
-            b.append(x)
-            b[0] += s
+            room[i] = r - s
         else:
-            r, i = size, len(bins)
-            bins.append([s, x])
-        if (r := r - s) in room:
-            room[r].append(i)
-        else:
-            room[r] = [i]
-        mask |= 1 << r
-    return bins
-
-
-def score(bins: list[list]) -> tuple[int, int]:
-    """Fewer bins first, then fuller ones (the sum of squared fillings)."""
-    return -len(bins), sum(b[0] * b[0] for b in bins)
-
-
-def crossover(a: list[list], b: list[list], lens: list[int], rng: np.random.Generator, size: int = SIZE) -> list[list]:
-    median = sorted(g[0] for g in b)[len(b) // 2]
-    child = [list(g) for g, luck in zip(b, rng.random(len(b)).tolist()) if luck < 0.5 and g[0] >= median]
-    used = bytearray(len(lens))
-    for g in child:
-        for x in g[1:]:
-            used[x] = 1
-    displaced: list[int] = []
-    for g, luck in zip(a, rng.random(len(a)).tolist()):
-        items = g[1:]
-        left = [x for x in items if not used[x]]
-        if len(left) == len(items) and not (luck < 0.3 and g[0] < size):
-            child.append(list(g))
-        else:  # holds an item twice, or is an unfilled bin that is tried anew
-            displaced += left
-    displaced.sort(key=lambda x: (-lens[x], x))
-    return best_fit(child, displaced, lens, size)
-
-
-def evolve(lens: list[int], seed: int, migrants: list[list[list]] = (), generations: int = GENERATIONS, size: int = SIZE) -> list[list]:
+            r, i = size, len(room)
+            room.append(size - s)
+        out.append(i)
+        if not (r := r - s) or not bins_with.get(r):
+            bins_with[r] = []
+            mask |= 1 << r
+        bins_with[r].append(i)
+    return out
+
+
+@dataclass
+class Packing:
+    """A chromosome: the bin of each item and the filling of each bin, which is one gene."""
+
+    at: np.ndarray
+    fill: np.ndarray
+
+    @property
+    def score(self) -> tuple[int, int]:
+        """Fewer bins first, then fuller ones (the sum of squared fillings)."""
+        return -len(self.fill), int(self.fill @ self.fill)
+
+
+def packing_of(at: np.ndarray, lens: np.ndarray) -> Packing:
+    return Packing(at, np.bincount(at, lens).astype(np.int64))
+
+
+def put(order: np.ndarray, lens: np.ndarray, size: int = SIZE) -> Packing:
+    """All items by best fit in the order given."""
+    at = np.empty(len(lens), np.int64)
+    at[order] = best_fit([], lens[order].tolist(), size)
+    return packing_of(at, lens)
+
+
+def crossover(a: Packing, b: Packing, lens: np.ndarray, rng: np.random.Generator, size: int = SIZE) -> Packing:
+    """Well-filled bins of b go whole into a; bins of a that hold an item twice are dropped, some unfilled ones are
+    tried anew, and what they held is put back by best fit, the longest first."""
+    inject = (rng.random(len(b.fill)) < 0.5) & (b.fill >= np.median(b.fill))
+    used = inject[b.at]
+    dropped = (np.bincount(a.at, used, len(a.fill)) > 0) | ((rng.random(len(a.fill)) < 0.3) & (a.fill < size))
+    n = int(inject.sum())
+    at = np.where(used, (np.cumsum(inject) - 1)[b.at], (n + np.cumsum(~dropped) - 1)[a.at])
+    displaced = np.flatnonzero(~used & dropped[a.at])
+    displaced = displaced[np.argsort(-lens[displaced], kind="stable")]
+    room = (size - np.concatenate([b.fill[inject], a.fill[~dropped]])).tolist()
+    at[displaced] = best_fit(room, lens[displaced].tolist(), size)
+    return Packing(at, size - np.array(room, np.int64))
+
+
+def evolve(lens: np.ndarray, seed: int, migrants: list[np.ndarray] = (), generations: int = GENERATIONS, size: int = SIZE) -> Packing:
     """The best packing of one island after an epoch; ends early where no packing can have fewer bins."""
-    rng, least = np.random.default_rng(seed), math.ceil(sum(lens) / size)
-    lengths = np.array(lens)
-    population = sorted(([list(g) for g in m] for m in migrants), key=score, reverse=True)
+    rng, least = np.random.default_rng(seed), math.ceil(lens.sum() / size)
+    best_first = lambda found: sorted(found, key=lambda x: x.score, reverse=True)[:POPULATION]
+    population = best_first(packing_of(m, lens) for m in migrants)
     for k in range(POPULATION):
-        if population and len(population[0]) <= least:
+        if population and len(population[0].fill) <= least:
             break
-        order = np.argsort(-lengths * (rng.normal(1, 0.02 * k, len(lens)) if k else 1), kind="stable").tolist()
-        population.append(best_fit([], order, lens, size))
-        population.sort(key=score, reverse=True)
+        noise = rng.normal(1, 0.02 * k, len(lens)) if k else 1
+        population = best_first([*population, put(np.argsort(-lens * noise, kind="stable"), lens, size)])
     for _ in range(generations):
-        if not lens or len(population[0]) <= least or len(population) < 2:
+        if not len(lens) or len(population[0].fill) <= least or len(population) < 2:
             break
-        young = []
-        for _ in range(POPULATION):
-            i, j = sorted(rng.integers(0, len(population), 2).tolist())  # the better of the two gives the bins
-            young.append(crossover(population[j], population[i], lens, rng, size))
-        population = sorted(population + young, key=score, reverse=True)[:POPULATION]
-    return population[0] if population else []
+        pairs = np.sort(rng.integers(0, len(population), (POPULATION, 2)), axis=1).tolist()  # the better of the two gives the bins
+        population = best_first(population + [crossover(population[j], population[i], lens, rng, size) for i, j in pairs])
+    return population[0]
+
+
+def settle(lens: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, which items) of the bins that best fit fills to the last token. They waste nothing, so the search goes
+    on without them: it needs as few bins as it would with them if the rest reaches its own bound."""
+    first = put(np.argsort(-lens, kind="stable"), lens, size)
+    full = first.fill == size
+    return (np.cumsum(full) - 1)[first.at], full[first.at]
 
 
-def _packed(bins: list[list], n: int) -> bytes:
-    at = np.zeros(n, np.int32)
-    for i, b in enumerate(bins):
-        at[b[1:]] = i
-    return at.tobytes()
+def _begun(size: int):
+    """Blocks with their settled items in front, and the bins of these."""
 
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                items, lens = np.array(row.items, np.int64), np.array(row.lens, np.int64)
+                at, settled = settle(lens, size)
+                order = np.argsort(~settled, kind="stable")
+                n = int(settled.sum())
+                out.append((row.block, items[order], lens[order], at[order][:n].astype("<i4").tobytes(), lens[order][n:]))
+            yield pd.DataFrame(out, columns=["block", "items", "lens", "settled", "open"])
 
-def _bins(at: bytes, lens: list[int]) -> list[list]:
-    place = np.frombuffer(at, np.int32)
-    bins: list[list] = [[0] for _ in range(int(place.max(initial=-1)) + 1)]
-    for x, i in enumerate(place.tolist()):
-        bins[i].append(x)
-        bins[i][0] += lens[x]
-    return bins
+    return run
 
 
-STATE = "block int, island int, lens array<int>, at binary, n_bins int, fit double"
+STATE = "block int, island int, open array<int>, at binary, n_bins int, fit double"
 
 
 def _island(size: int):
@@ -147,11 +175,11 @@ def _island(size: int):
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
-                lens = [int(x) for x in row.lens]
-                migrants = [_bins(m, lens) for m in (row.own, row.migrant) if m is not None]
+                lens = np.array(row.open, np.int64)
+                migrants = [np.frombuffer(m, "<i4").astype(np.int64) for m in (row.own, row.migrant) if m is not None]
                 best = evolve(lens, 1000 * row.epoch + row.island, migrants, size=size)
-                out.append((row.block, row.island, lens, _packed(best, len(lens)), len(best), float(score(best)[1])))
-            yield pd.DataFrame(out, columns=["block", "island", "lens", "at", "n_bins", "fit"])
+                out.append((row.block, row.island, row.open, best.at.astype("<i4").tobytes(), len(best.fill), float(best.score[1])))
+            yield pd.DataFrame(out, columns=["block", "island", "open", "at", "n_bins", "fit"])
 
     return run
 
@@ -159,7 +187,8 @@ def _island(size: int):
 def _placed(batches):
     for pdf in batches:
         for row in pdf.itertuples():
-            lens, at = np.array(row.lens, np.int64), np.frombuffer(row.at, np.int32)
+            lens, settled = np.array(row.lens, np.int64), np.frombuffer(row.settled, "<i4")
+            at = np.concatenate([settled, np.frombuffer(row.at, "<i4") + (settled.max(initial=-1) + 1)])
             order = np.argsort(at, kind="stable")
             ends = np.cumsum(lens[order])
             fill = np.bincount(at, lens).astype(np.int64)
@@ -182,15 +211,16 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
             break
         blocks = math.ceil(n / BLOCK_ITEMS)
         dealt = rest.groupBy(F.pmod(F.xxhash64("item", F.lit(number)), F.lit(blocks)).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("item", "len"))).alias("x"))
-        dealt = materialise(dealt.select("block", F.col("x.item").alias("items"), F.col("x.len").alias("lens")))
-        none = F.lit(None).cast("binary")
-        state = dealt.select("block", "lens", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), none.alias("own"), none.alias("migrant"), F.lit(0).alias("epoch"))
-        state = materialise(state.repartition(max(1, min(blocks * ISLANDS, 4096)), "block", "island").mapInPandas(_island(size), STATE))
+        dealt = dealt.select("block", F.col("x.item").alias("items"), F.col("x.len").alias("lens"))
+        dealt = materialise(dealt.mapInPandas(_begun(size), "block int, items array<long>, lens array<int>, settled binary, open array<int>"))
+        tasks, none = max(1, min(math.ceil(blocks * ISLANDS / TASK_ISLANDS), 20_000)), F.lit(None).cast("binary")
+        state = dealt.select("block", "open", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), none.alias("own"), none.alias("migrant"), F.lit(0).alias("epoch"))
+        state = materialise(state.repartition(tasks, "block", "island").mapInPandas(_island(size), STATE))
         for epoch in range(1, EPOCHS):
             best = state.select(F.col("block").alias("of"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("to"), F.col("at").alias("migrant"))
             met = state.join(best, (F.col("block") == F.col("of")) & (F.col("island") == F.col("to")))
-            met = met.select("block", "lens", "island", F.col("at").alias("own"), "migrant", F.lit(epoch).alias("epoch"))
-            state = materialise(met.mapInPandas(_island(size), STATE))
+            met = met.select("block", "open", "island", F.col("at").alias("own"), "migrant", F.lit(epoch).alias("epoch"))
+            state = materialise(met.repartition(tasks, "block", "island").mapInPandas(_island(size), STATE))
         best = state.groupBy("block").agg(F.min_by("at", F.struct("n_bins", -F.col("fit"), "island")).alias("at"))
         placed = materialise(dealt.join(best, "block").mapInPandas(_placed, "item long, len int, block int, bin int, offset long, fill long"))
         last = blocks == 1 or number == ROUNDS - 1
@@ -210,7 +240,7 @@ def _tokenised(path: str | None, size: int):
         encode, end = encoder(path).encode_to_numpy, np.array([END_ID], "<u4")
         rows = []
         for text in texts:
-            ids = np.concatenate([encode(text, allowed_special=set(), disallowed_special=()).astype("<u4"), end]) if text else end
+            ids = np.concatenate([encode(text, allowed_special="all").astype("<u4"), end]) if text else end
             rows.append((len(ids), [zlib.crc32(ids[a : a + n].tobytes()) for a, n in pieces_of(len(ids), size)]))
         return pd.DataFrame(rows, columns=["n", "crcs"])
 

@@ -27,6 +27,15 @@ def texts():
     return [*prose, prose[0], prose[0] + " ta", None, "", "  \n\t ", "ta", "# $ %" * 50, "ro " * 3000, "+1 (201) 555-0123 a@b.co 10.0.0.1 4111 1111 1111 1111"]
 
 
+def whole(text):
+    """The ids of the contract: by the named library from the named file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return np.array([*named.encode(text or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}", len(t or ""), "x", "y") for i, t in enumerate(texts())]
@@ -159,20 +168,37 @@ def test_packing_is_whole_and_gapless(docs):
             at += length
         assert at <= packing.SIZE
     assert sum(r.piece == 0 for r in rows) == docs.count()
-    encode = packing.encoder().encode_ordinary
-    whole = lambda t: np.array([*encode(t or ""), packing.END_ID], "<u4")
     expected = sorted((str(d.doc_id), k, a, n, zlib.crc32(whole(d.text)[a : a + n].tobytes())) for d in docs.collect() for k, (a, n) in enumerate(packing.pieces_of(len(whole(d.text)))))
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_ids_are_those_of_the_named_tokenizer():
+    odd = ["q <|endoftext|> q", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n\n b", "<|endoftext", "don't  stop\u00a0\u3000 1\u00bd \u0661\u0662 na\u00efve \U0001f600 a\u200bb\t\r\n  x ", "\ufeffx", "  ", "\u1680\u2028y"]
+    encode = packing.encoder().encode_to_numpy
+    assert all([*encode(t, allowed_special="all"), packing.END_ID] == whole(t).tolist() for t in [*odd, *filter(None, texts())])
+
+
+@pytest.mark.parametrize("low, high, n", [(250, 500, 120), (300, 520, 60)])
+def test_crossover_beats_the_packing_it_starts_from(low, high, n):
+    lens = np.random.default_rng(0).integers(low, high, n)
+    start = packing.put(np.argsort(-lens, kind="stable"), lens)
+    first = packing.evolve(lens, 1, generations=0)
+    best = packing.evolve(lens, 1, generations=40)
+    assert len(best.fill) < len(start.fill) and best.score > first.score
+    assert (np.bincount(best.at, lens) == best.fill).all() and best.fill.max() <= packing.SIZE
+
+
 def test_genes_stay_whole():
     rng = np.random.default_rng(5)
-    lens = rng.integers(1, 700, 300).tolist()
-    best = packing.evolve(lens, 1)
-    assert sorted(x for b in best for x in b[1:]) == list(range(300)) and all(b[0] == sum(lens[x] for x in b[1:]) <= packing.SIZE for b in best)
-    child = packing.crossover(best, packing.best_fit([], range(300), lens), lens, rng)
-    assert sorted(x for b in child for x in b[1:]) == list(range(300))
+    lens = rng.integers(1, 700, 300)
+    a, b = packing.put(np.arange(300), lens), packing.evolve(lens, 1)
+    child = packing.crossover(a, b, lens, rng)
+    assert (np.bincount(child.at, lens) == child.fill).all() and child.fill.max() <= packing.SIZE and len(child.at) == 300
+    genes = lambda x: {frozenset(np.flatnonzero(x.at == i)) for i in range(len(x.fill))}
+    assert genes(child) & genes(b)
+    at, settled = packing.settle(lens)
+    assert all(lens[settled & (at == i)].sum() == packing.SIZE for i in range(at[settled].max() + 1))
 
 
 def test_nearest_against_brute_force(spark):
