@@ -27,11 +27,14 @@ GENERALISE, REMOVE = 0.6, 0.85
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: The leftmost match begins where a run of digits begins: one that began within it could begin earlier. So no run is
+#: gone through again from each of its digits, and a text of digits takes linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = str.maketrans("", "", " -().+")
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def luhn(digits: str) -> bool:
@@ -84,7 +87,7 @@ def _words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list
         while k < len(taken) and taken[k][0] < m.end():
             end, k = max(end, taken[k][1]), k + 1
         if end <= m.start():
-            out.setdefault("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0]), []).append(m.start())
+            out.setdefault(m[0].translate(_FOLD), []).append(m.start())
     return list(out.items())
 
 
@@ -180,6 +183,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of documents: counts and spans of personal data, and the spans that the corpus adds.
+
+    Null and empty texts have none. Repeated rows have the spans of their text each; null ids do no harm, as spans
+    belong to texts. Where a term discloses two entities of a text by different degrees, both kinds of span are listed.
+    Extra columns are not read; an empty table gives no rows.
+    """
     found = find(table(spark, sf_dir, "documents"))
 
     @F.pandas_udf("string")

@@ -1,5 +1,10 @@
 """Terms that disclose an entity, beyond its own line."""
 
+import math
+import random
+import re
+import time
+
 from netloom.llm import pii
 
 
@@ -14,3 +19,49 @@ def test_terms_of_the_whole_document(spark):
     for i in range(4):
         assert clean[6 + i] == f"item{i}\nwrite one two three four five six  <EMAIL>"
     assert all(clean[10 + i] == rest[i] for i in range(200))
+
+
+def test_spans_are_those_of_the_patterns():
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+        return {"email": True, "ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else True, "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+    rng = random.Random(7)
+    for alphabet, n in (("12.", 60), ("0123456789.. ", 90), ("a1.@-% ", 60), ("+1(). -", 60), ("4 1-", 70)):
+        for _ in range(400):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+            expected = [(k, *m.span()) for k in pii.KINDS for m in re.finditer(plain[k], text) if holds(k, m[0])]
+            assert pii.base_spans(text) == expected, text
+
+
+def test_long_texts_take_linear_time():
+    for text, n in (("7" * 1_000_000, 0), ("1.2." * 250_000, 125_000), ("a@" * 500_000, 0), ("+" * 500_000 + "1" * 500_000, 0), (" ".join(f"u{i}@host{i}.org" for i in range(10_000)), 10_000)):
+        began = time.time()
+        spans = pii.base_spans(text)
+        pii._words(text, spans)
+        assert time.time() - began < 5 and len(spans) == n
+
+
+def test_disclosure_against_counts_by_hand(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.sample(words, rng.randint(2, 5)) + rng.choices(["a@b.co", "c@d.org", "10.0.0.1", ""], k=1)) for _ in range(120)]
+    texts += [texts[0], texts[0], None, ""]
+    found = {(r.doc_id): {(t.kind, texts[r.doc_id][t.start : t.end]) for t in r.terms or []} for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    parts = [(set(re.findall("w[0-9]+", t or "")), set(re.findall(r"\S*[@.]\S*", t or ""))) for t in texts]
+    n, marks = len(texts), {}
+    for e in {e for _, es in parts for e in es}:
+        for w in words:
+            with_both = [i for i, (ws, es) in enumerate(parts) if w in ws and e in es]
+            n_e, n_w = sum(e in es for _, es in parts), sum(w in ws for ws, _ in parts)
+            if len({texts[i] for i in with_both}) >= pii.SUPPORT:
+                ratio = math.log2(n * len(with_both) / (n_e * n_w)) / math.log2(n / n_e)
+                if ratio >= pii.GENERALISE:
+                    marks[e, w] = "remove" if ratio >= pii.REMOVE else "generalise"
+    assert len(texts) == len(found) and all(found[i] == {(marks[e, w], w) for e in es for w in ws if (e, w) in marks} for i, (ws, es) in enumerate(parts))
+    tied = [f"only{i % 2} word{i} x@y.zz" for i in range(4)] + ["other"] * 4  # each of two terms with half of the entity's texts
+    kinds = {r.doc_id: sorted((t.kind, t.start) for t in r.terms or []) for r in pii.find(spark.createDataFrame(list(enumerate(tied)), "doc_id long, text string")).collect()}
+    assert len({str(kinds[i]) for i in range(4)}) == 1
