@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Elements of HTML by how they behave.
@@ -42,48 +43,80 @@ def tokens_of(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class _Open:
+    """The open elements. Counts by name within the innermost block, and within the innermost list, table or body, tell
+    whether a walk up the stack would find anything; as a walk that does ends elements, all walks together are linear."""
+
+    def __init__(self, root: Node):
+        self.stack, self.blocks, self.counts, self.all = [root], [0], {True: [Counter()], False: [Counter()]}, Counter()
+
+    def push(self, node: Node) -> None:
+        for kinds, counts in self.counts.items():
+            counts[-1][node.tag] += 1
+            if node.tag in (BLOCK if kinds else BOUND):
+                counts.append(Counter())
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.all[node.tag] += 1
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.all[tag] -= 1
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            for kinds, counts in self.counts.items():
+                if tag in (BLOCK if kinds else BOUND):
+                    counts.pop()
+                counts[-1][tag] -= 1
+
+    def close(self, tag: str) -> None:
+        """An end tag; an inline one closes nothing beyond its block, and one that closes nothing is dropped."""
+        if tag in BLOCK:
+            at = next(i for i in reversed(self.blocks) if self.stack[i].tag == tag) if self.all[tag] > 0 else 0
+        else:
+            at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag) if self.counts[True][-1][tag] > 0 else 0
+        if at:
+            self.cut(at)
+
+    def begin(self, tag: str) -> None:
+        """What an opening tag ends before it opens."""
+        if tag in BLOCK and tag != "option" and self.stack[self.blocks[-1]].tag == "p":  # a block ends an open paragraph
+            self.cut(self.blocks[-1])
+        while tag in ENDS and any(self.counts[False][-1][t] > 0 for t in ENDS[tag]):
+            i = len(self.stack) - 1
+            while self.stack[i].tag not in ENDS[tag]:
+                i -= 1
+            self.cut(i)
+            if tag in ("li", "option", "dd", "dt", "td", "th"):
+                break
+
+
 def parse(page: str | None) -> Node:
     """The root, a Node "#root". End tags that close nothing are dropped, open elements end with their parent."""
     page = page or ""
     root = Node("#root")
-    stack, at, n = [root], 0, len(page)
+    open_, at, n = _Open(root), 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
-            stack[-1].content.append(html.unescape(page[at : m.start() if m else n]))
+            open_.stack[-1].content.append(html.unescape(page[at : m.start() if m else n]))
         if m is None:
             break
         at = m.end()
         closing, tag, attributes, end = (m[1], m[2], m[3], m[4]) if m[2] else (m[5], m[6], m[7], m[8])
         if m[0].startswith("<![CDATA["):
-            stack[-1].content.append(m[0][9:].removesuffix("]]>"))
+            open_.stack[-1].content.append(m[0][9:].removesuffix("]]>"))
         if not tag or not end:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag closes nothing beyond its block
+            open_.close(tag)
             continue
-        if tag in BLOCK and tag != "option":  # a block ends an open paragraph
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if tag in ENDS else ():
-            if stack[i].tag in ENDS[tag]:
-                del stack[i:]
-                if tag in ("li", "option", "dd", "dt", "td", "th"):
-                    break
-            elif stack[i].tag in BOUND:
-                break
+        open_.begin(tag)
         node = Node(tag, tokens_of(attributes) if "=" in attributes else frozenset(), attributes.count("="))
-        stack[-1].content.append(node)
+        open_.stack[-1].content.append(node)
         if tag in VOID or (attributes.endswith("/") and tag not in BLOCK and tag not in RAW):
             continue
         if tag in RAW:
@@ -91,5 +124,5 @@ def parse(page: str | None) -> Node:
             node.content.append(page[at : close.start() if close else n])
             at = close.end() if close else n
             continue
-        stack.append(node)
+        open_.push(node)
     return root

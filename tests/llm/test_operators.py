@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from netloom.llm import hnsw, html_extract, lm_automaton, mixing, packing, pii, quality_crf, quality_divergence, simhash, warc
+from netloom.llm import hnsw, lm_automaton, mixing, packing, pii, quality_crf, quality_divergence, simhash, warc
 from netloom.llm.common import id_crc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, root string, id string"
@@ -219,21 +219,6 @@ def test_nearest_against_brute_force(spark):
     assert hits / total >= 0.9 and got[0] == [400, 401, 402, 403, 404] and 500 not in got
 
 
-def test_main_text(spark):
-    plain = lambda i: f"<html><body><nav><a href=x>Home</a></nav><article><h1>T{i}</h1><p>Body text, number {i}.<p>More &amp; more.</article><footer>foot</footer></body></html>"
-    pages = spark.createDataFrame([(i, f"u{i}", plain(i)) for i in range(20)], "page_id long, url string, html string")
-    trees = html_extract.fit(pages)
-    assert [r.t for r in pages.limit(1).select(html_extract.extracted(trees).alias("t")).collect()] == ["T0\nBody text, number 0.\nMore & more."]
-    assert html_extract.main_text(plain(1), trees) == "T1\nBody text, number 1.\nMore & more."
-    hard = """<body><div class="cookie-notice">We use cookies</div><header><h2>Site</h2></header><main><article><h1>A&nbsp;title</h1><p>First <b>bold</b>
-      text<br>on.</p><aside class=related>See also</aside><ul><li>one<li>two</ul><form><input>Subscribe</form></article>
-      <section id="comments"><p>Nice post, thanks for it, really.</p></section></main><div class="sidebar"><p>Links</p></div><script>x("<p>")</script></body>"""
-    assert html_extract.main_text(hard, trees) == "A title\nFirst bold text on.\none\ntwo"
-    assert [html_extract.main_text(p, trees) for p in (None, "", "<p", "<<>>")] [:2] == ["", ""]
-    keep = html_extract.decode([-1, 0, 1, 0], np.array([0.1, -1.0, 3.0, -2.0]))
-    assert keep.tolist() == [True, True, True, False]
-
-
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "é" * 500)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
