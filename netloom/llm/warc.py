@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 from netloom.llm.common import materialise, shared_dir, table
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: A record's header, and the HTTP head in its block, are at most this long.
 HEADER_MOST = 1 << 16
+#: A gzip member's own header is at most about this long.
+GZIP_HEADER_MOST = 1 << 12
 #: Bytes that are read, and inflated, at a time.
 PIECE = 1 << 18
-_HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
+#: Payloads beyond this many bytes are told by digest and length only, whatever was asked for.
+PAYLOAD_MOST = 64 << 20
 
 
 def digest32(payload: bytes) -> str:
@@ -45,141 +49,206 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Record:
+    """A record as it was checked. The payload is the block without the HTTP head if it has one; its bytes are there
+    only where they were asked for and are no more than PAYLOAD_MOST."""
+
     offset: int
     length: int
     headers: dict[str, str]
-    block: bytes
-
-    @property
-    def payload(self) -> bytes:
-        """The block of a record, without the HTTP head if it has one."""
-        if self.headers.get("content-type", "").startswith("application/http"):
-            return self.block.partition(b"\r\n\r\n")[2]
-        return self.block
+    head: bytes
+    payload_bytes: int
+    payload_digest: str
+    payload: bytes | None
+
+
+class _Block:
+    """Takes a record's block piece by piece: digests and lengths, and the payload's bytes if they are to be kept."""
+
+    def __init__(self, headers: dict[str, str], keep: bool):
+        self.whole, self.rest, self.size, self.parts, self.keep = hashlib.sha1(), hashlib.sha1(), 0, [], keep
+        self.head, self.in_head = b"", headers.get("content-type", "").startswith("application/http")
+
+    def add(self, piece: bytes) -> None:
+        self.whole.update(piece)
+        if self.in_head:
+            self.head += piece
+            head, found, piece = self.head.partition(b"\r\n\r\n")
+            if not found:
+                if len(self.head) > HEADER_MOST:  # no HTTP head that long: the block has none, and no payload
+                    self.head, self.in_head, self.rest = self.head[:HEADER_MOST], False, None
+                return
+            self.head, self.in_head = head, False
+        if self.rest is not None:
+            self.rest.update(piece)
+            self.size += len(piece)
+            if self.keep and self.size <= PAYLOAD_MOST:
+                self.parts.append(piece)
+            else:
+                self.keep, self.parts = False, []
+
+    def record(self, at: int, length: int, headers: dict[str, str]) -> Record | str:
+        """The record, or which of its digests fails."""
+        text = lambda x: base64.b32encode(x.digest()).decode("ascii")
+        own = text(self.rest or hashlib.sha1())
+        stated = headers.get("warc-block-digest", "").removeprefix("sha1:")
+        if stated and stated != text(self.whole):
+            return "block digest"
+        stated = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+        if stated and headers.get("warc-type") != "revisit" and stated != own:
+            return "payload digest"
+        return Record(at, length, headers, self.head, self.size, own, b"".join(self.parts) if self.keep else None)
+
+
+def header_of(data: bytes) -> tuple[dict[str, str], int] | str | None:
+    """(fields, length) of the header that data begins with, what is wrong with it, or None if it goes on beyond data."""
+    if not data.startswith((VERSION + b"0\r\n", VERSION + b"1\r\n")):
+        return "no version line"
+    at, fields, name = len(VERSION) + 3, {}, ""
+    while (end := data.find(b"\r\n", at)) >= 0:
+        line = data[at:end]
+        at = end + 2
+        if not line:
+            return fields, at
+        name_, colon, value = line.partition(b":")
+        if line[:1] in b" \t" and name:
+            fields[name] += " " + line.strip().decode("utf-8", "replace")
+        elif colon:
+            name = name_.strip().lower().decode("utf-8", "replace")
+            fields[name] = value.strip().decode("utf-8", "replace")
+        else:
+            return "no header"
+    return None
 
 
 @dataclass
 class Salvage:
-    """Reads records from a binary stream from its present place on; gaps gets (offset, length, reason).
+    """Reads records from a binary stream that can seek; gaps gets (offset, length, reason) of what no record covers.
 
-    Memory holds one record and the piece of the file around it. A record is accepted if its header parses, its
-    block and end are whole, its gzip checksum holds if it is a member, and its digests, where it states them, too.
+    Memory holds one piece of the stream, one header and, if payloads are asked for, one payload of bounded size: a
+    block goes through its digests a piece at a time, and a plain record's end is looked at before its block is read,
+    so a false length costs one seek. A record is accepted if its header parses, its block and end are whole, its
+    gzip checksum holds if it is a member, and its digests, where it states them, too.
     """
 
     stream: object
+    with_payload: bool = True
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
     _data: bytes = b""
     _base: int = 0  # place of _data in the stream
-    _ended: bool = False
-
-    def _fill(self, upto: int) -> bool:
-        """Have bytes up to that place; False if the stream ends before it."""
-        if self._base + len(self._data) < upto and not self._ended:
-            parts, have = [self._data], self._base + len(self._data)
-            while have < upto:
-                piece = self.stream.read(max(PIECE, upto - have))
-                if not piece:
-                    self._ended = True
-                    break
-                parts.append(piece)
-                have += len(piece)
-            self._data = b"".join(parts)
-        return self._base + len(self._data) >= upto
-
-    def _drop(self, before: int) -> None:
-        self._data, self._base = self._data[before - self._base :], before
-
-    def _plain(self, at: int) -> tuple[int, dict[str, str], bytes] | str:
-        """(end, headers, block) of the plain record at a place, or what is wrong with it."""
-        self._fill(at + HEADER_MOST)
-        m = _HEADER.match(self._data, at - self._base, at - self._base + HEADER_MOST)
-        if not m:
-            return "no header"
-        return self._rest(m, at, lambda begin, end: self._data[begin - self._base : end - self._base] if self._fill(end) else None, at + m.end() - (at - self._base))
-
-    def _rest(self, m: re.Match, at: int, cut, begin: int) -> tuple[int, dict[str, str], bytes] | str:
-        headers = {}
-        for line in m[1].decode("utf-8", "replace").split("\r\n"):
-            if ":" in line:
-                k, _, v = line.partition(":")
-                headers[k.strip().lower()] = v.strip()
-        if not (size := headers.get("content-length", "")).isdecimal():
+    _next: dict[bytes, int] = field(default_factory=dict)  # the first place of each mark at or after the last search
+
+    def _have(self, at: int, n: int) -> int:
+        """Hold the piece with the n bytes from a place on; how many of them there are."""
+        if not self._base <= at <= at + n <= self._base + len(self._data):
+            self.stream.seek(at)
+            self._base, self._data = at, self.stream.read(max(n, PIECE))
+        return min(n, self._base + len(self._data) - at)
+
+    def _get(self, at: int, n: int) -> bytes:
+        self._have(at, n)
+        return self._data[at - self._base : at - self._base + n]
+
+    def _find(self, mark: bytes, at: int) -> int | None:
+        """The first place of a mark from there on. No byte is searched twice for it."""
+        known = self._next.get(mark, -1)
+        while known is not None and known < at:
+            have = self._have(at, len(mark))
+            found = self._data.find(mark, at - self._base)
+            if found >= 0:
+                known = self._base + found
+            elif have < len(mark):
+                known = None
+            else:
+                at = self._base + len(self._data) - len(mark) + 1
+        self._next[mark] = known
+        return known
+
+    def _header(self, more) -> tuple[dict[str, str], int] | str:
+        for n in (1 << 10, 1 << 13, HEADER_MOST):
+            data = more(n)
+            if (found := header_of(data)) is not None:
+                return found
+            if len(data) < n:
+                break
+        return "header cut off"
+
+    def _plain(self, at: int) -> Record | str:
+        found = self._header(lambda n: self._get(at, n))
+        if isinstance(found, str):
+            return found
+        headers, begin = found[0], at + found[1]
+        if not (size := headers.get("content-length", "")).isdecimal() or len(size) > 18:
             return "no length"
-        block = cut(begin, begin + int(size) + 4)
-        if block is None:
-            return "cut off"
-        if block[-4:] != b"\r\n\r\n":
-            return "no end where the length says"
-        block = block[:-4]
-        stated = headers.get("warc-block-digest")
-        if stated and stated.removeprefix("sha1:") != digest32(block):
-            return "block digest"
-        record = Record(at, 0, headers, block)
-        stated = headers.get("warc-payload-digest")
-        if stated and headers.get("warc-type") != "revisit" and stated.removeprefix("sha1:") != digest32(record.payload):
-            return "payload digest"
-        return begin + int(size) + 4, headers, block
+        end = begin + int(size)
+        tail = self._get(end, 4)
+        if tail != b"\r\n\r\n":
+            return "cut off" if len(tail) < 4 else "no end where the length says"
+        block = _Block(headers, self.with_payload)
+        for place in range(begin, end, PIECE):
+            block.add(self._get(place, min(PIECE, end - place)))
+        return block.record(at, end + 4 - at, headers)
+
+    def _member(self, at: int) -> Record | str:
+        inflate, place, out, begun = zlib.decompressobj(31), at, b"", False
+
+        def more(n: int) -> bytes:
+            """At least n inflated bytes, or all there are, from those not yet taken on."""
+            nonlocal place, out, begun
+            while len(out) < n and not inflate.eof:
+                # most false starts show at once; a gzip header that never ends is one too
+                if not begun and place - at > GZIP_HEADER_MOST:
+                    raise zlib.error("no data after the header")
+                piece = inflate.unconsumed_tail or self._get(place, PIECE if begun else 512 if place == at else GZIP_HEADER_MOST)
+                if not piece:
+                    raise zlib.error("cut off")
+                place += 0 if inflate.unconsumed_tail else len(piece)
+                out += inflate.decompress(piece, PIECE)
+                begun = begun or bool(out)
+            return out[:n]
 
-    def _member(self, at: int) -> tuple[int, dict[str, str], bytes] | str:
-        inflate, out, place = zlib.decompressobj(31), [], at
         try:
-            while not inflate.eof:
-                if not self._fill(place + 1):
-                    return "member cut off"
-                piece = self._data[place - self._base : place - self._base + PIECE]
-                out.append(inflate.decompress(piece))
-                place += len(piece)
-                if len(out) == 1 and len(out[0]) >= len(VERSION) and not out[0].startswith(VERSION):
-                    return "no version line"
+            if not (len(VERSION) > len(start := more(len(VERSION))) or start == VERSION):
+                return "no version line"
+            found = self._header(more)
+            if isinstance(found, str):
+                return found
+            headers, begin = found
+            if not (size := headers.get("content-length", "")).isdecimal() or len(size) > 18:
+                return "no length"
+            out, left, block = out[begin:], int(size), _Block(headers, self.with_payload)
+            while left:
+                if not (piece := more(min(left, PIECE))):
+                    return "cut off"
+                block.add(piece)
+                out, left = out[len(piece) :], left - len(piece)
+            if more(5) != b"\r\n\r\n":
+                return "no end where the length says"
         except zlib.error as e:
             return f"gzip: {str(e)[:60]}"
-        end, data = place - len(inflate.unused_data), b"".join(out)
-        m = _HEADER.match(data)
-        if not m:
-            return "no header"
-        found = self._rest(m, at, lambda b, e: data[b:e] if e <= len(data) else None, m.end())
-        if isinstance(found, str):
-            return found
-        return (end, found[1], found[2]) if found[0] == len(data) else "bytes after the record"
-
-    def _next_start(self, at: int) -> int | None:
-        """The next place from there on where a member or a record may begin."""
-        while True:
-            found = [i for x in (GZIP, VERSION) if (i := self._data.find(x, at - self._base)) >= 0]
-            if found:
-                return self._base + min(found)
-            at = max(at, self._base + len(self._data) - len(VERSION) + 1)
-            if not self._fill(self._base + len(self._data) + 1):
-                return None
-            self._drop(at)
+        return block.record(at, place - len(inflate.unused_data) - at, headers)
 
     def __iter__(self) -> Iterator[Record]:
         at, bad_from, reason = 0, None, ""
         while True:
-            start = self._next_start(at)
-            if start is None or start > at:
-                if self._fill(at + 1) and bad_from is None:
-                    bad_from, reason = at, "not a record"
-                if start is None:
-                    end = self._base + len(self._data)
-                    if bad_from is not None and end > bad_from:
-                        self.gaps.append((bad_from, end - bad_from, reason))
-                    return
-                at = start
-            self._fill(at + len(VERSION))
-            found = self._member(at) if self._data.startswith(GZIP, at - self._base) else self._plain(at)
+            start = min((x for x in (self._find(GZIP, at), self._find(VERSION, at)) if x is not None), default=None)
+            if (start is None or start > at) and bad_from is None and self._have(at, 1):
+                bad_from, reason = at, "not a record"
+            if start is None:
+                if bad_from is not None:
+                    self.stream.seek(0, 2)
+                    self.gaps.append((bad_from, self.stream.tell() - bad_from, reason))
+                return
+            found = self._member(start) if self._get(start, len(GZIP)) == GZIP else self._plain(start)
             if isinstance(found, str):
                 if bad_from is None:
-                    bad_from, reason = at, found
-                at += 1
+                    bad_from, reason = start, found
+                at = start + 1
                 continue
             if bad_from is not None:
-                self.gaps.append((bad_from, at - bad_from, reason))
+                self.gaps.append((bad_from, start - bad_from, reason))
                 bad_from = None
-            end, headers, block = found
-            yield Record(at, end - at, headers, block)
-            at = end
-            self._drop(at)
+            yield found
+            at = start + found.length
 
 
 def _open_for(path: str) -> tuple[pafs.FileSystem, str]:
@@ -191,26 +260,29 @@ RECORDS = "path string, offset long, length long, type string, record_id string,
 
 
 def _read(with_payload: bool):
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+
     def read(batches):
         for pdf in batches:
             for path in pdf["path"]:
                 fs, name = _open_for(path)
-                with fs.open_input_stream(name) as stream:
-                    reader, rows, size, logged = Salvage(stream), [], 0, 0
+                with fs.open_input_file(name) as stream:
+                    reader, rows, size, logged = Salvage(stream, with_payload), [], 0, 0
                     for r in reader:
-                        h, payload = r.headers, r.payload
-                        full = len(payload)
+                        h, full = r.headers, r.payload_bytes
                         if h.get("warc-type") == "revisit":  # the kept HTTP head tells the length of what it stands for
-                            m = re.search(rb"(?im)^content-length:\s*(\d+)", r.block)
+                            m = re.search(rb"(?im)^content-length:\s*(\d+)", r.head)
                             full = int(m[1]) if m else full
-                        rows.append((path, r.offset, r.length, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or digest32(payload), full, payload if with_payload else None, None))
-                        size += len(payload)
+                        rows.append((path, r.offset, r.length, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or r.payload_digest, full, r.payload, None))
+                        size += len(r.payload or b"") + 512
                         if size > 1 << 24:
-                            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
+                            rows += [(path, o, n, "gap", *[None] * 6, why) for o, n, why in reader.gaps[logged:]]
+                            logged = len(reader.gaps)
+                            yield pd.DataFrame(rows, columns=names)
                             rows, size = [], 0
-                    rows += [(path, o, n, "gap", None, None, None, None, None, None, why) for o, n, why in reader.gaps[logged:]]
+                    rows += [(path, o, n, "gap", *[None] * 6, why) for o, n, why in reader.gaps[logged:]]
                     if rows:
-                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
+                        yield pd.DataFrame(rows, columns=names)
 
     return read
 
@@ -218,7 +290,7 @@ def _read(with_payload: bool):
 def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row for every record that can be recovered from the archives in paths(path), and one of type "gap" for
     every run of bytes that can't, with its reason. An empty archive has no rows. One task reads one archive at a
-    time, as a stream."""
+    time, as a stream. Payloads beyond PAYLOAD_MOST are null; their digest and length are told."""
     n = max(1, paths.sparkSession.sparkContext.defaultParallelism)
     return paths.select("path").repartition(4 * n, "path").mapInPandas(_read(with_payload), RECORDS)
 
@@ -291,9 +363,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of pages, read back from archives.
+
+    Null ids and repeated rows are records of their own; of repeated rows with the largest id all are responses. Ids
+    are whole numbers. Extra columns are not read; an empty table gives no rows. Records that can't be read back make
+    the query fail, as they would be missing without a word.
+    """
     pages = table(spark, sf_dir, "pages")
     archives = write_archives(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    records = read_archives(archives, with_payload=False).where("type <> 'gap'")
+    records = materialise(read_archives(archives, with_payload=False))
+    seen = records.agg(F.count_if(F.col("type") != "gap").alias("records"), F.count_if(F.col("type") == "gap").alias("gaps")).first()
+    written = archives.agg(F.sum("records").alias("n")).first()["n"] or 0
+    if (seen["records"], seen["gaps"]) != (written, 0):
+        raise ValueError(f"{written} records were written, {seen['records']} read, with {seen['gaps']} gaps")
     number = lambda c: F.regexp_extract(c, "([0-9-]+)>$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c)).cast("long")
     return records.select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), as_id("refers_to").alias("refers_to"))
