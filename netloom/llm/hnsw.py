@@ -14,63 +14,93 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialise, table
+from netloom.llm.common import bounded, materialise, table
 
 #: Vectors of a shard, queries of a block: what a task holds at once.
 SHARD_ROWS, QUERY_ROWS = 4096, 512
+#: Blocks of queries that come to a shard in one turn; a shard is sent once for each turn.
+TURN_BLOCKS = 16
 #: Neighbours of a node above the lowest level, and on it; candidates when a node is linked; width of a search.
 M, M0, CANDIDATES, BEAM = 16, 32, 64, 96
+#: Nodes that enter a graph in one step.
+BATCH = 512
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose largest component is near 1, by powers of two: their cosines are those of the originals to the
+    last bit, and no square under- or overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0))[1])
+
+
+def unit_of(vectors: np.ndarray) -> np.ndarray:
+    x = scaled(vectors)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
 class Graph:
-    """levels: for each level, from the lowest, (nodes, neighbours): neighbours[i] are those of nodes[i], -1 for none."""
+    """levels[l] has the neighbours of every node on level l, from the lowest, -1 for none. Nodes of upper levels come
+    first in `order`, so the first is on all of them: searches enter there."""
 
-    def __init__(self, unit: np.ndarray, levels: list[np.ndarray]):
-        self.unit, self.levels = unit, levels
+    def __init__(self, unit: np.ndarray, levels: list[np.ndarray], order: np.ndarray):
+        self.unit, self.levels, self.order = unit, levels, order
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 0) -> Graph:
-        """Nodes enter in order. Each is linked to those before it that the neighbour heuristic picks among the
-        nearest, which are found exactly, a block of nodes at a time; links go both ways and are pruned alike."""
-        unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        """Nodes enter in batches, which grow with the graph up to BATCH. Each is linked, on its levels, to those that
+        the neighbour heuristic picks among the nearest that a search of the graph finds and those of its batch; links
+        go both ways and are pruned alike."""
+        unit = unit_of(vectors)
         height = np.floor(-np.log(np.random.default_rng(seed).uniform(1e-12, 1, len(unit))) / math.log(M)).astype(int)
-        levels = []
-        for level in range(height.max(initial=0) + 1):
-            nodes = np.flatnonzero(height >= level)
-            full = np.full((len(unit), M if level else M0), -1, np.int32)
-            full[nodes] = cls._link(unit, nodes, full.shape[1])
-            levels.append(full)
-        return cls(unit, levels)
-
-    @staticmethod
-    def _link(unit: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
-        x, n = unit[nodes], len(nodes)
-        out, incoming = [], [[] for _ in range(n)]
-        for lo in range(0, n, 512):
-            hi = min(lo + 512, n)
-            near = x[lo:hi] @ x[:hi].T
-            near[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = -np.inf  # only those before
-            k = min(CANDIDATES, hi)
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            top = np.where(np.take_along_axis(near, top, 1) > -np.inf, top, -1)
-            for i, picked in enumerate(Graph._pick(x, np.arange(lo, hi), top, most // 2), lo):
-                out.append(picked)
-                for j in picked.tolist():
-                    incoming[j].append(i)
-        width = max((len(a) + len(b) for a, b in zip(out, incoming)), default=0)
-        both = np.full((n, max(width, 1)), -1, np.int64)
-        for i, (a, b) in enumerate(zip(out, incoming)):
-            both[i, : len(a)] = a
-            both[i, len(a) : len(a) + len(b)] = b
-        result = np.full((n, most), -1, np.int32)
-        few = (both >= 0).sum(axis=1) <= most
-        for i in np.flatnonzero(few):
-            own = both[i][both[i] >= 0]
-            result[i, : len(own)] = nodes[own]
-        for i in np.flatnonzero(~few):
-            own = Graph._pick(x, np.array([i]), both[i : i + 1], most)[0]
-            result[i, : len(own)] = nodes[own]
-        return result
+        levels = [np.full((len(unit), M if level else M0), -1, np.int32) for level in range(height.max(initial=0) + 1)]
+        graph, at = cls(unit, levels, np.argsort(-height, kind="stable")), 0
+        while at < len(unit):
+            batch = graph.order[at : at + min(max(at, 32), BATCH)]
+            graph._insert(batch, at, height)
+            at += len(batch)
+        return graph
+
+    def _insert(self, batch: np.ndarray, there: int, height: np.ndarray) -> None:
+        q, entry = self.unit[batch], np.full(len(batch), self.order[0])
+        tops = height[self.order[:there]]
+        for level in range(len(self.levels) - 1, -1, -1):
+            here = np.flatnonzero(height[batch] >= level)
+            known = bool(there) and tops[0] >= level
+            found = np.full((len(here), 0), -1)
+            if known and level:
+                entry = self._greedy(q, self.levels[level], entry)
+            if known and len(here):
+                found = self._beam(q[here], self.levels[level], entry[here], CANDIDATES)
+            if not len(here):
+                continue
+            own = batch[here]
+            near = q[here] @ q[here].T
+            np.fill_diagonal(near, -np.inf)
+            k = min(CANDIDATES // 2, len(own) - 1)
+            mates = own[np.argpartition(-near, k - 1, axis=1)[:, :k]] if k else np.full((len(own), 0), -1)
+            self._link(level, own, np.hstack([found, mates]))
+
+    def _link(self, level: int, nodes: np.ndarray, candidates: np.ndarray) -> None:
+        table, incoming = self.levels[level], {}
+        most = table.shape[1]
+        if not candidates.shape[1]:
+            return
+        for i, picked in zip(nodes.tolist(), self._pick(self.unit, nodes, candidates, most // 2)):
+            incoming.setdefault(i, []).extend(picked.tolist())
+            for j in picked.tolist():
+                incoming.setdefault(j, []).append(i)
+        full = []
+        for j, new in incoming.items():
+            new = list(dict.fromkeys([*table[j][table[j] >= 0].tolist(), *new]))
+            if len(new) <= most:
+                table[j, : len(new)] = new
+            else:
+                full.append((j, new))
+        if full:
+            width = max(len(x) for _, x in full)
+            wide = np.array([x + [-1] * (width - len(x)) for _, x in full])
+            for (j, _), picked in zip(full, self._pick(self.unit, np.array([j for j, _ in full]), wide, most)):
+                table[j] = -1
+                table[j, : len(picked)] = picked
 
     @staticmethod
     def _pick(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, most: int) -> list[np.ndarray]:
@@ -92,22 +122,22 @@ class Graph:
         rank = np.argsort(~picked, axis=1, kind="stable")[:, :most]
         return [row[row >= 0] for row in np.take_along_axis(np.where(near > -np.inf, candidates, -1), rank, 1)]
 
-    def search(self, queries: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
-        """Places of the k nearest found for each query, nearest first, -1 for none."""
-        unit, q = self.unit, (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
-        n, rows = len(q), np.arange(len(queries))
-        entry = np.full(n, np.flatnonzero((self.levels[-1] >= 0).any(axis=1) if (self.levels[-1] >= 0).any() else np.ones(len(unit), bool))[0])
-        for neighbours in self.levels[:0:-1]:  # greedy on the upper levels
-            best = np.einsum("qd,qd->q", q, unit[entry])
-            while True:
-                around = neighbours[entry]
-                near = np.where(around >= 0, np.einsum("qd,qmd->qm", q, unit[around]), -np.inf)
-                at = near.argmax(axis=1)
-                better = near[rows, at] > best
-                if not better.any():
-                    break
-                entry, best = np.where(better, around[rows, at], entry), np.where(better, near[rows, at], best)
-        width = max(beam, k)
+    def _greedy(self, q: np.ndarray, neighbours: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The node from which no neighbour is nearer, for each query."""
+        rows = np.arange(len(q))
+        best = np.einsum("qd,qd->q", q, self.unit[entry])
+        while True:
+            around = neighbours[entry]
+            near = np.where(around >= 0, np.einsum("qd,qmd->qm", q, self.unit[around]), -np.inf)
+            at = near.argmax(axis=1)
+            better = near[rows, at] > best
+            if not better.any():
+                return entry
+            entry, best = np.where(better, around[rows, at], entry), np.where(better, near[rows, at], best)
+
+    def _beam(self, q: np.ndarray, neighbours: np.ndarray, entry: np.ndarray, width: int) -> np.ndarray:
+        """Places of the nearest found for each query, nearest first, -1 for none."""
+        unit, n, rows = self.unit, len(q), np.arange(len(q))
         ids, near, done = np.full((n, width), -1), np.full((n, width), -np.inf, np.float32), np.zeros((n, width), bool)
         ids[:, 0], near[:, 0] = entry, np.einsum("qd,qd->q", q, unit[entry])
         seen = np.zeros((n, len(unit)), bool)
@@ -117,9 +147,9 @@ class Graph:
             at = open_.argmax(axis=1)
             live = np.flatnonzero(open_[rows, at] > -np.inf)
             if not len(live):
-                return ids[:, :k]
+                return ids
             done[live, at[live]] = True
-            around = self.levels[0][ids[live, at[live]]]
+            around = neighbours[ids[live, at[live]]]
             new = (around >= 0) & ~seen[live[:, None], around]
             r, c = np.nonzero(new)
             seen[live[r], around[r, c]] = True
@@ -130,40 +160,48 @@ class Graph:
             ids[live] = np.where(near[live] > -np.inf, np.take_along_axis(np.hstack([ids[live], around]), order, 1), -1)
             done[live] = np.take_along_axis(np.hstack([done[live], ~new]), order, 1)
 
+    def search(self, queries: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
+        """Places of the k nearest found for each query, nearest first, -1 for none."""
+        q, entry = unit_of(queries), np.full(len(queries), self.order[0])
+        for neighbours in self.levels[:0:-1]:
+            entry = self._greedy(q, neighbours, entry)
+        return self._beam(q, self.levels[0], entry, max(beam, k))[:, :k]
+
 
-INDEX = "shard int, dim int, keys binary, vectors binary, nodes int, levels array<binary>"
+INDEX = "dim int, shard int, keys binary, vectors binary, nodes int, levels array<binary>, entry int"
 NEAR = "query_id long, key long, score double"
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("key")
     vectors = np.stack([np.frombuffer(v, np.float64) for v in pdf["vector"]])
-    levels = Graph.build(vectors).levels
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dim": [vectors.shape[1]], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()], "nodes": [len(vectors)], "levels": [[x.tobytes() for x in levels]]})
+    graph = Graph.build(vectors)
+    return pd.DataFrame({"dim": [vectors.shape[1]], "shard": [pdf["shard"].iloc[0]], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()], "nodes": [len(vectors)], "levels": [[x.tobytes() for x in graph.levels]], "entry": [graph.order[0]]})
 
 
 def _search(k: int):
-    def search(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, row.dim)
-                levels = [np.frombuffer(x, np.int32).reshape(row.nodes, -1) for x in row.levels]
-                norm = np.linalg.norm(vectors, axis=1)
-                graph = Graph((vectors / norm[:, None]).astype(np.float32), levels)
-                keys, ids = np.frombuffer(row.keys, np.int64), np.frombuffer(row.query_ids, np.int64)
-                queries = np.frombuffer(row.query_vectors, np.float64).reshape(-1, row.dim)
-                found = graph.search(queries, min(4 * k, BEAM))
+    def search(index: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in index.itertuples():
+            vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, row.dim)
+            levels = [np.frombuffer(x, np.int32).reshape(row.nodes, -1) for x in row.levels]
+            graph, keys, own = Graph(unit_of(vectors), levels, np.array([row.entry])), np.frombuffer(row.keys, np.int64), scaled(vectors)
+            norm = np.linalg.norm(own, axis=1)
+            for block in blocks.itertuples():
+                ids, queries = np.frombuffer(block.query_ids, np.int64), np.frombuffer(block.query_vectors, np.float64).reshape(-1, row.dim)
+                found = graph.search(queries, 4 * k)
                 q, c = np.nonzero(found >= 0)
-                at = found[q, c]
-                score = np.einsum("ij,ij->i", queries[q], vectors[at]) / (np.linalg.norm(queries, axis=1)[q] * norm[at])
-                yield pd.DataFrame({"query_id": ids[q], "key": keys[at], "score": score})
+                at, asked = found[q, c], scaled(queries)
+                score = np.einsum("ij,ij->i", asked[q], own[at]) / (np.linalg.norm(asked, axis=1)[q] * norm[at])
+                out.append(pd.DataFrame({"query_id": ids[q], "key": keys[at], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "key": [], "score": []})
 
     return search
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id")
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "query_ids": [pdf["id"].to_numpy(np.int64).tobytes()], "query_vectors": [b"".join(pdf["vector"])]})
+    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "query_ids": [pdf["id"].to_numpy(np.int64).tobytes()], "query_vectors": [b"".join(pdf["vector"])]})
 
 
 def _usable(vectors: pd.Series) -> pd.Series:
@@ -192,17 +230,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("copy") <= k + 1)
     first = materialise(first.select("key", "id", "copy", "dim", "vector"))
     nodes = first.where("copy = 1")
-    sizes = {r["dim"]: math.ceil(r["count"] / SHARD_ROWS) for r in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1000).collect()}
-    shards = F.lit(1)
-    for dim, n in sizes.items():  # dimensions beyond the thousand most frequent have few vectors each
-        shards = F.when(F.col("dim") == dim, F.lit(n)).otherwise(shards)
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(7)), shards).cast("int"))
+    # as many shards as a dimension's distinct vectors need; queries go to the shards, which are not sent about
+    shards = materialise(nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards")))
+    shards = bounded(shards)
+    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(7)), F.col("shards")).cast("int"))
     index = materialise(dealt.groupBy("dim", "shard").applyInPandas(_build, INDEX))
     queries = rows.where("is_query").dropDuplicates(["id"])
-    n_queries = queries.count()
-    blocks = queries.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n_queries / QUERY_ROWS)))).alias("block")).applyInPandas(_block, "dim int, query_ids binary, query_vectors binary")
-    met = index.join(blocks.withColumnRenamed("dim", "of"), F.col("dim") == F.col("of")).drop("of")
-    near = met.repartition(2 * index.sparkSession.sparkContext.defaultParallelism).mapInPandas(_search(k), NEAR)
+    n_blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
+    blocks = materialise(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).groupBy("dim", "block").applyInPandas(_block, "dim int, block long, query_ids binary, query_vectors binary"))
+    asked = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("turn", F.floor(F.col("block") / TURN_BLOCKS))
+    told = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit((n_blocks - 1) // TURN_BLOCKS)).cast("array<long>")))
+    near = told.groupBy("dim", "shard", "turn").cogroup(asked.groupBy("dim", "shard", "turn")).applyInPandas(_search(k), NEAR)
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= 4 * k)
     ids = best.select("query_id", "key", "score").join(first.select("key", "id"), "key").where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -210,4 +248,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
 
 
 def op6_hnsw(spark, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score for every fiftieth vec_id: see nearest for nulls, repeats, ties and empty tables.
+    Extra columns are not read."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
