@@ -31,8 +31,13 @@ WORD_MIN, CHAR_MIN = 50, 200
 #: Distances beyond chance: fluent texts of the language stay below 0.08 and 0.27 on the sample tables.
 WORD_LIMIT, CHAR_LIMIT = 0.16, 0.29
 COMMON = 64
-#: Languages with a reference of their own, those with most words; texts of others meet the whole corpus.
-LANGUAGES = 512
+#: Words that a language must have in the corpus before it has a reference: of fewer, a text would be held against
+#: little but itself. Texts of such languages aren't judged by distance.
+REFERENCE_WORDS = 20_000
+#: References that tasks hold at once; of more, each text is joined with its own.
+HELD_REFERENCES = 4096
+#: Parts in which a language's common words are looked for before the best of all parts.
+PARTS = 16
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -104,61 +109,88 @@ class Reference:
 
 def _class_counts(batches):
     held: dict[str | None, np.ndarray] = {}
+    columns = ["key", *(f"c{i}" for i in range(N_CLASSES))]
     for pdf in batches:
         for key, text in zip(pdf.key, pdf.text):
             counts = np.bincount(CLASS_OF[np.frombuffer((text or "").encode("utf-8"), np.uint8)], minlength=N_CLASSES)
             key = key if isinstance(key, str) else None
             held[key] = held.get(key, 0) + counts
-    yield pd.DataFrame([(k, i, int(n)) for k, c in held.items() for i, n in enumerate(c)], columns=["key", "cls", "n"])
+        if len(held) > 10_000:
+            yield pd.DataFrame([(k, *c.tolist()) for k, c in held.items()], columns=columns)
+            held = {}
+    yield pd.DataFrame([(k, *c.tolist()) for k, c in held.items()], columns=columns)
 
 
-def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", common: int = COMMON) -> dict[str | None, Reference]:
-    """A reference for each of the LANGUAGES largest languages and, under None, for the whole corpus.
-
-    All texts count. What reaches the driver is common words and classes for that many languages at most.
-    """
+def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", common: int = COMMON, least: int = REFERENCE_WORDS) -> DataFrame:
+    """A row (key, words, counts, total, chars) for each language of at least `least` words and, with a null key, for
+    the whole corpus: the common words, most frequent first, their counts, that of all words, and of bytes by class.
+    All texts count."""
     keyed = docs.select(F.col(lang_col).cast("string").alias("key"), F.col(text_col).alias("text"))
     counts = materialise(word_counts(keyed, "text", "key"))
     # every (language, word) and, from them, the corpus as a language of its own
-    both = counts.select("key", "word", "n", F.lit(False).alias("whole")).union(counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string"), "word", "n", F.lit(True)))
-    totals = both.groupBy("whole", "key").agg(F.sum("n").alias("total")).where("whole or key is not null").orderBy(F.desc("whole"), F.desc("total"), "key").limit(LANGUAGES + 1)
-    top = both.withColumn("rank", F.row_number().over(Window.partitionBy("whole", "key").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common)
-    rows = top.join(F.broadcast(totals), [top.whole == totals.whole, top.key.eqNullSafe(totals.key)]).select(top.key, top.whole, "rank", "word", "n", "total").collect()
-    classes = keyed.mapInPandas(_class_counts, "key string, cls int, n long").groupBy("key", "cls").agg(F.sum("n").alias("n"))
-    chars: dict[str | None, np.ndarray] = {None: np.zeros(N_CLASSES)}
-    for r in classes.join(F.broadcast(totals.select("key").distinct()), "key", "left_semi").union(classes.groupBy("cls").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string"), "cls", "n")).collect():
-        chars.setdefault(r["key"], np.zeros(N_CLASSES))[r["cls"]] = r["n"]
-    out: dict[str | None, Reference] = {}
-    for r in sorted(rows, key=lambda r: r["rank"]):
-        ref = out.setdefault(None if r["whole"] else r["key"], Reference({}, np.zeros(common + 1), chars.get(None if r["whole"] else r["key"], chars[None])))
-        ref.words[r["word"].encode("utf-8")] = len(ref.words)
-        ref.word_share[len(ref.words) - 1] = r["n"]
-        ref.word_share[-1] = r["total"]
-    for ref in out.values():
-        ref.word_share = np.append(ref.word_share[: len(ref.words)], max(0, ref.word_share[-1] - ref.word_share[: len(ref.words)].sum()))
-    return out
+    corpus = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("key"), "word", "n")
+    both = counts.where("key is not null").select("key", "word", "n").unionByName(corpus)
+    totals = both.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("key").isNull() | (F.col("total") >= least))
+    # the best of each part, then of all parts: no group has more than PARTS * common rows, however many words there are
+    part = both.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))
+    few = part.withColumn("rank", rank("key", "part")).where(F.col("rank") <= common)
+    top = few.withColumn("rank", rank("key")).where(F.col("rank") <= common).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
+    classes = materialise(keyed.mapInPandas(_class_counts, "key string, " + ", ".join(f"c{i} long" for i in range(N_CLASSES))))
+    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(N_CLASSES)]
+    chars = classes.where("key is not null").groupBy("key").agg(*sums).unionByName(classes.agg(*sums).select(F.lit(None).cast("string").alias("key"), "*"))
+    chars = chars.select(F.col("key").alias("_key"), F.array(*(f"c{i}" for i in range(N_CLASSES))).alias("chars"))
+    out = totals.withColumnRenamed("key", "_of").join(top, F.col("_of").eqNullSafe(F.col("key"))).drop("_of")
+    out = out.join(chars, F.col("key").eqNullSafe(F.col("_key"))).drop("_key")
+    return materialise(out.select("key", F.col("top.word").alias("words"), F.col("top.n").alias("counts"), "total", "chars"))
+
+
+def reference(words, counts, total: int, chars) -> Reference:
+    counts = np.array(counts, float)
+    return Reference({w.encode("utf-8"): i for i, w in enumerate(words)}, np.append(counts, max(0, total - counts.sum())), np.array(chars, float))
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
-def judged(docs: DataFrame, refs: dict[str | None, Reference], lang_col: str = "lang", text_col: str = "text"):
-    """A struct column of RESULT for each row. Null and empty texts have no words and fail; an unknown or null
-    language meets the corpus's reference; without any reference (an empty corpus) no text diverges."""
+def _row(text: str | None, ref: Reference | None) -> tuple:
+    counts = base_counts(text)
+    failed = base_failed(counts[0], counts[4])
+    return (*counts, failed, not failed and not (ref and ref.diverges(text)))
+
+
+def judged(docs: DataFrame, refs: DataFrame, lang_col: str = "lang", text_col: str = "text", into: str = "judged", held: int = HELD_REFERENCES) -> DataFrame:
+    """docs with a struct column of RESULT for each row. Null and empty texts have no words and fail. A text meets its
+    language's reference, one without a language the corpus's; a language without a reference, too rare for one, has
+    texts that no distance fails. Repeated rows are judged alike, and nothing is ordered, so there are no ties."""
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    if refs.limit(held + 1).count() <= held:
+        known = {r["key"]: reference(r["words"], r["counts"], r["total"], r["chars"]) for r in refs.collect()}
+
+        @F.pandas_udf(RESULT)
+        def judge(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([_row(t, known.get(k if isinstance(k, str) else None)) for k, t in zip(langs, texts)], columns=names)
+
+        return docs.withColumn(into, judge(F.col(lang_col).cast("string"), F.col(text_col)))
 
     @F.pandas_udf(RESULT)
-    def judge(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    def judge_with(texts: pd.Series, own: pd.DataFrame) -> pd.DataFrame:
+        made: dict = {}
         rows = []
-        for lang, text in zip(langs, texts):
-            counts = base_counts(text)
-            failed = base_failed(counts[0], counts[4])
-            ref = refs.get(lang if isinstance(lang, str) else None) or refs.get(None)
-            rows.append((*counts, failed, not failed and not (ref and ref.diverges(text))))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
+        for text, key, words, counts, total, chars in zip(texts, own["key"], own["words"], own["counts"], own["total"], own["chars"]):
+            key = key if isinstance(key, str) else None
+            if words is not None and key not in made:
+                made[key] = reference(words, counts, int(total), chars)
+            rows.append(_row(text, made[key] if words is not None else None))
+        return pd.DataFrame(rows, columns=names)
 
-    return judge(F.col(lang_col).cast("string"), F.col(text_col))
+    own = refs.select(F.struct("key", "words", "counts", "total", "chars").alias("_own"))
+    met = docs.join(own, F.col(lang_col).cast("string").eqNullSafe(F.col("_own.key")), "left")
+    return met.withColumn(into, judge_with(F.col(text_col), F.col("_own"))).drop("_own")
 
 
 def op3_divergence(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", judged(docs, references(docs)).alias("r")).select("doc_id", "r.*")
+    """doc_id and RESULT of every row of documents: see judged for nulls, repeats and rare languages. Extra columns are
+    not read; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return judged(docs, references(docs)).select("doc_id", "judged.*")
