@@ -15,13 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import folded_words_of, free_name, materialise
+from netloom.llm.common import folded_words_of, free_name, materialise, table
 from netloom.llm.components import components
 
 SEED = 42
 QUARTERS = 4
 #: Places of a tile code are 32 apart: counts of 16 bits and steps of up to 15 never run into the next place.
 PLACE = 32
+#: Pairs of tiles that one task compares, about.
+PAIRS_OF_TASK = 8192
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -79,12 +81,12 @@ def _compare(radius: int):
     def pairs(batches):
         for pdf in batches:
             found: list[tuple[int, int]] = []
-            for fa, ia, fb, ib, same in zip(pdf.fa, pdf.ia, pdf.fb, pdf.ib, pdf.same):
+            for fa, fb, same in zip(pdf.fa, pdf.fb, pdf.same):
                 near = np.bitwise_count(fa.view(np.uint64)[:, None] ^ fb.view(np.uint64)[None, :]) <= radius
                 if same:
                     near = np.triu(near, 1)
                 if near.any():
-                    found += _spanning(near | near.T, ia, ib) if same else _spanning(near, ia, ib)
+                    found += _spanning(near | near.T, fa, fb) if same else _spanning(near, fa, fb)
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
@@ -92,42 +94,47 @@ def _compare(radius: int):
 
 
 def near_links(prints: DataFrame, radius: int = 3, tile_rows: int = 1024) -> DataFrame:
-    """Links (a, b) between ids of prints(fp, id), fp distinct, that connect all fingerprints within the radius.
+    """Links (a, b) between fingerprints of prints(fp), fp distinct, that connect all within the radius.
 
     Every pair within the radius is connected by the links, though a dense group comes as stars, not as all
-    its pairs. A tile over tile_rows is cut into parts by hash, each of which meets the other parts.
+    its pairs. A tile over tile_rows is cut into parts by hash, each of which meets the other parts. Which parts meet
+    is known from their numbers alone, so the pairs of a hot code are dealt out before any fingerprint is sent.
     """
     quarter = lambda i: F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)))
-    coded = prints.withColumn("code", sum((quarter(i) * PLACE**i for i in range(QUARTERS)), F.lit(0)).cast("int"))
-    parts = coded.groupBy("code").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
-    tiles = (
-        coded.join(parts, "code")
-        .groupBy("code", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
-        .agg(F.collect_list(F.struct("fp", "id")).alias("x"))
-        .select("code", "part", F.col("x.fp").alias("fps"), F.col("x.id").alias("ids"))
+    coded = prints.select("fp", sum((quarter(i) * PLACE**i for i in range(QUARTERS)), F.lit(0)).cast("int").alias("code"))
+    # at most 17 ** 4 codes: four counts of 16 bits
+    parts = materialise(coded.groupBy("code").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")
+    tiles = materialise(coded.join(F.broadcast(parts), "code").groupBy("code", part).agg(F.collect_list("fp").alias("fps")))
+    near = (
+        parts.select(F.col("code").alias("own"), "parts", F.explode(F.array(*map(F.lit, _steps(radius)))).alias("step"))
+        .join(F.broadcast(parts.select(F.col("code").alias("met"), F.col("parts").alias("others"))), F.col("own") + F.col("step") == F.col("met"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        .where("step > 0 or part <= other")
     )
-    tiles = materialise(tiles)
-    left = tiles.select("part", F.col("code").alias("own"), F.col("fps").alias("fa"), F.col("ids").alias("ia"), F.explode(F.array(*map(F.lit, _steps(radius)))).alias("step"))
-    left = left.withColumn("code", F.col("own") + F.col("step"))
-    right = tiles.select("code", F.col("part").alias("other"), F.col("fps").alias("fb"), F.col("ids").alias("ib"))
-    met = left.join(right, "code").where("step > 0 or part <= other")
-    met = met.select("fa", "ia", "fb", "ib", F.expr("step = 0 and part = other").alias("same"))
-    return met.mapInPandas(_compare(radius), "a long, b long")
+    near = near.repartition(max(1, min(near.count() // PAIRS_OF_TASK, 20_000)), "own", "part", "met", "other")
+    left = tiles.select(F.col("code").alias("own"), "part", F.col("fps").alias("fa"))
+    right = tiles.select(F.col("code").alias("met"), F.col("part").alias("other"), F.col("fps").alias("fb"))
+    met = near.join(left, ["own", "part"]).join(right, ["met", "other"])
+    return met.select("fa", "fb", F.expr("step = 0 and part = other").alias("same")).mapInPandas(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """One row (id_col, fp, component_id) for each row of docs.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other; equal texts share one
-    fingerprint, so a group of copies is one node however large. component_id is the smallest id that can be
-    reached over links of at most radius differing bits. Rows with a null id get a fingerprint, link nothing
-    and have a null component_id unless their very fingerprint has a component. An empty table gives no rows.
+    fingerprint, so a group of copies is one node however large. Fingerprints are what is linked, so ids may be of
+    any type that has an order. component_id is the smallest id that can be reached over links of at most radius
+    differing bits. Rows with a null id get a fingerprint, link nothing and have a null component_id unless their very
+    fingerprint has a component. Repeated rows each get a row. An empty table gives no rows.
     """
     prints = materialise(docs.select(F.col(id_col).alias("id"), fingerprint_column(width)(F.col(text_col)).alias("fp")))
-    nodes = prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"))
-    nodes = materialise(nodes)
+    nodes = materialise(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
     roots = components(near_links(nodes, radius))
-    of = nodes.join(roots, nodes.id == roots.node, "left").select("fp", F.coalesce("root", nodes.id).alias("component_id"))
+    grouped = materialise(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("group")))
+    least = grouped.groupBy("group").agg(F.min("id").alias("component_id"))
+    of = grouped.join(least, "group").select("fp", "component_id")
     return prints.join(of, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -143,7 +150,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    from netloom.llm.common import table
-
+    """doc_id, fingerprint, component_id of every row of documents: see near_duplicates for nulls, repeats and ties.
+    Extra columns are not read."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
