@@ -8,6 +8,7 @@ marginal probability of good, weighted by their length.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,12 @@ N_LINE = N_CLASSES + 7
 N_FEATURES = 3 * N_LINE + 1
 #: At most this many labelled documents are used for training, those first by a hash of their id.
 TRAIN_DOCS = 3000
+#: Lines of a training document that are learnt from: a run of them, whose place in a longer document is drawn by hash.
+TRAIN_LINES = 256
 
 
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x N_FEATURES, length of each line in bytes). A null text is an empty one: one empty line."""
+    """(lines x N_LINE, length of each line in bytes). A null text is an empty one: one empty line."""
     data = (text or "").encode("utf-8")
     lines = data.split(b"\n")
     n = len(lines)
@@ -48,8 +51,22 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             repeats = sum(map(bytes.__eq__, words, words[1:]))
             own[i, N_CLASSES:] = (math.log1p(k) / 5, 1 - len(set(words)) / k, repeats / k, min(length[i] / k / 20, 3), line in seen, words[-1][-1:] in b".!?", 1)
             seen.add(line)
+    return own, length
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """(lines x N_FEATURES): what the emission sees of each line."""
     pad = np.zeros((1, N_LINE))
-    return np.hstack([own, np.vstack([pad, own[:-1]]), np.vstack([own[1:], pad]), np.ones((n, 1))]), length
+    return np.hstack([own, np.vstack([pad, own[:-1]]), np.vstack([own[1:], pad]), np.ones((len(own), 1))])
+
+
+def emissions(own: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """with_neighbours(own) @ weights, without laying the neighbours beside each line of a long document."""
+    parts = own @ weights[:-1].reshape(3, N_LINE).T
+    out = parts[:, 0] + weights[-1]
+    out[1:] += parts[:-1, 1]
+    out[:-1] += parts[1:, 2]
+    return out
 
 
 @dataclass
@@ -59,9 +76,9 @@ class LineField:
     emission: np.ndarray
     transitions: np.ndarray
 
-    def marginals(self, features: np.ndarray) -> list[float]:
+    def marginals(self, own: np.ndarray) -> list[float]:
         """P(good) of each line by the forward-backward recursion, in odds of good against bad."""
-        odds = np.exp(np.clip(features @ self.emission, -30, 30)).tolist()
+        odds = np.exp(np.clip(emissions(own, self.emission), -30, 30)).tolist()
         (bb, bg), (gb, gg) = np.exp(self.transitions).tolist()
         ahead, r = [], None
         for e in odds:  # odds of good given this line and all before it
@@ -77,9 +94,9 @@ class LineField:
 
     def score(self, text: str | None) -> float:
         """The length-weighted share of good lines. A text without characters is one empty line."""
-        features, length = line_features(text)
+        own, length = line_features(text)
         weights = length + (1 if length.sum() == 0 else 0)
-        return float(np.dot(self.marginals(features), weights) / weights.sum())
+        return float(np.dot(self.marginals(own), weights) / weights.sum())
 
 
 def train(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, l2: float = 1e-3) -> LineField:
@@ -127,19 +144,24 @@ def train(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, l2:
 def _features_of(batches):
     for pdf in batches:
         for label, text in zip(pdf.label, pdf.text):
-            x, _ = line_features(text)
+            x = with_neighbours(line_features(text)[0])
+            if len(x) > TRAIN_LINES:
+                first = zlib.crc32(text.encode("utf-8")) % (len(x) - TRAIN_LINES + 1)
+                x = x[first : first + TRAIN_LINES]
             yield pd.DataFrame({"label": [label], "n": [len(x)], "x": [x.astype("<f4").tobytes()]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField:
-    """A field from at most train_docs labelled rows: those first by a hash of their id, so the bound is proven.
+    """A field from at most train_docs labelled rows, those first by a hash of their id, and TRAIN_LINES lines of each,
+    so what reaches the driver is bounded however long the texts are.
 
-    Labels other than 0 and 1 and rows without id are not used. Texts become features on the executors.
+    Labels other than 0 and 1 and rows without id are not used; of repeated rows of an id one is, the first by text.
+    Texts become features on the executors.
     """
     some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(train_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(some), "id").select("id", "label", "text").mapInPandas(_features_of, "label int, n int, x binary").collect()
+    rows = texts.join(F.broadcast(some), "id").groupBy("id", "label").agg(F.min("text").alias("text")).mapInPandas(_features_of, "label int, n int, x binary").collect()
     rows.sort(key=lambda r: (r["n"], bytes(r["x"]), r["label"]))  # the same sums whatever the partitions
     return train([np.frombuffer(r["x"], "<f4").reshape(r["n"], N_FEATURES).astype(float) for r in rows], [r["label"] for r in rows])
 
@@ -165,6 +187,9 @@ def keep_good(docs: DataFrame, field: LineField, text_col: str = "text") -> Data
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents. Null and empty texts are one empty line; repeated
+    rows have one score each; a null id counts as the empty text for the split. Nothing is ordered, so there are no
+    ties; extra columns are not read; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     field = fit(docs, training_labels(table(spark, sf_dir, "labels")))
     out = docs.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), scored(docs, field).alias("score"))
