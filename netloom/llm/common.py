@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,17 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the cluster names none (tests), a local one is set."""
+    """This application's folder below the one that driver and executors share; it goes when the driver ends.
+
+    Where spark.checkpoint.dir names none, a local run takes a new temporary folder; on a cluster that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    own = f"{path.rstrip('/')}/netloom-{spark.sparkContext.applicationId}"
+    if own not in _LEFT_BEHIND:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(own)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        _LEFT_BEHIND.add(own)
+    return own
+
+
+_LEFT_BEHIND: set[str] = set()
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/netloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -84,11 +84,12 @@ def _verified(threshold: float, width: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, linked: DataFrame | None = None) -> DataFrame:
     """One row (id_col, component_id) for each row of docs whose id is not null.
 
     component_id is the smallest id that can be reached over pairs of at least this Jaccard similarity of their
-    shingles. Blank and null texts are copies of one another.
+    shingles. Blank and null texts are copies of one another. linked(a, b) names further pairs of ids that are to be
+    compared, besides those that the bands bring together.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), _marks(width)(text_col).alias("m"))
     own = materialise(own.select("id", "text_key", "m.*"))
@@ -96,7 +97,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialise(own.where("n > 0").groupBy("set").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.first("keys").alias("keys")))
     keys = sets.select("set", F.explode("keys").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last").select("key", "hub")
-    near = components(keys.join(hubs, "key").where("`set` <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b")))
+    candidates = keys.join(hubs, "key").where("`set` <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+    if linked is not None:
+        of = lambda end: own.where("n > 0").select(F.col("id").alias(f"_{end}"), F.col("set").alias(f"_set_{end}")).distinct()
+        met = linked.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
+        candidates = candidates.unionByName(met.select(F.col("_set_a").alias("a"), F.col("_set_b").alias("b")).where("a <> b").distinct())
+    near = components(candidates)
     near = materialise(sets.select("set", "n", "text_key").join(near, F.col("set") == F.col("node")).select("set", "n", "text_key", "root"))
     parts = near.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_ROWS)).cast("int").alias("parts"))
     near = near.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
@@ -110,12 +116,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.join(least, "group").select(F.col("id").alias(id_col), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, linked: DataFrame | None = None) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns.
 
     Of repeated rows with one id one stays. Rows with a null id stay, as nothing names them.
     """
     root = free_name(docs, "component_id")
-    heads = near_duplicates(docs, id_col, text_col, threshold, width).where(f"`{id_col}` = component_id").select(F.col(id_col).alias(root)).distinct()
+    heads = near_duplicates(docs, id_col, text_col, threshold, width, linked).where(f"`{id_col}` = component_id").select(F.col(id_col).alias(root)).distinct()
     kept = docs.join(heads, F.col(id_col) == F.col(root), "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

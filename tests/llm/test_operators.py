@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -70,11 +71,18 @@ def test_links_survive_a_cut_tile(spark):
     rows = [(p, i) for i, p in enumerate(sorted(prints))]
     links = simhash.near_links(spark.createDataFrame(rows, "fp long, id long"), 3, tile_rows=2)
     got = {r.node: r.root for r in simhash.components(links).collect()}
-    root = {i: i for _, i in rows}
+    root = {p: p for p, _ in rows}
     for _ in range(8):
-        for p, i in rows:
-            root[i] = min(root[j] for q, j in rows if ((p ^ q) % (1 << 64)).bit_count() <= 3)
-    assert all(got.get(i, i) == root[i] for i in root)
+        for p in root:
+            root[p] = min(root[q] for q in root if ((p ^ q) % (1 << 64)).bit_count() <= 3)
+    assert all(got.get(p, p) == root[p] for p in root)
+
+
+def test_simhash_takes_ids_of_any_type(spark, docs):
+    named = docs.select(F.concat(F.lit("d"), F.lpad("doc_id", 4, "0")).alias("doc_id"), "text")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(named).where("doc_id is not null").collect()}
+    numbers = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).where("doc_id is not null").collect()}
+    assert found == {f"d{i:04d}": f"d{c:04d}" for i, c in numbers.items()}
 
 
 def test_dropping_near_duplicates_keeps_columns(docs):
@@ -88,7 +96,8 @@ def test_field_marginals_are_exact():
     rng = np.random.default_rng(1)
     field = quality_crf.LineField(rng.normal(size=quality_crf.N_FEATURES) * 0.3, rng.normal(size=(2, 2)))
     x, _ = quality_crf.line_features("one two.\nthree # four\n\nfive five five")
-    s, n = x @ field.emission, len(x)
+    s, n = quality_crf.with_neighbours(x) @ field.emission, len(x)
+    assert np.allclose(s, quality_crf.emissions(x, field.emission))
     weight = {y: np.exp(sum(s[i] for i in range(n) if y >> i & 1) + sum(field.transitions[y >> i & 1, y >> (i + 1) & 1] for i in range(n - 1))) for y in range(1 << n)}
     exact = [sum(w for y, w in weight.items() if y >> i & 1) / sum(weight.values()) for i in range(n)]
     assert np.allclose(field.marginals(x), exact)
@@ -135,11 +144,34 @@ def test_base_counts_and_divergence(docs):
         assert quality_divergence.base_counts(text) == expected
     p, q = np.array([3.0, 1, 0]), np.array([1.0, 1, 2])
     assert quality_divergence.js_distance(p, p) == 0 and 0 < quality_divergence.js_distance(p, q) < 1
-    refs = quality_divergence.references(docs)
-    assert set(refs) == {None, "en"}
-    out = docs.select("doc_id", quality_divergence.judged(docs, refs).alias("r")).collect()
-    assert len(out) == docs.count() and not any(r.r.kept and r.r.base_failed for r in out)
-    assert quality_divergence.references(docs.limit(0)) == {}
+    refs = quality_divergence.references(docs, least=100)
+    by_hand: dict = {}
+    for r in docs.collect():
+        w = [x.encode().lower().decode() for x in WORD.findall(r.text or "")]
+        for key in {None, r.lang}:
+            by_hand.setdefault(key, Counter()).update(w)
+    for r in refs.collect():
+        expected = sorted(by_hand[r.key].items(), key=lambda x: (-x[1], x[0]))[: quality_divergence.COMMON]
+        assert list(zip(r.words, r.counts)) == expected and r.total == sum(by_hand[r.key].values())
+        assert sum(r.chars) == sum(len((d.text or "").encode()) for d in docs.collect() if r.key in (None, d.lang))
+    assert {r.key for r in refs.collect()} == {None, "en"} and {r.key for r in quality_divergence.references(docs).collect()} == {None}
+    out = quality_divergence.judged(docs, refs).select("doc_id", "judged.*").collect()
+    assert len(out) == docs.count() and not any(r.kept and r.base_failed for r in out)
+    known = {r.key: quality_divergence.reference(r.words, r.counts, r.total, r.chars) for r in refs.collect()}
+    for d, r in zip(sorted(docs.collect(), key=str), sorted(quality_divergence.judged(docs, refs).collect(), key=str)):
+        assert r.judged.kept == (not r.judged.base_failed and not known[d.lang].diverges(d.text))
+    joined = quality_divergence.judged(docs, refs, held=0).select("doc_id", "judged.*").collect()
+    assert sorted(map(str, joined)) == sorted(map(str, out))
+    assert quality_divergence.judged(docs.limit(0), quality_divergence.references(docs.limit(0))).count() == 0
+
+
+def test_any_number_of_languages(spark):
+    rows = [(i, " ".join(f"{w}{i}" for w in "one two three four five six seven eight nine ten".split() * 3), f"l{i}") for i in range(513)]
+    many = spark.createDataFrame([*rows, (900, rows[0][1], "l1"), (901, rows[0][1], "rare"), (902, rows[0][1], None)], "doc_id long, text string, lang string")
+    refs = quality_divergence.references(many, least=30)
+    assert refs.count() == 514 + 1
+    kept = {r.doc_id: r.judged.kept for r in quality_divergence.judged(many, refs).collect()}
+    assert not any(kept[i] for i in range(513))  # all repeat their words: the base fails
 
 
 def test_pii_patterns_and_terms(spark, docs):
@@ -219,6 +251,33 @@ def test_nearest_against_brute_force(spark):
     assert hits / total >= 0.9 and got[0] == [400, 401, 402, 403, 404] and 500 not in got
 
 
+def test_nearest_over_many_shards_and_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 128)
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 16)
+    monkeypatch.setattr(hnsw, "TURN_BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1600, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + d, [1.0] * (20 + d)) for d in range(60)] + [(6000 + d, [1.0] * (19 + d) + [2.0]) for d in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k in (5, 200):
+        got: dict[int, list] = {}
+        for r in hnsw.nearest(table, (F.col("vec_id") % 50 == 0) | (F.col("vec_id") >= 5000), k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        hits = [len(set(np.argsort(-(unit @ unit[i]), kind="stable")[1 : k + 1].tolist()) & {j for j, _ in got[i]}) / k for i in range(0, 1600, 50)]
+        assert np.mean(hits) >= 0.9 and all(len(got[i]) == k for i in range(0, 1600, 50))
+        for i in range(60):  # a dimension with two vectors
+            assert [j for j, _ in got[5000 + i]] == [6000 + i]
+    assert all(s == float(x[i] @ x[j] / (np.linalg.norm(x[i]) * np.linalg.norm(x[j]))) or abs(s - unit[i] @ unit[j]) < 1e-12 for i in (0, 50) for j, s in got[i])
+
+
+def test_nearest_of_extreme_vectors(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1e-200, 2e-200]), (2, [1e200, 1e200]), (3, [1.0, 2.0]), (4, [5e-324, 0.0]), (5, [1e308, -1e308])]
+    got = [(r.vec_id, round(r.score, 6)) for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(2, 1.0), (1, 0.948683), (3, 0.948683), (4, 0.707107), (5, 0.0)]
+    assert hnsw.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).count() == 0
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "é" * 500)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
@@ -230,25 +289,83 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def plain(block, kind="resource", **more):
+    return warc.record_bytes([("WARC-Type", kind), ("WARC-Block-Digest", "sha1:" + warc.digest32(block)), *more.items()], block)
+
+
 def test_salvage_recovers_later_records():
-    record = lambda i: warc.record_bytes([("WARC-Type", "resource"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Block-Digest", "sha1:" + warc.digest32(b"x" * i))], b"x" * i)
-    good = [warc.member(record(i)) for i in (5, 6, 7)]
+    good = [warc.member(plain(b"x" * i)) for i in (5, 6, 7)]
     broken = bytearray(good[1])
     broken[len(broken) // 2] ^= 0xFF
-    for parts, expected in (([good[0], bytes(broken), good[2]], [5, 7]), ([good[0], b"junk", record(6), good[2][:-9]], [5, 6]), ([record(5)[:-7], record(7)], [7]), ([b""], [])):
+    cases = [([good[0], bytes(broken), good[2]], [5, 7]), ([good[0], b"junk", plain(b"x" * 6), good[2][:-9]], [5, 6]), ([plain(b"x" * 5)[:-7], plain(b"x" * 7)], [7]), ([b""], [])]
+    cases += [([plain(b"x" * 5).replace(b"xxxxx", b"xxxxy"), good[2]], [7]), ([warc.member(plain(b"x" * 5) + b"more"), good[2]], [7]), ([plain(b""), warc.member(plain(b""))], [0, 0])]
+    for parts, expected in cases:
         reader = warc.Salvage(io.BytesIO(b"".join(parts)))
         records = list(reader)
-        assert [len(r.block) for r in records] == expected
+        assert [r.payload_bytes for r in records] == expected and all(r.payload == b"x" * n for r, n in zip(records, expected))
         assert sum(r.length for r in records) + sum(n for _, n, _ in reader.gaps) == len(b"".join(parts))
 
 
+def test_salvage_against_every_cut():
+    """Whatever byte is cut or changed, records that are whole elsewhere come back."""
+    parts = [warc.member(plain(b"one")), plain(b"two" * 3), warc.member(plain(b"GET / HTTP/1.1\r\n\r\nbody", "response", **{"Content-Type": "application/http"}))]
+    data = b"".join(parts)
+    sizes = [r.payload_bytes for r in warc.Salvage(io.BytesIO(data))]
+    assert sizes == [3, 9, 4]
+    ends = np.cumsum([len(p) for p in parts])
+    for at in range(len(data)):
+        hit = int(np.searchsorted(ends, at, side="right"))
+        for odd in (data[:at] + data[at + 1 :], data[:at] + bytes([data[at] ^ 0x20]) + data[at + 1 :]):
+            found = [r.payload_bytes for r in warc.Salvage(io.BytesIO(odd))]
+            assert [n for k, n in enumerate(sizes) if k != hit] == found or sizes == found, (at, found)
+
+
+class Counting(io.BytesIO):
+    most = total = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        Counting.most, Counting.total = max(Counting.most, len(out)), Counting.total + len(out)
+        return out
+
+
+def test_salvage_is_bounded_and_linear():
+    false_length = plain(b"x" * 9).replace(b"Content-Length: 9", b"Content-Length: 19999999")
+    filler = b"".join(plain(b"y" * 1000) for _ in range(20_000))
+    Counting.most = Counting.total = 0
+    records = sum(1 for _ in warc.Salvage(Counting(false_length + filler), with_payload=False))
+    assert records == 20_000 and Counting.most <= 2 * warc.PIECE and Counting.total < 3 * len(filler)
+    big = warc.member(plain(b"z" * (1 << 26)))  # inflates to 64 MB
+    reader = warc.Salvage(Counting(big), with_payload=False)
+    assert [r.payload_bytes for r in reader] == [1 << 26] and not reader.gaps
+    for junk in (b"WARC/1.0\r\n" * 100_000, b"WARC/1.1\r\na: b\r\n" * 50_000, warc.GZIP * 100_000, b"WARC/1." * 100_000):
+        began = time.time()
+        reader = warc.Salvage(io.BytesIO(junk + plain(b"end")))
+        assert [r.payload for r in reader] == [b"end"] and reader.gaps[0][:2] == (0, len(junk)) and time.time() - began < 8
+
+
 def test_raking_meets_margins(spark, docs):
     cells = spark.createDataFrame([(s, x, t, 10 + 3 * s + 7 * x + t) for s in range(3) for x in range(2) for t in range(2)], "source long, lang long, topic long, tokens long")
     target = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 2.0)], "source long, target double")
     out = mixing.rake(cells, targets={"source": target}).toPandas()
     assert np.allclose(out.groupby("source").weight.sum(), [0.25, 0.25, 0.5], atol=2e-3) and abs(out.weight.sum() - 1) < 1e-9
+    many = mixing.rake(cells, targets={"source": target}, few=0).toPandas()
+    key = ["source", "lang", "topic"]
+    assert np.allclose(out.sort_values(key).weight, many.sort_values(key).weight)
     share = cells.toPandas().groupby("lang").tokens.sum() ** mixing.TEMPERATURE
     assert np.allclose(out.groupby("lang").weight.sum(), share / share.sum(), atol=2e-3)
     mixed = mixing.mixed(docs).toPandas()
     assert len(mixed) == docs.count() and mixed.probability.between(0, 1).all() and not mixed[mixed.n_tokens == 0].sampled.any()
+    for text, topic in (("a|b|c", "table"), ("1 2 3 4 5", "figures"), ("a\nb\nc", "lines"), ("é" * 700, "prose"), ("x" * 7000, "long prose"), (None, "note"), ("", "note")):
+        row = spark.createDataFrame([(text,)], "text string").select(mixing.measured("text").alias("m")).first().m
+        assert (row.n_tokens, row.topic) == (len((text or "").split()), topic)
+    # expected tokens follow the weights, and the draw follows the probabilities
+    big = spark.range(20000).selectExpr("id as doc_id", "concat('a b ', id % 7) as text", "concat('s', id % 2) as source", "if(id % 10 = 0, 'x', 'y') as lang")
+    drawn = mixing.mixed(big).toPandas()
+    goal = mixing.KEEP * drawn.n_tokens.sum()
+    assert abs((drawn.probability * drawn.n_tokens).sum() - goal) <= 2e-3 * goal and abs((drawn.sampled * drawn.n_tokens).sum() - goal) < 0.03 * goal
+    assert np.allclose(drawn.groupby("lang").sampled.mean(), drawn.groupby("lang").probability.mean(), atol=0.03)
+    with pytest.warns(UserWarning, match="can't all be met"):
+        odd = spark.createDataFrame([(0, 0, 0, 5), (1, 1, 0, 5)], "source long, lang long, topic long, tokens long")
+        mixing.rake(odd, targets={"source": target, "lang": spark.createDataFrame([(0, 3.0), (1, 1.0)], "lang long, target double")})
     assert mixing.sample(docs).columns == docs.columns and mixing.sample(docs.limit(0)).count() == 0
