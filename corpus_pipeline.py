@@ -4,34 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import minhash, mixing, packing, pii, quality_crf
+from netloom.llm import mixing, near_copies, packing, pii, quality_crf
 from netloom.llm.common import materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field, learnt from the labels of these documents, scores 0.5 or more."""
+    """Documents that the line field, learnt from the labels of these documents, scores 0.5 or more. Null and empty
+    texts are one empty line and are scored too; repeated rows share their fate."""
     return quality_crf.keep_good(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies (Jaccard 0.8 or more of five-word shingles) the document with the smallest id."""
-    return minhash.drop_near_duplicates(docs)
+    """Of each group of near-copies (Jaccard 0.8 or more of five-word shingles, found by SimHash tiles and MinHash
+    bands) the document with the smallest id. Rows with a null id stay; null and blank texts are copies."""
+    return near_copies.drop_near_copies(docs)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and the terms that disclose them taken out of the text; n_chars is the new text's."""
+    """All documents, personal data and the terms that disclose them taken out of the text; n_chars is the new text's.
+    A null text stays null, with n_chars null."""
     from pyspark.sql import functions as F
 
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents that meets the token shares of sources, languages and topics."""
+    """A sample of the documents that meets the token shares of sources, languages and topics. Null sources and
+    languages are values of their own; documents without words are never drawn."""
     return mixing.sample(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 1024 tokens."""
+    """The documents' pieces and their places in sequences of 1024 tokens. Null and empty texts are the end id alone."""
     return packing.packed(docs)
 
 
