@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from netloom.functions.packet import is_internal, is_syn
 from netloom.operators.windows import latched
 
+#: What an alert says of a packet: detectors carry no more than that.
+SHOWN = ("no", "timestamp", "src", "dst", "dst_port")
+
 #: Ports of administrative services.
 ADMIN_PORTS = (22, 135, 139, 445, 3389, 5985, 5986)
 RANK = {"CRIT": 100, "HIGH": 80, "MED": 50}
@@ -19,25 +22,25 @@ def _alerts(rows: DataFrame, signature: str, severity: str, detail: Column, key:
 
 def vertical_scan(packets: DataFrame, ports: int = 12, seconds: float = 15.0) -> DataFrame:
     """One source probes many ports of one target. Re-arms when the source pauses."""
-    found = latched(packets.where(is_syn()), ["src", "dst"], ports, seconds, "dst_port", ["src"])
+    found = latched(packets.where(is_syn()).select(*SHOWN), ["src", "dst"], ports, seconds, "dst_port", ["src"])
     return _alerts(found, "Vertical port scan", "HIGH", F.concat_ws(" ", "src", F.lit("->"), "dst"), F.concat_ws("|", "src", "dst"))
 
 
 def horizontal_scan(packets: DataFrame, hosts: int = 12, seconds: float = 15.0) -> DataFrame:
     """One source probes one port of many targets. Re-arms when the source pauses."""
-    found = latched(packets.where(is_syn()), ["src", "dst_port"], hosts, seconds, "dst", ["src"])
+    found = latched(packets.where(is_syn()).select(*SHOWN), ["src", "dst_port"], hosts, seconds, "dst", ["src"])
     return _alerts(found, "Horizontal host scan", "HIGH", F.concat_ws(" ", "src", F.lit("port"), F.col("dst_port").cast("string")), F.concat_ws("|", "src", F.col("dst_port").cast("string")))
 
 
 def syn_flood(packets: DataFrame, count: int = 100, seconds: float = 1.0) -> DataFrame:
     """Many connection requests to one service."""
-    found = latched(packets.where(is_syn()), ["dst", "dst_port"], count, seconds)
+    found = latched(packets.where(is_syn()).select(*SHOWN), ["dst", "dst_port"], count, seconds)
     return _alerts(found, "SYN flood", "CRIT", F.concat_ws(":", "dst", F.col("dst_port").cast("string")), F.concat_ws("|", "dst", F.col("dst_port").cast("string")))
 
 
 def admin_fan_out(packets: DataFrame, hosts: int = 8, seconds: float = 60.0) -> DataFrame:
     """One source reaches many internal hosts on an administrative port."""
-    rows = packets.where(F.col("dst_port").isin(*ADMIN_PORTS) & is_internal(F.col("src")) & is_internal(F.col("dst")))
+    rows = packets.where(F.col("dst_port").isin(*ADMIN_PORTS) & is_internal(F.col("src")) & is_internal(F.col("dst"))).select(*SHOWN)
     found = latched(rows, ["src", "dst_port"], hosts, seconds, "dst")
     return _alerts(found, "Administrative service fan-out", "HIGH", F.concat_ws(" ", "src", F.lit("port"), F.col("dst_port").cast("string")), F.concat_ws("|", "src", F.col("dst_port").cast("string")))
 
@@ -46,7 +49,7 @@ def auth_burst(packets: DataFrame, attempts: int = 5, seconds: float = 30.0) ->
     """D-BF: repeated log-ins to SSH, refused HTTP requests or NTLM over SMB; once for each source and service."""
     ntlm = F.contains(F.lower(F.decode(F.col("bytes"), "ISO-8859-1")), F.lit("ntlmssp"))
     service = F.when(F.col("dst_port") == 22, F.lit("SSH")).when(F.col("dst_port").isin(80, 443) & F.col("info").contains("401"), F.lit("HTTP")).when((F.col("dst_port") == 445) & ntlm, F.lit("SMB"))
-    rows = packets.withColumn("service", service).where("service is not null")
+    rows = packets.withColumn("service", service).where("service is not null").select(*SHOWN, "service")
     found = latched(rows, ["src", "dst", "dst_port"], attempts, seconds, once=True)
     return _alerts(found, "Authentication burst", "HIGH", F.concat_ws(" ", "service", "src", F.lit("->"), "dst"), F.concat_ws("|", "src", "dst", F.col("dst_port").cast("string")))
 

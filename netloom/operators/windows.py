@@ -26,18 +26,21 @@ def of_bucket(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(there, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in on], "left").drop(*(f"_of_{k}" for k in on))
 
 
+def _numbered(spans: DataFrame, keys: list[str], gap: float, name: str) -> DataFrame:
+    """The session of each bucket of a key: spans has _first and _last, the times of the bucket's rows."""
+    w = Window.partitionBy(*keys).orderBy("_bucket")
+    new = F.coalesce(F.col("_first") - F.lag("_last").over(w) > gap, F.lit(False)).cast("int")
+    return spans.withColumn("_new", new).select(*keys, "_bucket", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+
+
 def sessions(rows: DataFrame, keys: list[str], gap: float, name: str = "session", among: DataFrame | None = None) -> DataFrame:
     """rows with the number of the key's session: a new one begins after more than gap seconds without a row.
 
     Rows of one bucket of that width are never so far apart, so sessions break between buckets only. If rows are
     part of a table whose every row keeps a session alive, `among` is that table.
     """
-    dated = in_buckets(rows, gap)
     spans = in_buckets(among or rows, gap).groupBy(*keys, "_bucket").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("_bucket")
-    new = F.coalesce(F.col("_first") - F.lag("_last").over(w) > gap, F.lit(False)).cast("int")
-    numbered = spans.withColumn("_new", new).select(*keys, "_bucket", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
-    return of_bucket(dated, numbered, keys).drop("_bucket")
+    return of_bucket(in_buckets(rows, gap), _numbered(spans, keys, gap, name), keys).drop("_bucket")
 
 
 def sliding(rows: DataFrame, keys: list[str], seconds: float, measure: str, name: str = "hits") -> DataFrame:
@@ -73,23 +76,69 @@ def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reaching(rows: DataFrame, keys: list[str], threshold: int, distinct: str | None = None) -> DataFrame:
-    """The rows of keys that can reach the threshold at all, in any window: the costly window then sees few rows.
-    The counts are made before the shuffle and are small, so hot keys do no harm."""
+    """The rows of keys that can reach the threshold at all, in any window; a null key is a value of its own. The
+    counts are made before the shuffle and are small, so hot keys do no harm."""
     measure = F.count_distinct(distinct) if distinct else F.count("*")
-    return rows.join(rows.groupBy(*keys).agg(measure.alias("_n")).where(F.col("_n") >= threshold).select(*keys), keys, "left_semi")
+    enough = rows.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(measure.alias("_n")).where(F.col("_n") >= threshold)
+    return rows.join(enough, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left_semi")
+
+
+def _reached(rows: DataFrame, keys: list[str], threshold: int, seconds: float, rearm: list[str], once: bool) -> DataFrame:
+    """The rows at which a key has threshold rows within the window, with the session of `rearm`.
+
+    A window touches two neighbouring buckets of its width at most, so counts by bucket tell which rows can matter.
+    Of those, a row is a hit if the one threshold - 1 before it is near enough; to ask that, each bucket is lent the
+    rows of the one before it.
+    """
+    spans = in_buckets(rows, seconds).groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_bucket")
+    beside = lambda f, step: F.coalesce(F.when(f("_bucket").over(w) == F.col("_bucket") + step, f("_n").over(w)), F.lit(0))
+    before, after = beside(F.lag, -1), beside(F.lead, 1)
+    dense = spans.select(*keys, "_bucket", (F.col("_n") + before >= threshold).alias("_own"), (F.col("_n") + after >= threshold).alias("_lends")).where("_own or _lends")
+    few = of_bucket(in_buckets(rows, seconds), dense, keys).where("_own or _lends")
+    to = F.array_compact(F.array(F.when(F.col("_own"), F.col("_bucket")), F.when(F.col("_lends"), F.col("_bucket") + 1)))
+    lent = few.withColumn("_in", F.explode(to)).drop("_own", "_lends")
+    back = F.lag("timestamp", threshold - 1).over(Window.partitionBy(*keys, "_in").orderBy(*ORDER))
+    hits = lent.withColumn("_back", back).where("_in = _bucket").where(F.col("timestamp") - F.lit(float(seconds)) <= F.col("_back")).drop("_back", "_in", "_bucket")
+    if once:
+        return hits
+    if rearm == keys:
+        return of_bucket(in_buckets(hits, seconds), _numbered(spans.drop("_n"), keys, seconds, "session"), keys).drop("_bucket")
+    return sessions(hits, rearm, seconds, among=rows)
+
+
+def _reached_distinct(rows: DataFrame, keys: list[str], threshold: int, seconds: float, distinct: str, rearm: list[str], once: bool) -> DataFrame:
+    """The rows at which a key comes to threshold distinct values within the window, with the session of `rearm`.
+
+    A value is there from its first row until the window after its last one before a pause. Rows are summed up by
+    key, value and bucket before anything is ordered, so no copy of a row, and no hot key, reaches a window. Running
+    sums of values that come and go then count those that are there; a count grows only where a value comes.
+    """
+    parts = in_buckets(rows, seconds).groupBy(*keys, distinct, "_bucket").agg(F.min_by(F.struct(*rows.columns), F.struct(*ORDER)).alias("_row"), F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    w, wide = Window.partitionBy(*keys, distinct).orderBy("_bucket"), F.lit(float(seconds))
+    comes = F.coalesce(F.col("_first") - wide > F.lag("_last").over(w), F.lit(True))
+    goes = F.coalesce(F.lead("_first").over(w) - wide > F.col("_last"), F.lit(True))
+    # what comes is placed a window early, what goes at its last row, so that both stand where their difference counts
+    come = F.struct((F.col("_first") - wide).alias("timestamp"), F.col("_row.no").alias("no"), F.lit(1).alias("_step"), F.col("_row").alias("_row"))
+    go = F.struct(F.col("_last").alias("timestamp"), F.lit(1 << 62).alias("no"), F.lit(-1).alias("_step"), F.lit(None).cast(parts.schema["_row"].dataType).alias("_row"))
+    moves = parts.where(F.col(distinct).isNotNull()).withColumns({"_comes": comes, "_goes": goes})
+    moves = moves.select(*keys, F.inline(F.array_compact(F.array(F.when(F.col("_comes"), come), F.when(F.col("_goes"), go)))))
+    hits = running(moves, keys, {"_there": F.col("_step")}, 4 * seconds).where((F.col("_step") == 1) & (F.col("_there") >= threshold)).select("_row.*")
+    if once:
+        return hits
+    spans = parts.groupBy(*rearm, "_bucket").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    return of_bucket(in_buckets(hits, seconds), _numbered(spans, rearm, seconds, "session"), rearm).drop("_bucket")
 
 
 def latched(rows: DataFrame, keys: list[str], threshold: int, seconds: float, distinct: str | None = None, rearm: list[str] | None = None, once: bool = False) -> DataFrame:
-    """The first row at which a key has threshold rows (or distinct values) within the window, with `hits`.
+    """The first row at which a key has threshold rows (or distinct values) within the window, without its bytes.
 
-    Another alert of the key needs a gap of more than the window in the rows of `rearm` (the key unless given);
-    with once there is none. Null values count as no value.
+    Another alert of the key needs a gap of more than the window in the rows of `rearm` (the key unless given, else
+    some of its columns); with once there is none. A null key is a value of its own, null values count as no value.
     """
-    few = reaching(rows, keys, threshold, distinct)
-    few = few if once else sessions(few, rearm or keys, seconds, among=rows)
-    hits = sliding(few, keys, seconds, f"collect_set({distinct})").withColumn("hits", F.size("hits")) if distinct else sliding(few, keys, seconds, "count(*)")
-    over = hits.withColumn("hits", F.col("hits").cast("long")).where(F.col("hits") >= threshold)
-    return first_of(over, keys if once else [*keys, "session"]).drop("session")
+    rows = rows.drop("bytes")
+    hits = _reached_distinct(rows, keys, threshold, seconds, distinct, rearm or keys, once) if distinct else _reached(rows, keys, threshold, seconds, rearm or keys, once)
+    return first_of(hits, keys if once else [*keys, "session"]).drop("session")
 
 
 def folded(rows: DataFrame, keys: list[str], step: Callable[[dict, tuple], list[tuple]], schema: str, order: tuple[str, ...] = ORDER) -> DataFrame:
