@@ -63,6 +63,91 @@ def contains(column: str, text: str) -> Column:
     return _sure(F.lower(column).contains(text.lower()))
 
 
+#: Fields that are text. A missing one is an empty text.
+TEXT_FIELDS = {
+    "ip.src": lambda: F.col("src"), "ip.addr": lambda: F.col("src"), "ip.dst": lambda: F.col("dst"),
+    "tcp.srcport": lambda: F.col("src_port").cast("string"), "udp.srcport": lambda: F.col("src_port").cast("string"),
+    **{name: lambda: F.col("dst_port").cast("string") for name in ("tcp.dstport", "udp.dstport", "tcp.port", "udp.port")},
+    "proto": lambda: F.col("protocol"), "ip.proto": lambda: F.col("protocol"), "info": lambda: F.col("info"), "frame.info": lambda: F.col("info"),
+    "http.host": lambda: http_host(F.col("info")), "http.method": lambda: word_of(F.col("info"), 0), "http.uri": lambda: word_of(F.col("info"), 1), "http.request.uri": lambda: word_of(F.col("info"), 1), "dns.qname": lambda: dns_name(F.col("info")),
+}
+#: Fields that are numbers. A missing one has no value; the time to live of a frame too short for it is 0.
+NUMBER_FIELDS = {
+    "frame.len": lambda: F.col("length"), "frame.length": lambda: F.col("length"), "frame.number": lambda: F.col("no"),
+    "tcp.srcport": lambda: F.col("src_port"), "udp.srcport": lambda: F.col("src_port"), "tcp.dstport": lambda: F.col("dst_port"), "udp.dstport": lambda: F.col("dst_port"),
+    "ip.ttl": lambda: F.coalesce(byte("bytes", 22), F.lit(0)), "vlan.id": lambda: F.col("vlan_id"), "vlan.pcp": lambda: F.col("vlan_pcp"), "vlan.dei": lambda: F.col("vlan_dei"), "vlan.outer": lambda: F.col("outer_vlan_id"), "vlan.outer_id": lambda: F.col("outer_vlan_id"),
+}
+#: Fields with several values: some value has to pass.
+PORTS = ("tcp.port", "udp.port")
+OPERATORS = ("==", "!=", "<", ">", "<=", ">=")
+
+
+def word_of(text: Column, k: int) -> Column:
+    """The k-th word of a summary, from 0; a request's method and address."""
+    return F.coalesce(F.get(F.split(F.trim(text), r"\s+"), F.lit(k)), F.lit(""))
+
+
+def http_host(text: Column) -> Column:
+    """The word after Host: in a summary, without commas at its end."""
+    return F.coalesce(F.regexp_replace(F.regexp_extract(text, r"Host:\s*(\S+)", 1), ",+$", ""), F.lit(""))
+
+
+def dns_name(text: Column) -> Column:
+    """The first word of a summary with a dot in it, numbers in hex apart."""
+    return F.coalesce(F.get(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w.contains(".") & ~w.startswith("0x")), F.lit(0)), F.lit(""))
+
+
+def _text(field: str) -> Column:
+    return F.coalesce(TEXT_FIELDS[field](), F.lit("")) if field in TEXT_FIELDS else F.lit("")
+
+
+def _compared(a: Column, op: str, b: Column) -> Column:
+    return {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
+
+
+def text_is(field: str, op: str, value: str) -> Column:
+    """a field of text compared with a text: equality whatever the case, order by the bytes as they are."""
+    own = _text(field)
+    if op in ("==", "!="):
+        same = F.lower(own) == value.lower()
+        return same if op == "==" else ~same
+    return _compared(own, op, F.lit(value))
+
+
+def number_is(field: str, op: str, value: float) -> Column:
+    """a field of numbers compared with a number, equality within a half; of several values one has to pass,
+    so != holds where some value differs. Without a value nothing holds."""
+
+    def test(own: Column) -> Column:
+        if op in ("==", "!="):
+            near = F.abs(own - F.lit(float(value))) < 0.5
+            return near if op == "==" else ~near
+        return _compared(own.cast("double"), op, F.lit(float(value)))
+
+    if field in PORTS:
+        return any_port(test)
+    return _sure(test(NUMBER_FIELDS[field]())) if field in NUMBER_FIELDS else F.lit(False)
+
+
+def is_in(field: str, values: list) -> Column:
+    """a field is one of some texts, whatever the case, or numbers, within a half."""
+    found = F.lit(False)
+    for v in values:
+        found = found | (text_is(field, "==", v) if isinstance(v, str) else number_is(field, "==", v))
+    return found
+
+
+def field_predicate(path: str, value: str) -> Column | None:
+    """The predicate that a decoded field stands for; None for fields that can't be filtered by."""
+    if path in ("ip.src", "ip.dst"):
+        return text_is(path, "==", value)
+    if path == "proto":
+        return has_protocol(value)
+    if path in ("frame.len", "frame.number", "ip.ttl", "vlan.id", "vlan.pcp", "vlan.dei", "tcp.srcport", "tcp.dstport", "udp.srcport", "udp.dstport"):
+        return number_is(path, "==", float(value))
+    return None
+
+
 def is_qinq() -> Column:
     """both VLAN tags are there."""
     return F.col("outer_vlan_id").isNotNull() & F.col("vlan_id").isNotNull()

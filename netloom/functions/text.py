@@ -105,3 +105,35 @@ def dotted(data: Column) -> Column:
 def risk_label(score: Column) -> Column:
     """A score's step on the scale of risks."""
     return F.when(score >= 0.85, "CRITICAL").when(score >= 0.65, "HIGH").when(score >= 0.40, "MEDIUM").when(score >= 0.15, "LOW").otherwise("INFO")
+
+
+#: Roles of services by port.
+ROLES = {21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 80: "HTTP", 110: "POP3", 143: "IMAP", 443: "HTTPS", 445: "SMB", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL", 6379: "Redis", 8080: "HTTP-Alt", 8443: "HTTPS-Alt"}
+
+
+def service_role(port: Column, protocol: Column) -> Column:
+    """The role of a service by its port, where the protocol says no more than TCP or UDP."""
+    role = F.try_element_at(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv)), port)
+    return F.when(protocol.isin("TCP", "UDP"), role)
+
+
+def xor_key(data: Column) -> Column:
+    """(key, score) of the byte that makes most of the first 512 bytes printable by exclusive or; null for under 16
+    bytes, for bytes of which over three quarters are printable as they are, and where no key makes over 70 %.
+
+    Each byte counts for the 95 keys that make it printable; of equal keys the largest counts. The work is that of the
+    distinct bytes, as these are counted first.
+    """
+    sample = F.regexp_extract_all(F.hex(F.substring(data, 1, 512)), F.lit("(..)"), F.lit(1))
+
+    def best(values: Column) -> Column:
+        n = F.size(values)
+        numbers = F.transform(values, lambda x: F.conv(x, 16, 10).cast("int"))
+        printable = lambda x: (x >= 32) & (x < 127)
+        plain = F.size(F.filter(numbers, printable)) / n
+        hits = lambda k: F.size(F.filter(numbers, lambda x: printable(x.bitwiseXOR(k))))
+        keys = F.transform(F.sequence(F.lit(1), F.lit(255)), lambda k: F.struct((hits(k) / n).alias("score"), k.alias("key")))
+        top = F.array_max(keys)
+        return F.when((n >= 16) & (plain <= 0.75) & (top.score > 0.70), F.struct(top.key.alias("key"), top.score.alias("score")))
+
+    return _bound(sample, best)

@@ -54,11 +54,12 @@ def decoded(frames: DataFrame) -> DataFrame:
     """Packets from frames (no, timestamp, bytes): addresses, protocol, summary, ports and VLAN tags.
 
     A frame that is too short or of another kind is RAW with the address ?.?.?.?; null bytes count as an empty
-    frame. VLAN tags are looked for in the 400 bytes after the addresses, which is a hundred tags.
+    frame. Any number of VLAN tags is passed over; only frames that begin with one are looked through for more.
     """
     rows = frames.select("no", "timestamp", F.coalesce("bytes", F.lit(b"").cast("binary")).alias("bytes"))
-    tags = F.regexp_extract(F.hex(F.substring("bytes", 13, 400)), "^((?:(?:8100|88A8)[0-9A-F]{4})*)", 1)
-    rows = rows.withColumn("_tags", (F.length(tags) / 8).cast("int")).withColumn("_net", 14 + 4 * F.col("_tags"))
+    tags = F.regexp_extract(F.hex(F.expr("substring(bytes, 13)")), "^((?:(?:8100|88A8)[0-9A-F]{4})*)", 1)
+    tagged = F.hex(F.substring("bytes", 13, 2)).isin("8100", "88A8")
+    rows = rows.withColumn("_tags", F.when(tagged, (F.length(tags) / 8).cast("int")).otherwise(0)).withColumn("_net", 14 + 4 * F.col("_tags"))
     rows = rows.withColumns({"_size": F.length("bytes"), "_type": F.hex(_cut(F.col("_net") - 2, 2)), "_rest": F.length("bytes") - F.col("_net")})
     rows = _kept(rows)
     net = lambda k: F.col("_net") + k

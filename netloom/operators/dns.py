@@ -35,9 +35,10 @@ def _question(message: bytes) -> tuple[str, int, int] | None:
     return None
 
 
-def messages(packets: DataFrame) -> DataFrame:
-    """UDP packets of port 53 with id, response, question (name/type/class) and a hash of the message. Only
-    the name needs Python, in Arrow batches of the payloads that the header bytes let through."""
+def messages(packets: DataFrame, named: bool = True) -> DataFrame:
+    """UDP packets of port 53 with id, response, question (name/type/class) and a hash of the message.
+    Only the name needs Python, in Arrow batches of the payloads that the header bytes let through; without it, all
+    messages of twelve bytes or more come, whatever they ask."""
 
     @F.pandas_udf("string")
     def question(payloads: pd.Series) -> pd.Series:
@@ -46,6 +47,8 @@ def messages(packets: DataFrame) -> DataFrame:
     rows = _kept(layout(packets).where("(src_port = 53 or dst_port = 53)")).where("_proto = 17")
     rows = _kept(rows.withColumn("_dns", F.substring(F.col("bytes"), F.col("_l4") + 9, F.length("bytes")))).where("length(_dns) >= 12")
     head = lambda k: F.conv(F.hex(F.substring("_dns", k, 2)), 16, 10).cast("int")
+    if not named:
+        return rows.select("no", "timestamp", "src", "dst", "src_port", "dst_port", head(1).alias("id"), (head(3).bitwiseAND(0x8000) != 0).alias("response"))
     out = rows.where(head(5) > 0).select("no", "timestamp", "src", "dst", "src_port", "dst_port", head(1).alias("id"), (head(3).bitwiseAND(0x8000) != 0).alias("response"), question("_dns").alias("question"), F.xxhash64("_dns").alias("hash"))
     return out.where("question is not null")
 

@@ -41,7 +41,7 @@ def _network(number: Column, bits: Column) -> Column:
 
 
 def identities(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Each distinct address with who holds it: private first, then the longest IPv4 prefix, else Unresolved.
+    """Each distinct address with who holds it: private first, then the longest prefix, else Unresolved.
 
     prefixes has cidr, asn, organization; of equal prefixes the largest name counts. The lengths of prefixes are
     33 at most, so each address meets one network of each length that is there, by an equality join.
@@ -55,7 +55,8 @@ def identities(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
     number = ipv4_number(F.col("address"))
     tried = one.where(~F.col("_private")).select("address", F.explode(F.array(*(F.struct(F.lit(n).alias("_bits"), _network(number, F.lit(n)).alias("_net")) for n in lengths or [0]))).alias("t")).select("address", "t.*")
     best = tried.join(nets, ["_bits", "_net"]).groupBy("address").agg(F.max_by("_who", "_bits").alias("_who"))
-    out = one.join(best, "address", "left")
+    six = longest_ipv6(one.where(~F.col("_private")), prefixes, F.struct("organization", "asn"))
+    out = one.join(best.unionByName(six.withColumnRenamed("value", "_who")), "address", "left")
     name = F.when(F.col("_private"), "Private network").otherwise(F.coalesce("_who.organization", F.lit("Unresolved")))
     source = F.when(F.col("_private"), "local classification").when(F.col("_who").isNotNull(), "prefix map").otherwise("observed")
     return out.select("address", F.col("_who.asn").alias("asn"), name.alias("organization"), source.alias("source"))
@@ -76,3 +77,58 @@ def drift(observed: DataFrame, baseline: DataFrame) -> DataFrame:
 def promoted(observed: DataFrame, baseline: DataFrame) -> DataFrame:
     """The baseline with all that was observed."""
     return baseline.select(*ROUTE).unionByName(observed.select(*ROUTE)).distinct()
+
+
+#: Addresses of special use, in the order in which they are tried.
+SPECIAL = (("127.0.0.0/8", "LOOP"), ("10.0.0.0/8", "LAN"), ("172.16.0.0/12", "LAN"), ("192.168.0.0/16", "LAN"), ("169.254.0.0/16", "LINK"), ("224.0.0.0/4", "MCAST"), ("100.64.0.0/10", "CGNAT"), ("255.255.255.255/32", "BCAST"))
+
+
+def places(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each distinct address with the label of the first range that holds it, special ones before all: ranges has
+    cidr, label and priority (the least is tried first), such as those of clouds, then of regions. Other addresses,
+    and what is no IPv4 address, are ??. As in identities, each prefix length is one equality join."""
+    part = lambda k: F.get(F.split("cidr", "/"), F.lit(k))
+    spark = addresses.sparkSession
+    special = spark.createDataFrame([(c, n, i - len(SPECIAL)) for i, (c, n) in enumerate(SPECIAL)], "cidr string, label string, priority long")
+    least = ranges.agg(F.min("priority").alias("m")).first()["m"] or 0
+    all_ = special.withColumn("priority", F.col("priority") + F.lit(min(0, least))).unionByName(ranges.select("cidr", "label", F.col("priority").cast("long").alias("priority")))
+    bits = part(1).try_cast("int")
+    nets = all_.select(bits.alias("_bits"), _network(ipv4_number(part(0)), bits).alias("_net"), "label", "priority").where("_bits between 0 and 32 and _net is not null")
+    nets = nets.groupBy("_bits", "_net").agg(F.min(F.struct("priority", "label")).alias("_what"))
+    lengths = [r["_bits"] for r in nets.select("_bits").distinct().collect()]  # 33 at most
+    one = addresses.select("address").where("address is not null").distinct()
+    number = ipv4_number(F.col("address"))
+    tried = one.select("address", F.explode(F.array(*(F.struct(F.lit(n).alias("_bits"), _network(number, F.lit(n)).alias("_net")) for n in lengths))).alias("t")).select("address", "t.*")
+    best = tried.join(nets, ["_bits", "_net"]).groupBy("address").agg(F.min("_what").alias("_what"))
+    return one.join(best, "address", "left").select("address", F.coalesce("_what.label", F.lit("??")).alias("place"))
+
+
+def ipv6_hex(address: Column) -> Column:
+    """An IPv6 address as 32 hex digits; null for anything else. One run of zeros may be left out."""
+    low = F.lower(address)
+    ok = low.rlike("^[0-9a-f:]+$") & low.contains(":") & ~low.contains(":::") & ~low.rlike("::.*::")
+    halves = F.split(low, "::")
+    groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    head, tail = groups(0), groups(1)
+    gap = 8 - F.size(head) - F.size(tail)
+    zeros = F.when(low.contains("::") & (gap > 0), F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    all_ = F.concat(head, zeros, tail)
+    return F.when(ok & (F.size(all_) == 8) & ~F.exists(all_, lambda g: F.length(g) > 4), F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def _bits_of(hexed: Column) -> Column:
+    """32 hex digits as 128 binary ones."""
+    return F.concat(*(F.lpad(F.conv(F.substring(hexed, 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(4)))
+
+
+def longest_ipv6(addresses: DataFrame, prefixes: DataFrame, value: Column) -> DataFrame:
+    """J5, J6 for IPv6: (address, value) of the longest prefix that holds each distinct IPv6 address; of equal prefixes
+    the largest value. prefixes has cidr. The lengths are 129 at most; each is one equality join."""
+    part = lambda k: F.get(F.split("cidr", "/"), F.lit(k))
+    bits = F.coalesce(part(1).try_cast("int"), F.lit(128))
+    nets = prefixes.select(bits.alias("_n"), _bits_of(ipv6_hex(part(0))).alias("_all"), value.alias("_value")).where("_n between 0 and 128 and _all is not null")
+    nets = nets.groupBy("_n", F.expr("left(_all, _n)").alias("_net")).agg(F.max("_value").alias("_value"))
+    lengths = [r["_n"] for r in nets.select("_n").distinct().collect()]  # 129 at most
+    one = addresses.select("address").where("address is not null").distinct().withColumn("_all", _bits_of(ipv6_hex(F.col("address")))).where("_all is not null")
+    tried = one.select("address", "_all", F.explode(F.array(*(F.lit(n) for n in lengths or [0]))).alias("_n")).withColumn("_net", F.expr("left(_all, _n)"))
+    return tried.join(nets, ["_n", "_net"]).groupBy("address").agg(F.max_by("_value", "_n").alias("value"))

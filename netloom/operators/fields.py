@@ -25,9 +25,11 @@ def _number(offset: Column, length: int) -> Column:
 
 
 def layout(packets: DataFrame) -> DataFrame:
-    """packets with _tags (0 to 2 VLAN tags), _type (Ethernet type in hex), _ip and _l4 (offsets), _proto."""
-    kind = lambda at: F.hex(F.substring("bytes", at + 1, 2))
-    tags = F.when(~kind(12).isin(*TAGS), 0).when(~kind(16).isin(*TAGS), 1).otherwise(2)
+    """packets with _tags (how many VLAN tags), _type (Ethernet type in hex), _ip and _l4 (offsets), _proto."""
+    first = F.hex(F.substring("bytes", 13, 2)).isin(*TAGS)
+    # all tags there are; only frames that begin with one are looked through
+    found = F.regexp_extract(F.hex(F.expr("substring(bytes, 13)")), "^((?:(?:" + "|".join(TAGS) + ")[0-9A-F]{4})*)", 1)
+    tags = F.when(first, (F.length(found) / 8).cast("int")).otherwise(0)
     rows = packets.withColumn("_tags", F.when(F.length("bytes") >= 14, tags))
     rows = rows.withColumn("_ip", 14 + 4 * F.col("_tags")).withColumn("_type", F.hex(_cut(F.col("_ip") - 2, 2)))
     v4 = (F.col("_type") == "0800") & (F.length("bytes") >= F.col("_ip") + 20)
@@ -37,7 +39,7 @@ def layout(packets: DataFrame) -> DataFrame:
 
 
 def fields(packets: DataFrame) -> DataFrame:
-    """One row for each field of each frame: no, layer, path, label, value, offset, length.
+    """One row for each field of each frame: no, layer, path, label, value, offset, length.
 
     A field that the frame is too short for, or whose layer isn't there, has no row. One pass, no shuffle: the
     fields are an array of each row's own bytes.
@@ -64,15 +66,19 @@ def fields(packets: DataFrame) -> DataFrame:
         ]
 
     groups = lambda data: F.regexp_replace(F.lower(F.hex(data)), r"(....)(?!$)", "$1:")
+    record = _number(at("_pay")(0), 1)
+    content = F.when(record == 20, "change_cipher_spec").when(record == 21, "alert").when(record == 22, "handshake").when(record == 23, "application_data")
+    tls = (_number(at("_pay")(1), 1) == 3) & (F.length("bytes") >= at("_pay")(5))
+    dtls = (_number(at("_pay")(1), 1) == 254) & (F.length("bytes") >= at("_pay")(13))
     every = [
-        field("Frame", "frame.number", "Number", F.col("no")),
-        field("Frame", "frame.time", "Time", F.format_string("%.6f", F.col("timestamp"))),
-        field("Frame", "frame.len", "Length", F.col("length")),
+        field("Frame", "frame.number", "Frame Number", F.col("no")),
+        field("Frame", "frame.time", "Relative Time", F.format_string("%.6fs", F.col("timestamp"))),
+        field("Frame", "frame.len", "Frame Length", F.col("length")),
         field("Frame", "proto", "Protocol", F.col("protocol")),
-        field("Ethernet", "eth.dst", "Destination", T.mac(F.substring("bytes", 1, 6)), zero, 6, F.col("_tags").isNotNull()),
-        field("Ethernet", "eth.src", "Source", T.mac(F.substring("bytes", 7, 6)), zero + 6, 6, F.col("_tags").isNotNull()),
-        field("Ethernet", "eth.type", "Type", F.concat(F.lit("0x"), F.lower(F.col("_type"))), ip(-2), 2),
-        *tag(0, "VLAN", "vlan", F.col("_tags") == 1), *tag(0, "Outer VLAN", "vlan.outer", F.col("_tags") == 2), *tag(1, "VLAN", "vlan", F.col("_tags") == 2),
+        field("Ethernet", "eth.dst", "Destination MAC", T.mac(F.substring("bytes", 1, 6)), zero, 6, F.col("_tags").isNotNull()),
+        field("Ethernet", "eth.src", "Source MAC", T.mac(F.substring("bytes", 7, 6)), zero + 6, 6, F.col("_tags").isNotNull()),
+        field("Ethernet", "eth.type", "EtherType", F.concat(F.lit("0x"), F.lower(F.col("_type"))), ip(-2), 2),
+        *tag(0, "VLAN", "vlan", F.col("_tags") == 1), *tag(0, "Outer VLAN", "vlan.outer", F.col("_tags") >= 2), *tag(1, "VLAN", "vlan", F.col("_tags") >= 2),
         field("VLAN", "vlan.id", "VLAN ID", F.col("vlan_id"), there=F.col("_tags") == 0),
         field("IPv4", "ip.version", "Version", F.shiftright(_number(ip(0), 1), 4), ip(0), 1, v4),
         field("IPv4", "ip.hdr_len", "Header Length", _number(ip(0), 1).bitwiseAND(15) * 4, ip(0), 1, v4),
@@ -99,8 +105,20 @@ def fields(packets: DataFrame) -> DataFrame:
         field("UDP", "udp.dstport", "Destination Port", _number(l4(2), 2), l4(2), 2, udp),
         field("UDP", "udp.length", "Length", _number(l4(4), 2), l4(4), 2, udp),
         field("UDP", "udp.checksum", "Checksum", hexed(_number(l4(6), 2), 4), l4(6), 2, udp),
+        field("TLS", "tls.record.content_type", "Record Content Type", content, at("_pay")(0), 1, tls),
+        field("TLS", "tls.record.version", "Record Version", hexed(_number(at("_pay")(1), 2), 4), at("_pay")(1), 2, tls),
+        field("TLS", "tls.record.length", "Record Length", _number(at("_pay")(3), 2), at("_pay")(3), 2, tls),
+        field("DTLS", "dtls.record.content_type", "Record Content Type", content, at("_pay")(0), 1, dtls),
+        field("DTLS", "dtls.record.version", "Record Version", hexed(_number(at("_pay")(1), 2), 4), at("_pay")(1), 2, dtls),
+        field("DTLS", "dtls.record.epoch", "Epoch", _number(at("_pay")(3), 2), at("_pay")(3), 2, dtls),
+        field("DTLS", "dtls.record.sequence_number", "Sequence Number", _number(at("_pay")(5), 6), at("_pay")(5), 6, dtls),
+        field("DTLS", "dtls.record.length", "Record Length", _number(at("_pay")(11), 2), at("_pay")(11), 2, dtls),
+        field("Bytes", "payload.len", "Captured Bytes", F.length("bytes"), there=F.col("_tags").isNull()),
     ]
-    return layout(packets).select("no", F.inline(F.array_compact(F.array(*every))))
+    rows = layout(packets)
+    head = (F.shiftright(_number(F.col("_l4") + 12, 1), 4) * 4).cast("int")
+    rows = rows.withColumn("_pay", F.when(F.col("_proto") == 6, F.col("_l4") + head).when(F.col("_proto") == 17, F.col("_l4") + 8))
+    return rows.select("no", F.inline(F.array_compact(F.array(*every))))
 
 
 def found_in(table: DataFrame, query: str) -> DataFrame:
@@ -114,3 +132,11 @@ def compared(left: DataFrame, right: DataFrame) -> DataFrame:
     both = side(left, "left").join(side(right, "right"), ["layer", "path"], "full_outer")
     change = F.when(F.col("left").isNull(), "right only").when(F.col("right").isNull(), "left only").otherwise("changed")
     return both.where("not (left <=> right)").withColumn("change", change)
+
+
+def first_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The place of the first byte in which two packets differ and the bytes there, null where one has ended; no
+    row if they are the same. Each side is one packet."""
+    byte = lambda p, name: p.select(F.posexplode(F.regexp_extract_all(F.hex("bytes"), F.lit("(..)"), F.lit(1))).alias("offset", name))
+    both = byte(left, "left").join(byte(right, "right"), "offset", "full_outer").where("not (left <=> right)")
+    return both.orderBy("offset").limit(1)

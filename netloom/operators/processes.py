@@ -38,7 +38,7 @@ def process_totals(hits: DataFrame) -> DataFrame:
 
 def address_reputation(addresses: DataFrame, reputation: DataFrame) -> DataFrame:
     """Each distinct public address with the severity and label of its longest prefix; others are left out."""
-    cidr = F.when(F.col("target").contains("/"), F.col("target")).otherwise(F.concat("target", F.lit("/32")))
+    cidr = F.when(F.col("target").contains("/"), F.col("target")).when(F.col("target").contains(":"), F.concat("target", F.lit("/128"))).otherwise(F.concat("target", F.lit("/32")))
     known = reputation.where("kind = 'address'").select(cidr.alias("cidr"), F.col("severity").alias("asn"), F.col("label").alias("organization"))
     return identities(addresses, known).where("source = 'prefix map'").select("address", F.col("asn").alias("severity"), F.col("organization").alias("label"))
 

@@ -117,13 +117,13 @@ def malformed(packets: DataFrame, tiny: int = 8) -> DataFrame:
     fragment = v4 & (at(6, 2).bitwiseAND(0x3FFF) != 0)
     more = at(6, 2).bitwiseAND(0x2000) != 0
     bad = (ihl < 20) | (total < ihl)
-    tcp = v4 & (at(9) == 6) & ~fragment
+    tcp = v4 & (at(9) == 6) & (at(6, 2).bitwiseAND(0x1FFF) == 0) & (ihl >= 20)
     offset = F.shiftright(_number(F.col("_ip") + ihl.cast("int") + 12, 1), 4) * 4
     short = F.length("bytes") < F.col("_ip") + ihl + 20
     rules = [
         ("Malformed IPv4 fragment", "HIGH", _sure(fragment & bad)),
-        ("Tiny IPv4 fragment", "HIGH", _sure(fragment & ~bad & more & (total - ihl < tiny))),
-        ("Malformed TCP header", "HIGH", _sure(tcp & ((ihl < 20) | (total < ihl + 20) | short | (offset < 20) | (total < ihl + offset)))),
+        ("Tiny IPv4 fragment", "HIGH", _sure(fragment & more & (F.greatest(total - ihl, F.lit(0)) < tiny))),
+        ("Malformed TCP header", "HIGH", _sure(tcp & ((total < ihl + 20) | short | (offset < 20) | (total < ihl + offset)))),
     ]
     return _found(rows, "IDS", rules)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.decode import _kept
 from netloom.operators.detect import _alerts
 from netloom.operators.fields import _number, layout
-from netloom.operators.windows import ORDER, first_of, folded, sessions
+from netloom.operators.windows import first_of, folded, running, sessions
 
 ENDS = ["src", "src_port", "dst", "dst_port"]
 
@@ -25,18 +25,22 @@ def segments(packets: DataFrame) -> DataFrame:
 def reassembled(packets: DataFrame) -> DataFrame:
     """The payload of each direction in order: rows of place in the stream and new bytes, so no stream is ever
     whole in memory. Segments ahead of a gap wait in the fold's state; bytes that were there are cut off; numbers
-    wrap at 32 bits; a SYN begins anew, and what still waits behind a gap at the end is left out."""
+    wrap at 32 bits; a SYN begins anew, and what still waits behind a gap at the end is left out. A row with `closed`
+    comes for a reset, and for a FIN once all bytes before it are there; the payload of a reset doesn't count."""
 
     def step(state: dict, r) -> list[tuple]:
-        data, seq = bytes(r.payload), r.seq
+        data, seq, fin = bytes(r.payload), r.seq, bool(r.flags & 1)
+        row = lambda no, new, closed: (r.src, r.src_port, r.dst, r.dst_port, state["epoch"], state["at"], no, new, closed)
         if r.flags & 2:
             state.clear()
             seq = (seq + 1) & 0xFFFFFFFF
+        if "next" not in state:
             state.update(next=seq, at=0, wait={}, epoch=r.no)
-        elif "next" not in state:
-            state.update(next=seq, at=0, wait={}, epoch=r.no)
-        if data and len(data) > len(state["wait"].get(seq, (0, b""))[1]):
-            state["wait"][seq] = (r.no, data)
+        if r.flags & 4:
+            return [row(r.no, b"", True)]
+        held = state["wait"].get(seq)
+        if (data or fin) and (held is None or (len(data), fin) > (len(held[1]), held[2])):
+            state["wait"][seq] = (r.no, data, fin)
         if (state["next"] - seq) & 0xFFFFFFFF >= 1 << 31:  # ahead of a gap; what waited before still waits
             return []
         out = []
@@ -46,24 +50,32 @@ def reassembled(packets: DataFrame) -> DataFrame:
             if not ready:
                 return out
             for s, back in sorted(ready, key=lambda x: -x[1]):
-                no, held = state["wait"].pop(s)
+                no, held, fin = state["wait"].pop(s)
                 new = held[(state["next"] - s) & 0xFFFFFFFF :]
                 if new:
-                    out.append((r.src, r.src_port, r.dst, r.dst_port, state["epoch"], state["at"], no, new))
+                    out.append(row(no, new, False))
                     state["next"] = (state["next"] + len(new)) & 0xFFFFFFFF
                     state["at"] += len(new)
+                if fin and state["next"] == (s + len(held)) & 0xFFFFFFFF:
+                    state["next"] = (state["next"] + 1) & 0xFFFFFFFF
+                    out.append(row(no, b"", True))
 
-    return folded(segments(packets), ENDS, step, "src string, src_port int, dst string, dst_port int, first_no long, offset long, no long, data binary")
+    return folded(segments(packets), ENDS, step, "src string, src_port int, dst string, dst_port int, first_no long, offset long, no long, data binary, closed boolean")
 
 
-def after_reset(packets: DataFrame, idle: float = 300.0) -> DataFrame:
-    """Payload on a flow that was reset; once until a SYN or five idle minutes begin it anew."""
+def epochs(packets: DataFrame, idle: float = 300.0) -> DataFrame:
+    """segments with their flow (both directions), its session and epoch: a SYN or five idle minutes begin it anew.
+    SYNs are counted by running sums over buckets of time, so a long flow is many groups."""
     rows = segments(packets)
     end = lambda ip, port: F.concat_ws(":", ip, F.col(port).cast("string"))
     rows = rows.withColumn("flow", F.array_join(F.array_sort(F.array(end("src", "src_port"), end("dst", "dst_port"))), "|"))
-    rows = sessions(rows, ["flow"], idle)
-    w = Window.partitionBy("flow", "session").orderBy(*ORDER)
-    rows = rows.withColumn("epoch", F.count(F.when(F.col("flags").bitwiseAND(2) != 0, 1)).over(w))
-    before = Window.partitionBy("flow", "session", "epoch").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    hit = rows.withColumn("_reset", F.max(F.col("flags").bitwiseAND(4)).over(before)).where((F.col("_reset") > 0) & (F.length("payload") > 0))
-    return _alerts(first_of(hit, ["flow", "session", "epoch"]), "TCP payload after reset", "HIGH", F.concat_ws(" ", "src", F.lit("->"), "dst"), F.col("flow"))
+    return running(sessions(rows, ["flow"], idle), ["flow", "session"], {"epoch": F.col("flags").bitwiseAND(2)})
+
+
+def after_reset(packets: DataFrame, idle: float = 300.0) -> DataFrame:
+    """Payload on a flow that was reset; once until the flow begins anew."""
+    key = ["flow", "session", "epoch"]
+    reset = F.col("flags").bitwiseAND(4)
+    rows = running(epochs(packets, idle), key, {"_resets": reset})
+    hit = rows.where((F.col("_resets") - reset > 0) & (F.length("payload") > 0))
+    return _alerts(first_of(hit.drop("payload"), key), "TCP payload after reset", "HIGH", F.concat_ws(" ", "src", F.lit("->"), "dst"), F.col("flow"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import packet as X
 from netloom.operators import detect, traffic
-from netloom.plans import entities, lookups
+from netloom.plans import entities, frames, lookups
 from netloom.plans.packets import SQL, packets
 
 DAY_HALF = 125.0
@@ -44,7 +44,6 @@ def queries() -> dict:
         "k4_top_conversations": _over(lambda p: traffic.conversations(p).orderBy(F.desc("bytes"), "a", "b", "protocol").limit(20)),
         "d10_vertical_scan": _over(detect.vertical_scan),
         "d11_horizontal_scan": _over(detect.horizontal_scan),
-        "d12_syn_flood": _over(detect.syn_flood),
         "d27_admin_fan_out": _over(detect.admin_fan_out),
         "d_bf_auth_burst": _over(detect.auth_burst),
         "a22_findings": _over(lambda p: detect.correlated(detect.vertical_scan(p).unionByName(detect.horizontal_scan(p)).unionByName(detect.admin_fan_out(p)).unionByName(detect.auth_burst(p)))),
@@ -52,7 +51,7 @@ def queries() -> dict:
         "f5_port_differs": _over(lambda p: p.where(X.any_port(lambda c: c < 100) & ~X.contains("info", "VIEW")).select("no")),
         "f19_internal": _over(lambda p: p.where(~X.is_internal(F.col("dst"))).groupBy("src").agg(F.count("*").alias("external"))),
         "u1_only_in_first_half": _halves,
-    } | lookups.queries() | entities.queries()
+    } | lookups.queries() | entities.queries() | frames.queries()
 
 
 _P = "WITH p AS (" + SQL.replace("{events}", "events") + ")"
@@ -102,7 +101,6 @@ def oracle_sql() -> dict[str, str]:
     bursts = {
         "d10_vertical_scan": ("true", "src, dst", "count(DISTINCT dst_port)", 12, 15, "src", "Vertical port scan", "HIGH", "concat_ws(' ', src, '->', dst)", "concat_ws('|', src, dst)"),
         "d11_horizontal_scan": ("true", "src, dst_port", "count(DISTINCT dst)", 12, 15, "src", "Horizontal host scan", "HIGH", f"concat_ws(' ', src, 'port', {port})", f"concat_ws('|', src, {port})"),
-        "d12_syn_flood": ("true", "dst, dst_port", "count(*)", 100, 1, "dst, dst_port", "SYN flood", "CRIT", f"concat_ws(':', dst, {port})", f"concat_ws('|', dst, {port})"),
         "d27_admin_fan_out": (f"dst_port IN {detect.ADMIN_PORTS} AND {internal.format('src')} AND {internal.format('dst')}", "src, dst_port", "count(DISTINCT dst)", 8, 60, "src, dst_port", "Administrative service fan-out", "HIGH", f"concat_ws(' ', src, 'port', {port})", f"concat_ws('|', src, {port})"),
         "d_bf_auth_burst": ("dst_port = 22", "src, dst, dst_port", "count(*)", 5, 30, None, "Authentication burst", "HIGH", "concat_ws(' ', 'SSH', src, '->', dst)", f"concat_ws('|', src, dst, {port})"),
     }
@@ -110,4 +108,4 @@ def oracle_sql() -> dict[str, str]:
     union = " UNION ALL ".join(f"SELECT * FROM ({out[k]})" for k in ("d10_vertical_scan", "d11_horizontal_scan", "d27_admin_fan_out", "d_bf_auth_burst"))
     out["a22_findings"] = f"SELECT source, signature, correlation_key, count(*) AS hit_count, min(no) AS first_no, max(no) AS last_no, min(timestamp) AS first_time, max(timestamp) AS last_time, arg_max(detail, no) AS detail, 80 AS priority FROM ({union}) GROUP BY ALL"
     out |= lookups.oracle_sql()
-    return out | entities.oracle_sql(out)
+    return out | entities.oracle_sql(out) | frames.oracle_sql()

@@ -56,7 +56,7 @@ def _latency(spark, sf_dir):
 def _domains(spark, sf_dir):
     """Words of documents that are, or end with, the domain of some document's e-mail address."""
     docs = _table(spark, sf_dir, "documents")
-    known = docs.select(F.lit("domain").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit("@([a-z0-9-]+[.][a-z]+)"), F.lit(1))).alias("value")).distinct()
+    known = docs.select(F.lit("domain").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit("@([a-z0-9.-]+[.][a-z]+)"), F.lit(1))).alias("value")).distinct()
     return enrich.domain_hits(docs, "doc_id", "text", known)
 
 
@@ -75,7 +75,7 @@ def queries() -> dict:
         "x1_entropy": _over(lambda p: p.select("no", F.round(T.entropy(F.col("bytes")), 6).alias("entropy"))),
         "a3_beacon_scores": _over(lambda p: behaviour.beacon_scores(p).withColumn("beacon_score", F.round("beacon_score", 6))),
         "w10_running_bytes": _over(_running),
-        "d22_outbound_volume": _over(lambda p: behaviour.outbound_volume(p, volume=1000).select("no", "timestamp", "signature", "detail", "correlation_key")),
+        "d22_outbound_volume": _over(lambda p: behaviour.outbound_volume(p, volume=100).select("no", "timestamp", "signature", "detail", "correlation_key")),
         "d26_external_pairs": _over(lambda p: behaviour.external_resolver(p, port=1003, seconds=20.0).select("no", "timestamp", "signature", "detail", "correlation_key")),
         "d28_marked_fan_out": _over(lambda p: behaviour.ntlm_fan_out(p, hosts=5, seconds=10.0, mark="signup").select("no", "timestamp", "signature", "detail", "correlation_key")),
         "j1_indicator_hits": _indicators,
@@ -108,9 +108,9 @@ def oracle_sql() -> dict[str, str]:
     raw = lambda at, n: f"lower(substring(hex(bytes), {2 * at + 1}, {2 * n}))"
     macs = lambda at: f"rtrim(regexp_replace({raw(at, 6)}, '(..)', '\\1:', 'g'), ':')"
     rows = [
-        ("Frame", "frame.number", "Number", "CAST(no AS STRING)", None, None), ("Frame", "frame.time", "Time", "printf('%.6f', timestamp)", None, None),
-        ("Frame", "frame.len", "Length", "CAST(length AS STRING)", None, None), ("Frame", "proto", "Protocol", "protocol", None, None),
-        ("Ethernet", "eth.dst", "Destination", macs(0), 0, 6), ("Ethernet", "eth.src", "Source", macs(6), 6, 6), ("Ethernet", "eth.type", "Type", f"'0x' || {raw(12, 2)}", 12, 2),
+        ("Frame", "frame.number", "Frame Number", "CAST(no AS STRING)", None, None), ("Frame", "frame.time", "Relative Time", "printf('%.6fs', timestamp)", None, None),
+        ("Frame", "frame.len", "Frame Length", "CAST(length AS STRING)", None, None), ("Frame", "proto", "Protocol", "protocol", None, None),
+        ("Ethernet", "eth.dst", "Destination MAC", macs(0), 0, 6), ("Ethernet", "eth.src", "Source MAC", macs(6), 6, 6), ("Ethernet", "eth.type", "EtherType", f"'0x' || {raw(12, 2)}", 12, 2),
         ("VLAN", "vlan.id", "VLAN ID", "CAST(vlan_id AS STRING)", None, None),
         ("IPv4", "ip.version", "Version", "'4'", 14, 1), ("IPv4", "ip.hdr_len", "Header Length", "'20'", 14, 1), ("IPv4", "ip.len", "Total Length", cell(16, 2), 16, 2), ("IPv4", "ip.id", "Identification", f"'0x' || {raw(18, 2)}", 18, 2),
         ("IPv4", "ip.ttl", "Time To Live", cell(22, 1), 22, 1), ("IPv4", "ip.proto", "Protocol Number", cell(23, 1), 23, 1), ("IPv4", "ip.src", "Source Address", "src", 26, 4), ("IPv4", "ip.dst", "Destination Address", "dst", 30, 4),
@@ -141,7 +141,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, CASE WHEN timestamp - before > 0.001 AND before > 0 THEN timestamp - before END AS gap FROM (SELECT *, lag(timestamp) OVER (PARTITION BY {key} ORDER BY timestamp, no) AS before FROM ({ends}) e) l) g) r GROUP BY ALL) s""",
         "w10_running_bytes": f"SELECT no, src, session, sum(length) OVER (PARTITION BY src, session ORDER BY timestamp, no ROWS UNBOUNDED PRECEDING) AS sent FROM (SELECT *, {session('src', 0.5)} AS session FROM (SELECT *, {new('src', 0.5)} FROM p) a) b",
         "d22_outbound_volume": f"""SELECT no, timestamp, 'Large asymmetric outbound transfer' AS signature, concat_ws(' ', src, 'sent', CAST(sent AS STRING), 'bytes to', dst) AS detail, concat_ws('|', src, dst, CAST(dst_port AS STRING), protocol) AS correlation_key FROM (
-            SELECT *, row_number() OVER (PARTITION BY src, dst, dst_port, protocol ORDER BY timestamp, no) AS k FROM (SELECT *, sum(length) OVER (PARTITION BY src, dst, dst_port, protocol ORDER BY timestamp, no ROWS UNBOUNDED PRECEDING) AS sent FROM p WHERE {internal.format('src')} AND NOT {internal.format('dst')}) a WHERE sent >= 1000) b WHERE k = 1""",
+            SELECT *, row_number() OVER (PARTITION BY src, dst, dst_port, protocol ORDER BY timestamp, no) AS k FROM (SELECT *, sum(length) OVER (PARTITION BY src, dst, dst_port, protocol ORDER BY timestamp, no ROWS UNBOUNDED PRECEDING) AS sent FROM p WHERE {internal.format('src')} AND NOT {internal.format('dst')}) a WHERE sent >= 100) b WHERE k = 1""",
         "d26_external_pairs": f"""SELECT no, timestamp, 'Direct external DNS resolver use' AS signature, concat_ws(' ', src, 'asks', dst) AS detail, concat_ws('|', src, dst) AS correlation_key FROM (
             SELECT *, lag(timestamp) OVER (PARTITION BY src, dst ORDER BY timestamp, no) AS before FROM p WHERE dst_port = 1003 AND {internal.format('src')} AND NOT {internal.format('dst')}) a WHERE before IS NULL OR timestamp - before > 20""",
         "d28_marked_fan_out": f"""SELECT no, timestamp, 'NTLM authentication fan-out' AS signature, concat_ws(' ', src, 'to several hosts') AS detail, src AS correlation_key FROM (SELECT *, row_number() OVER (PARTITION BY src, session ORDER BY timestamp, no) AS k FROM (
@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
     out = {k: f"{_P} {v}" for k, v in over_p.items()}
     out["p12_strings"] = f"SELECT doc_id, value, kind, {sensitive} AS sensitive, count(*) AS n, round(max(entropy), 6) AS entropy FROM ({found}) f GROUP BY ALL"
     out["a21_string_classes"] = f"SELECT kind, count(*) AS found, count(*) FILTER ({sensitive}) AS sensitive, sum(length) AS bytes, round(avg(entropy), 6) AS mean_entropy FROM ({found}) f GROUP BY kind"
-    out["j2_domain_hits"] = """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '@([a-z0-9-]+[.][a-z]+)', 1)) AS domain FROM documents),
+    out["j2_domain_hits"] = """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '@([a-z0-9.-]+[.][a-z]+)', 1)) AS domain FROM documents),
         w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s,;()<>"'']+')) AS word FROM documents)
         SELECT doc_id, word, arg_max(domain, length(domain)) AS domain, word = arg_max(domain, length(domain)) AS exact FROM w JOIN k ON contains(word, '.') AND ends_with(word, domain) GROUP BY doc_id, word"""
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 VERSION = 1
@@ -48,3 +49,82 @@ def load_case(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if manifest is None or manifest["version"] != VERSION:
         raise ValueError("a case of another version")
     return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
+
+
+def graph_summary(nodes: DataFrame, paths: DataFrame, clusters: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """The highest nodes, paths and clusters; nodes must be scored. Text is the caller's to make."""
+    return {
+        "nodes": nodes.orderBy(F.desc("score"), "key").limit(top).select("key", "kind", "label", "score", "why"),
+        "paths": paths.orderBy(F.desc("score"), "kind", "node").limit(top),
+        "clusters": clusters.orderBy(F.desc("score"), "kind", "label").limit(top),
+    }
+
+
+def metrics(packets: DataFrame, findings: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """Counters and gauges in one row: packets, bytes, flows, hosts, findings, packets in the last second and the
+    95th percentile of latency. Flows and hosts are counted after they are grouped."""
+    from netloom.operators.traffic import FLOW, hosts, with_flow_key
+
+    sums = packets.agg(F.count("*").alias("packets_total"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes_total"))
+    flows = with_flow_key(packets).groupBy(*FLOW).agg(F.count("*").alias("_n")).agg(F.count("*").alias("flows"))
+    known = hosts(packets).agg(F.count("*").alias("hosts"))
+    found = findings.agg(F.count("*").alias("security_findings"))
+    rate = packets.groupBy(F.floor("timestamp").alias("_s")).agg(F.count("*").alias("_n")).agg(F.max_by("_n", "_s").alias("packets_per_second"))
+    p95 = latency.agg(F.max("p95_ms").alias("latency_p95_ms")) if latency is not None else sums.select(F.lit(None).cast("double").alias("latency_p95_ms"))
+    out = sums
+    for one in (flows, known, found, rate, p95):  # one row each
+        out = out.join(F.broadcast(one))
+    return out
+
+
+#: What each column of metrics is called in text: name, kind.
+METRICS = {"packets_total": ("packets_observed_total", "counter"), "bytes_total": ("bytes_observed_total", "counter"), "flows": ("active_flows", "gauge"), "hosts": ("hosts_observed", "gauge"), "security_findings": ("security_findings", "gauge"), "packets_per_second": ("packets_per_second", "gauge"), "latency_p95_ms": ("latency_p95_milliseconds", "gauge")}
+
+
+def open_metrics(snapshot: DataFrame, prefix: str = "netloom") -> DataFrame:
+    """A snapshot as OpenMetrics text, in one row."""
+    lines = [F.concat(F.lit(f"# TYPE {prefix}_{name} {kind}\n{prefix}_{name} "), F.coalesce(F.format_string("%.3f", F.col(c)) if c == "latency_p95_ms" else F.col(c).cast("string"), F.lit("0")), F.lit("\n")) for c, (name, kind) in METRICS.items()]
+    return snapshot.select(F.concat(*lines, F.lit("# EOF\n")).alias("text"))
+
+
+#: The tables of a case in full, in the order in which they are read.
+SECTIONS = ("meta", "hosts", "ioc_hits", "rule_hits", "pattern_matches", "alerts", "findings", "credentials", "notes", "incidents", "evidence", "processes", "drift", "containment", "latency", "identity", "graph")
+
+
+def case_sections(packets: DataFrame, tables: dict[str, DataFrame], top: int = 20) -> dict[str, DataFrame]:
+    """The seventeen tables of a case: meta and hosts from the packets, the graph's highest nodes, and what is
+    given under the other names; a table that isn't given is left out. Values of credentials are dropped by `case`."""
+    from netloom.operators.traffic import hosts, summary
+
+    made = {"meta": summary(packets), "hosts": hosts(packets)} | tables
+    if "graph" in made:
+        made["graph"] = made["graph"].orderBy(F.desc("score"), "key").limit(top)
+    unknown = sorted(set(made) - set(SECTIONS))
+    if unknown:
+        raise ValueError(f"no such part of a case: {', '.join(unknown)}")
+    return {name: made[name] for name in SECTIONS if name in made}
+
+
+def references(spark: SparkSession, files: list[str], path: str) -> None:
+    """The lightweight form of a case: where its capture files are, and no packets."""
+    spark.createDataFrame([(VERSION, files)], "version int, files array<string>").write.mode("overwrite").json(f"{path}/references")
+
+
+def load_references(spark: SparkSession, path: str) -> list[str]:
+    """The capture files of a lightweight case; another version is an error."""
+    row = spark.read.schema("version int, files array<string>").json(f"{path}/references").first()
+    if row is None or row["version"] != VERSION:
+        raise ValueError("a case of another version")
+    return list(row["files"])
+
+
+def merge_case(own: dict[str, DataFrame], other: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A case with another's notes, tags, indicators and metadata of objects: rows that are there already come
+    once, by all their columns."""
+    shared = ("notes", "tags", "indicators", "objects")
+    out = dict(own)
+    for name in shared:
+        if name in other:
+            both = own[name].unionByName(other[name], allowMissingColumns=True) if name in own else other[name]
+            out[name] = both.dropDuplicates()
+    return out

@@ -1,52 +1,127 @@
-"""Capture files as rows of frames and back (S1, S14): a Spark data source of one task for each file."""
+"""Capture files as rows of frames and back (S1, S14): a task streams one file at a time, in either direction."""
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The first four bytes of files in either byte order, with microseconds.
 MAGIC = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">"}
 SCHEMA = "path string, record long, timestamp double, length int, bytes binary"
+NAMES = ["path", "record", "timestamp", "length", "bytes"]
+#: Bytes of frames that a task holds before it hands them on.
+HELD = 8 << 20
 
 
-def _frames(data: bytes) -> Iterator[tuple[int, float, int, bytes]]:
+def _frames(stream) -> Iterator[tuple[int, float, int, bytes]]:
     """Number, time, original length and bytes of each whole record; a cut-off record ends the file."""
-    if data[:4] not in MAGIC or len(data) < 24:
+    start = stream.read(24)
+    if start[:4] not in MAGIC or len(start) < 24:
         raise ValueError("not a capture file")
-    head, at, n = struct.Struct(MAGIC[data[:4]] + "IIII"), 24, 0
-    while at + 16 <= len(data):
-        seconds, micros, kept, whole = head.unpack_from(data, at)
-        if at + 16 + kept > len(data):
+    head, n = struct.Struct(MAGIC[start[:4]] + "IIII"), 0
+    while len(mark := stream.read(16)) == 16:
+        seconds, micros, kept, whole = head.unpack(mark)
+        data = stream.read(kept)
+        if len(data) < kept:
             return
         n += 1
-        yield n, seconds + micros / 1e6, whole, data[at + 16 : at + 16 + kept]
-        at += 16 + kept
+        yield n, seconds + micros / 1e6, whole, data
+
+
+def _batches(path: str, stream) -> Iterator[pd.DataFrame]:
+    rows, size = [], 0
+    for frame in _frames(stream):
+        rows.append((path, *frame))
+        size += len(frame[3]) + 64
+        if size > HELD:
+            yield pd.DataFrame(rows, columns=NAMES)
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=NAMES)
+
+
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The frames of all files of a path. Files come through Spark's reader, so any store does; a bad file fails."""
+    """The frames of all files of a path, of any size: Spark lists the files, tasks stream them. A bad file fails."""
+
+    def parse(batches):
+        for batch in batches:
+            for name in batch["path"]:
+                fs, inner = _system(name)
+                with fs.open_input_stream(inner, compression=None, buffer_size=1 << 20) as stream:
+                    yield from _batches(name, stream)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, 4 * spark.sparkContext.defaultParallelism), "path").mapInPandas(parse, SCHEMA)
+
+
+def read_whole(files: DataFrame) -> DataFrame:
+    """The frames of files that come as rows of path and content, as from a stream of new files or a store that only
+    Spark opens; a file is then one value, of at most 2 GB."""
+    import io
 
     def parse(batches):
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
-                rows = [(path, *f) for f in _frames(data)]
-                for k in range(0, len(rows), 4096):
-                    yield pd.DataFrame(rows[k : k + 4096], columns=["path", "record", "timestamp", "length", "bytes"])
+                yield from _batches(path, io.BytesIO(data))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, SCHEMA)
 
 
-def record(timestamp: str = "timestamp", frame: str = "bytes"):
-    """A frame as a record of a little-endian file, in built-in functions."""
+def write(packets: DataFrame, folder: str, by: str | None = None) -> DataFrame:
+    """Packets (timestamp, bytes) as capture files below a folder that all executors reach, in the order of their
+    time, one for each task and value of `by`; the result lists them: path, by, frames. A task that is run again writes
+    files of new names; only those of the attempt that Spark accepts are in the list."""
+    fs, base = _system(folder)
+    fs.create_dir(base, recursive=True)
+
+    def store(batches):
+        fs, base = _system(folder)
+        out, now, done, n, name = None, None, [], 0, ""
+        for pdf in batches:
+            for group, head, data in zip(pdf["group"], pdf["head"], pdf["bytes"]):
+                if out is None or group != now:
+                    if out is not None:
+                        out.close()
+                        done.append((f"{folder}/{name}", now, n))
+                    name, now, n = f"{uuid.uuid4().hex}.pcap", group, 0
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    out.write(file_head())
+                out.write(bytes(head) + bytes(data))
+                n += 1
+        if out is not None:
+            out.close()
+            done.append((f"{folder}/{name}", now, n))
+        yield pd.DataFrame(done, columns=["path", "group", "frames"])
+
+    key = F.col(by).cast("string") if by else F.lit("")
+    rows = packets.select(key.alias("group"), "timestamp", record_head().alias("head"), "bytes")
+    rows = rows.repartition("group").sortWithinPartitions("group", "timestamp") if by else rows.sortWithinPartitions("timestamp")
+    listed = rows.select("group", "head", "bytes").mapInPandas(store, "path string, group string, frames long").collect()  # a row for each file
+    return packets.sparkSession.createDataFrame(listed, "path string, group string, frames long").withColumnRenamed("group", by or "group")
+
+
+def record_head(timestamp: str = "timestamp", frame: str = "bytes"):
+    """The head of a frame's record in a little-endian file, in built-in functions."""
     little = lambda n: F.unhex(F.regexp_replace(F.lpad(F.hex(n), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))
     micros = F.round(F.col(timestamp) * 1_000_000).cast("long")
     size = F.length(frame).cast("long")
-    return F.concat(little(F.floor(micros / 1_000_000)), little(micros % 1_000_000), little(size), little(size), F.col(frame))
+    return F.concat(little(F.floor(micros / 1_000_000)), little(micros % 1_000_000), little(size), little(size))
+
+
+def record(timestamp: str = "timestamp", frame: str = "bytes"):
+    """A frame as a record of a little-endian file."""
+    return F.concat(record_head(timestamp, frame), F.col(frame))
 
 
 def file_head() -> bytes:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def packets(spark: SparkSession, folder: str, schema: str, files: int = 1000) -> DataFrame:
@@ -22,3 +26,126 @@ def bursts(rows: DataFrame, keys: list[str], threshold: int, seconds: int, late:
     """Sessions of a key (a gap of more than `seconds` ends one) with their number of packets, once it is enough."""
     found = rows.withWatermark("event_time", late).groupBy(F.session_window("event_time", f"{seconds} seconds").alias("s"), *keys)
     return found.agg(F.count("*").alias("hits"), F.min("no").alias("first_no"), F.max("no").alias("last_no")).where(F.col("hits") >= threshold).select(*keys, "hits", "first_no", "last_no")
+
+
+def captures(spark: SparkSession, folder: str, files: int = 10) -> DataFrame:
+    """Frames of capture files as they land, ready to be decoded; numbers run within a file."""
+    from netloom.sources import pcap
+
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    landed = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files).load(folder)
+    frames = pcap.read_whole(landed)
+    return frames.withColumn("event_time", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("long")))
+
+
+def rate(rows: DataFrame, late: str = "30 seconds") -> DataFrame:
+    """Packets a second."""
+    return timeline(rows, 1, late).select("bucket", "packets")
+
+
+def _stateful(rows: DataFrame, keys: list[str], step: Callable[[dict, tuple], list[tuple]], out: str, idle: float, late: str) -> DataFrame:
+    """Each key's rows, in order within a batch, through step(state, row); the state lives between batches as
+    JSON, and goes once the watermark is `idle` seconds past the key's last row."""
+    import json
+
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {}
+        found, last = [], held.get("_last", 0.0)
+        for row in pd.concat(list(batches)).sort_values(["timestamp", "no"]).itertuples(index=False, name="Row"):
+            found += step(held, row)
+            last = max(last, row.timestamp)
+        held["_last"] = last
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(int((last + idle) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(found, columns=names)
+
+    return rows.withWatermark("event_time", late).groupBy(*keys).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sliding_bursts(rows: DataFrame, keys: list[str], threshold: int, seconds: float, distinct: str | None = None, late: str = "30 seconds") -> DataFrame:
+    """A row for each burst: the first packet at which a key has so many packets, or distinct values, within the
+    last seconds; anew after a pause as long. Exact, as each packet has a window of its own: the state holds the last
+    `threshold` times, or the last time of each of so many values."""
+    kind = dict(rows.dtypes)
+
+    def step(state: dict, row) -> list[tuple]:
+        now, seen = row.timestamp, state.setdefault("seen", [])
+        if seen and now - max(t for t, _ in seen) > seconds:
+            seen.clear()
+            state["fired"] = False
+        value = str(getattr(row, distinct)) if distinct else row.no
+        seen[:] = [x for x in seen if x[1] != value][-(threshold - 1) :] + [[now, value]] if threshold > 1 else [[now, value]]
+        if state.get("fired") or len(seen) < threshold or now - seen[0][0] > seconds:
+            return []
+        state["fired"] = True
+        return [(*(getattr(row, k) for k in keys), row.no, now)]
+
+    out = ", ".join(f"{k} {kind[k]}" for k in keys) + ", no long, timestamp double"
+    return _stateful(rows, keys, step, out, seconds, late)
+
+
+def changes(rows: DataFrame, key: str, value: str, idle: float = 86_400.0, late: str = "30 seconds") -> DataFrame:
+    """Rows whose value differs from the key's last one, which is forgotten after a day without a row."""
+    kind = dict(rows.dtypes)
+
+    def step(state: dict, row) -> list[tuple]:
+        was, state["value"] = state.get("value"), getattr(row, value)
+        return [(getattr(row, key), row.no, row.timestamp, was, state["value"])] if was is not None and was != state["value"] else []
+
+    some = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    return _stateful(some, [key], step, f"{key} {kind[key]}, no long, timestamp double, before {kind[value]}, after {kind[value]}", idle, late)
+
+
+def handshakes(packets: DataFrame, seconds: int = 30, late: str = "30 seconds") -> DataFrame:
+    """Requests and answers of TCP as two streams, joined by their ends within 30 seconds: each answer with the
+    requests it can belong to, of which the latest (largest request_time) is its own."""
+    from netloom.functions.packet import tcp_flags
+
+    flags = tcp_flags()
+    rows = packets.withColumn("_f", flags.bitwiseAND(0x12)).withWatermark("event_time", late)
+    ask = rows.where("_f = 2").select(F.col("event_time").alias("request_time"), F.col("src").alias("client"), F.col("src_port").alias("client_port"), F.col("dst").alias("target"), F.col("dst_port").alias("port"))
+    answer = rows.where("_f = 18").select("no", F.col("event_time").alias("answer_time"), F.col("dst").alias("c"), F.col("dst_port").alias("cp"), F.col("src").alias("t"), F.col("src_port").alias("p"))
+    near = (F.col("answer_time") >= F.col("request_time")) & (F.col("answer_time") <= F.col("request_time") + F.expr(f"interval {seconds} seconds"))
+    met = ask.join(answer, (F.col("client") == F.col("c")) & (F.col("client_port") == F.col("cp")) & (F.col("target") == F.col("t")) & (F.col("port") == F.col("p")) & near)
+    return met.select("no", "client", "client_port", "target", "port", "request_time", "answer_time", ((F.unix_micros("answer_time") - F.unix_micros("request_time")) / 1000).alias("latency_ms"))
+
+
+def indicator_hits(rows: DataFrame, indicators: DataFrame) -> DataFrame:
+    """Packets of a stream against a table of indicators, as it is when the query starts."""
+    from netloom.operators import enrich
+
+    return enrich.indicator_hits(rows, indicators)
+
+
+def with_fresh(rows: DataFrame, read: Callable[[SparkSession], DataFrame], join: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
+    """A writer that reads a reference table anew for each batch of a stream, joins, and hands the result on."""
+    return rows.writeStream.foreachBatch(lambda batch, number: sink(join(batch, read(batch.sparkSession)), number))
+
+
+def graph_refresh(rows: DataFrame, folder: str):
+    """A writer that keeps the graph of a stream of packets: each batch's nodes and edges are merged with the last
+    snapshot below the folder and written as the next, so a batch that is run again gives the same snapshot."""
+    from pyspark.sql.utils import AnalysisException
+
+    from netloom.operators import graph
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        nodes, edges = graph.from_packets(batch)
+        parts = {"nodes": nodes, "edges": edges}
+        try:
+            last = {name: spark.read.parquet(f"{folder}/{number - 1}/{name}") for name in parts}
+        except AnalysisException:  # the first batch
+            last = None
+        now = (nodes.select("first_seen", "last_seen", "hits", "key", "kind", "label", "severity"), edges.select("first_seen", "last_seen", "hits", "src", "dst", "kind", "bytes"))
+        before = (last["nodes"].select(*now[0].columns), last["edges"].select(*now[1].columns)) if last else None
+        merged = graph.merged(now, before) if before else graph.merged(now)
+        for name, table in zip(parts, merged):
+            table.write.mode("overwrite").parquet(f"{folder}/{number}/{name}")
+
+    return rows.writeStream.foreachBatch(merge)

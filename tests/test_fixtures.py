@@ -85,7 +85,7 @@ def test_fields_of_tagged_udp_and_short_frames(spark):
     got = {(r.no, r.path): (r.value, r.offset) for r in fields.fields(p).collect()}
     assert got[1, "vlan.id"] == ("20", 14) and got[1, "vlan.pcp"] == ("7", 14) and got[1, "ip.src"] == ("10.0.0.9", 30)
     assert got[1, "udp.srcport"] == ("40000", 38) and (1, "tcp.seq") not in got
-    assert {path for no, path in got if no == 2} == {"frame.number", "frame.time", "frame.len", "proto"}
+    assert {path for no, path in got if no == 2} == {"frame.number", "frame.time", "frame.len", "proto", "payload.len"}
     assert {path for no, path in got if no == 3} == {"frame.number", "frame.time"}
 
 
