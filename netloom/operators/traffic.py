@@ -102,3 +102,13 @@ def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
     kinds = left.groupBy(*IDENTITY).agg(F.max("no").alias("no"))
     seen = right.select(*(F.col(c).alias(f"of_{c}") for c in IDENTITY)).distinct()
     return kinds.join(seen, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in IDENTITY], "left_anti")
+
+
+def deltas(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Packets of each protocol and destination port, and bytes of each source, in two sets of packets: kind, value,
+    first, second. One aggregation over both sets, a row of three for each packet, reduced before its shuffle."""
+    part = lambda kind, c, n: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"), n.cast("long").alias("n"))
+    each = F.inline(F.array(part("protocol", "protocol", F.lit(1)), part("source", "src", F.col("length")), part("port", "dst_port", F.lit(1))))
+    both = first.select(F.lit(True).alias("_first"), each).unionByName(second.select(F.lit(False).alias("_first"), each)).where("value is not null")
+    side = lambda is_first, name: F.sum(F.when(F.col("_first") == is_first, F.col("n")).otherwise(0)).alias(name)
+    return both.groupBy("kind", "value").agg(side(True, "first"), side(False, "second"))
