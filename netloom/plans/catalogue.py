@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import packet as X
 from netloom.operators import detect, traffic
-from netloom.plans import entities, frames, lookups, views
+from netloom.plans import entities, files, frames, lookups, views
 from netloom.plans.packets import SQL, packets
 
 DAY_HALF = 125.0
@@ -51,7 +51,7 @@ def queries() -> dict:
         "f5_port_differs": _over(lambda p: p.where(X.any_port(lambda c: c < 100) & ~X.contains("info", "VIEW")).select("no")),
         "f19_internal": _over(lambda p: p.where(~X.is_internal(F.col("dst"))).groupBy("src").agg(F.count("*").alias("external"))),
         "u1_only_in_first_half": _halves,
-    } | lookups.queries() | entities.queries() | frames.queries() | views.queries()
+    } | lookups.queries() | entities.queries() | frames.queries() | views.queries() | files.queries()
 
 
 _P = "WITH p AS (" + SQL.replace("{events}", "events") + ")"
@@ -109,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
     out["a22_findings"] = f"SELECT source, signature, correlation_key, count(*) AS hit_count, min(no) AS first_no, max(no) AS last_no, min(timestamp) AS first_time, max(timestamp) AS last_time, arg_max(detail, no) AS detail, 80 AS priority FROM ({union}) GROUP BY ALL"
     out |= lookups.oracle_sql()
     out |= entities.oracle_sql(out) | frames.oracle_sql()
-    return out | views.oracle_sql(out)
+    out |= views.oracle_sql(out)
+    return out | files.oracle_sql(out)

@@ -83,7 +83,7 @@ _SERVER = "CASE WHEN (part = 1 AND d % 6 = 1) OR (part = 2 AND d % 6 = 4) THEN '
 _NAME = "concat(CASE WHEN part = 1 AND d % 6 = 2 THEN 'b' ELSE 'a' END, CAST(d % 7 AS STRING))"
 #: Groups of a request, its answer, and two more messages: 1 is answered by another server, 2 to another question, 3 with another number, 4 twice and differently, 5 twice alike.
 NAMES = frames(part(4), f"CASE WHEN {_ASKS} THEN {_CLIENT} ELSE {_SERVER} END", f"CASE WHEN {_ASKS} THEN {_SERVER} ELSE {_CLIENT} END", [
-    *ether("0800"), *ipv4("8 + 31", "11", f"CASE WHEN {_ASKS} THEN {_SRC4} ELSE '08080808' END", f"CASE WHEN {_ASKS} THEN '08080808' ELSE {_SRC4} END"), f"CASE WHEN {_ASKS} THEN {hx('30000 + d % 1000', 4)} ELSE '0035' END", f"CASE WHEN {_ASKS} THEN '0035' ELSE {hx('30000 + d % 1000', 4)} END", hx(8 + 31, 4), "'0000'",
+    *ether("0800"), *ipv4("8 + 32", "11", f"CASE WHEN {_ASKS} THEN {_SRC4} ELSE '08080808' END", f"CASE WHEN {_ASKS} THEN '08080808' ELSE {_SRC4} END"), f"CASE WHEN {_ASKS} THEN {hx('30000 + d % 1000', 4)} ELSE '0035' END", f"CASE WHEN {_ASKS} THEN '0035' ELSE {hx('30000 + d % 1000', 4)} END", hx(8 + 32, 4), "'0000'",
     hx(_ID, 4), f"CASE WHEN {_ASKS} THEN '0100' ELSE '8180' END", "'0001000000000000'", "'02'", f"hex({_NAME})", "'07'", "hex('example')", "'03'", "hex('com')", "'0000010001'"], "'DNS'",
     sport=f"CASE WHEN {_ASKS} THEN 30000 + d % 1000 ELSE 53 END", dport=f"CASE WHEN {_ASKS} THEN 53 ELSE 30000 + d % 1000 END")
 TUNNELS = f"SELECT n + 1 AS no, t AS timestamp, 'DNS' AS protocol, concat('Query A x', substring(md5(CAST(n % 500 AS STRING)), 1, CAST(4 + k % 28 AS INT)), '.t', CAST(u AS STRING), '.net') AS info, 40000 AS src_port, 53 AS dst_port FROM {EVENTS} e1"

@@ -83,7 +83,7 @@ METRICS = {"packets_total": ("packets_observed_total", "counter"), "bytes_total"
 
 def open_metrics(snapshot: DataFrame, prefix: str = "netloom") -> DataFrame:
     """A snapshot as OpenMetrics text, in one row."""
-    lines = [F.concat(F.lit(f"# TYPE {prefix}_{name} {kind}\n{prefix}_{name} "), F.coalesce(F.format_string("%.3f", F.col(c)) if c == "latency_p95_ms" else F.col(c).cast("string"), F.lit("0")), F.lit("\n")) for c, (name, kind) in METRICS.items()]
+    lines = [F.concat(F.lit(f"# TYPE {prefix}_{name} {kind}\n{prefix}_{name} "), F.when(F.col(c).isNull(), "0").otherwise(F.format_string("%.3f", F.col(c)) if c == "latency_p95_ms" else F.col(c).cast("string")), F.lit("\n")) for c, (name, kind) in METRICS.items()]
     return snapshot.select(F.concat(*lines, F.lit("# EOF\n")).alias("text"))
 
 

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def packets(spark: SparkSession, folder: str, schema: str, files: int = 1000) -> DataFrame:
-    """Packets as they land, with their time as `event_time`."""
+def _event_time(start: float):
+    return F.timestamp_micros(F.round((F.col("timestamp") + start) * 1_000_000).cast("long"))
+
+
+def packets(spark: SparkSession, folder: str, schema: str, files: int = 1000, start: float = 0.0) -> DataFrame:
+    """Packets as they land, with their time as `event_time`. Where times count from the start of a capture, `start`
+    is its own time: a stream's watermark begins at the epoch, so rows of that very second would come too late."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-    return rows.withColumn("event_time", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("long")))
+    return rows.withColumn("event_time", _event_time(start))
 
 
 def timeline(rows: DataFrame, seconds: int = 1, late: str = "30 seconds", by: tuple[str, ...] = ()) -> DataFrame:
@@ -23,7 +28,7 @@ def timeline(rows: DataFrame, seconds: int = 1, late: str = "30 seconds", by: tu
 
 
 def bursts(rows: DataFrame, keys: list[str], threshold: int, seconds: int, late: str = "30 seconds") -> DataFrame:
-    """Sessions of a key (a gap of more than `seconds` ends one) with their number of packets, once it is enough."""
+    """Sessions of a key (a gap of more than `seconds` ends one) with their number of packets, once it is enough."""
     found = rows.withWatermark("event_time", late).groupBy(F.session_window("event_time", f"{seconds} seconds").alias("s"), *keys)
     return found.agg(F.count("*").alias("hits"), F.min("no").alias("first_no"), F.max("no").alias("last_no")).where(F.col("hits") >= threshold).select(*keys, "hits", "first_no", "last_no")
 
@@ -35,7 +40,7 @@ def captures(spark: SparkSession, folder: str, files: int = 10) -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
     landed = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files).load(folder)
     frames = pcap.read_whole(landed)
-    return frames.withColumn("event_time", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("long")))
+    return frames.withColumn("event_time", _event_time(0.0))
 
 
 def rate(rows: DataFrame, late: str = "30 seconds") -> DataFrame:
