@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netloom.operators import decode, detect, graph, incidents, processes, rules, signatures
 from netloom.plans.lookups import _indicators
 from netloom.plans.packets import SQL, packets
+from netloom.sources import scratch
 
 #: Every page as the payload of a packet to port 80, after 54 bytes for headers; every seventh asks for a log-in.
 PAGES = """SELECT page_id + 1 AS no, CAST(page_id AS DOUBLE) / 10 AS timestamp, '10.0.2.1' AS src, '10.0.3.1' AS dst, 'HTTP' AS protocol, CAST(NULL AS INT) AS length, url AS info,
@@ -26,14 +27,22 @@ def _pages(spark, sf_dir):
     return spark.sql(PAGES, pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def _kept(table):
+    """table, written once: what is read from it doesn't derive it again."""
+    path = scratch.folder(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def _graph(spark, sf_dir):
     p = packets(spark, sf_dir)
-    return graph.merged(graph.from_packets(p), graph.from_alerts(detect.auth_burst(p), p), graph.from_indicators(_indicators(spark, sf_dir), p))
+    nodes, edges = graph.merged(graph.from_packets(p), graph.from_alerts(detect.auth_burst(p), p), graph.from_indicators(_indicators(spark, sf_dir), p))
+    return _kept(nodes), _kept(edges)
 
 
 def _scored(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return graph.scored(nodes, edges), edges
+    return _kept(graph.scored(nodes, edges)), edges
 
 
 def _incidents(spark, sf_dir):
