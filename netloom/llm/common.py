@@ -47,9 +47,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted to be small enough, else as it is. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it is counted to be small enough, else as it is. df should be cheap to count. Where rows
+    hold lists, weight is their length, and the lists' entries are what is counted."""
+    if weight is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(weight + 1).alias("n")).first()["n"] or 0) <= rows else df
 
 
 def id_crc(col: str | Column) -> Column:

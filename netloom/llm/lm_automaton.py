@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import folded_words_of, id_crc, materialise, table
 
 #: Tokens of a block, n-grams of a bucket: what a task holds at once.
-BLOCK_TOKENS, BUCKET_NGRAMS = 800_000, 1_500_000
+BLOCK_TOKENS, BUCKET_NGRAMS = 600_000, 1_200_000
 #: K: the weight of the shorter history, in tokens.
 PRIOR = 300.0
 #: No word holds a line break, so these stand for the end of a text and for what is before its first word.
@@ -227,4 +227,6 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
 
 
 def op2_lm(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of documents: see lm_scores for nulls, repeats and empty tables. Null ids count as the empty
+    text for the split. Nothing is ordered, so there are no ties; extra columns are not read."""
     return lm_scores(table(spark, sf_dir, "documents"), id_crc("doc_id") % 7 == 2)

@@ -169,7 +169,7 @@ def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: int = SEED, topic_col: str | None = None) -> DataFrame:
     """docs with n_tokens, topic, weight, probability and sampled for each row; topic is topic_col where one is named.
 
-    A null source or language is a value of its own. Empty and null texts have no tokens: their probability is 0.
+    Columns of docs by these names are replaced. A null source or language is a value of its own. Empty and null texts have no tokens: their probability is 0.
     A row is sampled if a hash of seed and id (null ids: of the text), spread over 0 to 1, is below its
     probability, so a rerun draws the same rows and repeated rows share their fate.
     """
@@ -177,12 +177,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targe
     rows = rows.withColumns({"n_tokens": F.col("_measured.n_tokens"), "topic": F.col(topic_col or "_measured.topic")}).drop("_measured")
     slim = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     cells = materialise(probabilities(rake(slim, targets=targets), keep))
-    cells = cells.select(*(F.col(d).alias(f"of_{d}") for d in DIMENSIONS), "weight", "probability")
-    on = [F.col(d).eqNullSafe(F.col(f"of_{d}")) for d in DIMENSIONS]
+    cells = cells.select(*(F.col(c).alias(f"_of_{c}") for c in (*DIMENSIONS, "weight", "probability")))
+    on = [F.col(d).eqNullSafe(F.col(f"_of_{d}")) for d in DIMENSIONS]
     chance = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out = rows.join(bounded(cells), on, "left").drop(*(f"of_{d}" for d in DIMENSIONS))
-    out = out.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))})
-    return out.withColumn("sampled", chance < F.col("probability"))
+    out = rows.join(bounded(cells), on, "left")
+    out = out.withColumns({"weight": F.coalesce("_of_weight", F.lit(0.0)), "probability": F.when(F.col("n_tokens") > 0, F.coalesce("_of_probability", F.lit(0.0))).otherwise(F.lit(0.0))})
+    return out.drop(*cells.columns).withColumn("sampled", chance < F.col("probability"))
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:

@@ -268,4 +268,6 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row of documents: see packed for nulls, repeats and empty tables. Equal lengths are
+    told apart by their place in the block; extra columns are not read."""
     return packed(table(spark, sf_dir, "documents"))

@@ -172,7 +172,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs, all rows and columns, with personal data in the text replaced by their kind, and disclosing terms
     by <TERM> or nothing. A null text stays null. Only documents with such terms are looked up in a join."""
     spans = find(docs, id_col, text_col).where(F.size("terms") > 0).select(F.col(id_col).alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("terms").alias("_pii_terms"))
-    spans = bounded(materialise(spans.dropDuplicates(["_pii_id", "_pii_key"])))
+    spans = bounded(materialise(spans.dropDuplicates(["_pii_id", "_pii_key"])), weight=F.size("_pii_terms"))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, terms: pd.Series) -> pd.Series:
