@@ -9,7 +9,7 @@ from netloom.functions import text as T
 from netloom.functions.packet import contains, is_internal, tcp_flags
 from netloom.operators.detect import _alerts
 from netloom.operators.traffic import FLOW, with_flow_key
-from netloom.operators.windows import ORDER, first_of, latched, reaching, running, sessions
+from netloom.operators.windows import ORDER, first_of, latched, previous, reaching, running, sessions
 
 PAIR = ("src", "src_port", "dst", "dst_port", "protocol")
 
@@ -145,8 +145,7 @@ def handshakes(packets: DataFrame, seconds: float = 30.0, gateway: str | None =
     rows = packets.withColumn("_answer", F.when(flags.bitwiseAND(0x12) == 0x12, True).when(flags.bitwiseAND(0x12) == 2, False)).where("_answer is not null and src_port is not null and dst_port is not null")
     end = lambda a, b: F.when(F.col("_answer"), F.col(a)).otherwise(F.col(b))
     rows = rows.select("no", "timestamp", "_answer", end("dst", "src").alias("client"), end("src", "dst").alias("target"), end("dst_port", "src_port").alias("client_port"), end("src_port", "dst_port").alias("port"))
-    w = Window.partitionBy("client", "target", "client_port", "port").orderBy(*ORDER)
-    paired = rows.withColumns({"_asked": F.lag("timestamp").over(w), "_was_answer": F.lag("_answer").over(w)})
+    paired = previous(rows, ["client", "target", "client_port", "port"], {"_asked": F.col("timestamp"), "_was_answer": F.col("_answer")})
     wait = F.col("timestamp") - F.col("_asked")
     kind = F.when(F.col("target") == F.lit(gateway), "gateway").otherwise("handshake")
     return paired.where(F.col("_answer") & ~F.col("_was_answer") & (wait <= seconds)).select("no", "timestamp", kind.alias("kind"), "target", (F.greatest(wait, F.lit(0.0)) * 1000).alias("latency_ms"))
@@ -158,10 +157,12 @@ CLASSES_MS = (1, 10, 50, 100, 250)
 
 def latency_summary(samples: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
     """Samples, median and 95th percentile (the value at the rounded place, not an interpolation), and classes.
-    Equal latencies are counted before they are ordered, so the window sees distinct values."""
+    Equal latencies are counted before they are placed, and the places come from running sums over buckets."""
     counts = samples.groupBy(*by, "latency_ms").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"_upto": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    totals = samples.groupBy(*(F.col(c).alias(f"_t_{c}") for c in by)).agg(F.count("*").alias("_all"))
+    # buckets of ten milliseconds stand for time: a kind's latencies are as many groups as it has of these
+    spread = running(counts.withColumns({"timestamp": F.col("latency_ms"), "no": F.lit(0)}), list(by), {"_upto": F.col("_n")}, 10.0)
+    placed = spread.join(totals, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by])
     at = lambda q: F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * q + 0.5), F.col("latency_ms")))
     edges = [None, *CLASSES_MS, None]
     name = lambda lo, hi: f"below_{hi}" if lo is None else f"from_{lo}"

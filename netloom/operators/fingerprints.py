@@ -6,7 +6,7 @@ import hashlib
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.packet import tcp_flags
@@ -14,7 +14,7 @@ from netloom.operators.dns import messages
 from netloom.operators.fields import _number
 from netloom.operators.handshake import _u16s
 from netloom.operators.traffic import FLOW, with_flow_key
-from netloom.operators.windows import ORDER, latched
+from netloom.operators.windows import ORDER, latched, previous
 
 #: Names of cipher suites and versions, and the suites that are weak.
 CIPHERS = {
@@ -201,7 +201,6 @@ def dns_latency(packets: DataFrame, seconds: float = 30.0) -> DataFrame:
     rows = m.where(ask | (F.col("response") & (F.col("src_port") == 53)))
     end = lambda a, b: F.when(F.col("response"), F.col(a)).otherwise(F.col(b))
     rows = rows.select("no", "timestamp", "response", end("dst", "src").alias("client"), end("src", "dst").alias("target"), "id")
-    w = Window.partitionBy("client", "target", "id").orderBy(*ORDER)
-    paired = rows.withColumns({"_asked": F.lag("timestamp").over(w), "_was": F.lag("response").over(w)})
+    paired = previous(rows, ["client", "target", "id"], {"_asked": F.col("timestamp"), "_was": F.col("response")})
     wait = F.col("timestamp") - F.col("_asked")
     return paired.where(F.col("response") & ~F.col("_was") & (wait <= seconds)).select("no", "timestamp", F.lit("dns").alias("kind"), "target", (F.greatest(wait, F.lit(0.0)) * 1000).alias("latency_ms"))

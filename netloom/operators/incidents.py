@@ -22,15 +22,17 @@ def incidents(findings: DataFrame, packets: DataFrame, severity: str = "CRIT") -
 
 def history(found: DataFrame, packets: DataFrame, before: int = 500, most: int = 2000) -> DataFrame:
     """Each incident's packets: those with the attacker at either end, the earliest `before` of those ahead of
-    its first finding and all later ones, `most` in all. The limits are the feature; a window's group limit cuts each
-    task's rows before the shuffle."""
+    its first finding and all later ones, the last `most` in all. The limits are the feature; a window's group limit cuts
+    each task's rows before the shuffle."""
     ends = packets.select("no", "timestamp", F.explode(F.array_distinct(F.array("src", "dst"))).alias("attacker"))
-    rows = found.select("incident_id", "attacker", "first_no").join(ends, "attacker")
-    early = F.col("no") < F.col("first_no")
-    w = lambda *by: Window.partitionBy("incident_id").orderBy(*by)
-    prior = rows.where(early).withColumn("_k", F.row_number().over(w("no"))).where(F.col("_k") <= before)
-    kept = prior.drop("_k").unionByName(rows.where(~early))
-    return kept.withColumn("_k", F.row_number().over(w(F.desc("no")))).where(F.col("_k") <= most).select("incident_id", "no", "timestamp", "attacker")
+    ends = ends.join(found.select(F.col("attacker").alias("_a")).distinct(), F.col("attacker") == F.col("_a"), "left_semi")
+    # an attacker's packets are ranked once, whatever the number of its incidents: its first `before` and last `most` will do
+    by = lambda order: F.row_number().over(Window.partitionBy("attacker").orderBy(order))
+    first = ends.withColumn("_k", by(F.col("no"))).where(F.col("_k") <= before)
+    last = ends.withColumn("_k", by(F.desc("no"))).where(F.col("_k") <= most)
+    rows = found.select("incident_id", "attacker", "first_no").join(first.withColumn("_early", F.lit(True)).unionByName(last.withColumn("_early", F.lit(False))), "attacker")
+    kept = rows.where(F.col("_early") == (F.col("no") < F.col("first_no"))).select("incident_id", "no", "timestamp", "attacker")
+    return kept.withColumn("_k", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("no")))).where(F.col("_k") <= most).drop("_k")
 
 
 def independent(found: DataFrame, detectors: int = 2) -> DataFrame:
@@ -50,7 +52,7 @@ def decisions(found: DataFrame, protected: DataFrame | None = None, mode: str =
     """What a policy says about each incident, by mode: monitor, preview, manual or automatic.
 
     protected has address. Automatic needs two independent detectors of the same pair and admits the first `most`
-    incidents, by time; the running number is taken among the incidents that pass all else, which are few.
+    incidents by time, of those that pass all else: a sorted limit, not an order over all incidents.
     """
     rows = found.join(independent(found).select("attacker", "target", F.lit(True).alias("_gate")), ["attacker", "target"], "left")
     if protected is None:
@@ -63,8 +65,11 @@ def decisions(found: DataFrame, protected: DataFrame | None = None, mode: str =
     if answer is None:
         answer = F.lit("rejected") if stopped else F.when(gate, "applied").otherwise("pending approval")
     rows = rows.withColumn("_refused", refused).withColumn("status", F.when(F.col("_refused").isNotNull(), "rejected").otherwise(answer))
-    place = F.row_number().over(Window.partitionBy("status").orderBy("first_time", "incident_id"))
-    return rows.withColumn("status", F.when((F.col("status") == "applied") & (place > most), "rejected").otherwise(F.col("status"))).select("incident_id", *KEY, F.coalesce("_refused", F.lit(mode)).alias("reason"), "status")
+    out = rows.select("incident_id", *KEY, F.coalesce("_refused", F.lit(mode)).alias("reason"), "status", "first_time")
+    if mode == "automatic" and not stopped:
+        admitted = out.where("status = 'applied'").orderBy("first_time", "incident_id").limit(most).select(F.col("incident_id").alias("_id"))
+        out = out.join(F.broadcast(admitted), F.col("incident_id") == F.col("_id"), "left").withColumn("status", F.when((F.col("status") == "applied") & F.col("_id").isNull(), "rejected").otherwise(F.col("status"))).drop("_id")
+    return out.drop("first_time")
 
 
 def restored(fresh: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from netloom.functions import text as T
 from netloom.operators.decode import _kept
 from netloom.operators.detect import _alerts
 from netloom.operators.fields import _cut, _number, layout
-from netloom.operators.windows import ORDER, first_of, folded, latched, sessions
+from netloom.operators.windows import first_of, folded, latched, previous, sessions
 
 #: Fixed value: the address that trunk negotiation frames are sent to.
 DTP = bytes([0x01, 0x00, 0x0C, 0xCC, 0xCC, 0xCC])
@@ -58,10 +58,9 @@ def mac_on_vlans(packets: DataFrame) -> DataFrame:
 
 
 def changed(rows: DataFrame, key: str, value: str, signature: str, severity: str) -> DataFrame:
-    """Rows whose value differs from the key's last one. A row is compared with its predecessor only, but one
-    window orders all rows of a key; it spills and isn't split."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*ORDER))
-    found = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).withColumn("_before", before).where(F.col("_before") != F.col(value))
+    """Rows whose value differs from the key's last one; a busy key is many groups (see previous)."""
+    known = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).drop("bytes")
+    found = previous(known, [key], {"_before": F.col(value)}).where(F.col("_before") != F.col(value))
     return _alerts(found, signature, severity, F.concat_ws(" ", key, F.lit("moved from"), "_before", F.lit("to"), value), F.col(key))
 
 

@@ -70,6 +70,18 @@ def running(rows: DataFrame, keys: list[str], measures: dict[str, Column], secon
     return out.drop("_bucket", *(f"_x_{m}" for m in measures), *(f"_before_{m}" for m in measures))
 
 
+def previous(rows: DataFrame, keys: list[str], columns: dict[str, Column], seconds: float = 60.0) -> DataFrame:
+    """Rows with what columns were in the key's row before, null in its first: that of the same bucket, or else the
+    last of the bucket before, carried by one row for each key and bucket."""
+    dated = in_buckets(rows.withColumn("_x", F.struct(*(c.alias(n) for n, c in columns.items()))), seconds)
+    ends = dated.groupBy(*keys, "_bucket").agg(F.max_by("_x", F.struct(*ORDER)).alias("_x"))
+    carried = ends.select(*keys, "_bucket", F.lag("_x").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*ORDER)
+    out = of_bucket(dated, carried, keys).withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag("_x").over(inside)})
+    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))
+    return out.withColumns({n: before[n] for n in columns}).drop("_bucket", "_x", "_carried", "_first", "_lag")
+
+
 def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each key's first row. An aggregation, so a task keeps one row a key before the shuffle."""
     return rows.groupBy(*(F.col(k).alias(f"_by_{k}") for k in keys)).agg(F.min_by(F.struct(*rows.columns), F.struct(*ORDER)).alias("_row")).select("_row.*")

@@ -9,9 +9,6 @@ from netloom.operators import detect, traffic
 from netloom.plans import entities, files, frames, lookups, views
 from netloom.plans.packets import SQL, packets
 
-DAY_HALF = 125.0
-
-
 def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -22,7 +19,8 @@ def _over(operator):
 
 def _halves(spark, sf_dir):
     p = packets(spark, sf_dir)
-    return traffic.only_in(p.where(F.col("timestamp") < DAY_HALF), p.where(F.col("timestamp") >= DAY_HALF))
+    half = p.agg(F.max("timestamp")).first()[0] / 2
+    return traffic.only_in(p.where(F.col("timestamp") < half), p.where(F.col("timestamp") >= half))
 
 
 def queries() -> dict:
@@ -95,7 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "f1_protocol": " SELECT no FROM p WHERE lower(protocol) = 'ssh' OR contains(lower(info), 'ssh') OR contains(src, 'ssh') OR contains(dst, 'ssh')",
         "f5_port_differs": " SELECT no FROM p WHERE (src_port < 100 OR dst_port < 100) AND NOT contains(lower(info), 'view')",
         "f19_internal": f" SELECT src, count(*) AS external FROM p WHERE NOT {internal.format('dst')} GROUP BY src",
-        "u1_only_in_first_half": f" SELECT protocol, src, dst, src_port, dst_port, length, max(no) AS no FROM p WHERE timestamp < {DAY_HALF} AND (protocol, src, dst, src_port, dst_port, length) NOT IN (SELECT (protocol, src, dst, src_port, dst_port, length) FROM p WHERE timestamp >= {DAY_HALF}) GROUP BY ALL",
+        "u1_only_in_first_half": f" SELECT protocol, src, dst, src_port, dst_port, length, max(no) AS no FROM p WHERE timestamp < (SELECT max(timestamp) / 2 FROM p) AND (protocol, src, dst, src_port, dst_port, length) NOT IN (SELECT (protocol, src, dst, src_port, dst_port, length) FROM p WHERE timestamp >= (SELECT max(timestamp) / 2 FROM p)) GROUP BY ALL",
     }
     out = {k: _P + v for k, v in out.items()}
     bursts = {

@@ -9,7 +9,7 @@ from netloom.operators import behaviour, enrich, fields, strings, traffic
 from netloom.operators.windows import running, sessions
 from netloom.plans.packets import SQL, packets
 
-HALF = 125.0
+HALF = "(SELECT max(timestamp) / 2 FROM p)"
 #: Dimension tables derived from the given tables; the SQL runs in Spark and in DuckDB alike.
 INDICATORS = "SELECT 'ip' AS kind, concat('10.0.1.', CAST(c_custkey % 40 AS STRING)) AS value, c_name AS description FROM {customer}"
 PREFIXES = "SELECT concat('203.0.113.', CAST(s_suppkey % 4 AS STRING), '/', CAST(22 + s_suppkey % 11 AS STRING)) AS cidr, CAST(s_nationkey AS STRING) AS asn, s_name AS organization FROM {supplier}"
@@ -29,7 +29,8 @@ def _over(operator):
 def _halves(operator):
     def run(spark, sf_dir):
         p = packets(spark, sf_dir)
-        return operator(enrich.routes(p.where(F.col("timestamp") >= HALF)), enrich.routes(p.where(F.col("timestamp") < HALF)))
+        half = p.agg(F.max("timestamp")).first()[0] / 2
+        return operator(enrich.routes(p.where(F.col("timestamp") >= half)), enrich.routes(p.where(F.col("timestamp") < half)))
 
     return run
 
