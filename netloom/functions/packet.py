@@ -19,25 +19,38 @@ def ipv4_number(address: Column) -> Column:
     return F.when(ok, ((at(0) * 256 + at(1)) * 256 + at(2)) * 256 + at(3))
 
 
+_OCTET = r"\.(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Private, loopback and link-local addresses, as one pattern: it is looked at once for each address.
+_INTERNAL = rf"^(?:(?:10|127)(?:{_OCTET}){{3}}|(?:192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))(?:{_OCTET}){{2}})$"
+
+
 def is_internal(address: Column) -> Column:
     """Private, loopback or link-local IPv4; loopback, link-local or unique-local IPv6. False for other text and null."""
-    n, low = ipv4_number(address), F.lower(address)
-    block = lambda first, bits: F.shiftrightunsigned(n, 32 - bits) == first
-    v4 = block(10, 8) | block(127, 8) | block((172 << 4) + 1, 12) | block((192 << 8) + 168, 16) | block((169 << 8) + 254, 16)
-    v6 = low.contains(":") & (low.rlike("^(fe[89ab]|f[cd])[0-9a-f]*:") | low.rlike("^(0*:)*:?0*1$"))
-    return F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False))
+    v6 = address.contains(":") & (F.lower(address).rlike("^(fe[89ab]|f[cd])[0-9a-f]*:") | F.lower(address).rlike("^(0*:)*:?0*1$"))
+    return F.coalesce(address.rlike(_INTERNAL), F.lit(False)) | F.coalesce(v6, F.lit(False))
+
+
+def _flag_digits(frame: str) -> Column:
+    """The flag byte of a TCP segment in an untagged IPv4 frame as two hex digits, null for other frames. The frame's
+    head is turned into digits once, however the frame itself comes about."""
+
+    def of(head: Column) -> Column:
+        cut = lambda byte_at, n: F.substring(head, 2 * (byte_at - 12) + 1, n)
+        words = F.instr(F.lit("0123456789ABCDEF"), F.substring(head, 6, 1)) - 1
+        flags = F.substring(head, 2 * (15 + 4 * words) + 1, F.lit(2))
+        return F.when((cut(12, 4) == "0800") & (cut(23, 2) == "06") & (F.length(flags) == 2), flags)
+
+    return F.get(F.transform(F.array(F.hex(F.substring(F.col(frame), 13, 76))), of), F.lit(0))
 
 
 def tcp_flags(frame: str = "bytes") -> Column:
     """The flag byte of a TCP segment in an untagged IPv4 frame; null for other frames."""
-    ihl = byte(frame, 14).bitwiseAND(15) * 4
-    is_tcp = (F.substring(frame, 13, 2) == F.unhex(F.lit("0800"))) & (byte(frame, 23) == 6)
-    return F.when(is_tcp, F.conv(F.hex(F.substring(F.col(frame), 14 + ihl + 14, F.lit(1))), 16, 10).cast("int"))
+    return F.conv(_flag_digits(frame), 16, 10).cast("int")
 
 
 def is_syn(frame: str = "bytes") -> Column:
-    """SYN without ACK."""
-    return F.coalesce(tcp_flags(frame).bitwiseAND(0x12) == 0x02, F.lit(False))
+    """SYN without ACK: the flags' first digit is even, and the second has its second bit."""
+    return F.coalesce(_flag_digits(frame).rlike("^[02468ACE][2367ABEF]$"), F.lit(False))
 
 
 # Filters. A missing field is "no match", so every filter is true or false and can be negated.
