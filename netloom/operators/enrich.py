@@ -132,3 +132,8 @@ def longest_ipv6(addresses: DataFrame, prefixes: DataFrame, value: Column) -> Da
     one = addresses.select("address").where("address is not null").distinct().withColumn("_all", _bits_of(ipv6_hex(F.col("address")))).where("_all is not null")
     tried = one.select("address", "_all", F.explode(F.array(*(F.lit(n) for n in lengths or [0]))).alias("_n")).withColumn("_net", F.expr("left(_all, _n)"))
     return tried.join(nets, ["_n", "_net"]).groupBy("address").agg(F.max_by("_value", "_n").alias("value"))
+
+
+def promotion(observed: DataFrame, baseline: DataFrame) -> DataFrame:
+    """How many routes the baseline gains, in one row."""
+    return drift(observed.select(*ROUTE).distinct(), baseline).agg(F.count("*").alias("added"))

@@ -32,3 +32,9 @@ def strings(rows: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 def totals(found: DataFrame) -> DataFrame:
     """A21 by class: strings, sensitive ones, bytes and mean entropy."""
     return found.groupBy("kind").agg(F.count("*").alias("found"), F.count_if("sensitive").alias("sensitive"), F.sum("length").alias("bytes"), F.avg("entropy").alias("mean_entropy"))
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """Strings, sensitive ones, mean entropy and the most frequent class (the first by name of equal ones)."""
+    by = found.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("sensitive").alias("s"), F.sum("entropy").alias("e"))
+    return by.agg(F.sum("n").alias("found"), F.sum("s").alias("sensitive"), (F.sum("e") / F.sum("n")).alias("mean_entropy"), F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("top_kind"))

@@ -85,8 +85,9 @@ def summary(packets: DataFrame) -> DataFrame:
 
 
 def vlans(packets: DataFrame) -> DataFrame:
-    """Traffic of each VLAN."""
-    return packets.where("vlan_id is not null").groupBy("vlan_id").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"), F.count_distinct("src").alias("sources"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    """Traffic of each VLAN; a host is an address with its hardware address."""
+    host = F.concat_ws("/", "src", F.hex(F.substring("bytes", 7, 6)))
+    return packets.where("vlan_id is not null").groupBy("vlan_id").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"), F.count_distinct(host).alias("hosts"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
 
 
 def scanners(packets: DataFrame, targets: int = 5) -> DataFrame:
@@ -112,3 +113,28 @@ def deltas(first: DataFrame, second: DataFrame) -> DataFrame:
     both = first.select(F.lit(True).alias("_first"), each).unionByName(second.select(F.lit(False).alias("_first"), each)).where("value is not null")
     side = lambda is_first, name: F.sum(F.when(F.col("_first") == is_first, F.col("n")).otherwise(0)).alias(name)
     return both.groupBy("kind", "value").agg(side(True, "first"), side(False, "second"))
+
+
+def nodes(packets: DataFrame) -> DataFrame:
+    """Packets and bytes that each address sent and received."""
+    end = lambda ip, out: F.struct(F.col(ip).alias("ip"), F.lit(out).alias("out"))
+    rows = packets.select(F.explode(F.array(end("src", True), end("dst", False))).alias("end"), "length").select("end.*", "length")
+    side = lambda out, x: F.sum(F.when(F.col("out") == out, x).otherwise(0))
+    return rows.groupBy("ip").agg(side(True, F.lit(1)).alias("tx_packets"), side(True, F.col("length")).alias("tx_bytes"), side(False, F.lit(1)).alias("rx_packets"), side(False, F.col("length")).alias("rx_bytes"))
+
+
+def encrypted(packets: DataFrame, bits: float = 7.2, least: int = 20) -> DataFrame:
+    """A2: flows with whether their latest packet, if it is over so many bytes, looks encrypted by its entropy. Each
+    packet's entropy is a number before the flows are grouped, so no payload is shuffled."""
+    from netloom.functions.text import entropy
+
+    high = F.when(F.length("bytes") > least, entropy(F.col("bytes")) > bits).otherwise(False)
+    rows = with_flow_key(packets.select("no", "timestamp", "src", "dst", "src_port", "dst_port", "protocol", "vlan_id", high.alias("_high")))
+    return rows.groupBy(*FLOW).agg(F.max_by("_high", F.struct("timestamp", "no")).alias("is_encrypted"))
+
+
+def ports(packets: DataFrame) -> DataFrame:
+    """Packets and bytes of each destination port, with its service's name."""
+    from netloom.operators.decode import TCP_PORTS, service_name
+
+    return totals(packets, "dst_port").withColumn("service", service_name(TCP_PORTS, F.col("dst_port"), F.col("dst_port"), "TCP"))

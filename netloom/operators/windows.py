@@ -43,19 +43,37 @@ def sessions(rows: DataFrame, keys: list[str], gap: float, name: str = "session"
     return of_bucket(in_buckets(rows, gap), _numbered(spans, keys, gap, name), keys).drop("_bucket")
 
 
-def sliding(rows: DataFrame, keys: list[str], seconds: float, measure: str, name: str = "hits") -> DataFrame:
-    """rows with an aggregate over the key's rows of the last seconds, the present one included.
+def sliding(rows: DataFrame, keys: list[str], seconds: float, distinct: str | None = None, name: str = "hits") -> DataFrame:
+    """Rows with how many rows, or distinct values, their key has in the last seconds up to each of them.
 
-    Buckets are four windows wide; rows of a bucket's last window are lent to the next bucket. The frame is in
-    SQL, as the Column API takes whole numbers only for the bounds of a range.
+    Every row, or every stay of a value, comes once and goes once, and running sums count those that are there: linear
+    however many rows a window holds. Null values count as none.
     """
-    width = 4.0 * seconds
-    own = in_buckets(rows, width).withColumnRenamed("_bucket", "_own")
-    near_end = (F.col("_own") + 1) * width - F.col("timestamp") <= seconds * 1.01
-    lent = own.withColumn("_bucket", F.explode(F.when(near_end, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
-    by = ", ".join(f"`{k}`" for k in [*keys, "_bucket"])
-    over = F.expr(f"{measure} over (partition by {by} order by timestamp range between {float(seconds)}D preceding and current row)")
-    return lent.withColumn(name, over).where("_own = _bucket").drop("_own", "_bucket")
+    wide = F.lit(float(seconds))
+    event = lambda at, no, step, row: F.struct(at.alias("timestamp"), no.alias("no"), F.lit(step).alias("_step"), row.alias("_row"))
+    own = F.struct(*rows.columns)
+    kind = rows.select(own.alias("r")).schema["r"].dataType
+    none = F.lit(None).cast(kind)
+    at, no, last = F.col("timestamp"), F.col("no") * 2, F.lit(1 << 62)
+    if distinct is None:
+        moves = rows.select(*keys, F.inline(F.array(event(at - wide, no, 1, own), event(at, last, -1, none))))
+    else:
+        asked = rows.select(*keys, F.inline(F.array(event(at - wide, no + 1, 0, own))))
+        moves = _stays(rows, keys, distinct, seconds, none).unionByName(asked)
+    return running(moves, keys, {name: F.col("_step")}, 4 * seconds).where(F.col("_row").isNotNull()).select("_row.*", name)
+
+
+def _stays(rows: DataFrame, keys: list[str], distinct: str, seconds: float, none: Column) -> DataFrame:
+    """A row for each time a value comes to a key and each time it goes, as sliding places them."""
+    parts = in_buckets(rows, seconds).where(F.col(distinct).isNotNull()).groupBy(*keys, distinct, "_bucket").agg(F.min(F.struct("timestamp", "no")).alias("_f"), F.max("timestamp").alias("_last"))
+    parts = parts.select("*", F.col("_f.timestamp").alias("_first"))
+    w, wide = Window.partitionBy(*keys, distinct).orderBy("_bucket"), F.lit(float(seconds))
+    comes = F.coalesce(F.col("_first") - wide > F.lag("_last").over(w), F.lit(True))
+    goes = F.coalesce(F.lead("_first").over(w) - wide > F.col("_last"), F.lit(True))
+    come = F.struct((F.col("_first") - wide).alias("timestamp"), (F.col("_f.no") * 2).alias("no"), F.lit(1).alias("_step"), none.alias("_row"))
+    go = F.struct(F.col("_last").alias("timestamp"), F.lit(1 << 62).alias("no"), F.lit(-1).alias("_step"), none.alias("_row"))
+    moves = parts.withColumns({"_comes": comes, "_goes": goes})
+    return moves.select(*keys, F.inline(F.array_compact(F.array(F.when(F.col("_comes"), come), F.when(F.col("_goes"), go)))))
 
 
 def running(rows: DataFrame, keys: list[str], measures: dict[str, Column], seconds: float = 60.0) -> DataFrame:

@@ -88,7 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "a11_ports": f" SELECT dst_port, {n} FROM p GROUP BY dst_port",
         "a12_sizes": " SELECT size, (SELECT count(*) FROM p WHERE length BETWEEN lo AND hi) AS packets FROM (VALUES " + ", ".join(f"('{lo}-{hi}', {lo}, {hi})" if hi else f"('{lo}+', {lo}, 1000000)" for lo, hi in traffic.SIZES) + ") v(size, lo, hi)",
         "a13_summary": f" SELECT {n}, round(avg(length), 6) AS mean_size, round(max(timestamp) - min(timestamp), 6) AS duration FROM p",
-        "a17_vlans": f" SELECT vlan_id, {n}, count(DISTINCT src) AS sources, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM p WHERE vlan_id IS NOT NULL GROUP BY vlan_id",
+        "a17_vlans": f" SELECT vlan_id, {n}, count(DISTINCT src) AS hosts, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM p WHERE vlan_id IS NOT NULL GROUP BY vlan_id",
         "k4_top_conversations": f" SELECT least(src, dst) AS a, greatest(src, dst) AS b, protocol, {n} FROM p GROUP BY 1, 2, 3 ORDER BY bytes DESC, a, b, protocol LIMIT 20",
         "f1_protocol": " SELECT no FROM p WHERE lower(protocol) = 'ssh' OR contains(lower(info), 'ssh') OR contains(src, 'ssh') OR contains(dst, 'ssh')",
         "f5_port_differs": " SELECT no FROM p WHERE (src_port < 100 OR dst_port < 100) AND NOT contains(lower(info), 'view')",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from netloom.functions import packet as X
 from netloom.functions import text as T
-from netloom.operators import detect, enrich, fields, graph, incidents, layouts, objects, processes, search, signatures, strings, traffic
+from netloom.operators import detect, enrich, fields, findings, graph, incidents, layouts, objects, processes, rules, search, signatures, strings, traffic
 from netloom.operators import fingerprints as prints
-from netloom.operators.windows import sessions
+from netloom.operators.windows import sessions, sliding
 from netloom.plans import entities, frames, lookups
 from netloom.plans.packets import SQL, packets
 
@@ -200,6 +200,17 @@ def queries() -> dict:
         "r7_unscanned": lambda spark, sf_dir: objects.unscanned(_pages(spark, sf_dir), matches(spark, sf_dir).where("page_id % 2 = 0"), "page_id").select("page_id"),
         "a25_rule_totals": lambda spark, sf_dir: objects.rule_totals(matches(spark, sf_dir), "page_id").withColumn("rules", F.array_join("rules", ",")),
         "j18_objects_with_rules": lambda spark, sf_dir: objects.with_rules(_pages(spark, sf_dir).select("page_id"), matches(spark, sf_dir), "page_id").withColumn("rules", F.array_join("rules", ",")),
+        "w1_sliding_counts": _over(lambda p: sliding(p.select("no", "timestamp", "src"), ["src"], 2.0).select("no", "hits")),
+        "w1_sliding_distinct": _over(lambda p: sliding(p.select("no", "timestamp", "src", "dst"), ["src"], 5.0, "dst").select("no", "hits")),
+        "a2_encrypted": lambda spark, sf_dir: traffic.encrypted(frames.made(frames.NOISE)(spark, sf_dir).withColumn("vlan_id", F.lit(None).cast("int"))).select("a_ip", "b_ip", "is_encrypted"),
+        "a6_nodes": _over(traffic.nodes),
+        "a11_services": _over(traffic.ports),
+        "a21_summary": lambda spark, sf_dir: strings.summary(strings.strings(_pages(spark, sf_dir), "page_id", "data")).withColumn("mean_entropy", F.round("mean_entropy", 6)),
+        "u2_promotion": lambda spark, sf_dir: enrich.promotion(*(enrich.routes(h) for h in _halves(spark, sf_dir)[::-1])),
+        "d_ioc_findings": lambda spark, sf_dir: findings.from_indicators(lookups._indicators(spark, sf_dir)),
+        "d_cred_findings": lambda spark, sf_dir: findings.from_credentials(signatures.credentials(_logins(spark, sf_dir)), _logins(spark, sf_dir)),
+        "d_drift_findings": _drifted,
+        "u3_findings": lambda spark, sf_dir: findings.union(_findings(spark, sf_dir), findings.from_indicators(lookups._indicators(spark, sf_dir)), findings.from_rules(rules.hits(packets(spark, sf_dir), entities.RULES))).groupBy("source", "signature", "severity").agg(F.count("*").alias("findings")),
         "w1_sessions": _over(lambda p: sessions(p, ["src", "protocol"], 1.0).groupBy("src", "protocol", "session").agg(F.count("*").alias("packets"))),
         "x2_text_entropy": lambda spark, sf_dir: strings.strings(_pages(spark, sf_dir), "page_id", "data").where("length >= 5 and length < 40").groupBy("value").agg(F.round(F.max("entropy"), 6).alias("entropy")),
     }
@@ -208,6 +219,19 @@ def queries() -> dict:
 MAGIC = "SELECT n + 1 AS no, unhex(concat(CASE k % 4 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN '504B03040000' ELSE repeat('00', 14) END, CASE WHEN k % 4 > 1 THEN '25504446' ELSE '' END, repeat('00', 60))) AS bytes FROM " + frames.EVENTS + " e1"
 
 
+#: Every fifth event is a log-in by FTP, in clear.
+LOGINS = "SELECT n + 1 AS no, t AS timestamp, concat('10.0.0.', CAST(u AS STRING)) AS src, '10.0.1.1' AS dst, encode(CASE k % 5 WHEN 0 THEN concat('USER u', CAST(k AS STRING)) WHEN 1 THEN concat('PASS p', CAST(n AS STRING)) ELSE e END, 'UTF-8') AS bytes FROM " + frames.EVENTS + " e1"
+
+
+def _logins(spark, sf_dir):
+    return frames.made(LOGINS)(spark, sf_dir)
+
+
+def _drifted(spark, sf_dir):
+    first, second = _halves(spark, sf_dir)
+    return findings.from_drift(second, enrich.routes(first))
+
+
 def _magic(spark, sf_dir):
     return frames.made(MAGIC)(spark, sf_dir)
 
@@ -241,7 +265,7 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
     both = f"FROM {html} h WHERE contains(low, '<nav>') AND contains(html, 'MIT License')"
     hits = f"""SELECT page_id, 'both' AS rule, '$a' AS pattern, {placed('low', '<nav>')} {both} UNION ALL SELECT page_id, 'both', '$b', {placed('html', 'MIT License')} {both}
         UNION ALL SELECT page_id, 'gap', '$h', {placed('html', '<h1>')} FROM {html} h UNION ALL SELECT page_id, 'always', '$t', {placed('html', '<footer>')} FROM {html} h"""
-    rules = f"(SELECT page_id, rule, count(*) AS n, min(place) AS place FROM ({hits}) h GROUP BY ALL)"
+    by_rule = f"(SELECT page_id, rule, count(*) AS n, min(place) AS place FROM ({hits}) h GROUP BY ALL)"
     out |= {
         "f8_logic": f"SELECT n + 1 AS no FROM {ev} e WHERE NOT (k % 5 = 1 OR e = 'error') AND k % 9 <> 0",
         "f11_two_tags": f"SELECT n + 1 AS no FROM {ev} e WHERE k % 7 = 0 AND k % 5 < 2",
@@ -293,10 +317,21 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "r4_http_streams": f"SELECT no, true AS http, false AS cut FROM (SELECT no, no % 3 = 0 AS x FROM {whole} w) q",
         "r6_pattern_hits": f"""SELECT page_id, rule, pattern, CAST(place AS INT) AS "offset", hex(hit) AS bytes FROM ({hits}) h""",
         "r7_unscanned": f"SELECT page_id FROM {html} h WHERE page_id % 2 = 1 OR page_id NOT IN (SELECT page_id FROM ({hits}) z)",
-        "a25_rule_totals": f"SELECT page_id, CAST(sum(n) AS BIGINT) AS matches, string_agg(rule, ',' ORDER BY place, rule) AS rules FROM {rules} r GROUP BY page_id",
-        "j18_objects_with_rules": f"SELECT h.page_id, coalesce(r.rules, '') AS rules FROM {html} h LEFT JOIN (SELECT page_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM {rules} q GROUP BY page_id) r ON r.page_id = h.page_id",
+        "a25_rule_totals": f"SELECT page_id, CAST(sum(n) AS BIGINT) AS matches, string_agg(rule, ',' ORDER BY place, rule) AS rules FROM {by_rule} r GROUP BY page_id",
+        "j18_objects_with_rules": f"SELECT h.page_id, coalesce(r.rules, '') AS rules FROM {html} h LEFT JOIN (SELECT page_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM {by_rule} q GROUP BY page_id) r ON r.page_id = h.page_id",
         "r5_carved": f"""SELECT arg_min(page_id, (page_id, pos)) AS page_id, CAST(arg_min(pos, (page_id, pos)) AS INT) AS "offset", 'text/html' AS kind, max(size) AS size, sha256 FROM (SELECT page_id, pos, strlen(whole) AS size, sha256(whole) AS sha256 FROM (
             SELECT page_id, pos, CASE WHEN position('</html>' IN rest) > 0 THEN substring(rest, 1, position('</html>' IN rest) + 6) ELSE rest END AS whole FROM (SELECT page_id, 0 AS pos, html AS rest FROM {html} h WHERE starts_with(html, '<!DOCTYPE html') UNION ALL SELECT page_id, position('<html' IN html) - 1, substring(html, position('<html' IN html)) FROM {html} h WHERE contains(html, '<html')) r) w) s GROUP BY sha256""",
+        "w1_sliding_counts": f"{p} SELECT no, count(*) OVER (PARTITION BY src ORDER BY timestamp RANGE BETWEEN 2.0::DOUBLE PRECEDING AND CURRENT ROW) AS hits FROM p",
+        "w1_sliding_distinct": f"{p} SELECT no, count(DISTINCT dst) OVER (PARTITION BY src ORDER BY timestamp RANGE BETWEEN 5.0::DOUBLE PRECEDING AND CURRENT ROW) AS hits FROM p",
+        "a2_encrypted": f"SELECT DISTINCT concat('10.0.0.', u) AS a_ip, concat('203.0.113.', k % 2) AS b_ip, u < 4 AS is_encrypted FROM {ev} e",
+        "a6_nodes": f"{p}, e AS (SELECT src AS ip, 1 AS o, length FROM p UNION ALL SELECT dst, 0, length FROM p) SELECT ip, sum(o) AS tx_packets, sum(o * length) AS tx_bytes, sum(1 - o) AS rx_packets, sum((1 - o) * length) AS rx_bytes FROM e GROUP BY ip",
+        "a11_services": f"{p} SELECT dst_port, count(*) AS packets, sum(length) AS bytes, CASE dst_port WHEN 22 THEN 'SSH' WHEN 80 THEN 'HTTP' WHEN 443 THEN 'HTTPS' WHEN 445 THEN 'SMB' ELSE 'TCP' END AS service FROM p GROUP BY dst_port",
+        "a21_summary": f"WITH f AS (SELECT value, {lookups._class_sql('value')} AS kind, list_entropy(string_split(value, '')) AS entropy FROM (SELECT unnest(regexp_extract_all(html, '[ -~]{{4,}}')) AS value FROM {html} h) v), g AS (SELECT kind, count(*) AS n FROM f GROUP BY kind) SELECT (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM f WHERE kind IN ('sensitive', 'key', 'shell')) AS sensitive, (SELECT round(avg(entropy), 6) FROM f) AS mean_entropy, (SELECT kind FROM g ORDER BY n DESC, kind LIMIT 1) AS top_kind",
+        "u2_promotion": f"{p} SELECT count(*) AS added FROM (SELECT DISTINCT src, dst, dst_port, protocol FROM p WHERE timestamp >= {half} EXCEPT SELECT DISTINCT src, dst, dst_port, protocol FROM p WHERE timestamp < {half}) x",
+        "d_ioc_findings": f"SELECT no, timestamp, 'IOC' AS source, 'IOC match' AS signature, 'HIGH' AS severity, concat_ws(' ', value, 'as', context, description) AS detail, concat_ws('|', context, value) AS correlation_key FROM ({known['j1_indicator_hits']}) h",
+        "d_cred_findings": f"SELECT n + 1 AS no, t AS timestamp, 'CREDENTIAL' AS source, 'Credential exposure' AS signature, 'HIGH' AS severity, concat('FTP-', CASE k % 5 WHEN 0 THEN 'USER' ELSE 'PASS' END, ' from 10.0.0.', u, ' to 10.0.1.1') AS detail, concat('FTP-', CASE k % 5 WHEN 0 THEN 'USER' ELSE 'PASS' END, '|10.0.0.', u, '|10.0.1.1') AS correlation_key FROM {ev} e WHERE k % 5 < 2",
+        "d_drift_findings": f"{p} SELECT min(no) AS no, min(timestamp) AS timestamp, 'DRIFT' AS source, 'Route drift' AS signature, 'HIGH' AS severity, concat(src, ' -> ', dst, ':', dst_port, ' ', protocol) AS detail, concat_ws('|', src, dst, CAST(dst_port AS VARCHAR), protocol) AS correlation_key FROM p WHERE timestamp >= {half} AND (src, dst, dst_port, protocol) NOT IN (SELECT (src, dst, dst_port, protocol) FROM p WHERE timestamp < {half}) GROUP BY src, dst, dst_port, protocol",
+        "u3_findings": f"SELECT source, signature, severity, count(*) AS findings FROM (SELECT source, signature, severity FROM {finds} f UNION ALL SELECT 'IOC', 'IOC match', 'HIGH' FROM ({known['j1_indicator_hits']}) h UNION ALL SELECT source, signature, severity FROM ({known['d_rule_hits']}) r) u GROUP BY ALL",
         "w1_sessions": f"{p}, a AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY src, protocol ORDER BY timestamp, no) > 1 THEN 1 ELSE 0 END AS new FROM p), s AS (SELECT *, sum(new) OVER (PARTITION BY src, protocol ORDER BY timestamp, no ROWS UNBOUNDED PRECEDING) AS session FROM a) SELECT src, protocol, session, count(*) AS packets FROM s GROUP BY ALL",
         "x2_text_entropy": f"SELECT value, round(list_entropy(string_split(value, '')), 6) AS entropy FROM (SELECT DISTINCT unnest(regexp_extract_all(html, '[ -~]{{4,}}')) AS value FROM {html} h) v WHERE length(value) >= 5 AND length(value) < 40",
         "x12_xor": f"""WITH s AS (SELECT n, key, ((CASE WHEN xor(128 + k % 100, key) BETWEEN 32 AND 126 THEN 12 ELSE 0 END) + (CASE WHEN xor(140 + k % 90, key) BETWEEN 32 AND 126 THEN 8 ELSE 0 END)) / 20 AS score FROM {ev} e, (SELECT CAST(unnest(range(1, 256)) AS INT) AS key) r)
