@@ -85,6 +85,21 @@ def from_sessions(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _touches(rows, nodes, [F.when(named, _edge(cert, name, "ResolvesTo")), _edge(flow, cert, "PresentsCertificate")])
 
 
+def from_rule_hits(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each packet that a user's rule hit; hits has no, timestamp, rule_id and signature (the rule's name)."""
+    rows = _once(hits.select("no", "timestamp", "rule_id", "signature").dropDuplicates(["rule_id", "no"]))
+    return _touches(rows, [_node(_key("RuleHit", "rule_id", "no"), "RuleHit", F.concat(F.lit("Rule: "), "signature"))], [F.lit(None).cast("struct<src:string,dst:string,kind:string,bytes:bigint>")])
+
+
+def from_files(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Carved objects (sha256, kind, size, timestamp, and flow_id where it is known), linked to their flows."""
+    rows = _once(objects)
+    key, flow = _key("File", "sha256"), _key("Flow", "flow_id")
+    size = F.when(F.col("size") < 1024, F.concat(F.col("size").cast("string"), F.lit("B"))).when(F.col("size") < 1 << 20, F.format_string("%.1fKB", F.col("size") / 1024)).otherwise(F.format_string("%.1fMB", F.col("size") / (1 << 20)))
+    node = _node(key, "FileObject", F.concat("kind", F.lit(" ("), size, F.lit(")")))
+    return _touches(rows, [node], [F.when(F.col("flow_id").isNotNull(), _edge(key, flow, "ExtractedFrom"))])
+
+
 def merged(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """G1: one node a key and one edge a pair and kind, with first and last time, hits and bytes."""
     nodes, edges = (reduce(DataFrame.unionByName, side) for side in zip(*parts))

@@ -12,7 +12,9 @@ from netloom.operators.decode import _kept
 from netloom.operators.fields import _number, layout
 from netloom.operators.traffic import FLOW, with_flow_key
 
-HELLO = "kind int, version int, random string, sni string, alpn string, ciphers array<int>, extensions array<int>, signatures array<int>"
+HELLO = "kind int, version int, random string, sni string, alpn string, ciphers array<int>, extensions array<int>, signatures array<int>, ech boolean"
+#: Fixed value: the extension by which a client offers to encrypt its hello.
+ECH = 0xFE0D
 
 
 def _grease(v: int) -> bool:
@@ -31,7 +33,7 @@ def hello(frame: bytes) -> dict | None:
     size = int.from_bytes(frame[at + 6 : at + 9])
     b = frame[at + 9 : min(at + 9 + size, at + 5 + int.from_bytes(frame[at + 3 : at + 5]))]
     try:
-        out = {"kind": frame[at + 5], "version": int.from_bytes(b[:2]), "random": b[2:34].hex(), "sni": None, "alpn": None, "extensions": [], "signatures": []}
+        out = {"kind": frame[at + 5], "version": int.from_bytes(b[:2]), "random": b[2:34].hex(), "sni": None, "alpn": None, "extensions": [], "signatures": [], "ech": False}
         p = 35 + b[34]
         if out["kind"] == 2:
             return out | {"ciphers": _u16s(b[p : p + 2])}
@@ -47,6 +49,7 @@ def hello(frame: bytes) -> dict | None:
             if _grease(kind):
                 continue
             out["extensions"].append(kind)
+            out["ech"] = out["ech"] or kind == ECH
             if kind == 0 and len(body) > 5 and body[2] == 0:
                 out["sni"] = body[5 : 5 + int.from_bytes(body[3:5])].decode("utf-8", "replace")
             elif kind == 16 and len(body) > 3:
@@ -126,3 +129,12 @@ def quic_connections(headers: DataFrame) -> DataFrame:
     sums = rows.groupBy("destination_id").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"), F.array_sort(F.collect_set("packet_type")).alias("packet_types"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
     ends = rows.select("destination_id", F.explode(F.array("src", "dst")).alias("end")).groupBy("destination_id").agg(F.count_distinct("end").alias("addresses"))
     return sums.join(ends, "destination_id").withColumn("migrated", F.col("addresses") > 2)
+
+
+def session_alerts(packets: DataFrame) -> DataFrame:
+    """Level and description of each flow's latest TLS alert record, by the first of a frame."""
+    at = F.instr(F.decode("bytes", "ISO-8859-1"), F.lit("\x15\x03"))
+    rows = packets.where(F.contains(F.col("bytes"), F.lit(b"\x15\x03").cast("binary")) & ~F.contains(F.col("bytes"), F.lit(b"\x16\x03").cast("binary"))).withColumn("_at", at.cast("int"))
+    rows = with_flow_key(rows.withColumns({"level": _number(F.col("_at") + 4, 1).cast("int"), "description": _number(F.col("_at") + 5, 1).cast("int")}).drop("bytes", "_at"))
+    latest = F.max_by(F.struct("level", "description"), F.struct("timestamp", "no"))
+    return rows.groupBy(*FLOW).agg(latest.alias("_a")).select(*FLOW, F.col("_a.level").alias("alert_level"), F.col("_a.description").alias("alert_description"))

@@ -138,3 +138,19 @@ def ports(packets: DataFrame) -> DataFrame:
     from netloom.operators.decode import TCP_PORTS, service_name
 
     return totals(packets, "dst_port").withColumn("service", service_name(TCP_PORTS, F.col("dst_port"), F.col("dst_port"), "TCP"))
+
+
+def inventory(packets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """A5: hosts with the names in the summaries of what they sent, the latest hardware address that ARP gives them, and
+    the place of their address (see enrich.places)."""
+    from netloom.functions import text as T
+    from netloom.operators.enrich import places
+
+    base = hosts(packets)
+    named = packets.where("protocol in ('DNS', 'mDNS', 'HTTP', 'HTTPS')").select(F.col("src").alias("_n"), T.domain(F.col("info")).alias("name")).where("name is not null")
+    names = named.groupBy("_n").agg(F.array_sort(F.collect_set("name")).alias("hostnames"))
+    arp = packets.where((F.hex(F.substring("bytes", 13, 2)) == "0806") & (F.length("bytes") >= 42)).select("no", T.dotted(F.substring("bytes", 29, 4)).alias("_m"), T.mac(F.substring("bytes", 23, 6)).alias("mac"))
+    macs = arp.groupBy("_m").agg(F.max_by("mac", "no").alias("mac"))
+    where = places(base.select(F.col("ip").alias("address")), ranges).withColumnRenamed("address", "_p")
+    out = base.join(names, F.col("ip") == F.col("_n"), "left").join(macs, F.col("ip") == F.col("_m"), "left").join(where, F.col("ip") == F.col("_p"), "left")
+    return out.drop("_n", "_m", "_p")

@@ -111,6 +111,8 @@ _CLIENT_HELLO = f"concat('16030100', '6B', '01000067', '0303', {_RANDOM}, '00',
 _SERVER_HELLO = f"concat('16030300', '2C', '02000028', '0303', {_RANDOM}, '00', {_CHOSEN}, '00', '0000')"
 #: Pairs of a client's and a server's hello.
 HELLOS = frames(part(2), f"CASE WHEN part = 0 THEN {_SRC} ELSE '10.0.1.1' END", f"CASE WHEN part = 0 THEN '10.0.1.1' ELSE {_SRC} END", [*ether("0800"), *ipv4("132", "06", f"CASE WHEN part = 0 THEN {_SRC4} ELSE '0A000101' END", f"CASE WHEN part = 0 THEN '0A000101' ELSE {_SRC4} END"), *tcp("CASE WHEN part = 0 THEN 20000 + d % 20000 ELSE 443 END", "CASE WHEN part = 0 THEN 443 ELSE 20000 + d % 20000 END", "1"), f"CASE WHEN part = 0 THEN {_CLIENT_HELLO} ELSE {_SERVER_HELLO} END"], "'HTTPS'", sport="CASE WHEN part = 0 THEN 20000 + d % 20000 ELSE 443 END", dport="CASE WHEN part = 0 THEN 443 ELSE 20000 + d % 20000 END")
+#: Alerts of clients.
+ALERTS = frames(EVENTS, _IP, "'10.0.1.1'", [*ether("0800"), *ipv4("27", "06", _IP4, "'0A000101'"), *tcp("40000 + u", "443", "1"), "concat('1503030002', lpad(hex(k % 3), 2, '0'), lpad(hex(k), 2, '0'))"], "'HTTPS'", sport="40000 + u", dport="443")
 #: The same hellos as bare records, which is what some rules look at.
 RECORDS = f"SELECT no, timestamp, src, dst, protocol, src_port, dst_port, unhex(substring(hex(bytes), 109)) AS bytes FROM ({HELLOS}) h0"
 _QUIC = "CASE WHEN k % 5 = 0 THEN concat('40', repeat('AB', 20)) ELSE concat(CASE k % 5 WHEN 1 THEN 'C0' WHEN 2 THEN 'D0' WHEN 3 THEN 'E0' ELSE 'F0' END, '00000001', '08', '00000000000000', lpad(hex(k % 20), 2, '0'), '04', '0A0B0C0D', '00') END"
@@ -131,6 +133,15 @@ SHORT = ("no", "signature", "severity")
 KEYS = "SELECT concat(md5(concat('a', CAST(s_suppkey AS STRING))), md5(concat('b', CAST(s_suppkey AS STRING)))) AS client_random FROM {supplier}"
 
 
+def _inventory(spark, sf_dir):
+    from netloom.operators import traffic
+
+    ranges = spark.createDataFrame([("10.0.0.96/27", "NEAR", 1)], "cidr string, label string, priority long")
+    names = made(NAMES)(spark, sf_dir).withColumn("info", F.concat(F.lit("Query h"), (F.col("no") % 3).cast("string"), F.lit(".org")))
+    both = made(ARP)(spark, sf_dir).unionByName(names)
+    return traffic.inventory(both, ranges).select("ip", F.array_join("hostnames", ",").alias("hostnames"), "mac", "place")
+
+
 def _with_keys(spark, sf_dir):
     sessions = handshake.tls_sessions(made(HELLOS)(spark, sf_dir))
     return handshake.with_key_material(sessions, spark.sql(KEYS, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet")))
@@ -195,6 +206,8 @@ def queries() -> dict:
         "t6_tls_sessions": over(HELLOS, lambda p: handshake.tls_sessions(p).select("a_ip", "a_port", "b_ip", "b_port", "version", "random", "sni", "alpn", "server_cipher", "first_seen", "last_seen")),
         "j8_key_material": lambda spark, sf_dir: _with_keys(spark, sf_dir).groupBy("has_keys").agg(F.count("*").alias("sessions")),
         "j7_fingerprint_reputation": _known_prints,
+        "t6_session_alerts": over(ALERTS, lambda p: handshake.session_alerts(p).select("a_ip", "a_port", "alert_level", "alert_description")),
+        "a5_inventory": _inventory,
         "t7_weak_sessions": over(HELLOS, lambda p: fingerprints.weak_sessions(handshake.tls_sessions(p)).groupBy("sni", "cipher").agg(F.count("*").alias("sessions"))),
         "a26_session_totals": lambda spark, sf_dir: fingerprints.session_totals(_with_keys(spark, sf_dir)),
         "d_tls_weak": over(RECORDS, short(signatures.weak_tls)),
@@ -302,6 +315,10 @@ def oracle_sql() -> dict[str, str]:
         "t6_tls_sessions": f"SELECT * EXCLUDE (first_d, arg) FROM ({flow}) s",
         "j8_key_material": f"SELECT has_keys, count(*) AS sessions FROM ({keyed}) k GROUP BY 1",
         "j7_fingerprint_reputation": f"SELECT n + 1 AS no, 'high' AS severity, 'tool' AS label FROM {of(2)} f WHERE part = 0 AND d % 3 < 2",
+        "t6_session_alerts": f"SELECT concat('10.0.0.', u) AS a_ip, 40000 + u AS a_port, arg_max(k % 3, n) AS alert_level, arg_max(k, n) AS alert_description FROM {ev} e GROUP BY u",
+        "a5_inventory": f"""WITH a AS (SELECT concat('10.0.0.', u) AS ip, arg_max(CASE WHEN k % 10 = 0 THEN '02:00:00:00:00:ff' ELSE {mac} END, n) AS mac FROM {ev} e GROUP BY u), f AS (SELECT n, CASE WHEN {_ASKS} THEN {_CLIENT} ELSE {_SERVER} END AS src, CASE WHEN {_ASKS} THEN {_SERVER} ELSE {_CLIENT} END AS dst FROM {of(4)} q),
+            h AS (SELECT src AS ip, array_to_string(list_sort(list(DISTINCT concat('h', (n + 1) % 3, '.org'))), ',') AS hostnames FROM f GROUP BY src), i AS (SELECT ip FROM a UNION SELECT '10.0.0.99' UNION SELECT src FROM f UNION SELECT dst FROM f)
+            SELECT i.ip, h.hostnames, a.mac, CASE WHEN starts_with(i.ip, '10.') THEN 'LAN' ELSE '??' END AS place FROM i LEFT JOIN a USING (ip) LEFT JOIN h USING (ip)""",
         "t7_weak_sessions": f"SELECT sni, CASE server_cipher WHEN 5 THEN 'RC4-SHA (WEAK)' ELSE 'unknown' END AS cipher, count(*) AS sessions FROM ({flow}) s WHERE server_cipher IN (5, 47) GROUP BY 1, 2",
         "a26_session_totals": f"SELECT count(*) AS sessions, count(*) AS named, count(*) FILTER (server_cipher IN (5, 47)) AS weak, count(*) FILTER (has_keys) AS with_keys FROM ({keyed}) k",
         "d_tls_weak": f"SELECT n + 1 AS no, unnest(CASE WHEN d % 3 = 0 OR has THEN ['TLS 1.0', 'RC4 Cipher Suite'] ELSE ['TLS 1.0'] END) AS signature, 'MED' AS severity FROM (SELECT *, true AS has FROM {of(2)} o) f WHERE part = 0",

@@ -174,6 +174,7 @@ def queries() -> dict:
         "k8_top_hosts": _over(lambda p: objects.ranked(traffic.hosts(p).select("ip", "bytes_out"), "bytes_out", "ip", top=10)),
         "g8_pivots": _pivots,
         "g9_evidence": _evidence,
+        "g3_other_nodes": _other_nodes,
         "u5_tags": _changed_tags,
         "u6_notes": _put_notes,
         "i6_reviewed": _moved_on,
@@ -227,6 +228,16 @@ def _logins(spark, sf_dir):
     return frames.made(LOGINS)(spark, sf_dir)
 
 
+def _other_nodes(spark, sf_dir):
+    """What log-ins, rules and carved files add to the graph, by kind."""
+    logins = _logins(spark, sf_dir)
+    finds = signatures.credentials(logins).where("kind = 'FTP-USER'").select("no", F.lit("FTP").alias("scheme"), F.expr("substring(value, 6)").alias("username"))
+    files = objects.carved(_pages(spark, sf_dir), "page_id", with_data=False).withColumns({"timestamp": F.lit(0.0), "flow_id": F.concat(F.lit("page"), F.col("page_id").cast("string"))})
+    nodes, edges = graph.merged(graph.from_credentials(finds, logins), graph.from_rule_hits(rules.hits(packets(spark, sf_dir), entities.RULES)), graph.from_files(files))
+    both = nodes.select("kind", "hits").unionByName(edges.select("kind", "hits"))
+    return both.groupBy("kind").agg(F.count("*").alias("things"), F.sum("hits").alias("hits"))
+
+
 def _drifted(spark, sf_dir):
     first, second = _halves(spark, sf_dir)
     return findings.from_drift(second, enrich.routes(first))
@@ -291,6 +302,8 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "k5_top_nodes": ordered(f"SELECT key, score FROM ({scores}) s", "score DESC, key", 20),
         "k8_top_hosts": ordered(f"SELECT ip, bytes_out FROM ({known['a5_hosts']}) h", "bytes_out DESC, ip", 10),
         "g9_evidence": f"{p}, t AS (SELECT concat('Host:', src) AS key, no FROM p UNION ALL SELECT concat('Host:', dst), no FROM p) SELECT key, min(no) AS first_no, max(no) AS last_no, count(DISTINCT no) AS evidence FROM t GROUP BY key",
+        "g3_other_nodes": f"""WITH l AS (SELECT u, k FROM {ev} e WHERE k % 5 = 0), r AS (SELECT DISTINCT rule_id, no FROM ({known['d_rule_hits']}) x) SELECT 'Credential' AS kind, count(DISTINCT k) AS things, count(*) AS hits FROM l UNION ALL SELECT 'Host', count(DISTINCT u) + 1, 2 * count(*) FROM l
+            UNION ALL SELECT 'AuthenticatedWith', count(DISTINCT (u, k)) + count(DISTINCT k), 2 * count(*) FROM l UNION ALL SELECT 'RuleHit', count(*), count(*) FROM r UNION ALL SELECT kind, n, n FROM (SELECT unnest(['FileObject', 'ExtractedFrom']) AS kind, count(*) AS n FROM ({{carved}}) c) z""",
         "u5_tags": f"SELECT concat('pkt#', no) AS evidence, unnest([tag, 'seen']) AS tag FROM {tags} t WHERE tag <> '__marked__'",
         "u6_notes": f"SELECT id, CASE WHEN id % 10 = 0 THEN concat(text, '!') ELSE text END AS text, evidence FROM {notes} n WHERE id % 7 <> 0 UNION ALL SELECT -1, 'new', 'pkt#1'",
         "i6_reviewed": f"SELECT CASE WHEN first_no % 6 = 0 THEN 'acknowledged' ELSE 'pending' END AS status, first_no % 2 = 0 AS reviewed, count(*) AS incidents FROM ({known['i4_incidents']}) i GROUP BY ALL",
@@ -340,4 +353,5 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
             c AS (SELECT n.key, greatest(s.score, CASE n.kind WHEN 'MatchesIoc' THEN 0.475 ELSE 0.5 END) AS score FROM n JOIN s ON s.key = n.nb UNION ALL SELECT key, 0.6 FROM s WHERE starts_with(key, 'Host:') UNION ALL SELECT key, 0.75 FROM s WHERE starts_with(key, 'Host:') AND score > 0.3 UNION ALL SELECT key, 0.85 FROM s WHERE starts_with(key, 'IOC:'))
             SELECT key, least(count(*), 8) AS steps, CAST(round(max(score), 6) AS DOUBLE) AS best FROM c GROUP BY key""",
     }
+    out["g3_other_nodes"] = out["g3_other_nodes"].replace("{carved}", out["r5_carved"])
     return out
