@@ -81,6 +81,12 @@ def _stream_captures(spark, sf_dir):
     return spark.read.parquet(out).groupBy("protocol", "src").agg(F.count("*").alias("packets"))
 
 
+def _owner_stream(spark, sf_dir):
+    path, out = _written(spark, sf_dir, OWNER_LINES, "supplier"), scratch.folder(spark)
+    feeds.socket_owner_stream(spark, path).select("protocol", "local_ip", "local_port", "pid", "command").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _evidence(spark, sf_dir):
     path = scratch.folder(spark)
     found = entities._incidents(spark, sf_dir)
@@ -147,6 +153,7 @@ def queries() -> dict:
         "s9_prefixes": _feed(PREFIX_LINES, "supplier", feeds.prefixes),
         "s10_reputation": _feed(REPUTATION_LINES, "supplier", feeds.reputation),
         "s11_socket_owners": _feed(OWNER_LINES, "supplier", lambda s, p: feeds.socket_owners(s, p).select("protocol", "local_ip", "local_port", "remote_port", "pid", "uid", "process", "command")),
+        "s12_owner_stream": _owner_stream,
         "s13_key_log": _feed(KEY_LINES, "supplier", feeds.key_log),
         "s5_stream_captures": _stream_captures,
         "s15_evidence": _evidence,
@@ -202,6 +209,7 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "s9_prefixes": "SELECT concat('198.', s_suppkey % 100, '.0.0/16') AS cidr, concat('AS', s_suppkey) AS asn, s_name AS organization FROM supplier",
         "s10_reputation": "SELECT CASE s_suppkey % 2 WHEN 0 THEN 'address' ELSE 'fingerprint' END AS kind, CASE s_suppkey % 2 WHEN 0 THEN concat('198.', s_suppkey % 100, '.0.0/16') ELSE concat('t13d', s_suppkey) END AS target, CASE s_suppkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS severity, s_name AS label, 'feed' AS source FROM supplier",
         "s11_socket_owners": "SELECT 'TCP' AS protocol, concat('10.0.0.', s_suppkey % 6 + 1) AS local_ip, 40000 + s_suppkey % 9 AS local_port, 443 AS remote_port, s_suppkey AS pid, s_suppkey % 4 AS uid, concat('p', s_suppkey % 5) AS process, 'run a,b' AS command FROM supplier WHERE s_suppkey % 5 > 0",
+        "s12_owner_stream": "SELECT 'TCP' AS protocol, concat('10.0.0.', s_suppkey % 6 + 1) AS local_ip, 40000 + s_suppkey % 9 AS local_port, s_suppkey AS pid, 'run a,b' AS command FROM supplier WHERE s_suppkey % 5 > 0",
         "s13_key_log": "SELECT 'CLIENT_RANDOM' AS label, concat(md5(s_name), md5(s_name)) AS client_random, 16 AS secret_bytes FROM supplier WHERE s_suppkey % 3 = 0",
         "s5_stream_captures": f"{p} SELECT CASE protocol WHEN 'TCP' THEN 'TCP' ELSE protocol END AS protocol, src, count(*) AS packets FROM p GROUP BY ALL",
         "s15_evidence": known["j12_incident_packets"],

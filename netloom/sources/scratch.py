@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder's path. Where spark.checkpoint.dir names none, a local run takes a temporary one; on a cluster that is
+    """A new folder's path; it goes when the driver ends. Where spark.checkpoint.dir names none, a local run takes a temporary one; on a cluster that is
     an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -18,4 +18,12 @@ def folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/netloom-files-{uuid.uuid4().hex}"
+    own = f"{path.rstrip('/')}/netloom-files-{spark.sparkContext.applicationId}"
+    if own not in _LEFT_BEHIND:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+        _LEFT_BEHIND.add(own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+_LEFT_BEHIND: set[str] = set()
