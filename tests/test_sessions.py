@@ -62,7 +62,7 @@ def test_feeds(spark, tmp_path):
         (tmp_path / name).write_text(text)
         return f"file://{tmp_path / name}"
 
-    assert {tuple(r) for r in feeds.indicators(spark, file("i.csv", "# x\nip,1.2.3.4,bad, host\nDOMAIN,evil.com\nhash,aa\n\n")).collect()} == {("ip", "1.2.3.4", "bad, host", "i.csv"), ("domain", "evil.com", "", "i.csv")}
+    assert {tuple(r) for r in feeds.indicators(spark, file("i.csv", "# x\nip,1.2.3.4,bad, host\nDOMAIN,evil.com\nhash,aa\nport,9\n\n")).collect()} == {("ip", "1.2.3.4", "bad, host", "i.csv"), ("domain", "evil.com", "", "i.csv"), ("hash", "aa", "", "i.csv")}
     assert {(r.kind, r.value) for r in feeds.plain_indicators(spark, file("p.txt", "1.2.3.4\nevil.com\nword\n")).collect()} == {("ip", "1.2.3.4"), ("domain", "evil.com")}
     assert [tuple(r) for r in feeds.prefixes(spark, file("n.csv", "10.0.0.0/8,AS1,Some, Inc\n")).collect()] == [("10.0.0.0/8", "AS1", "Some, Inc")]
     with pytest.raises(Exception, match="bad line"):
