@@ -40,10 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 _LEFT_BEHIND: set[str] = set()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df to a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

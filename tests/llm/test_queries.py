@@ -16,7 +16,9 @@ from netloom.llm.queries import queries
 PROSE = "The council met on Monday to talk about the bridge. Engineers found cracks in two piers.\nRepairs will take longer than was hoped, and the road stays closed."
 JUNK = "@@ ## $$ ## @@ %% && ##\n!! ## && %% ## @@"
 TEXTS = [PROSE, PROSE, f"{PROSE} More words follow here.", JUNK, None, "", " \n\t", "mail a.b@c.org or 10.0.0.1, card 4111 1111 1111 1111, +44 20 7946 0958", "word " * 5000, "é ÀB äö 漢字", "a <|endoftext|> b"] + [f"note {i}: {PROSE[i : i + 90]} {i * i}" for i in range(24)]
-CLASH = ("score", "held_out", "n_words", "kept", "n_email", "spans", "piece", "sequence_id", "offset", "fingerprint", "component_id", "n_tokens", "topic", "weight", "probability", "sampled", "id", "key", "root", "terms", "predicted")
+TURNS = [(c, t, ["system", "user", "assistant", "tool", None, ""][(c * 7 + t * 5) % 6 if c % 4 else 1 + t % 2], [None, "", "So it is.", "And then", " ok! \n", f"Turn {t}?"][(c + t * 3) % 6]) for c in range(60) for t in range(c % 9)]
+TURNS += [(None, 1, "user", "Who?"), (None, None, "assistant", None), (7, None, "user", "first."), (7, None, "user", "first."), TURNS[20]]
+CLASH = ("score", "held_out", "n_words", "kept", "n_email", "spans", "piece", "sequence_id", "offset", "fingerprint", "component_id", "n_tokens", "topic", "weight", "probability", "sampled", "id", "key", "root", "terms", "predicted", "runs", "collapsed", "ids", "decoded", "row", "data", "slab", "words")
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +37,7 @@ def folder(spark, tmp_path_factory):
     rng = np.random.default_rng(3)
     vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(230, 6)))] + [(300, None), (350, [0.0] * 6), (400, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6), (50, rng.normal(size=6).tolist())]
     spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<double>, score string").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(*r, "x", "x") for r in TURNS], "conv_id long, turn long, role string, text string, audit string, place string").repartition(3).write.parquet(f"{at}/conversations.parquet")
     return at
 
 
@@ -183,7 +186,7 @@ def test_op10_columns(rows):
 
 
 def test_empty_tables(spark, folder, tmp_path):
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
     for name, query in queries().items():
         assert query(spark, f"file://{tmp_path}").count() == 0, name
