@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.automaton import Pattern, automaton_of
+
 #: Kinds of files with their beginning, end (or none) and the size they are cut at.
 SIGNATURES = (
     (b"\x89PNG\r\n\x1a\n", "image/png", b"\x00\x00\x00\x00IEND\xaeB`\x82", 10_000_000), (b"\xff\xd8\xff", "image/jpeg", b"\xff\xd9", 10_000_000), (b"GIF87a", "image/gif", b"\x00;", 5_000_000), (b"GIF89a", "image/gif", b"\x00;", 5_000_000),
@@ -85,12 +89,30 @@ RULES = "rule string, pattern string, kind string, text string, nocase boolean,
 MATCHES = "rule string, pattern string, offset int, bytes binary"
 
 
-def _compiled(rule) -> re.Pattern:
-    if rule["kind"] == "hex":
-        parts = re.findall(r"\?\?|[0-9A-Fa-f]{2}", rule["text"])
-        return re.compile(b"".join(b"." if p == "??" else re.escape(bytes.fromhex(p)) for p in parts), re.S)
-    text = rule["text"].encode("utf-8")
-    return re.compile(re.escape(text.lower() if rule["nocase"] else text), re.S)
+#: Rules that are collected to be compiled; bytes that are scanned at once.
+MOST_RULES, SCANNED_BYTES = 100_000, 8 << 20
+
+
+def rules_of(table: DataFrame) -> list[dict]:
+    """A table of rules (columns as RULES) as the rows that pattern_hits compiles; more than MOST_RULES are refused."""
+    rows = table.select(*(c.split()[0] for c in RULES.split(", "))).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return sorted((r.asDict() for r in rows), key=lambda r: (r["rule"], r["pattern"]))
+
+
+def _pattern(rule: dict) -> Pattern:
+    return Pattern.hex(rule["text"]) if rule["kind"] == "hex" else Pattern.literal(rule["text"], bool(rule["nocase"]))
+
+
+def _sliced(payloads: list[bytes]) -> Iterator[slice]:
+    begin = held = 0
+    for i, data in enumerate(payloads):
+        if held and held + len(data) > SCANNED_BYTES:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += len(data)
+    yield slice(begin, len(payloads))
 
 
 def pattern_hits(rows: DataFrame, rules: list[dict], id_col: str, data_col: str = "data", most: int = 1 << 20) -> DataFrame:
@@ -98,26 +120,37 @@ def pattern_hits(rows: DataFrame, rules: list[dict], id_col: str, data_col: str
 
     A rule is one or more dicts of rule, pattern (its name), kind (literal or hex, with ?? for any byte), text, nocase
     and condition: any, all, true, or the name of a pattern. Hits of a pattern don't overlap; a rule whose condition
-    doesn't hold has none. Rules are few and go with the code; a row's rules are judged where its bytes are.
+    doesn't hold has none. One automaton finds the hits of all patterns in one pass, however many they are; the rules go
+    with the code (`rules_of` reads a table), and a row's rules are judged where its bytes are.
     """
     kind = dict(rows.dtypes)[id_col]
+    made = [r for r in rules if r["text"]]
+    patterns = tuple(_pattern(r) for r in made)
+    number = {name: i for i, name in enumerate(dict.fromkeys(r["rule"] for r in made))}
+    of = np.array([number[r["rule"]] for r in made], np.int64)
+    first = {number[r["rule"]]: r["condition"] for r in reversed(made)}
+    condition = [first[i] for i in range(len(number))]
 
     def scan(batches):
-        made = [(r, _compiled(r)) for r in rules if r["text"]]
+        automaton = automaton_of(patterns)
         for pdf in batches:
-            out = []
-            for id_, data in zip(pdf["id"], pdf["data"]):
-                data = bytes(data if data is not None else b"")[:most]
-                low = data.lower()
-                hits: dict[str, list] = {}
-                for r, p in made:
-                    hits.setdefault(r["rule"], []).append((r, [m.span() for m in p.finditer(low if r["nocase"] and r["kind"] != "hex" else data)]))
-                for rule, found in hits.items():
-                    condition = found[0][0]["condition"]
-                    fires = {"any": any(s for _, s in found), "all": all(s for _, s in found), "true": True}.get(condition, any(s for r, s in found if r["pattern"] == condition))
-                    if fires:
-                        out += [(id_, rule, r["pattern"], a, data[a : min(b, a + 32)]) for r, spans in found for a, b in spans]
-            yield pd.DataFrame(out, columns=["id", *(c.split()[0] for c in MATCHES.split(", "))])
+            payloads = [bytes(d)[:most] if d is not None else b"" for d in pdf["data"]]
+            for part in _sliced(payloads):
+                here, ids = payloads[part], pdf["id"].iloc[part].tolist()
+                hits = automaton.hits(here)
+                rule = of[hits[:, 1]]
+                kept = np.ones(len(hits), bool)
+                for r in np.unique(rule):
+                    if condition[r] in ("any", "true"):
+                        continue
+                    mine = rule == r
+                    wanted = np.flatnonzero(of == r) if condition[r] == "all" else np.array([i for i in np.flatnonzero(of == r) if made[i]["pattern"] == condition[r]], np.int64)
+                    fires = np.ones(len(here), bool) if len(wanted) else np.zeros(len(here), bool)
+                    for i in wanted:
+                        fires &= np.isin(np.arange(len(here)), hits[mine & (hits[:, 1] == i), 0])
+                    kept[mine] = fires[hits[mine, 0]]
+                found = [(ids[k], made[i]["rule"], made[i]["pattern"], at, here[k][at : at + min(32, len(patterns[i].text))]) for k, i, at in hits[kept].tolist()]
+                yield pd.DataFrame(found, columns=["id", *(c.split()[0] for c in MATCHES.split(", "))])
 
     found = rows.select(F.col(id_col).alias("id"), F.col(data_col).alias("data")).mapInPandas(scan, f"id {kind}, {MATCHES}")
     return found.withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ ORACLE = catalogue.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     db = duckdb.connect()
-    for name in ("events", "documents", "pages", "supplier", "customer"):
+    for name in ("events", "documents", "pages", "supplier", "customer", "benchmark"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return db
 
