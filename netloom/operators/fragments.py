@@ -11,38 +11,20 @@ from pyspark.sql import functions as F
 from netloom.operators.decode import _kept
 from netloom.operators.detect import _alerts
 from netloom.operators.fields import _number, layout
+from netloom.operators.ranges import contradictions
 from netloom.operators.signatures import exploits
-from netloom.operators.streams import epochs
+from netloom.operators.streams import epochs, placed, segments
 from netloom.operators.windows import first_of, folded, running, sessions
-
-#: Bytes of a block in which pieces are compared.
-BLOCK = 64
+from netloom.sources.scratch import kept
 
 
 def contradicted(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """The first row of each key whose bytes differ from those an earlier row has at the same place.
 
-    pieces has no, timestamp, keys, start, data. Pieces are cut at multiples of BLOCK; blocks that hold one piece, or
-    copies of one, are passed over by a count of hashes, and a fold over the others keeps one block's bytes.
+    pieces has no, timestamp, keys, start, data.
     """
-    last = F.col("start") + F.length("data") - 1
-    spread = pieces.where("length(data) > 0").withColumn("_block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(last / BLOCK))))
-    begin = F.greatest(F.col("start"), F.col("_block") * BLOCK)
-    cut = F.substring(F.col("data"), (begin - F.col("start") + 1).cast("int"), (F.least(last + 1, (F.col("_block") + 1) * BLOCK) - begin).cast("int"))
-    parts = _kept(spread.select("no", "timestamp", *keys, "_block", (begin - F.col("_block") * BLOCK).cast("int").alias("place"), cut.alias("piece")))
-    several = parts.groupBy(*(F.col(c).alias(f"_of_{c}") for c in [*keys, "_block"])).agg(F.count_distinct(F.struct("place", F.length("piece"), F.xxhash64("piece"))).alias("_n")).where("_n > 1")
-    some = parts.join(several, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_block"]], "left_semi")
-
-    def step(state: dict, r) -> list[tuple]:
-        data = bytes(r.piece)
-        known = state.setdefault("known", [None] * BLOCK)
-        old = known[r.place : r.place + len(data)]
-        known[r.place : r.place + len(data)] = data
-        return [(r.no,)] if any(o is not None and o != b for o, b in zip(old, data)) else []
-
-    found = folded(some, [*keys, "_block"], step, "no long")
-    rows = pieces.join(found.distinct(), "no", "left_semi")
-    return first_of(rows.drop("data"), keys)
+    found = contradictions(pieces, keys, F.struct("timestamp", "no"))
+    return pieces.drop("data").join(found.select(F.col("order.no").alias("_no")), F.col("no") == F.col("_no"), "left_semi")
 
 
 FRAGMENT = ["f_src", "f_dst", "f_id", "f_proto"]
@@ -66,7 +48,7 @@ def _about_datagram(rows: DataFrame, signature: str, severity: str) -> DataFrame
 
 def conflicting_fragments(packets: DataFrame) -> DataFrame:
     """D3: fragments of one datagram that carry different bytes for the same place; once a datagram."""
-    return _about_datagram(contradicted(ipv4_fragments(packets), [*FRAGMENT, "session"]), "Conflicting IPv4 fragments", "CRIT")
+    return _about_datagram(contradicted(kept(ipv4_fragments(packets)), [*FRAGMENT, "session"]), "Conflicting IPv4 fragments", "CRIT")
 
 
 def fragment_flood(packets: DataFrame, most: int = 64) -> DataFrame:
@@ -78,9 +60,12 @@ def fragment_flood(packets: DataFrame, most: int = 64) -> DataFrame:
 
 def conflicting_retransmission(packets: DataFrame) -> DataFrame:
     """Segments of one direction that carry different bytes for the same sequence numbers; once until the flow
-    begins anew. Numbers aren't followed over their wrap."""
-    rows = epochs(packets).withColumns({"start": F.col("seq"), "data": F.col("payload"), "direction": F.concat_ws(":", "src", F.col("src_port").cast("string"))})
-    each = contradicted(rows.drop("payload"), ["flow", "session", "epoch", "direction"])
+    begins anew. Numbers are followed over their wrap."""
+    direction = F.concat_ws(":", "src", F.col("src_port").cast("string"))
+    keys = ["flow", "session", "epoch", "direction"]
+    rows = kept(placed(epochs(packets).withColumn("direction", direction), keys).withColumnRenamed("place", "start").where("size > 0"))
+    data = segments(packets).select(F.col("no").alias("_of"), F.col("payload").alias("data"))
+    each = contradicted(kept(rows.join(data, F.col("no") == F.col("_of")).drop("_of")), keys)
     found = first_of(each, ["flow", "session", "epoch"])
     return _alerts(found, "Conflicting TCP retransmission", "CRIT", F.concat_ws(" ", "src", F.lit("->"), "dst"), F.col("flow"))
 

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,3 +27,11 @@ def folder(spark: SparkSession) -> str:
 
 
 _LEFT_BEHIND: set[str] = set()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table there, read back: a plan that asks for df several times has it worked out once, and a lost executor doesn't
+    take it along."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
