@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from netloom.functions import text as T
 from netloom.functions.packet import contains, is_internal, tcp_flags
 from netloom.operators.detect import _alerts
 from netloom.operators.traffic import FLOW, with_flow_key
-from netloom.operators.windows import ORDER, first_of, latched, previous, reaching, running, sessions
+from netloom.operators.windows import ORDER, first_of, last_of, latched, previous, reaching, running, sessions, with_lookback
 
 PAIR = ("src", "src_port", "dst", "dst_port", "protocol")
 
@@ -24,13 +26,17 @@ def beacon_scores(packets: DataFrame, last: int = 60) -> DataFrame:
     duration. Looks at the last 60 intervals of over a millisecond and the last 60 sizes; fewer than five
     intervals or a mean below half a second score 0. Flows of too few packets go before the ranking."""
     rows = with_flow_key(packets.select("no", "timestamp", "src", "dst", "src_port", "dst_port", "protocol", "vlan_id", "length"))
-    w = Window.partitionBy(*FLOW).orderBy(*ORDER)
-    before = F.lag("timestamp").over(w)
-    gaps = rows.withColumn("interval", F.when((F.col("timestamp") - before > 0.001) & (before > 0), F.col("timestamp") - before))
-    back = Window.partitionBy(*FLOW).orderBy(F.desc("timestamp"), F.desc("no"))
-    ranked = gaps.withColumns({"_size_rank": F.row_number().over(back), "_gap_rank": F.count("interval").over(back)})
-    gap, size = F.when(F.col("_gap_rank") <= last, F.col("interval")), F.when(F.col("_size_rank") <= last, F.col("length"))
-    facts = ranked.groupBy(*FLOW).agg(F.count(gap).alias("n"), F.avg(gap).alias("mean"), _spread(gap).alias("cv"), F.count(size).alias("n_sizes"), _spread(size).alias("cv_size"), (F.max("timestamp") - F.min("timestamp")).alias("duration"))
+    rows = rows.select("no", "timestamp", *FLOW, "length")
+    gap = F.col("timestamp") - F.col("_before")
+    gaps = previous(rows, FLOW, {"_before": F.col("timestamp")}).where((gap > 0.001) & (F.col("_before") > 0)).select("no", "timestamp", *FLOW, gap.alias("interval"))
+    none = F.lit(None).cast("double")
+    parts = [
+        last_of(gaps, FLOW, last).select(*FLOW, "interval", none.alias("length"), none.alias("first"), none.alias("final")),
+        last_of(rows, FLOW, last).select(*FLOW, none.alias("interval"), F.col("length").cast("double").alias("length"), none.alias("first"), none.alias("final")),
+        rows.groupBy(*FLOW).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("final")).select(*FLOW, none.alias("interval"), none.alias("length"), "first", "final"),
+    ]
+    gap, size = F.col("interval"), F.col("length")
+    facts = reduce(DataFrame.unionByName, parts).groupBy(*FLOW).agg(F.count(gap).alias("n"), F.avg(gap).alias("mean"), _spread(gap).alias("cv"), F.count(size).alias("n_sizes"), _spread(size).alias("cv_size"), (F.max("final") - F.min("first")).alias("duration"))
     even_sizes = F.when(F.col("n_sizes") >= 5, 1 - F.col("cv_size")).otherwise(0.5)
     score = 0.5 * (1 - F.col("cv")) + 0.3 * even_sizes + 0.2 * F.least(F.col("duration") / 60, F.lit(1.0))
     score = F.when((F.col("n") >= 5) & (F.col("mean") >= 0.5), score).otherwise(0.0)
@@ -42,14 +48,15 @@ def beacons(packets: DataFrame, samples: int = 7) -> DataFrame:
     half a minute or more and a second or more apart; the first such packet of each session of an hour."""
     rows = reaching(packets.where("src_port is not null and dst_port is not null"), list(PAIR), samples)
     rows = sessions(rows, list(PAIR), 3600.0)
-    key = Window.partitionBy(*PAIR, "session").orderBy(*ORDER)
+    rows = with_lookback(rows.drop("bytes"), [*PAIR, "session"], 31)
+    key = Window.partitionBy(*PAIR, "session", "_bucket").orderBy(*ORDER)
     lately, inner = key.rowsBetween(-31, 0), key.rowsBetween(-30, 0)
     gap = F.col("timestamp") - F.lag("timestamp").over(key)
     rows = rows.withColumn("_gap", F.when(gap > 0, gap))
     # the first of the 32 packets gives no interval
     enough = (F.count("_gap").over(inner) + 1 >= samples) & (F.col("timestamp") - F.min("timestamp").over(lately) >= 30) & (F.avg("_gap").over(inner) >= 1)
     even = (F.stddev_pop("_gap").over(inner) <= 0.15 * F.avg("_gap").over(inner)) & (F.stddev_pop("length").over(lately) <= 0.10 * F.avg("length").over(lately)) & (F.avg("length").over(lately) > 0)
-    found = first_of(rows.withColumn("_hit", enough & even).where("_hit").drop("_hit", "_gap"), [*PAIR, "session"])
+    found = first_of(rows.withColumn("_hit", enough & even).where("_hit and not _lent").drop("_hit", "_gap", "_lent", "_bucket"), [*PAIR, "session"])
     port = F.col("dst_port").cast("string")
     return _alerts(found, "Periodic command-and-control beacon", "HIGH", F.concat_ws(" ", "src", F.lit("->"), F.concat_ws(":", "dst", port)), F.concat_ws("|", *PAIR))
 

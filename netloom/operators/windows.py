@@ -100,6 +100,28 @@ def previous(rows: DataFrame, keys: list[str], columns: dict[str, Column], secon
     return out.withColumns({n: before[n] for n in columns}).drop("_bucket", "_x", "_carried", "_first", "_lag")
 
 
+def last_of(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The last k rows of each key. Spark limits every task's rows to k a key before the shuffle, and merges what is
+    left: a busy key costs k rows a task, however long it is."""
+    back = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in ORDER))
+    return rows.withColumn("_rank", F.row_number().over(back)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def with_lookback(rows: DataFrame, keys: list[str], k: int, seconds: float = 600.0) -> DataFrame:
+    """rows by `_bucket`, each bucket of a key with copies (`_lent`) of the k rows before it: what looks back k rows is
+    then a window of one bucket.
+
+    A bucket's last k rows are a state that merges: the last k before a bucket are those of the k buckets with rows before it.
+    """
+    dated = in_buckets(rows, seconds)
+    own = [*keys, "_bucket"]
+    ends = last_of(dated, own, k).groupBy(*own).agg(F.collect_list(F.struct(*(c for c in dated.columns if c not in own))).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(-k, -1)
+    latest = F.slice(F.reverse(F.array_sort(F.transform(F.flatten(F.collect_list("_rows").over(before)), lambda r: F.struct(*(r[c].alias(f"_{c}") for c in ORDER), r.alias("row"))))), 1, k)
+    lent = ends.select(*own, latest.alias("_l")).select(*own, F.explode("_l").alias("_l")).select(*own, "_l.row.*", F.lit(True).alias("_lent"))
+    return dated.withColumn("_lent", F.lit(False)).unionByName(lent)
+
+
 def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each key's first row. An aggregation, so a task keeps one row a key before the shuffle."""
     return rows.groupBy(*(F.col(k).alias(f"_by_{k}") for k in keys)).agg(F.min_by(F.struct(*rows.columns), F.struct(*ORDER)).alias("_row")).select("_row.*")

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators.windows import latched, previous, sliding
+from netloom.operators.windows import last_of, latched, previous, sliding, with_lookback
 
 SCHEMA = "no long, timestamp double, src string, dst string, port int"
 
@@ -78,3 +78,48 @@ def test_one_key_with_all_rows(spark):
     assert [r.no for r in latched(flood, ["src", "dst"], 300, 15.0, "port").collect()] == [299]
     assert sliding(flood, ["src"], 1.0).agg(F.max("hits")).first()[0] == 200_000
     assert time.time() - began < 60
+
+
+def test_lookback_is_a_window_of_rows(packets):
+    from pyspark.sql import Window
+
+    rows, df = packets
+    whole = Window.partitionBy("src", "dst").orderBy("timestamp", "no").rowsBetween(-7, 0)
+    part = Window.partitionBy("src", "dst", "_bucket").orderBy("timestamp", "no").rowsBetween(-7, 0)
+    facts = [F.count("port"), F.sum("port"), F.min("no"), F.min("timestamp")]
+    expected = df.select("no", *(f.over(whole).alias(f"f{i}") for i, f in enumerate(facts))).collect()
+    for seconds in (3.0, 50.0):
+        lent = with_lookback(df, ["src", "dst"], 7, seconds)
+        assert lent.groupBy("src", "dst", "_bucket").count().agg(F.max("count")).first()[0] < 120
+        got = lent.select("no", "_lent", *(f.over(part).alias(f"f{i}") for i, f in enumerate(facts))).where("not _lent").drop("_lent").collect()
+        assert sorted(got) == sorted(expected)
+
+
+def test_last_rows_are_cut_before_the_shuffle(packets):
+    rows, df = packets
+    found = last_of(df, ["src"], 5)
+    assert sorted(r.no for r in found.collect()) == sorted(no for k in ("a", "b", None) for no in [r[0] for r in rows if r[2] == k][-5:])
+    assert found._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_beacon_scores_are_those_of_the_last_60(spark):
+    import statistics
+
+    from netloom.operators.behaviour import beacon_scores
+
+    rng, rows, expected = random.Random(2), [], {}
+    for k in range(12):
+        at, times, sizes = 5.0, [], []
+        for i in range(rng.choice([3, 8, 61, 300])):
+            at += rng.choice([0.0, 1.0, 1.0, 1.1, 2.0]) if k % 2 else 2.0
+            times.append(at)
+            sizes.append(100 + (rng.randrange(50) if k % 3 else 0))
+            rows.append((len(rows), at, f"10.0.0.{k}", "10.0.9.9", 4000, 80, "TCP", None, sizes[-1]))
+        gaps = [b - a for a, b in zip(times, times[1:]) if b - a > 0.001][-60:]
+        spread = lambda x: min(1.0, statistics.pstdev(x) / statistics.fmean(x)) if x and statistics.fmean(x) > 0 else 1.0
+        even = 1 - spread(sizes[-60:]) if len(sizes[-60:]) >= 5 else 0.5
+        score = 0.5 * (1 - spread(gaps)) + 0.3 * even + 0.2 * min((times[-1] - times[0]) / 60, 1.0)
+        expected[f"10.0.0.{k}"] = score if len(gaps) >= 5 and statistics.fmean(gaps) >= 0.5 else 0.0
+    df = spark.createDataFrame(rows, "no long, timestamp double, src string, dst string, src_port int, dst_port int, protocol string, vlan_id int, length int").repartition(5)
+    found = {r.a_ip if r.a_ip != "10.0.9.9" else r.b_ip: r.beacon_score for r in beacon_scores(df).collect()}
+    assert found == pytest.approx(expected)
