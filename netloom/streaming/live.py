@@ -39,7 +39,7 @@ def captures(spark: SparkSession, folder: str, files: int = 10) -> DataFrame:
 
     schema = "path string, modificationTime timestamp, length long, content binary"
     landed = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files).load(folder)
-    frames = pcap.read_whole(landed)
+    frames = pcap.read_landed(landed)
     return frames.withColumn("event_time", _event_time(0.0))
 
 
