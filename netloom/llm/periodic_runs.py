@@ -35,7 +35,7 @@ SHORT = 16
 #: Runs of fewer words are not looked at (and min_length isn't below it for the periods from SHORT on).
 MIN_LENGTH = 12
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
