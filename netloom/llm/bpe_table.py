@@ -26,7 +26,7 @@ from netloom.llm.common import bounded, free_name, materialise, table
 
 #: Words of a slab: a slab and its result are one task's memory. Buckets of the words' hashes: a bucket's distinct words are.
 SLAB_WORDS, BUCKETS = 1 << 23, 1024
-#: Words of a slab whose ids are put in place at once.
+#: Words of a slab that are packed, and whose ids are put in place, at once.
 CHUNK_WORDS = 1 << 20
 
 _SPACE = r"\t-\r\x85\p{Z}"
@@ -103,21 +103,35 @@ def library_words(text: str, definition: str) -> list[str]:
     return [w for part in parts for w in ([part] if part in added else [part[a:b] for _, (a, b) in loaded.pre_tokenizer.pre_tokenize_str(part)])]
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, lowest first, compressed: high bytes of frequent words are zeros."""
-    return zstandard.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of a few bits mostly, 28 at most: seven bits a byte, the last byte of a number below 128, compressed."""
+    n = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
+    starts = np.cumsum(n) - n
+    out = np.empty(n.sum(), np.uint8)
+    for k in range(4):
+        longer = n > k
+        out[starts[longer] + k] = (numbers[longer] >> 7 * k) & 127 | (n[longer] > k + 1) << 7
+    return zstandard.compress(out.tobytes(), 3)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    read = np.frombuffer(zstandard.decompress(data), np.uint8).astype(np.int32)
+    ends = np.flatnonzero(read < 128)
+    starts = np.r_[0, ends + 1][: len(ends)]
+    out = read[starts] & 127
+    for k in range(1, 4):
+        longer = ends - starts >= k
+        out[longer] |= (read[starts[longer] + k] & 127) << 7 * k
+    return out
 
 
 def _slabs(definition: str, slab_words: int):
-    """Texts as numbers: a slab is rows of kind 0 (the bucket of each number's word), 1 (a text's numbers) and 2 (a
-    bucket's words, in the order of their numbers). Its number is drawn at random, so the rows are to be written once."""
+    """Texts as numbers: a slab is rows of kind 0 (the bucket of each number's word), 1 (a text's place among the slab's words,
+    and its size), 2 (a bucket's words, in the order of their numbers, and the sizes of these in bytes) and 3 (numbers from a place on).
+    A slab's own number is drawn at random, so the rows are to be written once."""
 
     def rows(slab, kind, n, row_type, **columns):
-        out = pa.schema([("slab", pa.int64()), ("kind", pa.int32()), ("row", row_type), ("data", pa.binary()), ("bucket", pa.int32()), ("words", pa.list_(pa.string()))])
+        out = pa.schema([("slab", pa.int64()), ("kind", pa.int32()), ("row", row_type), ("place", pa.int64()), ("size", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("sizes", pa.binary())])
         given = {"slab": pa.array(np.full(n, slab)), "kind": pa.array(np.full(n, kind, np.int32)), **columns}
         return pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in out], schema=out)
 
@@ -127,20 +141,24 @@ def _slabs(definition: str, slab_words: int):
         coded = pa.concat_arrays([words.flatten() for _, words in held]).dictionary_encode()
         index, words = coded.indices.to_numpy(), coded.dictionary
         order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), np.int64)
+        rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words))
-        codes, words = rank[index], words.take(pa.array(order))
-        buckets = pd.util.hash_array(np.asarray(words.to_pylist(), object), categorize=False) % BUCKETS if len(words) else np.zeros(0, np.uint64)
-        yield rows(slab, 0, 1, row_type, data=pa.array([zstandard.compress(buckets.astype("<u2").tobytes(), 1)]))
+        codes, words = rank[index], words.take(pa.array(order)).to_pylist()
+        buckets = (pd.util.hash_array(np.asarray(words, object), categorize=False) % BUCKETS).astype(np.int32) if words else np.zeros(0, np.int32)
+        yield rows(slab, 0, 1, row_type, data=pa.array([_packed(buckets)]))
         at = 0
         for row, lists in held:
-            ends = at + np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            yield rows(slab, 1, len(row), row_type, row=row, data=pa.array([_packed(codes[a:b]) for a, b in zip([at, *ends[:-1]], ends)], pa.binary()))
-            at = ends[-1]
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield rows(slab, 1, len(row), row_type, row=row, place=pa.array(at + np.cumsum(sizes) - sizes), size=pa.array(sizes))
+            at += int(sizes.sum())
+        for at in range(0, len(codes), CHUNK_WORDS):
+            yield rows(slab, 3, 1, row_type, place=pa.array([at]), data=pa.array([_packed(codes[at : at + CHUNK_WORDS])]))
         by_bucket = np.argsort(buckets, kind="stable")
         held_buckets, starts = np.unique(buckets[by_bucket], return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(words)].astype(np.int32)), words.take(pa.array(by_bucket)))
-        yield rows(slab, 2, len(lists), row_type, bucket=pa.array(held_buckets.astype(np.int32)), words=lists)
+        parts = [[words[i].encode() for i in part] for part in np.split(by_bucket, starts[1:])] if words else []
+        data = [zstandard.compress(b"".join(part), 3) for part in parts]
+        sizes = [_packed(np.array([len(w) for w in part])) for part in parts]
+        yield rows(slab, 2, len(parts), row_type, bucket=pa.array(held_buckets, pa.int32()), data=pa.array(data, pa.binary()), sizes=pa.array(sizes, pa.binary()))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -162,36 +180,51 @@ def _slabs(definition: str, slab_words: int):
     return work
 
 
+_BLOCK = "slab long, bucket int, counts binary, ids binary"
+
+
 def _encoded(definition: str):
-    """(slab, bucket, counts, ids) for (slab, bucket, words), sorted by bucket: each distinct word of a bucket is encoded once."""
-    schema = pa.schema([("slab", pa.int64()), ("bucket", pa.int32()), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
+    """_BLOCK rows for the words of (slab, bucket), sorted by bucket: each distinct word of a bucket is encoded once."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded, added = _loaded(definition)
         bucket, ids_of = None, {}
         for batch in batches:
             counts, ids = [], []
-            for now, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+            for now, data, sizes in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), batch.column("sizes").to_pylist()):
                 if now != bucket:
-                    bucket, ids_of = now, {w: [i] for w, i in added.items()}
+                    bucket, ids_of = now, {w.encode(): [i] for w, i in added.items()}
+                data, ends = zstandard.decompress(data), np.cumsum(_unpacked(sizes)).tolist()
+                words = [data[a:b] for a, b in zip([0, *ends], ends)]
                 for word in words:
                     if word not in ids_of:
-                        ids_of[word] = [t.id for t in loaded.model.tokenize(word.encode().decode("latin-1").translate(_CHARS))]
+                        ids_of[word] = [t.id for t in loaded.model.tokenize(word.decode("latin-1").translate(_CHARS))]
                 found = [ids_of[w] for w in words]
-                counts.append([len(f) for f in found])
-                ids.append([i for f in found for i in f])
-            yield pa.RecordBatch.from_arrays([batch.column("slab"), batch.column("bucket"), pa.array(counts, schema.types[2]), pa.array(ids, schema.types[3])], schema=schema)
+                counts.append(_packed(np.array([len(f) for f in found])))
+                ids.append(_packed(np.array([i for f in found for i in f])))
+            yield pa.RecordBatch.from_arrays([batch.column("slab"), batch.column("bucket"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["slab", "bucket", "counts", "ids"])
 
     return work
 
 
+def _used(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slab, id) of the ids that blocks hold, each once a batch and slab."""
+    for batch in batches:
+        held: dict[int, list] = {}
+        for slab, ids in zip(batch.column("slab").to_pylist(), batch.column("ids").to_pylist()):
+            held.setdefault(slab, []).append(_unpacked(ids))
+        for slab, ids in held.items():
+            once = np.unique(np.concatenate(ids)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(once), slab)), pa.array(once)], names=["slab", "id"])
+
+
 def _gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The runs of values that begin at starts, one after the other."""
     return values[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
 
 
-def _flat(lists: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in lists.chunks)]).astype(np.int64)
+def _joined(packed: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *(_unpacked(p) for p in packed.to_pylist())])
 
 
 def _texts(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -207,12 +240,12 @@ def _placed(texts: pa.Table, found: pa.Table) -> pa.Table:
     schema = pa.schema([("row", texts.schema.field("row").type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
     if not texts.num_rows:
         return schema.empty_table()
-    head = texts.filter(pc.equal(texts["kind"], 0))["data"][0].as_py()
-    texts = texts.filter(pc.equal(texts["kind"], 1))
-    order = np.argsort(np.frombuffer(zstandard.decompress(head), "<u2"), kind="stable")
+    of_kind = lambda kind: texts.filter(pc.equal(texts["kind"], kind))
+    order = np.argsort(_joined(of_kind(0)["data"]), kind="stable")
+    codes = _joined(of_kind(3).sort_by("place")["data"])
     blocks = found.filter(pc.is_valid(found["bucket"])).sort_by("bucket")
-    counts, ids = np.zeros(len(order), np.int64), _flat(blocks["ids"])
-    counts[order] = here = _flat(blocks["counts"])
+    counts, ids = np.zeros(len(order), np.int64), _joined(blocks["ids"])
+    counts[order] = here = _joined(blocks["counts"])
     starts = np.zeros(len(order), np.int64)
     starts[order] = np.cumsum(here) - here
     pieces = found.filter(pc.is_valid(found["id"]))
@@ -225,26 +258,21 @@ def _placed(texts: pa.Table, found: pa.Table) -> pa.Table:
     piece_data = np.frombuffer(b"".join(d for _, d in known), np.uint8)
     done = []
 
-    def place(rows, codes):
-        sizes = np.array([len(c) for c in codes])
-        codes = np.concatenate(codes).astype(np.int64)
-        mine = _gathered(ids, starts[codes], counts[codes])
+    texts = of_kind(1).select(["row", "place", "size"]).sort_by([("place", "ascending"), ("size", "ascending")]).combine_chunks()
+    places, sizes = texts["place"].to_numpy(), texts["size"].to_numpy()
+    ends = places + sizes
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, places[begin] + CHUNK_WORDS, side="right")))
+        here = codes[places[begin] : ends[end - 1]]
+        mine = _gathered(ids, starts[here], counts[here])
         data = _gathered(piece_data, piece_at[mine], piece_size[mine])
-        id_ends = np.r_[0, np.cumsum(counts[codes])][np.cumsum(sizes)]
+        id_ends = np.r_[0, np.cumsum(counts[here])][ends[begin:end] - places[begin]]
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, id_ends].astype(np.int32)), pa.array(mine.astype(np.int32)))
-        texts_ = _texts(data, np.r_[0, np.cumsum(piece_size[mine])][id_ends])
-        done.append(pa.Table.from_arrays([rows, lists, texts_.cast(pa.string())], schema=schema))
-
-    begin, held, size = 0, [], 0
-    rows = texts["row"].combine_chunks()
-    for i, data in enumerate(texts["data"]):
-        held.append(_unpacked(data.as_py()))
-        size += len(held[-1])
-        if size >= CHUNK_WORDS:
-            place(rows[begin : i + 1], held)
-            begin, held, size = i + 1, [], 0
-    if held:
-        place(rows[begin:], held)
+        decoded = _texts(data, np.r_[0, np.cumsum(piece_size[mine])][id_ends]).cast(pa.string())
+        rows = texts["row"].slice(begin, end - begin).combine_chunks()
+        done.append(pa.Table.from_arrays([rows, lists, decoded], schema=schema))
+        begin = end
     return pa.concat_tables([schema.empty_table(), *done])
 
 
@@ -271,13 +299,13 @@ def bpe_round_trip(docs: DataFrame, text_col: str = "text", path: str | None = N
         F.when(odd, F.array().cast("array<string>")).otherwise(words_of(text, definition)).alias("words"), F.when(odd, text).alias("raw"),
     )
     row = split.schema["row"].dataType
-    columns = f"slab long, kind int, row {row.simpleString()}, data binary, bucket int, words array<string>"
+    columns = f"slab long, kind int, row {row.simpleString()}, place long, size long, bucket int, data binary, sizes binary"
     coded = materialise(split.mapInArrow(_slabs(definition, slab_words), columns), "zstd")
-    words = coded.where("kind = 2").select("slab", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
-    blocks = materialise(words.mapInArrow(_encoded(definition), "slab long, bucket int, counts array<int>, ids array<int>"), "zstd")
-    used = blocks.select("slab", F.explode(F.array_distinct("ids")).alias("id")).distinct().join(bounded(pieces(spark, definition)), "id")
+    words = coded.where("kind = 2").select("slab", "bucket", "data", "sizes").repartition("bucket").sortWithinPartitions("bucket")
+    blocks = materialise(words.mapInArrow(_encoded(definition), _BLOCK))
+    used = blocks.select("slab", "ids").mapInArrow(_used, "slab long, id int").distinct().join(bounded(pieces(spark, definition)), "id")
     found = blocks.unionByName(used.select("slab", "id", "piece"), allowMissingColumns=True)
-    texts = coded.where("kind < 2").select("slab", "kind", "row", "data")
+    texts = coded.where("kind <> 2").select("slab", "kind", "row", "place", "size", "data")
     placed = texts.groupBy("slab").cogroup(found.groupBy("slab")).applyInArrow(_placed, f"row {row.simpleString()}, ids array<int>, decoded string")
     return placed.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != text_col), F.col("ids").alias(free_name(docs, "ids")), F.col("decoded").alias(free_name(docs, "decoded")))
 
