@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.packet import ipv4_number
+from netloom.operators.windows import folded, sessions
+from netloom.sources.scratch import kept
 
 KEY = ("source", "detector", "attacker", "target")
 
@@ -48,11 +50,29 @@ def is_blockable(address: Column) -> Column:
     return F.coalesce(v4, v6)
 
 
-def decisions(found: DataFrame, protected: DataFrame | None = None, mode: str = "preview", most: int = 32, stopped: bool = False) -> DataFrame:
+def admitted(rows: DataFrame, most: int, expires: float) -> DataFrame:
+    """The incidents that get one of `most` places, each of which is held for `expires` seconds: in the order of their times, an
+    incident that finds all places held is turned away. After a pause of that length all places are free, so each stretch between
+    such pauses is a group of its own; its state is `most` times."""
+
+    def step(state: dict, r) -> list[tuple]:
+        held = [t for t in state.get("held", ()) if r.timestamp < t]
+        state["held"] = held
+        if len(held) >= most:
+            return []
+        held.append(r.timestamp + expires)
+        return [(r.incident_id,)]
+
+    timed = rows.select("incident_id", F.col("first_time").alias("timestamp"), F.col("incident_id").alias("no"), F.lit(0).alias("_all"))
+    return folded(sessions(timed, ["_all"], expires), ["_all", "session"], step, "incident_id string")
+
+
+def decisions(found: DataFrame, protected: DataFrame | None = None, mode: str = "preview", most: int = 32, stopped: bool = False, expires: float = 900.0, now: float | None = None) -> DataFrame:
     """What a policy says about each incident, by mode: monitor, preview, manual or automatic.
 
-    protected has address. Automatic needs two independent detectors of the same pair and admits the first `most`
-    incidents by time, of those that pass all else: a sorted limit, not an order over all incidents.
+    protected has address. Automatic needs two independent detectors of the same pair; of the incidents that pass
+    all else, in the order of their first times, those apply that find fewer than `most` active. One is active for `expires`
+    seconds; where `now` is given, those whose time is over by then are expired.
     """
     rows = found.join(independent(found).select("attacker", "target", F.lit(True).alias("_gate")), ["attacker", "target"], "left")
     if protected is None:
@@ -67,8 +87,14 @@ def decisions(found: DataFrame, protected: DataFrame | None = None, mode: str =
     rows = rows.withColumn("_refused", refused).withColumn("status", F.when(F.col("_refused").isNotNull(), "rejected").otherwise(answer))
     out = rows.select("incident_id", *KEY, F.coalesce("_refused", F.lit(mode)).alias("reason"), "status", "first_time")
     if mode == "automatic" and not stopped:
-        admitted = out.where("status = 'applied'").orderBy("first_time", "incident_id").limit(most).select(F.col("incident_id").alias("_id"))
-        out = out.join(F.broadcast(admitted), F.col("incident_id") == F.col("_id"), "left").withColumn("status", F.when((F.col("status") == "applied") & F.col("_id").isNull(), "rejected").otherwise(F.col("status"))).drop("_id")
+        out = kept(out)
+        let = admitted(out.where("status = 'applied'"), most, expires).select(F.col("incident_id").alias("_id"))
+        over = F.lit(False) if now is None else F.col("first_time") + expires <= now
+        state = F.when(F.col("_id").isNull(), "rejected").when(over, "expired").otherwise("applied")
+        out = out.join(let, F.col("incident_id") == F.col("_id"), "left")
+        full = (F.col("status") == "applied") & F.col("_id").isNull()
+        out = out.withColumn("reason", F.when(full, "most active blocks reached").otherwise(F.col("reason")))
+        out = out.withColumn("status", F.when(F.col("status") == "applied", state).otherwise(F.col("status"))).drop("_id")
     return out.drop("first_time")
 
 

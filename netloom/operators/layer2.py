@@ -11,7 +11,8 @@ from netloom.functions import text as T
 from netloom.operators.decode import _kept
 from netloom.operators.detect import _alerts
 from netloom.operators.fields import _cut, _number, layout
-from netloom.operators.windows import first_of, folded, latched, previous, sessions
+from netloom.operators.windows import first_of, latched, previous, sessions, spaced_by
+from netloom.sources.scratch import kept
 
 #: Fixed value: the address that trunk negotiation frames are sent to.
 DTP = bytes([0x01, 0x00, 0x0C, 0xCC, 0xCC, 0xCC])
@@ -21,15 +22,14 @@ def spaced(alerts: DataFrame, distance: int = 1000) -> DataFrame:
     """An alert of a key only if it is the first or `distance` packets or more after the last one that was let
     through. Keys are cut where no alert of theirs comes for that long: the next one is let through anyway."""
 
-    def step(state: dict, row) -> list[tuple]:
-        if "last" in state and row.no - state["last"] < distance:
-            return []
-        state["last"] = row.no
-        return [tuple(row)[:7]]
-
     # a gap between numbers, as sessions does with time: what is before the gap can't suppress what is after it
-    cut = sessions(alerts.withColumns({"_t": F.col("timestamp"), "timestamp": F.col("no").cast("double")}), ["correlation_key"], distance - 0.5).withColumn("timestamp", F.col("_t")).drop("_t")
-    return folded(cut, ["correlation_key", "session"], step, "no long, timestamp double, source string, signature string, severity string, detail string, correlation_key string", ("no",))
+    numbered = alerts.withColumns({"_t": F.col("timestamp"), "timestamp": F.col("no").cast("double")})
+    cut = kept(sessions(numbered, ["correlation_key"], distance - 0.5).withColumn("timestamp", F.col("_t")).drop("_t"))
+    keys = ["correlation_key", "session"]
+    let = spaced_by(cut, keys, "no", distance).withColumnsRenamed({"correlation_key": "_key", "session": "_session", "place": "_no"})
+    once = cut.groupBy(*keys, "no").agg(F.min(F.struct(*(c for c in alerts.columns if c not in (*keys, "no")))).alias("_row")).select(*keys, "no", "_row.*")
+    through = [F.col("correlation_key").eqNullSafe(F.col("_key")), F.col("session") == F.col("_session"), F.col("no") == F.col("_no")]
+    return once.join(let, through, "left_semi").select(*alerts.columns)
 
 
 def vlan_alerts(packets: DataFrame, distance: int = 1000) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.sources.scratch import kept
+
 ORDER = ("timestamp", "no")
 
 
@@ -193,6 +195,45 @@ def latched(rows: DataFrame, keys: list[str], threshold: int, seconds: float, di
     return first_of(hits, keys if once else [*keys, "session"]).drop("session")
 
 
+def _next_places(rows: DataFrame, keys: list[str], place: str, distance: int) -> DataFrame:
+    """(keys, place, to): the key's first place that is `distance` or more beyond each place.
+
+    Places and what is asked for are ordered together, last ones first, by buckets; what the next bucket with places begins with
+    is one row for each key and bucket.
+    """
+    own = rows.select(*keys, F.col(place).alias("place")).distinct()
+    asked = own.select(*keys, (F.col("place") + distance).alias("at"), F.lit(None).cast("long").alias("here"), F.col("place").alias("by"))
+    both = own.select(*keys, F.col("place").alias("at"), F.col("place").cast("long").alias("here"), F.lit(None).cast("long").alias("by")).unionByName(asked)
+    both = both.withColumn("_bucket", F.floor(F.col("at") / (64 * distance)))
+    heads = both.groupBy(*keys, "_bucket").agg(F.min("here").alias("_head"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    facts = heads.select(*keys, "_bucket", F.min("_head").over(later).alias("_later"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("at"), F.desc_nulls_last("here")).rowsBetween(Window.unboundedPreceding, 0)
+    found = of_bucket(both, facts, keys).withColumn("to", F.coalesce(F.min("here").over(inside), F.col("_later")))
+    return found.where("by is not null and to is not null").select(*keys, F.col("by").alias("place"), "to")
+
+
+def spaced_by(rows: DataFrame, keys: list[str], place: str, distance: int) -> DataFrame:
+    """(keys, place): of each key's places the first, and from one that is taken on always the first that is `distance` or more beyond it.
+
+    What follows a place is a jump. Jumps are joined with themselves, so they double in each round, and those that are taken are
+    joined with them: the rounds are the logarithm of the longest chain, and a key with all rows is as many tasks as its rows need.
+    """
+    jumps = kept(_next_places(rows, keys, place, distance))
+    taken = kept(rows.groupBy(*keys).agg(F.min(place).cast("long").alias("place")))
+    many = taken.count()
+    renamed = lambda df, name: df.withColumnsRenamed({c: f"_{name}_{c}" for c in df.columns})
+    met = lambda name, of: [F.col(k).eqNullSafe(F.col(f"_{name}_{k}")) for k in keys] + [F.col(of) == F.col(f"_{name}_place")]
+    while True:
+        beyond = renamed(jumps, "j")
+        reached = taken.join(beyond, met("j", "place")).select(*keys, F.col("_j_to").alias("place"))
+        taken = kept(taken.unionByName(reached).distinct())
+        if (now := taken.count()) == many:
+            return taken
+        many = now
+        jumps = kept(jumps.join(beyond, met("j", "to")).select(*keys, "place", F.col("_j_to").alias("to")))
+
+
 def folded(rows: DataFrame, keys: list[str], step: Callable[[dict, tuple], list[tuple]], schema: str, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Each key's rows in order through step(state, row), which changes the state and returns output rows.
 

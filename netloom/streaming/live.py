@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def _event_time(start: float):
@@ -48,76 +48,230 @@ def rate(rows: DataFrame, late: str = "30 seconds") -> DataFrame:
     return timeline(rows, 1, late).select("bucket", "packets")
 
 
-def _stateful(rows: DataFrame, keys: list[str], step: Callable[[dict, tuple], list[tuple]], out: str, idle: float, late: str) -> DataFrame:
-    """Each key's rows, in order within a batch, through step(state, row); the state lives between batches as
-    JSON, and goes once the watermark is `idle` seconds past the key's last row."""
-    import json
-
-    names = [c.split()[0] for c in out.split(", ")]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {}
-        found, last = [], held.get("_last", 0.0)
-        for row in pd.concat(list(batches)).sort_values(["timestamp", "no"]).itertuples(index=False, name="Row"):
-            found += step(held, row)
-            last = max(last, row.timestamp)
-        held["_last"] = last
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(int((last + idle) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=names)
-
-    return rows.withWatermark("event_time", late).groupBy(*keys).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    return pd.concat(list(rows)).sort_values(["timestamp", "no"]).itertuples(index=False, name="Row")
+
+
+class _Keyed(StatefulProcessor):
+    """What all processors here share: typed state of a key, and one timer, which takes it away `idle` seconds after its last row."""
+
+    def __init__(self, columns: list[str], idle: float):
+        self.columns, self.idle = columns, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.declare(handle)
+
+    def forget_after(self, last: float, timers) -> None:
+        at = max(int((last + self.idle) * 1000) + 1, timers.getCurrentWatermarkInMs() + 1)
+        held = list(self.handle.listTimers())
+        if at not in held:
+            for old in held:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        yield pd.DataFrame(columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class _Bursts(_Keyed):
+    """The last times of a key's values, or of its last rows, as map state: as many as the threshold, of which a batch changes a few."""
+
+    def __init__(self, keys: list[str], threshold: int, seconds: float, distinct: str | None):
+        super().__init__([*keys, "no", "timestamp"], seconds)
+        self.keys, self.threshold, self.seconds, self.distinct = keys, threshold, seconds, distinct
+
+    def declare(self, handle) -> None:
+        self.seen = handle.getMapState("seen", "value string", "at double")
+        self.burst = handle.getValueState("burst", "last double, fired boolean, rows long")
+
+    def forget(self) -> None:
+        self.seen.clear()
+        self.burst.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        was = {k[0]: v[0] for k, v in self.seen.iterator()} if self.seen.exists() else {}
+        last, fired, n = self.burst.get() if self.burst.exists() else (float("-inf"), False, 0)
+        seen, out = dict(sorted(was.items(), key=lambda x: x[1])), []  # oldest first
+        for row in _in_order(rows):
+            now = row.timestamp
+            if now - last > self.seconds:
+                seen, fired = {}, False
+            last = max(last, now)
+            value = str(getattr(row, self.distinct)) if self.distinct else str(n % self.threshold)
+            n += 1
+            seen.pop(value, None)
+            seen[value] = now
+            if len(seen) > self.threshold:
+                del seen[next(iter(seen))]
+            if not fired and len(seen) >= self.threshold and now - next(iter(seen.values())) <= self.seconds:
+                fired = True
+                out.append((*(getattr(row, k) for k in self.keys), row.no, now))
+        for value in was.keys() - seen.keys():
+            self.seen.removeKey((value,))
+        for value, at in seen.items():
+            if was.get(value) != at:
+                self.seen.updateValue((value,), (at,))
+        self.burst.update((last, fired, n))
+        self.forget_after(last, timerValues)
+        yield pd.DataFrame(out, columns=self.columns)
+
+
+class _Changes(_Keyed):
+    """The key's last value."""
+
+    def __init__(self, key: str, value: str, kind: str, idle: float):
+        super().__init__([key, "no", "timestamp", "before", "after"], idle)
+        self.key, self.value, self.kind = key, value, kind
+
+    def declare(self, handle) -> None:
+        self.last = handle.getValueState("last", f"at double, value {self.kind}")
+
+    def forget(self) -> None:
+        self.last.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, was = self.last.get() if self.last.exists() else (float("-inf"), None)
+        out = []
+        for row in _in_order(rows):
+            now = getattr(row, self.value)
+            if was is not None and was != now:
+                out.append((getattr(row, self.key), row.no, row.timestamp, was, now))
+            at, was = max(at, row.timestamp), now
+        self.last.update((at, was))
+        self.forget_after(at, timerValues)
+        yield pd.DataFrame(out, columns=self.columns)
+
+
+class _Answers(_Keyed):
+    """The key's open request: a later one takes its place, an answer takes it away."""
+
+    def __init__(self, keys: list[str], seconds: float):
+        super().__init__([*keys, "no", "request_time", "latency_ms"], seconds)
+        self.keys = keys
+
+    def declare(self, handle) -> None:
+        self.open = handle.getValueState("open", "at double")
+
+    def forget(self) -> None:
+        self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        was = at = self.open.get()[0] if self.open.exists() else None
+        out = []
+        for row in _in_order(rows):
+            if row.asks:
+                at = row.timestamp
+            elif at is not None:
+                if row.timestamp - at <= self.idle:
+                    out.append((*(getattr(row, k) for k in self.keys), row.no, at, max(row.timestamp - at, 0.0) * 1000))
+                at = None
+        if at is None:
+            if was is not None:
+                self.open.clear()
+        elif at != was:
+            self.open.update((at,))
+            self.forget_after(at, timerValues)
+        yield pd.DataFrame(out, columns=self.columns)
+
+
+def _stateful(rows: DataFrame, keys: list[str], processor: _Keyed, out: str, late: str) -> DataFrame:
+    """rows through a processor by key. Typed state needs the RocksDB store, which is chosen unless the session names one."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in rows.sparkSession.conf.get(name):
+        rows.sparkSession.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.withWatermark("event_time", late).groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventtime")
 
 
 def sliding_bursts(rows: DataFrame, keys: list[str], threshold: int, seconds: float, distinct: str | None = None, late: str = "30 seconds") -> DataFrame:
     """A row for each burst: the first packet at which a key has so many packets, or distinct values, within the
-    last seconds; anew after a pause as long. Exact, as each packet has a window of its own: the state holds the last
-    `threshold` times, or the last time of each of so many values."""
+    last seconds; anew after a pause as long. Exact, as each packet has a window of its own; a key's state is `threshold` times."""
     kind = dict(rows.dtypes)
-
-    def step(state: dict, row) -> list[tuple]:
-        now, seen = row.timestamp, state.setdefault("seen", [])
-        if seen and now - max(t for t, _ in seen) > seconds:
-            seen.clear()
-            state["fired"] = False
-        value = str(getattr(row, distinct)) if distinct else row.no
-        seen[:] = [x for x in seen if x[1] != value][-(threshold - 1) :] + [[now, value]] if threshold > 1 else [[now, value]]
-        if state.get("fired") or len(seen) < threshold or now - seen[0][0] > seconds:
-            return []
-        state["fired"] = True
-        return [(*(getattr(row, k) for k in keys), row.no, now)]
-
     out = ", ".join(f"{k} {kind[k]}" for k in keys) + ", no long, timestamp double"
-    return _stateful(rows, keys, step, out, seconds, late)
+    return _stateful(rows, keys, _Bursts(keys, threshold, seconds, distinct), out, late)
 
 
 def changes(rows: DataFrame, key: str, value: str, idle: float = 86_400.0, late: str = "30 seconds") -> DataFrame:
     """Rows whose value differs from the key's last one, which is forgotten after a day without a row."""
     kind = dict(rows.dtypes)
+    some = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    return _stateful(some, [key], _Changes(key, value, kind[value], idle), f"{key} {kind[key]}, no long, timestamp double, before {kind[value]}, after {kind[value]}", late)
 
-    def step(state: dict, row) -> list[tuple]:
-        was, state["value"] = state.get("value"), getattr(row, value)
-        return [(getattr(row, key), row.no, row.timestamp, was, state["value"])] if was is not None and was != state["value"] else []
 
-    some = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    return _stateful(some, [key], step, f"{key} {kind[key]}, no long, timestamp double, before {kind[value]}, after {kind[value]}", idle, late)
+def answers(rows: DataFrame, keys: list[str], seconds: float = 30.0, late: str = "30 seconds") -> DataFrame:
+    """Each answer with the request it belongs to, the key's latest that no answer has met yet, and the time between them.
+    rows has the keys, `asks` (true for requests), no, timestamp and event_time; a request waits `seconds` at most."""
+    kind = dict(rows.dtypes)
+    out = ", ".join(f"{k} {kind[k]}" for k in keys) + ", no long, request_time double, latency_ms double"
+    return _stateful(rows.select(*keys, "asks", "no", "timestamp", "event_time"), keys, _Answers(keys, seconds), out, late)
+
+
+HANDSHAKE = ["client", "client_port", "target", "port"]
 
 
-def handshakes(packets: DataFrame, seconds: int = 30, late: str = "30 seconds") -> DataFrame:
-    """Requests and answers of TCP as two streams, joined by their ends within 30 seconds: each answer with the
-    requests it can belong to, of which the latest (largest request_time) is its own."""
+def handshakes(packets: DataFrame, seconds: float = 30.0, late: str = "30 seconds") -> DataFrame:
+    """TCP handshakes: SYN and SYN-ACK of the same ends, each request answered once."""
     from netloom.functions.packet import tcp_flags
 
-    flags = tcp_flags()
-    rows = packets.withColumn("_f", flags.bitwiseAND(0x12)).withWatermark("event_time", late)
-    ask = rows.where("_f = 2").select(F.col("event_time").alias("request_time"), F.col("src").alias("client"), F.col("src_port").alias("client_port"), F.col("dst").alias("target"), F.col("dst_port").alias("port"))
-    answer = rows.where("_f = 18").select("no", F.col("event_time").alias("answer_time"), F.col("dst").alias("c"), F.col("dst_port").alias("cp"), F.col("src").alias("t"), F.col("src_port").alias("p"))
-    near = (F.col("answer_time") >= F.col("request_time")) & (F.col("answer_time") <= F.col("request_time") + F.expr(f"interval {seconds} seconds"))
-    met = ask.join(answer, (F.col("client") == F.col("c")) & (F.col("client_port") == F.col("cp")) & (F.col("target") == F.col("t")) & (F.col("port") == F.col("p")) & near)
-    return met.select("no", "client", "client_port", "target", "port", "request_time", "answer_time", ((F.unix_micros("answer_time") - F.unix_micros("request_time")) / 1000).alias("latency_ms"))
+    rows = packets.withColumn("_f", tcp_flags().bitwiseAND(0x12)).where("_f in (2, 18) and src_port is not null and dst_port is not null").withColumn("asks", F.col("_f") == 2)
+    end = lambda own, other: F.when(F.col("asks"), F.col(own)).otherwise(F.col(other))
+    named = {"client": end("src", "dst"), "client_port": end("src_port", "dst_port"), "target": end("dst", "src"), "port": end("dst_port", "src_port")}
+    return answers(rows.withColumns(named), HANDSHAKE, seconds, late)
+
+
+def dns_answers(packets: DataFrame, seconds: float = 30.0, late: str = "30 seconds") -> DataFrame:
+    """J14 live: DNS queries and their answers by client, server and transaction."""
+    from netloom.operators import dns
+
+    rows = dns.messages(packets).withColumn("asks", ~F.col("response"))
+    end = lambda own, other: F.when(F.col("asks"), F.col(own)).otherwise(F.col(other))
+    return answers(rows.withColumns({"client": end("src", "dst"), "server": end("dst", "src")}).withColumnRenamed("id", "transaction"), ["client", "server", "transaction"], seconds, late)
+
+
+class _Late(StatefulProcessor):
+    """Rows as they come, told apart by the watermark of their batch; no state is held."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            yield batch.drop(columns="_spread").assign(late=batch["_at"] < mark).drop(columns="_at")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def with_late(rows: DataFrame, late: str = "30 seconds", spread: int = 64) -> DataFrame:
+    """Rows with `late`: whether their time is before the watermark of their batch, so that an operator with that watermark would pass
+    them over. Rows are dealt out by number, not by a key; with `split_late` the late ones get a table of their own."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in rows.sparkSession.conf.get(name):
+        rows.sparkSession.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    marked = rows.withWatermark("event_time", late)
+    plain = marked.select(*(F.col(c) for c in rows.columns if c != "event_time"), F.unix_millis("event_time").alias("_at"), (F.col("no") % spread).alias("_spread"))
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "event_time") + ", late boolean"
+    return plain.groupBy("_spread").transformWithStateInPandas(_Late(), kinds, "append", "eventtime")
+
+
+def split_late(rows: DataFrame, on_time: str, side: str, late: str = "30 seconds"):
+    """A writer that puts rows on time below one folder and late ones below another; a batch that is run again writes the same folders."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.where("not late").drop("late").write.mode("overwrite").parquet(f"{on_time}/batch={number}")
+        batch.where("late").drop("late").write.mode("overwrite").parquet(f"{side}/batch={number}")
+        batch.unpersist()
+
+    return with_late(rows, late).writeStream.foreachBatch(store)
 
 
 def indicator_hits(rows: DataFrame, indicators: DataFrame) -> DataFrame:

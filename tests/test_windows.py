@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators.windows import last_of, latched, previous, sliding, with_lookback
+from netloom.operators.windows import last_of, latched, previous, sliding, spaced_by, with_lookback
 
 SCHEMA = "no long, timestamp double, src string, dst string, port int"
 
@@ -123,3 +123,51 @@ def test_beacon_scores_are_those_of_the_last_60(spark):
     df = spark.createDataFrame(rows, "no long, timestamp double, src string, dst string, src_port int, dst_port int, protocol string, vlan_id int, length int").repartition(5)
     found = {r.a_ip if r.a_ip != "10.0.9.9" else r.b_ip: r.beacon_score for r in beacon_scores(df).collect()}
     assert found == pytest.approx(expected)
+
+
+def greedy(places, distance):
+    out = []
+    for p in sorted(set(places)):
+        if not out or p - out[-1] >= distance:
+            out.append(p)
+    return out
+
+
+@pytest.mark.parametrize("distance", [1, 7, 100])
+def test_spacing_is_greedy(spark, distance):
+    rng = random.Random(distance)
+    places = {k: [rng.randrange(3000) for _ in range(n)] for k, n in (("a", 900), ("b", 30), ("c", 1), (None, 60))}
+    df = spark.createDataFrame([(k, p) for k, ps in places.items() for p in ps], "k string, p long").repartition(4)
+    found = [(r.k, r.place) for r in spaced_by(df, ["k"], "p", distance).collect()]
+    assert len(found) == len(set(found)) and {k: sorted(p for x, p in found if x == k) for k in places} == {k: greedy(ps, distance) for k, ps in places.items()}
+
+
+def test_spacing_of_one_long_key(spark):
+    df = spark.range(0, 1_000_000, 1, 8).selectExpr("'k' as k", "id * 3 + id % 2 as p")
+    began = time.time()
+    found = sorted(r.place for r in spaced_by(df, ["k"], "p", 1000).collect())
+    assert found == greedy([i * 3 + i % 2 for i in range(1_000_000)], 1000) and time.time() - began < 150
+
+
+def test_admission_with_expiry(spark):
+    from netloom.operators.incidents import admitted, decisions
+
+    rng, at, rows = random.Random(1), 0.0, []
+    for i in range(300):
+        at += rng.choice([0.0, 1.0, 5.0, 120.0])
+        rows.append((f"i{i:03}", at))
+    expected, held = [], []
+    for i, t in rows:
+        held = [e for e in held if t < e]
+        if len(held) < 4:
+            held.append(t + 60.0)
+            expected.append(i)
+    df = spark.createDataFrame(rows, "incident_id string, first_time double").repartition(3)
+    assert sorted(r.incident_id for r in admitted(df, 4, 60.0).collect()) == expected and 50 < len(expected) < 250
+    found = [(f"{d}{k}", "IDS", d, f"203.0.113.{k}", "10.0.0.1", float(10 * k)) for k in range(1, 6) for d in ("x", "y")] + [("z", "IDS", "x", "203.0.113.99", "10.0.0.1", 0.0)]
+    out = decisions(spark.createDataFrame(found, "incident_id string, source string, detector string, attacker string, target string, first_time double"), spark.createDataFrame([("203.0.113.2",)], "address string"), "automatic", 3, expires=25.0, now=60.0)
+    status = {r.incident_id: (r.status, r.reason) for r in out.collect()}
+    # x1, y1 from 10 to 35; 2 is protected; x3 from 30 to 55, y3 finds all held; x4, y4 from 40; both of 50 find x3, x4, y4
+    full = ("rejected", "most active blocks reached")
+    assert status == {"z": ("pending approval", "automatic"), "x1": ("expired", "automatic"), "y1": ("expired", "automatic"), "x2": ("rejected", "address is on the protection list"), "y2": ("rejected", "address is on the protection list"),
+        "x3": ("expired", "automatic"), "y3": full, "x4": ("applied", "automatic"), "y4": ("applied", "automatic"), "x5": full, "y5": full}
