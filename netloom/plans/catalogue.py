@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import packet as X
 from netloom.operators import detect, traffic
-from netloom.plans import entities, files, frames, lookups, patterns, views
+from netloom.plans import entities, files, frames, lookups, patterns, sequences, views
 from netloom.plans.packets import SQL, packets
 
 def _rounded(df, *columns):
@@ -49,7 +49,7 @@ def queries() -> dict:
         "f5_port_differs": _over(lambda p: p.where(X.any_port(lambda c: c < 100) & ~X.contains("info", "VIEW")).select("no")),
         "f19_internal": _over(lambda p: p.where(~X.is_internal(F.col("dst"))).groupBy("src").agg(F.count("*").alias("external"))),
         "u1_only_in_first_half": _halves,
-    } | lookups.queries() | entities.queries() | frames.queries() | views.queries() | files.queries() | patterns.queries()
+    } | lookups.queries() | entities.queries() | frames.queries() | views.queries() | files.queries() | patterns.queries() | sequences.queries()
 
 
 _P = "WITH p AS (" + SQL.replace("{events}", "events") + ")"
@@ -108,4 +108,4 @@ def oracle_sql() -> dict[str, str]:
     out |= lookups.oracle_sql()
     out |= entities.oracle_sql(out) | frames.oracle_sql()
     out |= views.oracle_sql(out)
-    return out | files.oracle_sql(out) | patterns.oracle_sql()
+    return out | files.oracle_sql(out) | patterns.oracle_sql() | sequences.oracle_sql(out)

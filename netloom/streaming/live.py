@@ -223,11 +223,12 @@ def handshakes(packets: DataFrame, seconds: float = 30.0, late: str = "30 second
     return answers(rows.withColumns(named), HANDSHAKE, seconds, late)
 
 
-def dns_answers(packets: DataFrame, seconds: float = 30.0, late: str = "30 seconds") -> DataFrame:
-    """J14 live: DNS queries and their answers by client, server and transaction."""
+def dns_answers(packets: DataFrame, seconds: float = 30.0, late: str = "30 seconds", start: float = 0.0) -> DataFrame:
+    """J14 live: DNS queries and their answers by client, server and transaction; start as in `packets`."""
     from netloom.operators import dns
 
-    rows = dns.messages(packets).withColumn("asks", ~F.col("response"))
+    asks = ~F.col("response") & (F.col("dst_port") == 53)
+    rows = dns.messages(packets, named=False).withColumns({"asks": asks, "event_time": _event_time(start)}).where(asks | (F.col("response") & (F.col("src_port") == 53)))
     end = lambda own, other: F.when(F.col("asks"), F.col(own)).otherwise(F.col(other))
     return answers(rows.withColumns({"client": end("src", "dst"), "server": end("dst", "src")}).withColumnRenamed("id", "transaction"), ["client", "server", "transaction"], seconds, late)
 
@@ -235,13 +236,16 @@ def dns_answers(packets: DataFrame, seconds: float = 30.0, late: str = "30 secon
 class _Late(StatefulProcessor):
     """Rows as they come, told apart by the watermark of their batch; no state is held."""
 
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         for batch in rows:
-            yield batch.drop(columns="_spread").assign(late=batch["_at"] < mark).drop(columns="_at")
+            yield batch[self.columns].assign(late=batch["at_millis"] < mark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from ()
@@ -257,9 +261,9 @@ def with_late(rows: DataFrame, late: str = "30 seconds", spread: int = 64) -> Da
     if "HDFSBacked" in rows.sparkSession.conf.get(name):
         rows.sparkSession.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     marked = rows.withWatermark("event_time", late)
-    plain = marked.select(*(F.col(c) for c in rows.columns if c != "event_time"), F.unix_millis("event_time").alias("_at"), (F.col("no") % spread).alias("_spread"))
+    plain = marked.select(*(F.col(c) for c in rows.columns if c != "event_time"), F.unix_millis("event_time").alias("at_millis"), (F.col("no") % spread).alias("dealt"))
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "event_time") + ", late boolean"
-    return plain.groupBy("_spread").transformWithStateInPandas(_Late(), kinds, "append", "eventtime")
+    return plain.groupBy("dealt").transformWithStateInPandas(_Late([c for c in rows.columns if c != "event_time"]), kinds, "append", "eventtime")
 
 
 def split_late(rows: DataFrame, on_time: str, side: str, late: str = "30 seconds"):
