@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Distinct vectors are dealt to shards of bounded size. A shard's graph is flat arrays of neighbours, one for each
+Distinct directions are dealt to shards of bounded size. A shard's graph is flat arrays of neighbours, one for each
 level; all queries descend it in step, level by level, with a beam on the lowest. Every shard answers every
 query, and the shards' results are merged.
 """
@@ -189,11 +189,15 @@ def _search(k: int):
             norm = np.linalg.norm(own, axis=1)
             for block in blocks.itertuples():
                 ids, queries = np.frombuffer(block.query_ids, np.int64), np.frombuffer(block.query_vectors, np.float64).reshape(-1, row.dim)
-                found = graph.search(queries, 4 * k)
+                found = np.sort(graph.search(queries, BEAM), axis=1)  # nodes are in the order of their keys
                 q, c = np.nonzero(found >= 0)
                 at, asked = found[q, c], scaled(queries)
-                score = np.einsum("ij,ij->i", asked[q], own[at]) / (np.linalg.norm(asked, axis=1)[q] * norm[at])
-                out.append(pd.DataFrame({"query_id": ids[q], "key": keys[at], "score": score}))
+                score = np.full(found.shape, -np.inf)
+                score[q, c] = np.einsum("ij,ij->i", asked[q], own[at]) / (np.linalg.norm(asked, axis=1)[q] * norm[at])
+                best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
+                q, c = np.nonzero(found >= 0)
+                out.append(pd.DataFrame({"query_id": ids[q], "key": keys[found[q, c]], "score": score[q, c]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "key": [], "score": []})
 
     return search
@@ -209,7 +213,7 @@ def _usable(vectors: pd.Series) -> pd.Series:
         if v is None:
             return None
         x = np.array([np.nan if c is None else c for c in v], np.float64)
-        return x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None
+        return scaled(x[None]).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None
 
     return pd.Series([of(v) for v in vectors], dtype=object)
 
@@ -218,16 +222,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     """(query_id, rank, id_col, score) of the k nearest rows that are found for each row where is_query holds.
 
     Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite components, take no
-    part. Vectors meet only those of their own number of components. Equal vectors are one node of a graph, and
-    their ids are listed from it, smallest first: a hot vector with any number of copies costs one node, and ties
-    go to the smaller id. A row is never its own neighbour; other rows with a query's id (repeated rows) aren't
-    either. Fewer than k candidates give fewer rows; an empty table gives none.
+    part. Vectors meet only those of their own number of components. Vectors that are equal but for a power of two, so
+    that all their cosines are the same to the last bit, are one node of a graph, and their ids are listed from it,
+    smallest first: a hot direction with any number of copies costs one node. A node is known by its smallest id, so
+    ties go to the smaller id at every cut; the first k + 1 nodes of a shard are enough for the first k rows. A row is never its own
+    neighbour; other rows with a query's id (repeated rows) aren't either. Fewer than k candidates give fewer rows; an
+    empty table gives none. Ids are whole numbers, or text that says one; others are an error.
     """
     pack = F.pandas_udf(_usable, "binary")
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), is_query.alias("is_query"), pack(vector_col).alias("vector"))
-    rows = rows.where("vector is not null").withColumn("dim", (F.octet_length("vector") / 8).cast("int")).withColumn("key", F.xxhash64("vector"))
+    rows = rows.where("vector is not null").withColumn("dim", (F.octet_length("vector") / 8).cast("int"))
     rows = materialise(rows)
-    first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("copy") <= k + 1)
+    alike = Window.partitionBy("vector").orderBy("id")
+    first = rows.withColumns({"copy": F.row_number().over(alike), "key": F.first("id").over(alike)}).where(F.col("copy") <= k + 1)
     first = materialise(first.select("key", "id", "copy", "dim", "vector"))
     nodes = first.where("copy = 1")
     # as many shards as a dimension's distinct vectors need; queries go to the shards, which are not sent about
@@ -241,7 +248,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     asked = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("turn", F.floor(F.col("block") / TURN_BLOCKS))
     told = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit((n_blocks - 1) // TURN_BLOCKS)).cast("array<long>")))
     near = told.groupBy("dim", "shard", "turn").cogroup(asked.groupBy("dim", "shard", "turn")).applyInPandas(_search(k), NEAR)
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= 4 * k)
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k + 1)
     ids = best.select("query_id", "key", "score").join(first.select("key", "id"), "key").where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return ids.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
