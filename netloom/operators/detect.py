@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ def _alerts(rows: DataFrame, signature: str, severity: str, detail: Column, key:
     return rows.select("no", "timestamp", F.lit("IDS").alias("source"), F.lit(signature).alias("signature"), F.lit(severity).alias("severity"), detail.alias("detail"), key.alias("correlation_key"))
 
 
+#: What an FTP server says to a wrong log-in.
+REFUSED = ("530 Login incorrect", "530 Failed")
+
+
 def vertical_scan(packets: DataFrame, ports: int = 12, seconds: float = 15.0) -> DataFrame:
     """One source probes many ports of one target. Re-arms when the source pauses."""
     found = latched(packets.where(is_syn()).select(*SHOWN), ["src", "dst"], ports, seconds, "dst_port", ["src"])
@@ -46,9 +52,13 @@ def admin_fan_out(packets: DataFrame, hosts: int = 8, seconds: float = 60.0) ->
 
 
 def auth_burst(packets: DataFrame, attempts: int = 5, seconds: float = 30.0) -> DataFrame:
-    """D-BF: repeated log-ins to SSH, refused HTTP requests or NTLM over SMB; once for each source and service."""
-    ntlm = F.contains(F.lower(F.decode(F.col("bytes"), "ISO-8859-1")), F.lit("ntlmssp"))
-    service = F.when(F.col("dst_port") == 22, F.lit("SSH")).when(F.col("dst_port").isin(80, 443) & F.col("info").contains("401"), F.lit("HTTP")).when((F.col("dst_port") == 445) & ntlm, F.lit("SMB"))
+    """D-BF: repeated log-ins to SSH, refused FTP log-ins either way, refused HTTP requests or NTLM over SMB; once for each
+    source and service. An answer from port 21 counts where its own destination is none of the services' ports."""
+    text = F.decode(F.col("bytes"), "ISO-8859-1")
+    ntlm = F.contains(F.lower(text), F.lit("ntlmssp"))
+    refused = reduce(lambda a, b: a | b, (F.contains(F.substring(text, 55, 1 << 20), F.lit(t)) for t in REFUSED))
+    ftp = (F.col("dst_port") == 21) | ((F.col("src_port") == 21) & ~F.coalesce(F.col("dst_port").isin(22, 80, 443, 445), F.lit(False)))
+    service = F.when(F.col("dst_port") == 22, F.lit("SSH")).when(ftp & refused, F.lit("FTP")).when(F.col("dst_port").isin(80, 443) & F.col("info").contains("401"), F.lit("HTTP")).when((F.col("dst_port") == 445) & ntlm, F.lit("SMB"))
     rows = packets.withColumn("service", service).where("service is not null").select(*SHOWN, "service")
     found = latched(rows, ["src", "dst", "dst_port"], attempts, seconds, once=True)
     return _alerts(found, "Authentication burst", "HIGH", F.concat_ws(" ", "service", "src", F.lit("->"), "dst"), F.concat_ws("|", "src", "dst", F.col("dst_port").cast("string")))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators import behaviour, decode, detect, fields, graph, incidents, rules, traffic
+from netloom.operators import behaviour, decode, detect, enrich, fields, graph, incidents, rules, traffic
 from netloom.plans import entities, frames, lookups
 from netloom.plans.packets import SQL, packets
 from netloom.sources import exports, feeds, pcap, scratch
@@ -110,14 +110,24 @@ def _case(spark, sf_dir):
     return back["ioc_hits"].groupBy("context").agg(F.count("*").alias("hits"), F.max("value").alias("value")).withColumns({"sections": F.lit(",".join(sorted(back))), "hosts": F.lit(back["hosts"].count())})
 
 
-def _metrics(spark, sf_dir):
+def _snapshot(spark, sf_dir) -> DataFrame:
+    """All numbers: HTTPS packets are those in view, SSH packets those that a rule hits; incidents are pending, and one packet of each has been kept."""
     p = packets(spark, sf_dir)
-    return exports.metrics(p, detect.auth_burst(p)).drop("latency_p95_ms")
+    found = entities._incidents(spark, sf_dir)
+    hits = enrich.indicator_hits(p, spark.sql(lookups.INDICATORS, customer=spark.read.parquet(f"{sf_dir}/customer.parquet")))
+    counted = {
+        "visible_packets": p.where("dst_port = 443"), "rule_hits": p.where("protocol = 'SSH'"), "ioc_hits": hits, "pending_incidents": found.withColumn("status", F.when(F.col("first_no") % 2 == 0, "pending").otherwise("closed")),
+        "evidence_exports": found, "enriched_addresses": p.select(F.explode(F.array("src", "dst")).alias("address")),
+    }
+    return exports.metrics(p, detect.auth_burst(p), counted=counted, capturing=True)
+
+
+def _metrics(spark, sf_dir):
+    return _snapshot(spark, sf_dir).drop("latency_p95_ms")
 
 
 def _metrics_text(spark, sf_dir):
-    p = packets(spark, sf_dir)
-    return exports.open_metrics(exports.metrics(p, detect.auth_burst(p)))
+    return exports.open_metrics(_snapshot(spark, sf_dir))
 
 
 def _summary(spark, sf_dir):
@@ -218,7 +228,8 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "s17_graph_files": f"SELECT src, dst, kind, hits FROM ({known['g1_edges']}) e WHERE kind IN ('CommunicatesWith', 'BelongsToHost', 'UsesService')",
         "s18_graph_summary": f"SELECT 'node' AS part, key AS name, score FROM (SELECT * FROM ({known['g5_scores']}) s ORDER BY score DESC, key LIMIT 10) a UNION ALL SELECT 'path', concat_ws(' ', kind, node), score FROM (SELECT * FROM ({known['g6_paths']}) q ORDER BY score DESC, kind, node LIMIT 10) b UNION ALL SELECT 'cluster', concat_ws(' ', kind, label), score FROM (SELECT * FROM ({known['g7_clusters']}) q ORDER BY score DESC, kind, label LIMIT 10) c",
         "s21_case": f"{p} SELECT context, count(*) AS hits, max(value) AS value, 'alerts,hosts,ioc_hits,meta' AS sections, (SELECT count(*) FROM ({known['a5_hosts']}) h) AS hosts FROM ({known['j1_indicator_hits']}) i GROUP BY context",
-        "s22_metrics": f"{p} SELECT count(*) AS packets_total, sum(length) AS bytes_total, (SELECT count(*) FROM ({known['a1_flows']}) f) AS flows, (SELECT count(*) FROM ({known['a5_hosts']}) h) AS hosts, (SELECT count(*) FROM ({known['d_bf_auth_burst']}) d) AS security_findings, (SELECT count(*) FROM p WHERE floor(timestamp) = (SELECT floor(max(timestamp)) FROM p)) AS packets_per_second FROM p",
+        "s22_metrics": f"""{p} SELECT count(*) AS packets_total, sum(length) AS bytes_total, (SELECT count(*) FROM ({known['a1_flows']}) f) AS flows, (SELECT count(*) FROM ({known['a5_hosts']}) h) AS hosts, (SELECT count(*) FROM ({known['d_bf_auth_burst']}) d) AS security_findings, (SELECT count(*) FROM p WHERE floor(timestamp) = (SELECT floor(max(timestamp)) FROM p)) AS packets_per_second, (SELECT count(*) FROM p WHERE dst_port = 443) AS visible_packets, (SELECT count(*) FROM p WHERE protocol = 'SSH') AS rule_hits, (SELECT count(*) FROM ({known['j1_indicator_hits']}) h) AS ioc_hits, (SELECT count(*) FROM ({known['i4_incidents']}) h WHERE first_no % 2 = 0) AS pending_incidents,
+            (SELECT count(*) FROM ({known['i4_incidents']}) h) AS evidence_exports, (SELECT count(DISTINCT a) FROM (SELECT src AS a FROM p UNION ALL SELECT dst FROM p) x) AS enriched_addresses, 1 AS capturing FROM p""",
         "z3_stream_timeline": f"{p} SELECT * FROM (SELECT floor(timestamp / 5) * 5.0::DOUBLE AS bucket, count(*) AS packets, sum(length) AS bytes FROM p GROUP BY 1) b WHERE bucket + 5 <= (SELECT max(timestamp) - 1 FROM p)",
         "z4_stream_bursts": f"""{p}, w AS (SELECT *, count(DISTINCT dst) OVER (PARTITION BY src, dst_port ORDER BY timestamp RANGE BETWEEN 60.0::DOUBLE PRECEDING AND CURRENT ROW) AS hits, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY src, dst_port ORDER BY timestamp, no) > 60 THEN 1 ELSE 0 END AS new FROM p),
             s AS (SELECT *, sum(new) OVER (PARTITION BY src, dst_port ORDER BY timestamp, no ROWS UNBOUNDED PRECEDING) AS session FROM w) SELECT src, dst_port, min(no) AS no, arg_min(timestamp, no) AS timestamp FROM s WHERE hits >= 8 GROUP BY src, dst_port, session""",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import objects, search, signatures
+from netloom.operators import detect, objects, search, signatures
 from netloom.plans.frames import EVENTS
 from netloom.plans.packets import SQL, packets
 
@@ -46,6 +46,17 @@ EXPOSURES = [
 ]
 
 
+#: Log-ins by service: a refused one and one that isn't, or isn't told as such.
+LOGINS = [
+    ("SSH", "", ("SSH", 50000, 22, "", b"SSH-2.0"), ("SSH", 22, 50000, "", b"SSH-2.0")),
+    ("FTP", "", ("FTP", 21, 50000, "", _BODY + b"530 Login incorrect.\r\n"), ("FTP", 21, 50001, "", _BODY + b"230 Logged in.\r\n")),
+    ("FTP", "", ("FTP", 50000, 21, "", _BODY + b"530 Failed"), ("FTP", 50000, 21, "", b"530 Failed" + _BODY)),
+    ("HTTP", "", ("HTTP", 50000, 443, "HTTP/1.1 401 no", b"x"), ("HTTP", 50000, 8443, "HTTP/1.1 401 no", b"x")),
+    ("SMB", "", ("SMB", 50000, 445, "", b"NTLMSSP"), ("SMB", 50000, 445, "", b"ntlm ssp")),
+    ("", "", ("FTP", 21, 443, "", _BODY + b"530 Failed"), ("FTP", 20, 50002, "", _BODY + b"530 Failed")),
+]
+
+
 def _frames(kinds: list) -> str:
     """Packets of all kinds in turn: hit, miss, hit of the next, and so on."""
     each = [form for _, _, *forms in kinds for form in forms]
@@ -83,8 +94,13 @@ def _searches(spark, sf_dir):
     return search.searches({"Packet": search.packet_finds(packets(spark, sf_dir)), "Supplier": suppliers}, NEEDLES)
 
 
+def _logins(spark, sf_dir):
+    return detect.auth_burst(spark.sql(_frames(LOGINS), events=spark.read.parquet(f"{sf_dir}/events.parquet")), 3, 5.0).select("no", "signature", "detail")
+
+
 def queries() -> dict:
     return {
+        "d_bf_services": _logins,
         "d40_d52_exploits": _over(_frames(EXPLOITS), signatures.exploits),
         "d_vuln_exposures": _over(_frames(EXPOSURES), signatures.exposures),
         "r6_many_patterns": _word_hits,
@@ -92,10 +108,20 @@ def queries() -> dict:
     }
 
 
+def _login_sql() -> str:
+    """The third log-in of a source, service and target within five seconds, the first time that this happens."""
+    rows = ", ".join(f"({2 * i}, '{name}', {hit[2]})" for i, (name, _, hit, _) in enumerate(LOGINS) if name)
+    return f"""WITH l AS (SELECT event_id + 1 AS no, CAST(event_id AS DOUBLE) / 40 AS t, concat('198.51.100.', user_id % 6 + 1) AS src, service, port FROM events JOIN (VALUES {rows}) v(k, service, port) ON event_id % {2 * len(LOGINS)} = k),
+        m AS (SELECT *, count(*) OVER (PARTITION BY src, port ORDER BY t RANGE BETWEEN 5.0::DOUBLE PRECEDING AND CURRENT ROW) AS hits FROM l),
+        f AS (SELECT *, row_number() OVER (PARTITION BY src, port ORDER BY t, no) AS k FROM m WHERE hits >= 3)
+        SELECT no, 'Authentication burst' AS signature, concat_ws(' ', service, src, '->', '10.0.0.5') AS detail FROM f WHERE k = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     values = ", ".join(f"('{q}')" for q in NEEDLES)
     return {
         "d40_d52_exploits": _found(EXPLOITS),
+        "d_bf_services": _login_sql(),
         "d_vuln_exposures": _found(EXPOSURES),
         "r6_many_patterns": """WITH p AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS w FROM benchmark), d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
             h AS (SELECT k, doc_id, item_id, w, (length(text) - length(replace(text, w, ''))) // length(w) AS n, strlen(string_split(text, w)[1]) AS first FROM d JOIN p ON contains(text, w)),

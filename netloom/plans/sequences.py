@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators import incidents
+from netloom.operators import behaviour, incidents, objects, traffic
 from netloom.plans import frames
 from netloom.plans.files import OWNER_LINES, PACKET, START
 from netloom.plans.frames import EVENTS
@@ -71,14 +73,57 @@ def _tail(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(out).groupBy("pid", "local_port", "command").agg(F.count("*").alias("times"))
 
 
+def _flows_by(measure: str, top: int = 30):
+    """K1: flows by another measure than bytes."""
+
+    def query(spark, sf_dir):
+        p = packets(spark, sf_dir)
+        rows = traffic.flows(p).select(*traffic.FLOW, "packets", "first_seen")
+        if measure == "beacon_score":
+            keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in traffic.FLOW]
+            scores = behaviour.beacon_scores(p).select(*(F.col(c).alias(f"_{c}") for c in traffic.FLOW), F.round("beacon_score", 6).alias("beacon_score"))
+            rows = rows.join(scores, keys).select(*traffic.FLOW, "beacon_score")
+        return objects.ranked(rows, measure, *traffic.FLOW, top=top).select(*traffic.FLOW, measure)
+
+    return query
+
+
+def _nodes_by_bytes(spark, sf_dir):
+    """K3: the ends of the conversations, by what they sent and received."""
+    hosts = traffic.hosts(packets(spark, sf_dir)).select("ip", (F.col("bytes_out") + F.col("bytes_in")).alias("bytes"), (F.col("packets_out") + F.col("packets_in")).alias("packets"))
+    return objects.ranked(hosts, "bytes", "ip", top=20)
+
+
+def _tables_by_bytes(spark, sf_dir):
+    """K4: endpoints, ports and protocols, the five largest of each."""
+    p = packets(spark, sf_dir)
+    parts = [traffic.totals(p, c).select(F.lit(name).alias("kind"), F.col(c).cast("string").alias("value"), "packets", "bytes") for name, c in (("endpoint", "src"), ("port", "dst_port"), ("protocol", "protocol"))]
+    return objects.ranked(reduce(DataFrame.unionByName, parts), "bytes", "value", top=5, within="kind")
+
+
 def queries() -> dict:
-    return {"i7_automatic": _automatic, "z2_late_rows": _late, "j14_stream_dns": _dns_stream, "s12_growing_file": _tail}
+    return {
+        "k1_flows_by_packets": _flows_by("packets"),
+        "k1_flows_by_time": _flows_by("first_seen"),
+        "k1_flows_by_beacon": _flows_by("beacon_score"),
+        "k3_top_nodes": _nodes_by_bytes,
+        "k4_top_tables": _tables_by_bytes,
+        "i7_automatic": _automatic, "z2_late_rows": _late, "j14_stream_dns": _dns_stream, "s12_growing_file": _tail}
 
 
 def oracle_sql(known: dict[str, str]) -> dict[str, str]:
     p = f"WITH p AS ({SQL.replace('{events}', 'events')})"
     owner = OWNER_LINES.replace("{supplier}", "supplier").replace("{{", "{").replace("}}", "}")
+    flow = ", ".join(traffic.FLOW)
+    ranked = lambda rows, measure: f"SELECT {flow}, {measure} FROM ({rows}) x ORDER BY {measure} DESC, {', '.join(c + ' NULLS FIRST' for c in traffic.FLOW)} LIMIT 30"
+    table = lambda kind, c: f"SELECT '{kind}' AS kind, CAST({c} AS VARCHAR) AS value, count(*) AS packets, sum(length)::BIGINT AS bytes FROM p GROUP BY {c}"
     return {
+        "k1_flows_by_packets": ranked(known["a1_flows"], "packets"),
+        "k1_flows_by_time": ranked(known["a1_flows"], "first_seen"),
+        "k1_flows_by_beacon": ranked(f"SELECT {flow}, round(beacon_score, 6) AS beacon_score FROM ({known['a3_beacon_scores']}) b", "beacon_score"),
+        "k3_top_nodes": f"SELECT ip, (bytes_out + bytes_in)::BIGINT AS bytes, (packets_out + packets_in)::BIGINT AS packets FROM ({known['a5_hosts']}) h ORDER BY bytes DESC, ip LIMIT 20",
+        "k4_top_tables": f"""{p}, t AS ({table('endpoint', 'src')} UNION ALL {table('port', 'dst_port')} UNION ALL {table('protocol', 'protocol')})
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY bytes DESC, value) AS rank FROM t) r WHERE rank <= 5""",
         "i7_automatic": f"""WITH RECURSIVE i AS ({FOUND.replace("{events}", "events")}), g AS (SELECT attacker, count(DISTINCT detector) > 1 AS gated FROM i GROUP BY attacker),
             d AS (SELECT i.*, gated, CAST(string_split(attacker, '.')[3] AS INT) % 7 = 0 AS kept FROM i JOIN g USING (attacker)),
             o AS (SELECT *, row_number() OVER (ORDER BY first_time, incident_id) AS k FROM d WHERE gated AND NOT kept),

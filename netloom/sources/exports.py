@@ -60,11 +60,17 @@ def graph_summary(nodes: DataFrame, paths: DataFrame, clusters: DataFrame, top:
     }
 
 
-def metrics(packets: DataFrame, findings: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+#: Tables that metrics counts where they are given, by the name of the number.
+COUNTED = ("visible_packets", "rule_hits", "ioc_hits", "pending_incidents", "evidence_exports", "enriched_addresses")
+
+
+def metrics(packets: DataFrame, findings: DataFrame, latency: DataFrame | None = None, counted: dict[str, DataFrame] | None = None, capturing: bool = False) -> DataFrame:
     """Counters and gauges in one row: packets, bytes, flows, hosts, findings, packets in the last second and the
-    95th percentile of latency. Flows and hosts are counted after they are grouped."""
+    95th percentile of latency; the rows of further tables, by the names of COUNTED (0 where one isn't given); whether a capture runs. Of
+    incidents those that are pending count, of addresses the distinct ones. Flows and hosts are counted after they are grouped."""
     from netloom.operators.traffic import FLOW, hosts, with_flow_key
 
+    counted = counted or {}
     sums = packets.agg(F.count("*").alias("packets_total"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes_total"))
     flows = with_flow_key(packets).groupBy(*FLOW).agg(F.count("*").alias("_n")).agg(F.count("*").alias("flows"))
     known = hosts(packets).agg(F.count("*").alias("hosts"))
@@ -74,11 +80,22 @@ def metrics(packets: DataFrame, findings: DataFrame, latency: DataFrame | None =
     out = sums
     for one in (flows, known, found, rate, p95):  # one row each
         out = out.join(F.broadcast(one))
-    return out
+    for name in COUNTED:
+        if name not in counted:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+            continue
+        rows = counted[name]
+        rows = rows.where("status = 'pending'") if name == "pending_incidents" and "status" in rows.columns else rows.select("address").distinct() if name == "enriched_addresses" else rows
+        out = out.join(F.broadcast(rows.agg(F.count("*").alias(name))))
+    return out.withColumn("capturing", F.lit(int(capturing)))
 
 
 #: What each column of metrics is called in text: name, kind.
-METRICS = {"packets_total": ("packets_observed_total", "counter"), "bytes_total": ("bytes_observed_total", "counter"), "flows": ("active_flows", "gauge"), "hosts": ("hosts_observed", "gauge"), "security_findings": ("security_findings", "gauge"), "packets_per_second": ("packets_per_second", "gauge"), "latency_p95_ms": ("latency_p95_milliseconds", "gauge")}
+METRICS = {
+    "packets_total": ("packets_observed_total", "counter"), "bytes_total": ("bytes_observed_total", "counter"), "visible_packets": ("visible_packets", "gauge"), "flows": ("active_flows", "gauge"), "hosts": ("hosts_observed", "gauge"),
+    "security_findings": ("security_findings", "gauge"), "rule_hits": ("rule_hits", "gauge"), "ioc_hits": ("ioc_hits", "gauge"), "pending_incidents": ("pending_incidents", "gauge"), "evidence_exports": ("evidence_exports", "gauge"),
+    "packets_per_second": ("packets_per_second", "gauge"), "capturing": ("capture_active", "gauge"), "latency_p95_ms": ("latency_p95_milliseconds", "gauge"), "enriched_addresses": ("enriched_addresses", "gauge"),
+}
 
 
 def open_metrics(snapshot: DataFrame, prefix: str = "netloom") -> DataFrame:
