@@ -3,7 +3,8 @@
 Spark's own regular expressions split the texts into the words that BPE works on. What is shuffled is prepared in slabs of
 a few million words: a slab numbers its distinct words, most frequent first, and holds each text as numbers, so a word
 leaves the slab once, not once a place. The slabs' words meet by buckets of their hash, where each distinct word is
-encoded once, and the ids go back to the slabs, where numbers become ids place by place. Decoding joins the
+encoded once, and the ids go back to the slabs, where numbers become ids place by place. Slabs are written in buckets, so the
+ids come to the texts, and the texts stay where they are. Decoding joins the
 slab's distinct ids with the table of pieces and puts the pieces in the ids' places.
 """
 
@@ -22,12 +23,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import bounded, free_name, materialise, table
+from netloom.llm.common import arrow_batches, bounded, free_name, in_buckets, materialise, table
 
 #: Words of a slab: a slab and its result are one task's memory. Buckets of the words' hashes: a bucket's distinct words are.
-SLAB_WORDS, BUCKETS = 1 << 23, 1024
-#: Words of a slab that are packed, and whose ids are put in place, at once.
-CHUNK_WORDS = 1 << 20
+SLAB_WORDS, BUCKETS = 3 << 20, 1024
+#: Bytes of texts that come to a task, and texts that its slab takes on, at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 500
+#: Words of a slab that are packed at once, and words whose ids are put in place at once.
+PACKED_WORDS, PLACED_WORDS = 1 << 20, 1 << 18
 
 _SPACE = r"\t-\r\x85\p{Z}"
 #: The words of byte-level BPE: contractions, letters, numbers and other signs with a space before them, white space.
@@ -138,7 +141,7 @@ def _slabs(definition: str, slab_words: int):
     def slab_of(held):
         row_type = held[0][0].type
         slab = int(np.random.default_rng().integers(1 << 63))
-        coded = pa.concat_arrays([words.flatten() for _, words in held]).dictionary_encode()
+        coded = pa.concat_arrays([words for _, _, words in held]).dictionary_encode()
         index, words = coded.indices.to_numpy(), coded.dictionary
         order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.int32)
@@ -147,12 +150,11 @@ def _slabs(definition: str, slab_words: int):
         buckets = (pd.util.hash_array(np.asarray(words, object), categorize=False) % BUCKETS).astype(np.int32) if words else np.zeros(0, np.int32)
         yield rows(slab, 0, 1, row_type, data=pa.array([_packed(buckets)]))
         at = 0
-        for row, lists in held:
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, sizes, _ in held:
             yield rows(slab, 1, len(row), row_type, row=row, place=pa.array(at + np.cumsum(sizes) - sizes), size=pa.array(sizes))
             at += int(sizes.sum())
-        for at in range(0, len(codes), CHUNK_WORDS):
-            yield rows(slab, 3, 1, row_type, place=pa.array([at]), data=pa.array([_packed(codes[at : at + CHUNK_WORDS])]))
+        for at in range(0, len(codes), PACKED_WORDS):
+            yield rows(slab, 3, 1, row_type, place=pa.array([at]), data=pa.array([_packed(codes[at : at + PACKED_WORDS])]))
         by_bucket = np.argsort(buckets, kind="stable")
         held_buckets, starts = np.unique(buckets[by_bucket], return_index=True)
         parts = [[words[i].encode() for i in part] for part in np.split(by_bucket, starts[1:])] if words else []
@@ -162,18 +164,17 @@ def _slabs(definition: str, slab_words: int):
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in (whole.slice(at, BATCH_ROWS) for at in range(0, whole.num_rows, BATCH_ROWS))):
             words, raw = batch.column("words"), batch.column("raw")
             if raw.null_count < len(raw):
                 own = [library_words(r, definition) if r is not None else w for r, w in zip(raw.to_pylist(), words.to_pylist())]
                 words = pa.array(own, words.type)
-            held.append((batch.column("row"), words))
-            size += len(words.flatten())
+            held.append((batch.column("row"), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()))
+            size += len(held[-1][2])
             if size >= slab_words:
                 yield from slab_of(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield from slab_of(held)
 
@@ -263,7 +264,7 @@ def _placed(texts: pa.Table, found: pa.Table) -> pa.Table:
     ends = places + sizes
     begin = 0
     while begin < len(ends):
-        end = max(begin + 1, int(np.searchsorted(ends, places[begin] + CHUNK_WORDS, side="right")))
+        end = max(begin + 1, int(np.searchsorted(ends, places[begin] + PLACED_WORDS, side="right")))
         here = codes[places[begin] : ends[end - 1]]
         mine = _gathered(ids, starts[here], counts[here])
         data = _gathered(piece_data, piece_at[mine], piece_size[mine])
@@ -300,7 +301,8 @@ def bpe_round_trip(docs: DataFrame, text_col: str = "text", path: str | None = N
     )
     row = split.schema["row"].dataType
     columns = f"slab long, kind int, row {row.simpleString()}, place long, size long, bucket int, data binary, sizes binary"
-    coded = materialise(split.mapInArrow(_slabs(definition, slab_words), columns), "zstd")
+    with arrow_batches(spark, BATCH_BYTES):
+        coded = in_buckets(split.mapInArrow(_slabs(definition, slab_words), columns), "slab", "zstd")
     words = coded.where("kind = 2").select("slab", "bucket", "data", "sizes").repartition("bucket").sortWithinPartitions("bucket")
     blocks = materialise(words.mapInArrow(_encoded(definition), _BLOCK))
     used = blocks.select("slab", "ids").mapInArrow(_used, "slab long, id int").distinct().join(bounded(pieces(spark, definition)), "id")

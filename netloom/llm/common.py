@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,29 @@ def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, column: str, codec: str = "snappy") -> DataFrame:
+    """As materialise, with the rows of a value of the column in one of as many buckets as a shuffle has partitions: grouping and joining by
+    the column need no shuffle of this side. The table's name is given back at once; its files go as all others."""
+    spark, name = df.sparkSession, f"netloom_{uuid.uuid4().hex}"
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(many, column).option("path", f"{shared_dir(spark)}/{name}").option("compression", codec).format("parquet").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of at most so many bytes for what is run within: where rows are long, a batch of thousands is a task's largest piece of memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """df marked for broadcast if it is counted to be small enough, else as it is. df should be cheap to count. Where rows
     hold lists, weight is their length, and the lists' entries are what is counted."""
