@@ -108,29 +108,44 @@ def _found(text_col: str):
     return found(F.col(text_col))
 
 
-def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, kind) of the terms that disclose an entity, from all documents.
-
-    texts(entities, words, copies) has a row for each distinct text with entities. With n documents in all, PMI is
-    log2(n n(e,t) / (n(e) n(t))) and the entity's information log2(n / n(e)); their ratio is the disclosure,
-    1 for a term that the corpus has nowhere but with the entity. All counts are of documents.
-    """
-    holders = texts.select("copies", "words", F.explode("entities").alias("entity"))
-    n_e = holders.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    n_e = materialise(n_e)
-    shared = holders.join(bounded(n_e), "entity").select("entity", "copies", F.explode("words.term").alias("term"))
-    pairs = shared.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("copies").alias("n_et")).where(F.col("support") >= SUPPORT)
+def entity_classes(texts: DataFrame) -> DataFrame:
+    """(entity, class, n_e) of the entities that stand in enough distinct texts. Entities of one class stand in the same texts, so the
+    same terms disclose them: an address book in two texts is one class, however long it is. Sets of texts are told apart by
+    their size and two sums of 64-bit hashes, which are added up before the shuffle."""
+    holders = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    sum_of = lambda seed: F.sum(F.xxhash64("text_key", F.lit(seed)).cast("decimal(38,0)"))
+    sets = holders.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), sum_of(1).alias("a"), sum_of(2).alias("b"))
+    return sets.where(F.col("texts") >= SUPPORT).select("entity", F.md5(F.concat_ws(" ", "texts", "a", "b").cast("binary")).alias("class"), "n_e")
+
+
+def _by_class(docs: DataFrame, texts: DataFrame, classes: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(class, term, kind) of the terms that disclose a class of entities, and (text_key, class) of the texts that hold one."""
+    holders = texts.select("text_key", "copies", F.explode("entities").alias("entity")).join(bounded(classes), "entity")
+    held = materialise(holders.select("text_key", "copies", "class", "n_e").distinct())
+    shared = held.join(texts.select("text_key", "words"), "text_key").select("class", "n_e", "copies", F.explode("words.term").alias("term"))
+    pairs = shared.groupBy("class", "n_e", "term").agg(F.count("*").alias("support"), F.sum("copies").alias("n_et")).where(F.col("support") >= SUPPORT)
     pairs = materialise(pairs)
     if not pairs.take(1):
-        return pairs.select("entity", "term", F.lit("").alias("kind"))
+        return pairs.select("class", "term", F.lit("").alias("kind")), held
     words = pairs.select("term").distinct()
     n_t = word_counts(docs, text_col, by_text=True).select(F.col("word").alias("term"), F.col("n").alias("n_t")).join(words, "term")
     n = F.lit(docs.count())
-    scored = pairs.join(bounded(n_e), "entity").join(n_t, "term")
     pmi = F.log2(n * F.least("n_et", "n_t", "n_e") / (F.col("n_e") * F.col("n_t")))
     ratio = F.when(F.col("n_e") < n, pmi / F.log2(n / F.col("n_e"))).otherwise(F.lit(0.0))
     kind = F.when(ratio >= REMOVE, TERM_KINDS[1]).when(ratio >= GENERALISE, TERM_KINDS[0])
-    return scored.select("entity", "term", kind.alias("kind")).where("kind is not null")
+    return pairs.join(n_t, "term").select("class", "term", kind.alias("kind")).where("kind is not null"), held
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, term, kind) of the terms that disclose an entity, from all documents.
+
+    texts(text_key, entities, words, copies) has a row for each distinct text with entities. With n documents in all, PMI is
+    log2(n n(e,t) / (n(e) n(t))) and the entity's information log2(n / n(e)); their ratio is the disclosure,
+    1 for a term that the corpus has nowhere but with the entity. All counts are of documents.
+    """
+    classes = materialise(entity_classes(texts))
+    flagged, _ = _by_class(docs, texts, classes, text_col)
+    return classes.join(flagged, "class").select("entity", "term", "kind")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,11 +159,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = materialise(found)
     texts = found.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
     texts = materialise(texts)
-    flagged = materialise(disclosing_terms(docs, texts, text_col))
-    # only entities that have such terms are opened up again
-    known = bounded(flagged.select("entity").distinct())
-    held = texts.select("text_key", "words", F.explode("entities").alias("entity")).join(known, "entity").select("text_key", "entity", F.explode("words").alias("w")).select("text_key", "entity", "w.*")
-    places = held.join(bounded(flagged), ["entity", "term"]).select("text_key", "kind", "term", F.explode("starts").alias("start"))
+    flagged, held = _by_class(docs, texts, materialise(entity_classes(texts)), text_col)
+    flagged = materialise(flagged)
+    # only texts of classes that have such terms are opened up again
+    known = held.join(bounded(flagged.select("class").distinct()), "class").select("text_key", "class")
+    words = known.join(texts.select("text_key", "words"), "text_key").select("text_key", "class", F.explode("words").alias("w")).select("text_key", "class", "w.*")
+    places = words.join(bounded(flagged), ["class", "term"]).select("text_key", "kind", "term", F.explode("starts").alias("start"))
     span = F.struct("kind", "start", (F.col("start") + F.length("term")).alias("end"))
     terms = places.groupBy(F.col("text_key").alias("of_key")).agg(F.array_sort(F.collect_set(span)).alias("terms"))
     terms = materialise(terms)  # apart from the join, which adaptive execution can then split where a text has many copies

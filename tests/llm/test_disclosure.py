@@ -65,3 +65,43 @@ def test_disclosure_against_counts_by_hand(spark):
     tied = [f"only{i % 2} word{i} x@y.zz" for i in range(4)] + ["other"] * 4  # each of two terms with half of the entity's texts
     kinds = {r.doc_id: sorted((t.kind, t.start) for t in r.terms or []) for r in pii.find(spark.createDataFrame(list(enumerate(tied)), "doc_id long, text string")).collect()}
     assert len({str(kinds[i]) for i in range(4)}) == 1
+
+
+def test_an_address_book_held_twice(spark):
+    """10,000 addresses and 10,000 names in two texts: one class of entities meets the names once a text."""
+    import time
+
+    book = " ".join(f"name{i} p{i}@x{i % 97}.org" for i in range(10_000))
+    rows = [(0, book), (1, f"{book} and more"), *((i, f"short text {i} with words") for i in range(2, 52))]
+    began = time.time()
+    found = {r.doc_id: r.terms for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").collect()}
+    assert {k: len(v) for k, v in found.items()} == {0: 10_000, 1: 10_000} and {t.kind for t in found[0]} == {"remove"} and time.time() - began < 60
+
+
+def test_classes_give_what_entities_give(spark):
+    """Terms by class against counts entity by entity, texts drawn at random with copies."""
+    import math
+    import random
+    from collections import Counter
+
+    rnd = random.Random(11)
+    base = [" ".join([f"a{rnd.randrange(6)}@h.org" for _ in range(rnd.randrange(4))] + [f"t{rnd.randrange(25)}" for _ in range(8)] + [f"u{i}" for i in range(rnd.randrange(3))]) for i in range(40)]
+    texts = base + [rnd.choice(base) for _ in range(15)] + ["filler words here"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n, entities, words = len(texts), {}, {}
+    for t in set(texts):
+        entities[t] = {w for w in t.split() if "@" in w}
+        words[t] = {w for w in t.split() if "@" not in w}
+    copies = Counter(texts)
+    expected = set()
+    for e in set().union(*entities.values()):
+        there = [t for t in entities if e in entities[t]]
+        n_e = sum(copies[t] for t in there)
+        for w in set().union(*(words[t] for t in there)) if len(there) >= 2 else ():
+            both = [t for t in there if w in words[t]]
+            n_et, n_t = sum(copies[t] for t in both), sum(copies[t] for t in words if w in words[t])
+            ratio = math.log2(n * n_et / (n_e * n_t)) / math.log2(n / n_e)
+            if len(both) >= 2 and ratio >= pii.GENERALISE:
+                expected |= {(t, w, "remove" if ratio >= pii.REMOVE else "generalise") for t in both}
+    got = {(texts[r.doc_id], texts[r.doc_id][t.start : t.end], t.kind) for r in pii.find(docs).where("terms is not null").collect() for t in r.terms}
+    assert got == expected and len(expected) > 3
