@@ -22,7 +22,7 @@ PREFIX_LINES = "SELECT concat('198.', s_suppkey % 100, '.0.0/16, AS', s_suppkey,
 REPUTATION_LINES = "SELECT CASE s_suppkey % 2 WHEN 0 THEN concat('198.', s_suppkey % 100, '.0.0/16,high,', s_name, ',feed') ELSE concat('t13d', s_suppkey, ',low,', s_name, ',feed') END AS value FROM {supplier}"
 OWNER_LINES = "SELECT CASE s_suppkey % 5 WHEN 0 THEN concat('# stats kernel_lost=', s_suppkey, ' userspace_invalid=', s_suppkey % 3) ELSE concat('tcp,10.0.0.', s_suppkey % 6 + 1, ',', 40000 + s_suppkey % 9, ',0.0.0.0,443,', s_suppkey, ',', s_suppkey % 4, ',p', s_suppkey % 5, ',run a,b') END AS value FROM {supplier}"
 KEY_LINES = "SELECT CASE s_suppkey % 3 WHEN 0 THEN concat('CLIENT_RANDOM ', md5(s_name), md5(s_name), ' ', md5(s_name)) WHEN 1 THEN concat('OTHER_LABEL ', md5(s_name), md5(s_name), ' ', md5(s_name)) ELSE 'CLIENT_RANDOM zz zz' END AS value FROM {supplier}"
-RULE_LINES = """SELECT concat('{{"id":"r', s_suppkey, '","name":"n', s_suppkey % 3, '","enabled":', CASE s_suppkey % 2 WHEN 0 THEN 'true' ELSE 'false' END, ',"condition":{{"Equals":{{"field":"proto","value":"ssh"}}}},"actions":[{{"Log":{{"message":"m"}}}}]}}') AS value FROM {supplier} WHERE s_suppkey < 20"""
+RULE_LINES = """SELECT concat('{{"id":"r', s_suppkey, '","name":"n', s_suppkey % 3, '","enabled":', CASE s_suppkey % 2 WHEN 0 THEN 'true' ELSE 'false' END, ',"condition":{{"Equals":{{"field":"proto","value":"ssh"}}}},"actions":[{{"Log":{{"message":"m"}}}}]}}') AS value FROM {supplier}"""
 
 
 def _written(spark, sf_dir: str, lines: str, table: str) -> str:
@@ -217,7 +217,7 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "p5_tls_fields": path([("tls.record.content_type", "'handshake'"), ("tls.record.version", "CASE WHEN part = 0 THEN '0x0301' ELSE '0x0303' END"), ("tls.record.length", "CASE WHEN part = 0 THEN '107' ELSE '44' END")]) + f" FROM {of(2)} f",
         "s6_indicators": f"""SELECT lower(trim(string_split(value, ',')[1])) AS kind, trim(string_split(value, ',')[2]) AS value, CASE WHEN starts_with(value, 'Domain') THEN 'x, y' WHEN starts_with(value, 'ip') THEN string_split(value, ',')[3] ELSE '' END AS description FROM {lines(INDICATOR_LINES, 'customer')} l WHERE NOT starts_with(value, '#') AND NOT starts_with(value, 'port')""",
         "s7_plain_indicators": f"SELECT CASE WHEN starts_with(value, 'd') THEN 'domain' ELSE 'ip' END AS kind, value FROM {lines(PLAIN_LINES, 'customer')} l WHERE contains(value, '.') AND NOT starts_with(value, '#')",
-        "s8_rules": "SELECT concat('r', s_suppkey) AS id, concat('n', s_suppkey % 3) AS name, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey < 20",
+        "s8_rules": "SELECT concat('r', s_suppkey) AS id, concat('n', s_suppkey % 3) AS name, s_suppkey % 2 = 0 AS enabled FROM supplier",
         "s9_prefixes": "SELECT concat('198.', s_suppkey % 100, '.0.0/16') AS cidr, concat('AS', s_suppkey) AS asn, s_name AS organization FROM supplier",
         "s10_reputation": "SELECT CASE s_suppkey % 2 WHEN 0 THEN 'address' ELSE 'fingerprint' END AS kind, CASE s_suppkey % 2 WHEN 0 THEN concat('198.', s_suppkey % 100, '.0.0/16') ELSE concat('t13d', s_suppkey) END AS target, CASE s_suppkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS severity, s_name AS label, 'feed' AS source FROM supplier",
         "s11_socket_owners": "SELECT 'TCP' AS protocol, concat('10.0.0.', s_suppkey % 6 + 1) AS local_ip, 40000 + s_suppkey % 9 AS local_port, 443 AS remote_port, s_suppkey AS pid, s_suppkey % 4 AS uid, concat('p', s_suppkey % 5) AS process, 'run a,b' AS command FROM supplier WHERE s_suppkey % 5 > 0",

@@ -101,7 +101,7 @@ def _evidence(spark, sf_dir):
 
 def _put_notes(spark, sf_dir):
     notes = _notes(spark, sf_dir)
-    changes = notes.where("id % 10 = 0").select("id", F.concat("text", F.lit("!")).alias("text"), "timestamp", "evidence", "tags").unionByName(notes.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("new").alias("text"), F.lit(1.0).alias("timestamp"), F.lit("pkt#1").alias("evidence"), "tags"))
+    changes = notes.where("id % 10 = 0").select("id", F.concat("text", F.lit("!")).alias("text"), "timestamp", "evidence", "tags").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("new").alias("text"), F.lit(1.0).alias("timestamp"), F.lit("pkt#1").alias("evidence"), F.array().cast(notes.schema["tags"].dataType).alias("tags")))
     return search.drop_notes(search.put_notes(notes, changes), notes.where("id % 7 = 0")).select("id", "text", "evidence")
 
 
@@ -159,7 +159,7 @@ def queries() -> dict:
         "p14_names": lambda spark, sf_dir: info(spark, sf_dir).select("no", X.word_of(F.col("info"), 0).alias("method"), X.word_of(F.col("info"), 1).alias("uri"), X.dns_name(F.col("info")).alias("qname"), X.http_host(F.concat(F.lit("GET / Host: h"), F.col("no").cast("string"), F.lit(", x"))).alias("host")),
         "p8_layouts": _laid_out,
         "p10_annotations": _annotated,
-        "p11_previews": lambda spark, sf_dir: _pages(spark, sf_dir).select("page_id", objects.preview(F.expr("substring(data, 1, 100)")).alias("preview")),
+        "p11_previews": lambda spark, sf_dir: _pages(spark, sf_dir).select("page_id", objects.preview(F.col("data")).alias("preview")),
         "e2_dissected": _over(lambda p: layouts.dissected(p, {("tcp", 22): _dissect}).select("no", "place", "label", "value", "indent")),
         "f14_graph_view": _graph_view,
         "f15_high": lambda spark, sf_dir: search.of_severity(_findings(spark, sf_dir), "high").groupBy("signature").agg(F.count("*").alias("findings")),
@@ -285,7 +285,7 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "p8_layouts": f"""{p}, l AS (SELECT * FROM ({LAYOUTS.format(supplier='supplier')}) s), z AS (SELECT no, name, port, field_offset, field_length, field_name, display, substring(hex(bytes), 85 + 2 * field_offset, 2 * field_length) AS part FROM p JOIN l ON l.port = p.dst_port)
             SELECT no, name AS layout, port, field_offset, field_name, CASE WHEN display = 'hex' THEN lower(rtrim(regexp_replace(part, '(..)', '\\1 ', 'g'))) WHEN field_length = 3 THEN array_to_string(list_transform(regexp_extract_all(part, '..'), lambda x: CAST(CAST('0x' || x AS BIGINT) AS VARCHAR)), ' ') ELSE CAST(CAST('0x' || part AS BIGINT) AS VARCHAR) END AS value FROM z""",
         "p10_annotations": f"""{p} SELECT no, unnest(['source', 'to', 'flags', 'port', 'far', 'text', 'type']) AS name, unnest([src, '00:00:00:00:00:01', '0b00000010', concat(src_port, ' (0x', lower(lpad(hex(src_port), 4, '0')), ')'), CAST(dst_port AS VARCHAR), substring(info, 1, 4), '08 00']) AS value FROM p""",
-        "p11_previews": f"SELECT page_id, regexp_replace(regexp_replace(substring(regexp_replace(regexp_replace(html, '[\\x{{800}}-\\x{{FFFF}}]', '···', 'g'), '[\\x{{80}}-\\x{{7FF}}]', '··', 'g'), 1, 100), '[\\r\\n]', '↵', 'g'), '[^ -~↵]', '·', 'g') AS preview FROM (SELECT page_id, replace(html, '·', 'éé') AS html FROM {html} h0) h",
+        "p11_previews": f"SELECT page_id, regexp_replace(regexp_replace(substring(regexp_replace(regexp_replace(html, '[\\x{{800}}-\\x{{FFFF}}]', '···', 'g'), '[\\x{{80}}-\\x{{7FF}}]', '··', 'g'), 1, 256), '[\\r\\n]', '↵', 'g'), '[^ -~↵]', '·', 'g') AS preview FROM (SELECT page_id, replace(html, '·', 'éé') AS html FROM {html} h0) h",
         "e2_dissected": f"{p} SELECT no, unnest([0, 1]) AS place, unnest(['kind', 'size']) AS label, unnest([info, CAST(length(info) AS VARCHAR)]) AS value, unnest([0, 1]) AS indent FROM p WHERE dst_port = 22",
         "f14_graph_view": f"SELECT key, score FROM ({scores}) s WHERE score >= 0.1 AND (starts_with(key, 'Host:') OR starts_with(key, 'IOC:'))",
         "f15_high": f"SELECT signature, count(*) AS findings FROM {finds} f WHERE severity = 'HIGH' GROUP BY 1",
