@@ -14,16 +14,25 @@ def attributed(packets: DataFrame, owners: DataFrame) -> DataFrame:
     """Packets with pid, process and outbound (whether the process sent it); packets of no known socket are left out.
 
     owners has seq, protocol, local_ip, local_port, remote_ip, remote_port, pid, process; 0.0.0.0, :: and port 0 stand
-    for any. The packet's source is tried before its destination, and the newest fitting owner counts. The join is
-    on protocol and local port; each packet's best match is an aggregation, so nothing is ordered.
+    for any. The packet's source is tried before its destination, and the newest fitting owner counts. Of a socket's
+    owners only the newest can, so it alone is kept, and the join is one of equality: an end asks once for each of the
+    at most eight choices of exact and any values that owners have, however many owners share a port. Each packet's
+    best match is an aggregation, so nothing is ordered.
     """
     rows = packets.where("src_port is not null and dst_port is not null").withColumn("_proto", F.when(F.upper("protocol") == "UDP", "UDP").otherwise("TCP"))
     side = lambda out, a, b: F.struct(F.lit(out).alias("outbound"), F.col(a).alias("_ip"), F.col(f"{a}_port").alias("_port"), F.col(b).alias("_far"), F.col(f"{b}_port").alias("_far_port"))
     ends = rows.select("no", "timestamp", "length", "_proto", F.inline(F.array(side(True, "src", "dst"), side(False, "dst", "src"))))
-    known = owners.select("seq", F.upper("protocol").alias("_proto"), F.col("local_port").alias("_port"), "local_ip", "remote_ip", "remote_port", "pid", "process")
-    fits = (F.col("local_ip").isin(*ANY) | (F.col("local_ip") == F.col("_ip"))) & ((F.col("remote_port") == 0) | (F.col("remote_port") == F.col("_far_port"))) & (F.col("remote_ip").isin(*ANY) | (F.col("remote_ip") == F.col("_far")))
-    hits = ends.join(known, ["_proto", "_port"]).where(fits)
-    best = F.max_by(F.struct("timestamp", "length", "pid", "process", "outbound"), F.struct("outbound", "seq")).alias("_best")
+    exact = [(1, "_ip", ~F.col("local_ip").isin(*ANY), "local_ip"), (2, "_far", ~F.col("remote_ip").isin(*ANY), "remote_ip"), (4, "_far_port", F.col("remote_port") != 0, "remote_port")]
+    any_of = {"_ip": "", "_far": "", "_far_port": 0}
+    known = owners.where("local_ip is not null and remote_ip is not null and remote_port is not null").select(
+        "seq", F.struct("pid", "process").alias("_owner"), F.upper("protocol").alias("_proto"), F.col("local_port").alias("_port"),
+        sum(F.when(e, bit).otherwise(0) for bit, _, e, _ in exact).alias("_exact"), *(F.when(e, F.col(c)).otherwise(F.lit(any_of[name])).alias(name) for _, name, e, c in exact),
+    )
+    socket = ["_proto", "_port", "_exact", *any_of]
+    newest = known.groupBy(*socket).agg(F.max("seq").alias("seq"), F.max_by("_owner", "seq").alias("_owner"))
+    asks = ends.crossJoin(F.broadcast(newest.select("_exact").distinct())).withColumns({name: F.when(F.col("_exact").bitwiseAND(bit) != 0, F.col(name)).otherwise(F.lit(any_of[name])) for bit, name, _, _ in exact})
+    hits = asks.join(newest, socket)
+    best = F.max_by(F.struct("timestamp", "length", F.col("_owner.pid").alias("pid"), F.col("_owner.process").alias("process"), "outbound"), F.struct("outbound", "seq")).alias("_best")
     return hits.groupBy("no").agg(best).select("no", "_best.*")
 
 
