@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,32 +36,58 @@ CLASSES = (
 )
 
 
-def string_class(text: Column) -> Column:
-    """The first class that holds, else ascii. Patterns look at the text as it is, words at its lower case."""
-    low, out = F.lower(text), F.lit("ascii")
+def string_class(text: Column, low: Column | None = None) -> Column:
+    """The first class that holds, else ascii. Patterns look at the text as it is, words at its lower case, which
+    may be given as a column: it is asked for once a word."""
+    low, out = F.lower(text) if low is None else low, F.lit("ascii")
     for name, how, words in reversed(CLASSES):
         one = {"holds": lambda w: F.contains(low, F.lit(w)), "begins": lambda w: F.startswith(low, F.lit(w)), "matches": lambda w: reduce(lambda a, b: a & b, (text.rlike(x) for x in w.split(" & ")))}[how]
         out = F.when(reduce(lambda a, b: a | b, (one(w) for w in words)), F.lit(name)).otherwise(out)
     return F.when(text.isNotNull(), out)
 
 
-def _bound(value: Column, body) -> Column:
-    """body over value, computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Payloads and bytes that are counted at once.
+_ROWS, _BYTES = 4096, 1 << 20
+
+
+def _counts(values: Sequence[bytes | None]) -> Iterator[np.ndarray]:
+    """How often each payload has each byte, 256 numbers a row; some payloads at once, a long one in pieces."""
+    start = 0
+    while start < len(values):
+        end, size = start, 0
+        while end < len(values) and end - start < _ROWS and (end == start or size + len(values[end] or b"") <= _BYTES):
+            size += len(values[end] or b"")
+            end += 1
+        part = [v or b"" for v in values[start:end]]
+        if end - start == 1:
+            data = np.frombuffer(part[0], np.uint8)
+            yield sum((np.bincount(data[k : k + _BYTES], minlength=256) for k in range(0, len(data), _BYTES)), np.zeros(256, np.int64))[None]
+        else:
+            row = np.repeat(np.arange(len(part)) * 256, [len(v) for v in part])
+            yield np.bincount(row + np.frombuffer(b"".join(part), np.uint8), minlength=256 * len(part)).reshape(-1, 256)
+        start = end
+
+
+def entropies(values: Sequence[bytes | None]) -> np.ndarray:
+    """Shannon entropy of each payload's bytes in bits; 0 for none."""
+    out = [np.zeros(0)]
+    for counts in _counts(values):
+        n, places = counts.sum(axis=1), np.flatnonzero(counts)
+        some = counts.ravel()[places].astype(float)
+        total = np.maximum(n, 1).astype(float)
+        out.append(np.maximum(np.log2(total) - np.bincount(places >> 8, some * np.log2(some), minlength=len(n)) / total, 0.0))
+    return np.concatenate(out)
 
 
 def entropy(data: Column) -> Column:
-    """Shannon entropy of the bytes in bits; 0 for none. The bytes are sorted, so that a value's count is the
-    distance between the ends of two runs; the work is that of the sort."""
+    """Shannon entropy of the bytes in bits; 0 for none and for null. Bytes are counted in Arrow batches, many payloads at
+    once: a count of each byte as a built-in expression is hundreds of steps a payload."""
 
-    def of(values: Column) -> Column:
-        n = F.size(values)
-        ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.get(values, i - 1) != F.get(values, i), F.lit(True)))
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("end"))
-        add = lambda s, i: F.struct((s.sum + (i - s.end) * F.log2((i - s.end).cast("double"))).alias("sum"), i.alias("end"))
-        return F.when(n > 0, F.log2(n.cast("double")) - F.aggregate(ends, start, add, lambda s: s.sum) / n).otherwise(0.0)
+    @F.pandas_udf("double")
+    def of(payloads: pd.Series) -> pd.Series:
+        return pd.Series(entropies(payloads.tolist()))
 
-    return _bound(F.array_sort(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))), of)
+    return of(data)
 
 
 def ascii_payload(data: Column) -> Column:
@@ -121,19 +150,28 @@ def xor_key(data: Column) -> Column:
     """(key, score) of the byte that makes most of the first 512 bytes printable by exclusive or; null for under 16
     bytes, for bytes of which over three quarters are printable as they are, and where no key makes over 70 %.
 
-    Each byte counts for the 95 keys that make it printable; of equal keys the largest counts. The work is that of the
-    distinct bytes, as these are counted first.
+    A key's hits are those of the distinct bytes, which are counted first for many payloads at once: a product of the counts
+    with the table of what each key makes printable. Of equal keys the largest counts.
     """
-    sample = F.regexp_extract_all(F.hex(F.substring(data, 1, 512)), F.lit("(..)"), F.lit(1))
-
-    def best(values: Column) -> Column:
-        n = F.size(values)
-        numbers = F.transform(values, lambda x: F.conv(x, 16, 10).cast("int"))
-        printable = lambda x: (x >= 32) & (x < 127)
-        plain = F.size(F.filter(numbers, printable)) / n
-        hits = lambda k: F.size(F.filter(numbers, lambda x: printable(x.bitwiseXOR(k))))
-        keys = F.transform(F.sequence(F.lit(1), F.lit(255)), lambda k: F.struct((hits(k) / n).alias("score"), k.alias("key")))
-        top = F.array_max(keys)
-        return F.when((n >= 16) & (plain <= 0.75) & (top.score > 0.70), F.struct(top.key.alias("key"), top.score.alias("score")))
-
-    return _bound(sample, best)
+
+    @F.pandas_udf("key int, score double")
+    def best(payloads: pd.Series) -> pd.DataFrame:
+        keys, scores = [np.zeros(0, int)], [np.zeros(0)]
+        for counts in _counts(payloads.tolist()):
+            n = counts.sum(axis=1)
+            hits = counts.astype(np.float32) @ _PRINTABLE  # at most 512, so exact
+            top = 255 - hits[:, :0:-1].argmax(axis=1)
+            score = hits[np.arange(len(n)), top].astype(float) / np.maximum(n, 1)
+            found = (n >= 16) & (hits[:, 0] / np.maximum(n, 1) <= 0.75) & (score > 0.70)
+            keys.append(np.where(found, top, 0))
+            scores.append(score)
+        key = pd.Series(np.concatenate(keys), dtype="Int32")
+        return pd.DataFrame({"key": key.mask(key == 0), "score": np.concatenate(scores)})
+
+    x = best(F.substring(data, 1, 512))
+    return F.when(x.key.isNotNull(), x)
+
+
+_KEYS = np.arange(256)
+#: For each byte and key whether their exclusive or is printable; key 0 leaves a byte as it is.
+_PRINTABLE = (((_KEYS[:, None] ^ _KEYS) >= 32) & ((_KEYS[:, None] ^ _KEYS) < 127)).astype(np.float32)
