@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
@@ -13,19 +14,37 @@ from netloom.functions import text as T
 _RUN = re.compile(rb"[\x20-\x7e]{4,}")
 
 
-def _runs(column: str) -> Column:
-    @F.pandas_udf("array<struct<offset:int,value:string>>")
-    def scan(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda b: [{"offset": m.start(), "value": m.group().decode()} for m in _RUN.finditer(b)] if b else [])
+#: Strings of a batch that a scan gives out.
+STRINGS = 8192
 
-    return scan(F.col(column))
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of runs, however many a payload has."""
+
+    def rows(found: list[tuple]) -> pd.DataFrame:
+        ids, offsets, values = zip(*found)
+        return pd.DataFrame({"_id": ids, "offset": offsets, "value": [v.decode() for v in values], "length": [len(v) for v in values], "entropy": T.entropies(values)})
+
+    for batch in batches:
+        found: list[tuple] = []
+        for number, payload in zip(batch["_id"], batch["_bytes"]):
+            for m in _RUN.finditer(payload or b""):
+                found.append((number, m.start(), m.group()))
+                if len(found) == STRINGS:
+                    yield rows(found)
+                    found = []
+        if found:
+            yield rows(found)
 
 
 def strings(rows: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     """Runs of four or more printable bytes of every payload: id, offset, value, length, entropy, kind,
-    sensitive. Offsets need a scan of the bytes, so that step is an Arrow batch; all else is built in."""
-    found = rows.select(id_col, F.explode(_runs(bytes_col)).alias("s")).select(id_col, "s.*")
-    found = found.withColumns({"length": F.length("value"), "entropy": T.entropy(F.col("value").cast("binary")), "kind": T.string_class(F.col("value"))})
+    sensitive. Offsets need a scan of the bytes, so that step is Arrow batches, which also have the bytes' entropy; what
+    comes out is cut into batches of its own, as a payload may hold any number. All else is built in."""
+    kind = dict(rows.dtypes)[id_col]
+    found = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(bytes_col).alias("_bytes")).mapInPandas(_scan, "_id string, offset int, value string, length int, entropy double")
+    found = found.select(F.col("_id").cast(kind).alias(id_col), "offset", "value", "length", "entropy", F.lower("value").alias("_low"))
+    found = found.withColumn("kind", T.string_class(F.col("value"), F.col("_low"))).drop("_low")
     return found.withColumn("sensitive", F.col("kind").isin(*T.SENSITIVE))
 
 

@@ -57,3 +57,23 @@ def test_xor_keys_of_counts(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "id int, d binary").select("id", T.xor_key(F.col("d")).alias("x"))
     assert {r.id: r.x and tuple(r.x) for r in df.collect()} == {i: walk(d) for i, d in enumerate(data)}
     assert "lambda" not in plan(df)  # no key is tried on each byte
+
+
+def test_entropy_of_counts(spark, monkeypatch):
+    rnd = random.Random(6)
+    data = [bytes(rnd.choices(range(rnd.choice([1, 2, 256])), k=rnd.choice([0, 1, 9, 400, 3000]))) for _ in range(300)] + [None]
+    wanted = [log2(len(d)) - sum(c * log2(c) for c in Counter(d).values()) / len(d) if d else 0.0 for d in data]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "id int, d binary").select("id", T.entropy(F.col("d")).alias("e"))
+    assert all(abs(r.e - wanted[r.id]) < 1e-9 for r in df.collect())
+    assert "lambda" not in plan(df)
+    monkeypatch.setattr(T, "_BYTES", 1000)  # long ones in pieces
+    monkeypatch.setattr(T, "_ROWS", 7)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(T.entropies(data), wanted))
+
+
+def test_strings_come_in_batches_of_their_own():
+    page = b"\x00".join(b"abcd%d" % k for k in range(30_000))
+    out = list(strings._scan(iter([pd.DataFrame({"_id": ["1", "2", "3"], "_bytes": [page, None, page]})])))
+    assert sum(map(len, out)) == 60_000 and max(map(len, out)) <= strings.STRINGS
+    first = out[0]
+    assert first["offset"].tolist()[:3] == [0, 6, 12] and first["value"][2] == "abcd2" and first["length"][2] == 5
