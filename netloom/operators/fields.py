@@ -12,6 +12,8 @@ from netloom.functions.packet import contains
 
 #: Ethernet types of VLAN tags.
 TAGS = ("8100", "88A8", "9100")
+#: As many fields at most are compiled into one method; more of them are too large for the JVM, and are evaluated as they stand.
+COMPILED = 16
 
 
 def _cut(offset: Column, length: int) -> Column:
@@ -38,14 +40,17 @@ def layout(packets: DataFrame) -> DataFrame:
     return rows.withColumns({"_v": F.when(v4, 4).when(v6, 6), "_l4": F.when(v4, F.col("_ip") + ihl).when(v6, F.col("_ip") + 40), "_proto": F.when(v4, _number(F.col("_ip") + 9, 1)).when(v6, _number(F.col("_ip") + 6, 1))})
 
 
-def fields(packets: DataFrame) -> DataFrame:
-    """One row for each field of each frame: no, layer, path, label, value, offset, length.
+def fields(packets: DataFrame, layers: tuple[str, ...] | None = None, paths: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each field of each frame: no, layer, path, label, value, offset, length. With layers or paths
+    only those fields are made, which is far less work than to make all and drop the others.
 
     A field that the frame is too short for, or whose layer isn't there, has no row. One pass, no shuffle: the
     fields are an array of each row's own bytes.
     """
 
-    def field(layer: str, path: str, label: str, value: Column, offset: Column | None = None, length: int | None = None, there: Column | None = None) -> Column:
+    def field(layer: str, path: str, label: str, value: Column, offset: Column | None = None, length: int | None = None, there: Column | None = None) -> Column | None:
+        if (layers is not None and layer not in layers) or (paths is not None and path not in paths):
+            return None
         made = F.struct(F.lit(layer).alias("layer"), F.lit(path).alias("path"), F.lit(label).alias("label"), value.cast("string").alias("value"), (F.lit(None) if offset is None else offset).cast("int").alias("offset"), F.lit(length).cast("int").alias("length"))
         sure = value.isNotNull() if there is None else value.isNotNull() & there
         return F.when(sure, made)
@@ -56,7 +61,7 @@ def fields(packets: DataFrame) -> DataFrame:
     v4, v6 = F.col("_v") == 4, F.col("_v") == 6
     tcp, udp = (F.col("_proto") == 6) & (F.length("bytes") >= l4(20)), (F.col("_proto") == 17) & (F.length("bytes") >= l4(8))
 
-    def tag(k: int, layer: str, path: str, there: Column) -> list[Column]:
+    def tag(k: int, layer: str, path: str, there: Column) -> list[Column | None]:
         off = F.lit(14 + 4 * k)
         tci = _number(off, 2)
         return [
@@ -118,7 +123,13 @@ def fields(packets: DataFrame) -> DataFrame:
     rows = layout(packets)
     head = (F.shiftright(_number(F.col("_l4") + 12, 1), 4) * 4).cast("int")
     rows = rows.withColumn("_pay", F.when(F.col("_proto") == 6, F.col("_l4") + head).when(F.col("_proto") == 17, F.col("_l4") + 8))
-    return rows.select("no", F.inline(F.array_compact(F.array(*every))))
+    asked = [f for f in every if f is not None]
+    if not asked:
+        raise ValueError(f"no such fields: {layers} {paths}")
+    made = F.array(*asked)
+    if len(asked) > COMPILED:
+        return rows.select("no", F.inline(F.array_compact(made)))
+    return rows.select("no", F.inline(made)).where("path is not null")
 
 
 def found_in(table: DataFrame, query: str) -> DataFrame:

@@ -141,7 +141,7 @@ DEEP = frames.frames(frames.EVENTS, frames._IP, "'10.0.1.1'", ["'000000000001'",
 
 
 def _layer(sql: str, layers: tuple[str, ...]):
-    return frames.over(sql, lambda p: fields.fields(p).where(F.col("layer").isin(*layers)).select("no", "path", "value"))
+    return frames.over(sql, lambda p: fields.fields(p, layers).select("no", "path", "value"))
 
 
 def queries() -> dict:
@@ -153,7 +153,7 @@ def queries() -> dict:
         "s3_decoded_tags": frames.over(TAGGED, lambda p: decode.decoded(p.select("no", "timestamp", "bytes")).select("no", "protocol", "vlan_id", "vlan_pcp", "vlan_dei", "outer_vlan_id", "dst_port")),
         "s3_decoded_deep_tags": frames.over(DEEP, lambda p: decode.decoded(p.select("no", "timestamp", "bytes")).select("no", "protocol", "dst")),
         "p2_vlan_fields": _layer(TAGGED, ("VLAN", "Outer VLAN")),
-        "p2_deep_tags": frames.over(DEEP, lambda p: fields.fields(p).where("path = 'udp.dstport'").select("no", "value", "offset")),
+        "p2_deep_tags": frames.over(DEEP, lambda p: fields.fields(p, paths=("udp.dstport",)).select("no", "value", "offset")),
         "p3_ipv6_fields": _layer(frames.NEIGHBOURS, ("IPv6",)),
         "p4_udp_fields": _layer(frames.QUIC, ("UDP",)),
         "p5_tls_fields": _layer(frames.HELLOS, ("TLS",)),

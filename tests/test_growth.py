@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import processes, strings
+from netloom.operators import fields, processes, strings
 from netloom.streaming import live
 
 PACKET = "no long, timestamp double, src string, dst string, protocol string, length int, src_port int, dst_port int"
@@ -87,3 +87,11 @@ def test_stream_sessions_measure_gaps_as_numbers(spark):
     df = spark.createDataFrame([(s, no, x) for s, no, _, x in rows], "src string, no long, timestamp double").withColumn("event_time", live._event_time(1_700_000_000))
     found = {r.src: r.hits for r in live.bursts(df, ["src"], 2, 1).collect()}
     assert found == {str(k): 2 for k, t in enumerate(at) if (round(t * 40) + 40) / 40 - t <= 1}
+
+
+def test_only_the_fields_asked_for_are_made(spark):
+    p = spark.createDataFrame([(1, 0.5, 60, "TCP", None, bytearray(bytes(12) + b"\x08\x00E" + bytes(60)))], "no long, timestamp double, length int, protocol string, vlan_id int, bytes binary")
+    every = fields.fields(p)
+    some = fields.fields(p, ("Ethernet",), ("eth.type", "ip.ttl"))
+    assert some.collect() == every.where("path = 'eth.type'").collect() and every.where("layer is null").count() == 0
+    assert "tcp.flags" in plan(every) and "tcp.flags" not in plan(some) and "lambda" not in plan(some)
