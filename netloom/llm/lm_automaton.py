@@ -23,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import folded_words_of, id_crc, materialise, table
+from netloom.llm.common import arrow_batches, folded_words_of, id_crc, in_buckets, materialise, table
 
 #: Tokens of a block, n-grams of a bucket: what a task holds at once.
 BLOCK_TOKENS, BUCKET_NGRAMS = 600_000, 1_200_000
+#: Bytes of texts, or of blocks, that a task is given at once: what a worker has taken it keeps for the later stages.
+BATCH_BYTES = 4 << 20
 #: K: the weight of the shorter history, in tokens.
 PRIOR = 300.0
 #: No word holds a line break, so these stand for the end of a text and for what is before its first word.
@@ -216,11 +218,13 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    blocks = materialise(rows.mapInPandas(_blocks, BLOCKS))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        blocks = materialise(rows.mapInPandas(_blocks, BLOCKS))
     sums = blocks.agg(F.sum("n_train").alias("n"), F.sum("n_ngrams").alias("g")).first()
     n, buckets = sums["n"] or 0, max(1, math.ceil((sums["g"] or 0) / BUCKET_NGRAMS))
     sent = blocks.select("block", "ids", "held", "lengths", "tokens", "hashes").mapInPandas(_send(buckets), SENT)
-    answers = materialise(sent.groupBy("bucket").applyInPandas(_answer, ANSWERS))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        answers = in_buckets(sent.groupBy("bucket").applyInPandas(_answer, ANSWERS), "block")  # they go to blocks without another shuffle
     v = answers.where("block = -1 and gram = 1").agg(F.sum("n_distinct").alias("v")).first()["v"] or 0
     scores = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(_score(n, v, prior), SCORES)
     return scores.select(F.col("id").cast(kind).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
