@@ -29,7 +29,7 @@ def spaced(alerts: DataFrame, distance: int = 1000) -> DataFrame:
     let = spaced_by(cut, keys, "no", distance).withColumnsRenamed({"correlation_key": "_key", "session": "_session", "place": "_no"})
     once = cut.groupBy(*keys, "no").agg(F.min(F.struct(*(c for c in alerts.columns if c not in (*keys, "no")))).alias("_row")).select(*keys, "no", "_row.*")
     through = [F.col("correlation_key").eqNullSafe(F.col("_key")), F.col("session") == F.col("_session"), F.col("no") == F.col("_no")]
-    return once.join(let, through, "left_semi").select(*alerts.columns)
+    return once.join(let.hint("merge"), through, "left_semi").select(*alerts.columns)
 
 
 def vlan_alerts(packets: DataFrame, distance: int = 1000) -> DataFrame:

@@ -218,6 +218,7 @@ def spaced_by(rows: DataFrame, keys: list[str], place: str, distance: int) -> Da
 
     What follows a place is a jump. Jumps are joined with themselves, so they double in each round, and those that are taken are
     joined with them: the rounds are the logarithm of the longest chain, and a key with all rows is as many tasks as its rows need.
+    Both sides are shuffled whatever their size: broadcasts of that many rounds would add up in the driver.
     """
     jumps = kept(_next_places(rows, keys, place, distance))
     taken = kept(rows.groupBy(*keys).agg(F.min(place).cast("long").alias("place")))
@@ -225,7 +226,7 @@ def spaced_by(rows: DataFrame, keys: list[str], place: str, distance: int) -> Da
     renamed = lambda df, name: df.withColumnsRenamed({c: f"_{name}_{c}" for c in df.columns})
     met = lambda name, of: [F.col(k).eqNullSafe(F.col(f"_{name}_{k}")) for k in keys] + [F.col(of) == F.col(f"_{name}_place")]
     while True:
-        beyond = renamed(jumps, "j")
+        beyond = renamed(jumps, "j").hint("merge")
         reached = taken.join(beyond, met("j", "place")).select(*keys, F.col("_j_to").alias("place"))
         taken = kept(taken.unionByName(reached).distinct())
         if (now := taken.count()) == many:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import fields, processes, strings
+from netloom.operators import fields, processes, strings, windows
+from netloom.sources import scratch
 from netloom.streaming import live
 
 PACKET = "no long, timestamp double, src string, dst string, protocol string, length int, src_port int, dst_port int"
@@ -95,3 +96,17 @@ def test_only_the_fields_asked_for_are_made(spark):
     some = fields.fields(p, ("Ethernet",), ("eth.type", "ip.ttl"))
     assert some.collect() == every.where("path = 'eth.type'").collect() and every.where("layer is null").count() == 0
     assert "lambda" not in plan(some)  # few fields are compiled
+
+
+def test_rounds_of_spaced_alerts_broadcast_nothing(spark, monkeypatch):
+    rounds = []
+
+    def kept(df):
+        if "_j_" in plan(df):
+            rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.kept(df)
+
+    monkeypatch.setattr(windows, "kept", kept)
+    rows = spark.createDataFrame([(k % 2, k * 3) for k in range(2000)], "k int, p long")
+    assert windows.spaced_by(rows, ["k"], "p", 12).count() == 1000
+    assert len(rounds) > 6 and not any("Broadcast" in r for r in rounds)
