@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import fields, processes, strings, windows
+from netloom.operators import fields, objects, processes, strings, windows
 from netloom.sources import scratch
 from netloom.streaming import live
 
@@ -110,3 +110,20 @@ def test_rounds_of_spaced_alerts_broadcast_nothing(spark, monkeypatch):
     rows = spark.createDataFrame([(k % 2, k * 3) for k in range(2000)], "k int, p long")
     assert windows.spaced_by(rows, ["k"], "p", 12).count() == 1000
     assert len(rounds) > 6 and not any("Broadcast" in r for r in rounds)
+
+
+def test_long_rows_come_to_patterns_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [pdf["d"].map(len).sum()]})
+
+    rows = spark.range(0, 1000, 1, 1).select(F.expr("cast(repeat(if(id < 0, 'x', 'ab'), 5000) as binary) AS d"))
+    found = [r.n for r in scratch.kept(rows.mapInPandas(sizes, "n long"), 100_000).collect()]
+    assert sum(found) == 10_000_000 and max(found) <= 200_000
+    asked = []
+    monkeypatch.setattr(objects, "kept", lambda df, batch: asked.append((batch, plan(df))) or scratch.kept(df, batch))
+    monkeypatch.setattr(objects, "HITS", 7)
+    rule = {"rule": "r", "pattern": "$a", "kind": "literal", "text": "abab", "nocase": False, "condition": "any"}
+    hits = objects.pattern_hits(rows.limit(3).withColumn("id", F.lit(1)), [rule], "id", "d", most=41)
+    assert sorted(r.offset for r in hits.collect()) == sorted([*range(0, 40, 4)] * 3)
+    assert asked[0][0] == objects.SCANNED_BYTES and "substring" in asked[0][1]  # what no rule looks at stays in the JVM
