@@ -73,6 +73,7 @@ def hellos(packets: DataFrame) -> DataFrame:
         return pd.DataFrame([hello(bytes(f)) or dict.fromkeys(names) for f in frames], columns=names).astype({"kind": "Int32", "version": "Int32"})
 
     some = packets.where(F.contains(F.col("bytes"), F.lit(b"\x16\x03").cast("binary")))
+    parse = parse.asNondeterministic()  # else the test of `kind` is moved before it and parses every frame a second time, in a worker of its own
     rows = some.withColumn("hello", parse("bytes")).select(*packets.columns, "hello.*").where("kind is not null")
     return rows.withColumn("ja4", F.when(F.col("kind") == 1, ja4(F.when(F.lower("protocol").isin("udp", "quic"), "q").otherwise("t"))))
 

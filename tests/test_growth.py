@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import fields, objects, processes, strings, windows
+from netloom.operators import fields, handshake, objects, processes, strings, windows
 from netloom.sources import scratch
 from netloom.streaming import live
 
@@ -127,3 +127,8 @@ def test_long_rows_come_to_patterns_in_small_batches(spark, monkeypatch):
     hits = objects.pattern_hits(rows.limit(3).withColumn("id", F.lit(1)), [rule], "id", "d", most=41)
     assert sorted(r.offset for r in hits.collect()) == sorted([*range(0, 40, 4)] * 3)
     assert asked[0][0] == objects.SCANNED_BYTES and "substring" in asked[0][1]  # what no rule looks at stays in the JVM
+
+
+def test_a_hello_is_parsed_once(spark):
+    p = spark.createDataFrame([(1, 0.5, "TCP", bytearray(b"\x16\x03"))], "no long, timestamp double, protocol string, bytes binary")
+    assert plan(handshake.hellos(p).select("no", "random")).count("ArrowEvalPython") == 1
