@@ -13,7 +13,7 @@ from netloom.operators.detect import _alerts
 from netloom.operators.fields import _number, layout
 from netloom.operators.ranges import contradictions
 from netloom.operators.signatures import exploits
-from netloom.operators.streams import epochs, placed, segments
+from netloom.operators.streams import of_epochs, placed, segments
 from netloom.operators.windows import first_of, folded, running, sessions
 from netloom.sources.scratch import kept
 
@@ -63,8 +63,9 @@ def conflicting_retransmission(packets: DataFrame) -> DataFrame:
     begins anew. Numbers are followed over their wrap."""
     direction = F.concat_ws(":", "src", F.col("src_port").cast("string"))
     keys = ["flow", "session", "epoch", "direction"]
-    rows = kept(placed(epochs(packets).withColumn("direction", direction), keys).withColumnRenamed("place", "start").where("size > 0"))
-    data = segments(packets).select(F.col("no").alias("_of"), F.col("payload").alias("data"))
+    every = kept(segments(packets))
+    rows = kept(placed(of_epochs(every).withColumn("direction", direction), keys).withColumnRenamed("place", "start").where("size > 0"))
+    data = every.select(F.col("no").alias("_of"), F.col("payload").alias("data"))
     each = contradicted(kept(rows.join(data, F.col("no") == F.col("_of")).drop("_of")), keys)
     found = first_of(each, ["flow", "session", "epoch"])
     return _alerts(found, "Conflicting TCP retransmission", "CRIT", F.concat_ws(" ", "src", F.lit("->"), "dst"), F.col("flow"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.windows import with_first
+
 #: Bytes of a cell; cells of a block, in which running values are one window's.
 CELL, BLOCK = 256, 1 << 20
 
@@ -47,10 +49,10 @@ def carried(rows: DataFrame, keys: list[str], place: str, sums: dict[str, Column
     named = rows.withColumns({**{f"_s_{n}": c for n, c in sums.items()}, **{f"_m_{n}": c for n, c in most.items()}, "_block": F.floor(F.col(place) / block)})
     of_block = named.groupBy(*keys, "_block").agg(*(F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums), *(F.max(f"_m_{n}").alias(f"_m_{n}") for n in most))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = of_block.select(*(F.col(c).alias(f"_e_{c}") for c in [*keys, "_block"]), *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in sums), *(F.max(f"_m_{n}").over(earlier).alias(f"_u_{n}") for n in most))
-    inside = Window.partitionBy(*keys, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    out = named.join(before, on([*keys, "_block"], "_e_"))
-    out = out.withColumns({**{n: F.col(f"_t_{n}") + F.sum(f"_s_{n}").over(inside) for n in sums}, **{n: F.greatest(f"_u_{n}", F.max(f"_m_{n}").over(inside)) for n in most}})
+    before = of_block.select(*keys, "_block", *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in sums), *(F.max(f"_m_{n}").over(earlier).alias(f"_u_{n}") for n in most))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_own", place).rowsBetween(Window.unboundedPreceding, 0)
+    out = with_first(named, before)
+    out = out.withColumns({**{n: F.max(f"_t_{n}").over(inside) + F.sum(f"_s_{n}").over(inside) for n in sums}, **{n: F.greatest(F.max(f"_u_{n}").over(inside), F.max(f"_m_{n}").over(inside)) for n in most}}).where("_own")
     return out.select(*rows.columns, *sums, *most)
 
 

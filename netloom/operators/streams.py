@@ -42,7 +42,7 @@ def reassembled(packets: DataFrame) -> DataFrame:
     all bytes before it are there; the payload of a reset doesn't count. Ranges are cut and summed up by blocks of
     places, so a long direction is many tasks; payloads are only fetched for what they give.
     """
-    every = segments(packets)
+    every = kept(segments(packets))
     flag = lambda bit: F.col("flags").bitwiseAND(bit) > 0
     slim = kept(every.select("no", "timestamp", *ENDS, "flags", (F.col("seq") + flag(2).cast("int")).alias("seq"), F.length("payload").alias("size")))
     keys = [*ENDS, "epoch"]
@@ -82,7 +82,13 @@ def reassembled(packets: DataFrame) -> DataFrame:
 def epochs(packets: DataFrame, idle: float = 300.0) -> DataFrame:
     """segments, the payload's size in its place, with their flow (both directions), its session and epoch: a SYN or five idle minutes begin it anew.
     SYNs are counted by running sums over buckets of time, so a long flow is many groups."""
-    rows = kept(segments(packets).withColumn("size", F.length("payload")).drop("payload"))
+    return of_epochs(kept(segments(packets).withColumn("payload", F.length("payload"))).withColumnRenamed("payload", "size"), idle)
+
+
+def of_epochs(rows: DataFrame, idle: float = 300.0) -> DataFrame:
+    """epochs of segments that are a table already, with their payload or its size."""
+    if "payload" in rows.columns:
+        rows = rows.withColumn("size", F.length("payload")).drop("payload")
     end = lambda ip, port: F.concat_ws(":", ip, F.col(port).cast("string"))
     rows = rows.withColumn("flow", F.array_join(F.array_sort(F.array(end("src", "src_port"), end("dst", "dst_port"))), "|"))
     return running(sessions(rows, ["flow"], idle), ["flow", "session"], {"epoch": F.col("flags").bitwiseAND(2)})

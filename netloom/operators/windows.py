@@ -28,6 +28,12 @@ def of_bucket(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(there, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in on], "left").drop(*(f"_of_{k}" for k in on))
 
 
+def with_first(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (`_own`) and, beside them, one row for what facts knows of each key and bucket, which a window that is ordered by `_own` meets
+    first: rows are then shuffled once, for the window, where a join would shuffle them before it as well."""
+    return rows.withColumn("_own", F.lit(True)).unionByName(facts.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+
+
 def _numbered(spans: DataFrame, keys: list[str], gap: float, name: str) -> DataFrame:
     """The session of each bucket of a key: spans has _first and _last, the times of the bucket's rows."""
     w = Window.partitionBy(*keys).orderBy("_bucket")
@@ -85,9 +91,9 @@ def running(rows: DataFrame, keys: list[str], measures: dict[str, Column], secon
     sums = dated.groupBy(*keys, "_bucket").agg(*(F.sum(f"_x_{m}").alias(f"_x_{m}") for m in measures))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_x_{m}").over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    out = of_bucket(dated, before, keys).withColumns({m: F.col(f"_before_{m}") + F.sum(f"_x_{m}").over(inside) for m in measures})
-    return out.drop("_bucket", *(f"_x_{m}" for m in measures), *(f"_before_{m}" for m in measures))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_own", *ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    out = with_first(dated, before).withColumns({m: F.max(f"_before_{m}").over(inside) + F.sum(f"_x_{m}").over(inside) for m in measures})
+    return out.where("_own").drop("_own", "_bucket", *(f"_x_{m}" for m in measures), *(f"_before_{m}" for m in measures))
 
 
 def previous(rows: DataFrame, keys: list[str], columns: dict[str, Column], seconds: float = 60.0) -> DataFrame:
@@ -95,11 +101,9 @@ def previous(rows: DataFrame, keys: list[str], columns: dict[str, Column], secon
     last of the bucket before, carried by one row for each key and bucket."""
     dated = in_buckets(rows.withColumn("_x", F.struct(*(c.alias(n) for n, c in columns.items()))), seconds)
     ends = dated.groupBy(*keys, "_bucket").agg(F.max_by("_x", F.struct(*ORDER)).alias("_x"))
-    carried = ends.select(*keys, "_bucket", F.lag("_x").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*ORDER)
-    out = of_bucket(dated, carried, keys).withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag("_x").over(inside)})
-    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))
-    return out.withColumns({n: before[n] for n in columns}).drop("_bucket", "_x", "_carried", "_first", "_lag")
+    carried = ends.select(*keys, "_bucket", F.lag("_x").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_x")).where("_x is not null")
+    out = with_first(dated, carried).withColumn("_lag", F.lag("_x").over(Window.partitionBy(*keys, "_bucket").orderBy("_own", *ORDER)))
+    return out.where("_own").withColumns({n: F.col("_lag")[n] for n in columns}).drop("_own", "_bucket", "_x", "_lag")
 
 
 def last_of(rows: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -132,3 +132,12 @@ def test_long_rows_come_to_patterns_in_small_batches(spark, monkeypatch):
 def test_a_hello_is_parsed_once(spark):
     p = spark.createDataFrame([(1, 0.5, "TCP", bytearray(b"\x16\x03"))], "no long, timestamp double, protocol string, bytes binary")
     assert plan(handshake.hellos(p).select("no", "random")).count("ArrowEvalPython") == 1
+
+
+def test_windows_of_buckets_shuffle_rows_once(spark):
+    rows = spark.createDataFrame([(no % 2, no, no * 40.0) for no in range(9)], "k int, no long, timestamp double")
+    sums = windows.running(rows, ["k"], {"n": F.lit(1)})
+    lags = windows.previous(rows, ["k"], {"was": F.col("no")})
+    assert {(r.no, r.n) for r in sums.collect()} == {(no, no // 2 + 1) for no in range(9)}
+    assert {(r.no, r.was) for r in lags.collect()} == {(no, no - 2 if no > 1 else None) for no in range(9)}
+    assert "Join" not in plan(sums) and "Join" not in plan(lags)
